@@ -103,4 +103,7 @@ def with_bindings(sql: str, *names: str) -> str:
         if n not in need:
             need.append(n)
     ctes = ",\n".join(f"{n} AS ({ALL[n]})" for n in need)
+    body = sql.lstrip()
+    if body[:4].upper() == "WITH":
+        return f"WITH {ctes},\n{body[4:].lstrip()}"
     return f"WITH {ctes}\n{sql}"

@@ -32,4 +32,5 @@ def load_all() -> None:
     """Import every query module so its registrations run."""
     from textforge.plans import (  # noqa: F401
         q_corpus,
+        q_eval,
     )
