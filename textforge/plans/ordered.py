@@ -10,7 +10,9 @@ into many ordered pieces of bounded size:
    and ``pid`` is stable);
 2. a running count/sum inside each ``(pid, g)`` piece (a window over a
    bounded piece);
-3. only the first and last group of a piece can continue in another piece,
+3. the tagged rows are checkpointed once, so every consumer sees the
+   same pieces;
+4. only the first and last group of a piece can continue in another piece,
    so the carried offsets come from at most ``2 * P`` boundary pieces: that
    table has a proven size bound and is broadcast.
 
@@ -25,6 +27,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textforge.session import ensure_checkpoint_dir
+
 PID = "_tf_pid"
 
 
@@ -64,10 +68,17 @@ def ordered_running(
     local = ranged.withColumn("_tf_cnt", F.count(F.lit(1)).over(running))
     for name, tmp in tmp_sums.items():
         local = local.withColumn(f"_tf_loc_{tmp}", F.sum(tmp).over(running))
-
-    aggs = [F.count(F.lit(1)).alias("_tf_cnt")] + [
+    # The range bounds come from a sample seeded by the RDD id, so two
+    # evaluations of the exchange may cut pieces differently. Materialise
+    # the pieces once (reliable checkpoint in the shared checkpoint folder)
+    # so that the offsets and the rows they are added to agree, also when
+    # a lost executor forces a recomputation.
+    ensure_checkpoint_dir(df.sparkSession)
+    local = local.checkpoint(eager=True)
+
+    aggs = [F.max("_tf_cnt").alias("_tf_cnt")] + [
         F.sum(tmp).alias(f"_tf_tot_{tmp}") for tmp in tmp_sums.values()]
-    pieces = ranged.groupBy(PID, *group_cols).agg(*aggs)
+    pieces = local.groupBy(PID, *group_cols).agg(*aggs)
     gkey = F.struct(*[F.col(c) for c in group_cols]) if group_cols else F.lit(0)
     ends = pieces.groupBy(PID).agg(F.min(gkey).alias("_tf_lo"), F.max(gkey).alias("_tf_hi"))
     boundary = (pieces.join(ends, PID)

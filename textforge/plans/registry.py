@@ -33,4 +33,5 @@ def load_all() -> None:
     from textforge.plans import (  # noqa: F401
         q_corpus,
         q_eval,
+        q_serving,
     )
