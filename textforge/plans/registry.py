@@ -34,4 +34,5 @@ def load_all() -> None:
         q_corpus,
         q_eval,
         q_serving,
+        q_runs,
     )
