@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 WS = "\\t\\n\\x0B\\f\\r\\x1C-\\x20\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
 URL_PATTERN = f"https?://[^{WS}]+|www\\.[^{WS}]+"
 TAG_PATTERN = "<[^\\n]*?>"
-TATWEEL_AND_DIACRITICS = "[\\u0640\\u064B-\\u065F\\u0670]"
+TATWEEL_AND_DIACRITICS = "[\\u0640\\u064B-\\u065F\\u0670]+"
 TATWEEL = "\\u0640"
 DIACRITICS = "[\\u064B-\\u065F\\u0670]"
 ALEF_VARIANTS = "إأآ"      # alef with hamza below, hamza above, madda
@@ -30,7 +30,7 @@ TAA_MARBUTA, HA = "ة", "ه"
 LAM_ALEF_LIGATURES = "[ﻻﻷﻹﻵ]"
 LAM_ALEF = "لا"
 RUN_PATTERN = "([^\\n])\\1{2,}"
-KEEP_CHARSET = f"[^0-9a-zA-Z\\u0600-\\u06FF\\u00C0-\\u00FF{WS}]"
+KEEP_CHARSET = f"[^0-9a-zA-Z\\u0600-\\u06FF\\u00C0-\\u00FF{WS}]+"
 # --- end of fixed values ---
 
 
@@ -89,8 +89,11 @@ def filter_charset(col: Column | str) -> Column:
 
 
 def squeeze_whitespace(col: Column | str) -> Column:
-    """C11: split on Unicode whitespace and join with one space (trimmed)."""
-    return F.regexp_replace(F.regexp_replace(_c(col), f"[{WS}]+", " "), "^ | $", "")
+    """C11: split on Unicode whitespace and join with one space (trimmed).
+
+    Only runs that are not already a single space are rewritten, and after
+    that the ends can only hold one U+0020, which ``trim`` removes."""
+    return F.trim(F.regexp_replace(_c(col), f"[{WS}]{{2,}}|[{WS}&&[^ ]]", " "))
 
 
 def trim_ws(col: Column | str) -> Column:
