@@ -106,3 +106,19 @@ def test_stream_latency_stats(spark, tmp_dir):
     for k in got:
         assert got[k].n_successful == want[k].n_successful
         assert abs(got[k].ttft_mean_ms - want[k].ttft_mean_ms) < 1e-6
+
+
+def test_metrics_listener(spark, tmp_dir):
+    from textforge.streaming.listener import MetricsListener
+    lst = MetricsListener(spark, f"{tmp_dir}/metrics", "run-1")
+    spark.streams.addListener(lst)
+    try:
+        _, path = _lines(spark, tmp_dir, parts=2)
+        src = IO.stream_lines_source(spark, path)
+        _drain(SS.parse_stream(src), tmp_dir, "lst")
+        time.sleep(2)               # listener events are delivered asynchronously
+        lst.flush()
+    finally:
+        spark.streams.removeListener(lst)
+    m = IO.read_metrics(spark, f"{tmp_dir}/metrics")
+    assert m.where("key like 'stream/lst/numInputRows'").count() >= 1

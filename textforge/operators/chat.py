@@ -148,3 +148,23 @@ def map_rows(df: DataFrame, add: dict[str, Column] | None = None, drop: Sequence
 def filter_rows(df: DataFrame, predicate: Column) -> DataFrame:
     """A row predicate."""
     return df.where(predicate)
+
+
+def render_conversations(turns: DataFrame, conv: str = "conv_id", turn: str = "turn",
+                         role: str = "role", text: str = "text", template: dict | None = None,
+                         chunk: int = 256) -> DataFrame:
+    """P3, conversation form: one rendered text per conversation, turns in order.
+
+    Each turn is rendered on its own row (map-only); fragments are joined
+    within bounded chunks of ``chunk`` turns and the chunk strings per
+    conversation, so a very long conversation is assembled by many tasks.
+    """
+    t = template or DEFAULT_TEMPLATE
+    head, rest = t["message"].split("{role}")
+    mid, tail = rest.split("{content}")
+    frag = F.concat(F.lit(head), F.col(role), F.lit(mid), F.coalesce(F.col(text), F.lit("")), F.lit(tail))
+    rows = turns.select(conv, turn, frag.alias("_f"), (F.col(turn) / chunk).cast("long").alias("_c"))
+    parts = rows.groupBy(conv, "_c").agg(F.array_join(F.transform(
+        F.sort_array(F.collect_list(F.struct(turn, "_f"))), lambda x: x["_f"]), "").alias("_p"))
+    return parts.groupBy(conv).agg(F.concat(F.lit(t["begin"]), F.array_join(F.transform(
+        F.sort_array(F.collect_list(F.struct("_c", "_p"))), lambda x: x["_p"]), "")).alias("text"))

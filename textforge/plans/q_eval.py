@@ -444,3 +444,9 @@ def batch_judge(spark, sf):
     p = B.predictions(spark, sf).select(
         "id", "model", J.judge_prompt_scalar("input", "reference", "predicted").alias("prompt"))
     return J.batch_judge(p).select("id", "model", "attempt", "raw")
+
+
+@register("render_conversations", f"SELECT conv_id, concat({_q(_T['begin'])}, string_agg(concat({_q(_H)}, role, "
+          f"{_q(_M)}, coalesce(text, ''), {_q(_E)}), '' ORDER BY turn)) AS text FROM conversations GROUP BY conv_id")
+def render_conversations(spark, sf):
+    return CH.render_conversations(read_table(spark, sf, "conversations"))
