@@ -95,8 +95,8 @@ SELECT r.split, count(*) AS rows_in,
        count(*) FILTER (WHERE {_SHORT.replace('headline', 'c.headline')}) AS short,
        count(*) FILTER (WHERE NOT ({_SHORT.replace('headline', 'c.headline')}) AND rn > 1) AS duplicate,
        count(*) FILTER (WHERE NOT ({_SHORT.replace('headline', 'c.headline')}) AND rn = 1) AS kept,
-       sum(coalesce(length(r.article), 0) + coalesce(length(r.headline), 0)
-           - coalesce(length(c.article), 0) - coalesce(length(c.headline), 0)) AS chars_removed
+       CAST(sum(coalesce(length(r.article), 0) + coalesce(length(r.headline), 0)
+           - coalesce(length(c.article), 0) - coalesce(length(c.headline), 0)) AS BIGINT) AS chars_removed
 FROM b1 r JOIN (SELECT *, CASE WHEN {_SHORT} THEN NULL ELSE row_number() OVER
       (PARTITION BY headline, {_SHORT} ORDER BY split_rank, pos) END AS rn FROM cleaned) c ON c.pos = r.pos
 GROUP BY r.split"""
@@ -205,7 +205,7 @@ def union_splits(spark, sf):
 
 # ---- the whole preparation pipeline (entry) --------------------------------
 _PIPE = (f"SELECT {_split_sql(_bucket_sql('pos'))} AS split, count(*) AS n_rows, "
-         f"count(DISTINCT output) AS n_headlines, sum(length(input)) AS input_chars "
+         f"count(DISTINCT output) AS n_headlines, CAST(sum(length(input)) AS BIGINT) AS input_chars "
          f"FROM (SELECT pos, article AS input, headline AS output FROM ({_DEDUP}) f) g GROUP BY 1")
 
 

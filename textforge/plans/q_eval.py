@@ -50,7 +50,7 @@ _PROMPT_TEXT = (f"concat({_q(_T['begin'])}, {_msg_sql('system', 'instruction')},
 
 
 def _ntok_sql(e: str) -> str:
-    return f"len(list_filter(regexp_split_to_array({e}, '[{S.WS}]+'), lambda x: x <> ''))"
+    return f"CAST(len(list_filter(regexp_split_to_array({e}, '[{S.WS}]+'), lambda x: x <> '')) AS INTEGER)"
 
 
 @register("build_messages", with_bindings(
@@ -125,14 +125,15 @@ def _count_batch(pdf: pd.DataFrame) -> pd.DataFrame:
                          "n_words": text.str.split().str.len().astype("Int64")})
 
 
-@register("map_batches", f"SELECT doc_id, length(text) AS n_chars, {_ntok_sql('text')} AS n_words FROM documents")
+@register("map_batches", f"SELECT doc_id, length(text) AS n_chars, CAST({_ntok_sql('text')} AS BIGINT) AS n_words "
+          f"FROM documents")
 def map_batches(spark, sf):
     d = read_table(spark, sf, "documents").select("doc_id", "text")
     return CH.map_batches(d, _count_batch, "doc_id long, n_chars long, n_words long")
 
 
 @register("map_rows", with_bindings(
-    "SELECT id, instruction, output, length(input) AS input_chars FROM b2", "b2"))
+    "SELECT id, instruction, output, CAST(length(input) AS INTEGER) AS input_chars FROM b2", "b2"))
 def map_rows(spark, sf):
     return CH.map_rows(B.instructions(spark, sf), {"input_chars": F.length("input")}, ["input"])
 
@@ -207,7 +208,7 @@ def rouge_corpus(spark, sf):
 
 
 # ---- A5..A8, P7, J1..J3, W1 ---------------------------------------------------
-_POOL = """SELECT label, i - 1 AS dim, sum(CAST(v AS DOUBLE)) / greatest(count(*), 1e-9) AS value
+_POOL = """SELECT label, CAST(i - 1 AS INTEGER) AS dim, sum(CAST(v AS DOUBLE)) / greatest(count(*), 1e-9) AS value
 FROM (SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings) x
 GROUP BY label, i"""
 
@@ -249,7 +250,7 @@ def batch_similarity(spark, sf):
 
 
 @register("round_score", with_bindings(
-    f"SELECT id, model, round_even(similarity, 4) AS similarity FROM ({_SIM}) s", "b4"))
+    f"SELECT id, model, round_even(similarity, 4) + 0.0 AS similarity FROM ({_SIM}) s", "b4"))
 def round_score(spark, sf):
     return _sims(spark, sf).withColumn("similarity", CH.round_score("similarity", 4))
 

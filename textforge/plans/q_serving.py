@@ -109,8 +109,8 @@ def status_counts(spark, sf):
 
 
 @register("usage_totals", with_bindings(
-    f"SELECT model, count(*) AS n, sum(prompt_tokens) AS prompt_tokens, sum(completion_tokens) AS completion_tokens, "
-    f"sum(total_tokens) AS total_tokens, avg(latency_ms) AS latency_mean_ms, max(latency_ms) AS latency_max_ms "
+    f"SELECT model, count(*) AS n, CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens, "
+    f"CAST(sum(completion_tokens) AS BIGINT) AS completion_tokens, CAST(sum(total_tokens) AS BIGINT) AS total_tokens, avg(latency_ms) AS latency_mean_ms, max(latency_ms) AS latency_max_ms "
     f"FROM ({_EXTRACT}) e WHERE {_STATUS} = 200 GROUP BY model", "b10"))
 def usage_totals(spark, sf):
     return RQ.usage_totals(B.responses(spark, sf))
