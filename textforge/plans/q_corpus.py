@@ -68,11 +68,6 @@ def clean_text_conversations(spark, sf):
 
 
 # ---- C13 / C14 -------------------------------------------------------------
-_CLEAN_B1 = (
-    "SELECT a.split, a.split_rank, a.pos, a.article, h.headline FROM "
-    f"({S.clean_text_select('pos', 'article', 'b1', 'article')}) a0 "
-    "JOIN b1 a ON a.pos = a0.pos "
-)
 _CLEAN_B1 = (
     "SELECT b.split, b.split_rank, b.pos, a.cleaned AS article, h.cleaned AS headline FROM b1 b "
     f"JOIN ({S.clean_text_select('pos', 'article', 'b1')}) a ON a.pos = b.pos "

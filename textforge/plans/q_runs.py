@@ -12,7 +12,9 @@ from textforge.operators import corpus as C
 from textforge.operators import runs as RN
 from textforge.plans.fixtures_sql import with_bindings
 from textforge.plans.q_corpus import _DEDUP, _with_clean
+from textforge.plans.q_serving import _DEFAULTED as _SERVING_DEFAULTED
 from textforge.plans.q_serving import _PARSED, _START, _TOKENS
+from textforge.plans.q_serving import _REASONS as _SERVING_REASONS
 from textforge.plans.registry import register
 from textforge.session import scratch_path
 from textforge.sources import bindings as B
@@ -194,3 +196,33 @@ def stream_relay_events(spark, sf):
     return ev.select("request_id", "seq", "kind",
                      F.coalesce(j["index"], j["total_tokens"]).alias("idx"),
                      F.coalesce(j["elapsed_ms"], j["total_ms"]).alias("ms"))
+
+
+@register("stream_validate_requests", with_bindings(
+    "SELECT request_id, accepted, reasons FROM (SELECT request_id, reasons = '' AS accepted, reasons FROM ("
+    "SELECT request_id, " + _SERVING_REASONS + " AS reasons FROM (" + _SERVING_DEFAULTED + ") d) v) x", "b7"))
+def stream_validate_requests(spark, sf):
+    src_path = _scratch(spark, "requests")
+    reqs = B.requests(spark, sf)
+    reqs.write.parquet(src_path)
+    stream = spark.readStream.schema(reqs.schema).option("maxFilesPerTrigger", 2).parquet(src_path)
+    ok, bad = _scratch(spark, "accepted"), _scratch(spark, "rejected")
+    SS.validate_stream(stream, ok, bad, _scratch(spark, "validate-ckpt")).awaitTermination()
+    accepted = spark.read.parquet(ok).select("request_id", F.lit(True).alias("accepted"), F.lit("").alias("reasons"))
+    rejected = spark.read.parquet(bad).select("request_id", F.lit(False).alias("accepted"), "reasons")
+    return accepted.unionByName(rejected)
+
+
+@register("stream_assemble", with_bindings(
+    f"SELECT request_id, string_agg(delta, '' ORDER BY seq) AS text FROM ({_TOKENS}) t GROUP BY 1", "b6"))
+def stream_assemble(spark, sf):
+    src = IO.stream_lines_source(spark, _write_log_stream(spark, sf))
+    out = _scratch(spark, "assembled")
+
+    def snapshot(batch, batch_id):
+        batch.write.mode("overwrite").parquet(out)      # complete mode: the batch is the whole table
+
+    q = (SS.assemble_stream(src).writeStream.outputMode("complete").foreachBatch(snapshot)
+         .option("checkpointLocation", _scratch(spark, "assemble-ckpt")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(out)
