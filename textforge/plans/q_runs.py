@@ -15,6 +15,7 @@ from textforge.plans.q_corpus import _DEDUP, _with_clean
 from textforge.plans.q_serving import _DEFAULTED as _SERVING_DEFAULTED
 from textforge.plans.q_serving import _PARSED, _START, _TOKENS
 from textforge.plans.q_serving import _REASONS as _SERVING_REASONS
+from textforge.plans.q_serving import STATS_LINES_SQL as _STATS_LINES_SQL
 from textforge.plans.registry import register
 from textforge.session import scratch_path
 from textforge.sources import bindings as B
@@ -226,3 +227,37 @@ def stream_assemble(spark, sf):
          .option("checkpointLocation", _scratch(spark, "assemble-ckpt")).trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.parquet(out)
+
+
+@register("write_jsonl", with_bindings(
+    "SELECT CAST(json_object('id', id, 'instruction', instruction, 'input', input, 'output', output) AS VARCHAR) "
+    "AS line FROM b2", "b2"))
+def write_jsonl(spark, sf):
+    path = _scratch(spark, "jsonl-lines")
+    IO.write_jsonl(B.instructions(spark, sf), path)
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+@register("write_stats_report", with_bindings(
+    "SELECT '=== ' || upper(label) || ' BENCHMARK ===' AS line FROM (SELECT DISTINCT label FROM b8) l UNION ALL "
+    "SELECT line FROM (" + _STATS_LINES_SQL + ") s", "b8"))
+def write_stats_report(spark, sf):
+    from textforge.operators import latency as LT
+    path = _scratch(spark, "report")
+    LT.write_stats_report(LT.stats_report_lines(LT.stats_long(LT.latency_summary(B.measurements(spark, sf)))), path)
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+@register("stream_lines_source", with_bindings("SELECT request_id, seq, line FROM b6", "b6"))
+def stream_lines_source(spark, sf):
+    src = IO.stream_lines_source(spark, _write_log_stream(spark, sf))
+    return _run_stream(spark, src.select("request_id", "seq", "line"), "source")
+
+
+@register("metrics_callback", with_bindings(
+    f"SELECT run, step, key, value FROM ({_P20}) m WHERE step % {RN.LOGGING_STEPS} = 0", "b9"))
+def metrics_callback(spark, sf):
+    path = _scratch(spark, "callback-metrics")
+    log = RN.log_every_k_steps(B.training_log(spark, sf), RN.LOGGING_STEPS)
+    IO.append_metrics(RN.select_train_metrics(log), path)
+    return IO.read_metrics(spark, path).select("run", "step", "key", "value")

@@ -264,10 +264,13 @@ _FMT = ", ".join(f"'{m}'" for m in LT.INT_METRICS)
 _ORDER = "[" + ", ".join(f"'{m}'" for m in LT.STAT_ORDER) + "]"
 
 
-@register("stats_report_lines", with_bindings(
+STATS_LINES_SQL = (
     f"SELECT label AS section, CAST(list_position({_ORDER}, metric) AS INTEGER) AS line_no, "
     f"concat(label, '/', metric, ': ', CASE WHEN metric IN ({_FMT}) THEN printf('%d', CAST(value AS BIGINT)) "
-    f"ELSE printf('%.2f', value) END) AS line FROM (WITH summ AS ({_SUMMARY}) {_LONG}) x", "b8"))
+    f"ELSE printf('%.2f', value) END) AS line FROM (WITH summ AS ({_SUMMARY}) {_LONG}) x")
+
+
+@register("stats_report_lines", with_bindings(STATS_LINES_SQL, "b8"))
 def stats_report_lines(spark, sf):
     return LT.stats_report_lines(LT.stats_long(LT.latency_summary(B.measurements(spark, sf))))
 
