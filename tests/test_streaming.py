@@ -98,7 +98,7 @@ def test_stream_latency_stats(spark, tmp_dir):
     b6, path = _lines(spark, tmp_dir)
     src = IO.stream_lines_source(spark, path)
     prog = _drain(SS.request_progress(src), tmp_dir, "prog", "complete")
-    got = {r.label: r for r in SS.stream_latency_stats(prog, SS.request_bounds(b6)).collect()}
+    got = {r.label: r for r in SS.stream_latency_stats(prog).collect()}
     m = LT.request_metrics(b6).withColumn(
         "label", F.when(F.col("request_id") % 2 == 0, "sequential").otherwise("concurrent"))
     want = {r.label: r for r in LT.latency_summary(m).collect()}

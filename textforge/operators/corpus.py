@@ -184,21 +184,20 @@ def union_splits(*dfs: DataFrame) -> DataFrame:
 def cleaning_report(raw: DataFrame, min_length: int = HEADLINE_MIN_LENGTH) -> DataFrame:
     """C14: per split: rows in, too short, duplicate, kept, characters removed.
 
-    One pass over the cleaned rows plus the dedup aggregate; a row is a
-    duplicate when it passed the length filter and is not the survivor.
+    One projection cleans each text once. The first-position aggregate
+    carries the length test inside (no Filter over cleaned text for
+    Catalyst to push below the projection). Survivors are marked with an
+    equi-join on the unique ``pos``.
     """
     cleaned = raw.select(
         "split", "split_rank", "pos", clean_text("headline").alias("headline"),
         (F.coalesce(F.length("article"), F.lit(0)) + F.coalesce(F.length("headline"), F.lit(0))
-         - F.coalesce(F.length(clean_text("article")), F.lit(0))
-         - F.coalesce(F.length(clean_text("headline")), F.lit(0))).alias("_removed"))
-    ok = F.length(trim_ws("headline")) >= min_length
-    flagged = cleaned.withColumn("_ok", F.coalesce(ok, F.lit(False)))
-    first = (flagged.where("_ok").groupBy("headline")
-             .agg(F.min(F.struct("split_rank", "pos")).alias("_f"))
-             .select(F.col("_f.split_rank").alias("split_rank"), F.col("_f.pos").alias("pos"),
-                     F.lit(True).alias("_kept")))
-    marked = flagged.join(first, ["split_rank", "pos"], "left")
+         - F.coalesce(F.length(clean_text("article")), F.lit(0))).alias("_removed_a"))
+    flagged = cleaned.withColumns({
+        "_ok": F.coalesce(F.length(trim_ws("headline")) >= min_length, F.lit(False)),
+        "_removed": F.col("_removed_a") - F.coalesce(F.length("headline"), F.lit(0))})
+    first = first_positions(flagged, keep=F.col("_ok")).select("pos", F.lit(True).alias("_kept"))
+    marked = flagged.join(first, "pos", "left")
     kept = F.coalesce(F.col("_kept"), F.lit(False))
     return marked.groupBy("split").agg(
         F.count(F.lit(1)).alias("rows_in"),

@@ -53,6 +53,15 @@ def json_number_2dp(c: Column) -> Column:
     return F.when(s.endswith("."), F.concat(s, F.lit("0"))).otherwise(s)
 
 
+def token_delta(line: Column | str) -> Column:
+    """The non-empty delta a line carries, else null (T1 as one expression)."""
+    l = F.col(line) if isinstance(line, str) else line
+    keep = (l != "") & (l != DONE_LINE) & l.startswith(DATA_PREFIX)
+    chunk = F.from_json(F.substring(l, len(DATA_PREFIX) + 1, 1 << 30), CHUNK_SCHEMA)
+    d = F.element_at(chunk["choices"], 1)["delta"]["content"]
+    return F.when(keep & (F.coalesce(d, F.lit("")) != ""), d)
+
+
 def sse_parse(lines: DataFrame, line: str = "line") -> DataFrame:
     """Keep ``data:`` lines that are not ``[DONE]`` and parse as a chunk;
     ``delta`` is the content ('' when absent). Blank and bad lines drop out."""

@@ -16,6 +16,7 @@ from textforge.plans.q_serving import _DEFAULTED as _SERVING_DEFAULTED
 from textforge.plans.q_serving import _PARSED, _START, _TOKENS
 from textforge.plans.q_serving import _REASONS as _SERVING_REASONS
 from textforge.plans.q_serving import STATS_LINES_SQL as _STATS_LINES_SQL
+from textforge.plans.q_serving import STREAM_STATS_SQL
 from textforge.plans.registry import register
 from textforge.session import scratch_path
 from textforge.sources import bindings as B
@@ -261,3 +262,17 @@ def metrics_callback(spark, sf):
     log = RN.log_every_k_steps(B.training_log(spark, sf), RN.LOGGING_STEPS)
     IO.append_metrics(RN.select_train_metrics(log), path)
     return IO.read_metrics(spark, path).select("run", "step", "key", "value")
+
+
+@register("stream_latency_stats", STREAM_STATS_SQL)
+def stream_latency_stats(spark, sf):
+    src = IO.stream_lines_source(spark, _write_log_stream(spark, sf))
+    out = _scratch(spark, "progress")
+
+    def snapshot(batch, batch_id):
+        batch.write.mode("overwrite").parquet(out)      # complete mode: the batch is the whole state
+
+    q = (SS.request_progress(src).writeStream.outputMode("complete").foreachBatch(snapshot)
+         .option("checkpointLocation", _scratch(spark, "progress-ckpt")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return SS.stream_latency_stats(spark.read.parquet(out))

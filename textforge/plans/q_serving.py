@@ -279,8 +279,4 @@ _B6_MEASURED = (f"(SELECT CASE WHEN request_id % 2 = 0 THEN 'sequential' ELSE 'c
                 f"FROM ({_METRICS}) m)")
 
 
-@register("stream_latency_stats", with_bindings(_summary_sql(_B6_MEASURED), "b6"))
-def stream_latency_stats(spark, sf):
-    m = LT.request_metrics(B.stream_lines(spark, sf))
-    m = m.withColumn("label", F.when(F.col("request_id") % 2 == 0, "sequential").otherwise("concurrent"))
-    return LT.latency_summary(m)
+STREAM_STATS_SQL = with_bindings(_summary_sql(_B6_MEASURED), "b6")

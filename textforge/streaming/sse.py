@@ -123,23 +123,23 @@ def assemble_stream(lines: DataFrame) -> DataFrame:
 
 
 def request_progress(lines: DataFrame) -> DataFrame:
-    """T6 state: per request start, end, first token time and token count as a
-    streaming aggregate; the latency summary is computed over its snapshot."""
-    parsed = LT.sse_parse(lines)
-    tok = F.col("delta") != ""
-    return parsed.groupBy("request_id").agg(
-        F.min("ts").alias("_start_p"), F.max("ts").alias("_end_p"),
+    """T6 state: per request start, end, first-token time and token count, one
+    streaming aggregate over all lines (update or complete mode)."""
+    tok = LT.token_delta("line").isNotNull()
+    return lines.groupBy("request_id").agg(
+        F.min("ts").alias("_start"), F.max("ts").alias("_end"),
         F.min(F.when(tok, F.col("ts"))).alias("_first"), F.count_if(tok).alias("token_count"))
 
 
-def stream_latency_stats(progress: DataFrame, starts: DataFrame) -> DataFrame:
-    """L2 over a snapshot of request progress (plus request bounds from all
-    lines, which include lines that carry no chunk)."""
-    m = starts.join(progress.select("request_id", "_first", "token_count"), "request_id", "left")
+def stream_latency_stats(progress: DataFrame, label: Column | None = None) -> DataFrame:
+    """L1 measurements from a snapshot of request progress, then L2 per label
+    (default label: even request ids 'sequential', odd 'concurrent')."""
+    lab = label if label is not None else F.when(
+        F.col("request_id") % 2 == 0, "sequential").otherwise("concurrent")
     total_us = LT.micros_between("_start", "_end")
     n = F.coalesce(F.col("token_count"), F.lit(0))
-    measured = m.select(
-        "request_id", F.when(F.col("request_id") % 2 == 0, "sequential").otherwise("concurrent").alias("label"),
+    measured = progress.select(
+        "request_id", lab.alias("label"),
         (LT.micros_between("_start", "_first") / 1000.0).alias("ttft_ms"),
         (total_us / 1000.0).alias("total_time_ms"),
         F.when(n > 0, n / (total_us / 1e6)).otherwise(F.lit(0.0)).alias("tokens_per_sec"),
@@ -147,10 +147,6 @@ def stream_latency_stats(progress: DataFrame, starts: DataFrame) -> DataFrame:
     return LT.latency_summary(measured)
 
 
-def request_bounds(lines: DataFrame) -> DataFrame:
-    return lines.groupBy("request_id").agg(F.min("ts").alias("_start"), F.max("ts").alias("_end"))
-
-
 def validate_stream(requests: DataFrame, accepted_path: str, rejected_path: str,
                     checkpoint: str, trigger_once: bool = True):
     """Validate a request stream; accepted rows and rejects go to two
