@@ -8,6 +8,7 @@ natively (Python only does the LCS).
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -271,10 +272,38 @@ def batch_generate(df: DataFrame, text: str = "input", out: str = "predicted",
     return df.withColumn(out, gen(F.col(text)))
 
 
-def hashed_counts(text: Column | str, dim: int = 64, tokenizer: str = "unicode") -> Column:
-    """Token counts per hash bucket (JVM-side ``xxhash64``)."""
+def hash_buckets(text: Column | str, dim: int = 64, tokenizer: str = "unicode") -> Column:
+    """Bucket of every token (JVM-side tokenising and ``xxhash64``)."""
     toks = rouge_tokens(text, tokenizer)
-    buckets = F.transform(toks, lambda t: F.pmod(F.xxhash64(t), F.lit(dim)).cast("int"))
+    return F.transform(toks, lambda t: F.pmod(F.xxhash64(t), F.lit(dim)).cast("int"))
+
+
+@functools.lru_cache(maxsize=None)
+def _bincount_l2(dim: int):
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def bincount(buckets: pd.Series) -> pd.Series:
+        out = []
+        for b in buckets:
+            if b is None:
+                out.append(None)
+                continue
+            v = np.bincount(np.asarray(b, dtype=np.int64), minlength=dim).astype(np.float64)
+            norm = float(np.sqrt(np.dot(v, v)))
+            out.append(v / norm if norm > 0 else v)
+        return pd.Series(out, index=buckets.index)
+    return bincount
+
+
+def hashed_embedding(text: Column | str, dim: int = 64, tokenizer: str = "unicode") -> Column:
+    """U5 default: L2-normalised hashed bag of words. Tokens and hashes are
+    computed in the JVM; only the int bucket arrays cross to Python, where
+    ``np.bincount`` counts them in linear time."""
+    return _bincount_l2(dim)(hash_buckets(text, dim, tokenizer))
+
+
+def hashed_counts(text: Column | str, dim: int = 64, tokenizer: str = "unicode") -> Column:
+    """Token counts per hash bucket, fully native (O(dim x tokens) per row)."""
+    buckets = hash_buckets(text, dim, tokenizer)
     return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
                        lambda i: F.size(F.filter(buckets, lambda b: b == i)).cast("double"))
 
@@ -291,9 +320,7 @@ def batch_embed(df: DataFrame, text: str, out: str = "embedding",
     """Text -> vector; default hashed bag of words, else an iterator pandas
     UDF that loads the encoder once per task."""
     if load_model is None:
-        # two projections, so the counts are computed once and not inlined twice
-        counted = df.withColumn("_counts", hashed_counts(text, dim))
-        return counted.withColumn(out, l2_normalize("_counts")).drop("_counts")
+        return df.withColumn(out, hashed_embedding(text, dim))
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def emb(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
