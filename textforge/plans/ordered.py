@@ -25,6 +25,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from textforge.session import ensure_checkpoint_dir
@@ -74,7 +75,11 @@ def ordered_running(
     # so that the offsets and the rows they are added to agree, also when
     # a lost executor forces a recomputation.
     ensure_checkpoint_dir(df.sparkSession)
-    local = local.checkpoint(eager=True)
+    # persisted for the duration of the checkpoint job only, so writing the
+    # checkpoint does not recompute the window stage a second time
+    cached = local.persist(StorageLevel.MEMORY_AND_DISK)
+    local = cached.checkpoint(eager=True)
+    cached.unpersist()
 
     aggs = [F.max("_tf_cnt").alias("_tf_cnt")] + [
         F.sum(tmp).alias(f"_tf_tot_{tmp}") for tmp in tmp_sums.values()]
