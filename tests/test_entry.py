@@ -39,3 +39,16 @@ def test_against_duckdb(spark, name):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF_SMALL}/{t}.parquet'")
     rel = con.sql(E.oracle_sql()[name])
     assert _norm(df.collect(), df.columns) == _norm(rel.fetchall(), rel.columns)
+
+
+def test_invariants_of_preparation(spark):
+    from pyspark.sql import functions as F
+
+    from textforge.operators import corpus as C
+    from textforge.sources import bindings as B
+    prepared = C.prepare_corpus(B.articles(spark, SF_SMALL))
+    n, distinct = prepared.agg(F.count(F.lit(1)), F.count_distinct("headline")).first()
+    assert n == distinct > 0                                   # one row per headline
+    split = C.split_hash(C.to_instruction(prepared, keep=["pos"]), "pos")
+    parts = {r.split: r.n for r in C.split_report(split).collect()}
+    assert parts["total"] == n == sum(v for k, v in parts.items() if k != "total")   # disjoint, covering
