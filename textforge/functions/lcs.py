@@ -3,8 +3,9 @@
 ``lcs_length`` is the bit-parallel algorithm (Allison-Dix / Hyyro): one
 pass over ``a`` with word-parallel operations on a bit set of ``b``, i.e.
 O(|a| * |b| / 64) machine work, so whole texts stay cheap.
-``lcs_indices`` is the dynamic program with backtracking, needed where the
-matched positions themselves matter (summary-level union LCS).
+``lcs_indices`` backtracks the full table (built with vectorised running
+maxima), needed where the matched positions themselves matter
+(summary-level union LCS).
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Sequence
 
+import numpy as np
+
 
 def lcs_length(a: Sequence[str], b: Sequence[str]) -> int:
     if not a or not b:
@@ -30,16 +33,38 @@ def lcs_length(a: Sequence[str], b: Sequence[str]) -> int:
     return len(b) - bin(v).count("1")
 
 
+def lcs_table(ref: Sequence[str], cand: Sequence[str]) -> np.ndarray:
+    """The LCS length table ``T[i][j]`` of ``ref[:i]`` and ``cand[:j]``.
+
+    A row (or column) of the table is a running maximum:
+    ``T[i][j] = max_k<=j max(T[i-1][k], T[i-1][k-1] + match(i, k))``, so each
+    step is two vectorised numpy passes along the longer sequence while
+    Python iterates over the shorter one.
+    """
+    vocab: dict[str, int] = {}
+    r = np.fromiter((vocab.setdefault(t, len(vocab)) for t in ref), dtype=np.int64, count=len(ref))
+    c = np.fromiter((vocab.setdefault(t, len(vocab)) for t in cand), dtype=np.int64, count=len(cand))
+    n, m = len(r), len(c)
+    table = np.zeros((n + 1, m + 1), dtype=np.int32)
+    if m <= n:
+        for j in range(1, m + 1):
+            prev = table[:, j - 1]
+            step = np.maximum(prev[1:], prev[:-1] + (r == c[j - 1]))
+            table[1:, j] = np.maximum.accumulate(step)
+    else:
+        for i in range(1, n + 1):
+            prev = table[i - 1, :]
+            step = np.maximum(prev[1:], prev[:-1] + (c == r[i - 1]))
+            table[i, 1:] = np.maximum.accumulate(step)
+    return table
+
+
 def lcs_indices(ref: Sequence[str], cand: Sequence[str]) -> list[int]:
     """Positions in ``ref`` of one LCS with ``cand`` (ties prefer moving in ``ref``)."""
     n, m = len(ref), len(cand)
     if not n or not m:
         return []
-    table = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(1, n + 1):
-        row, prev, r = table[i], table[i - 1], ref[i - 1]
-        for j in range(1, m + 1):
-            row[j] = prev[j - 1] + 1 if r == cand[j - 1] else max(prev[j], row[j - 1])
+    table = lcs_table(ref, cand)
     out: list[int] = []
     i, j = n, m
     while i > 0 and j > 0:
@@ -47,7 +72,7 @@ def lcs_indices(ref: Sequence[str], cand: Sequence[str]) -> list[int]:
             out.append(i - 1)
             i -= 1
             j -= 1
-        elif table[i][j - 1] > table[i - 1][j]:
+        elif table[i, j - 1] > table[i - 1, j]:
             j -= 1
         else:
             i -= 1
