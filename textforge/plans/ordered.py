@@ -22,6 +22,7 @@ breaker), which also makes a recomputed task produce the same positions.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -33,10 +34,31 @@ from textforge.session import ensure_checkpoint_dir
 PID = "_tf_pid"
 
 
+_UNITS = {"": 1, "b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20,
+          "g": 1 << 30, "gb": 1 << 30, "t": 1 << 40, "tb": 1 << 40}
+
+
+def _bytes(text: str) -> int:
+    m = re.fullmatch(r"\s*(\d+)\s*([a-zA-Z]*)\s*", text or "")
+    return int(m.group(1)) * _UNITS.get(m.group(2).lower(), 1) if m else 64 << 20
+
+
 def _partitions(df: DataFrame, num_partitions: int | None) -> int:
+    """Range pieces: one per advisory partition size of the estimated input
+    (AQE cannot coalesce an explicit range exchange, so size it up front), at
+    least the cluster's parallelism; the shuffle width when size is unknown."""
     if num_partitions:
         return int(num_partitions)
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = df.sparkSession
+    fallback = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    try:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - statistics are an optimisation only
+        return fallback
+    if size >= (1 << 62):
+        return fallback
+    target = _bytes(spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64MB"))
+    return max(spark.sparkContext.defaultParallelism, -(-size // max(target, 1)))
 
 
 def ordered_running(

@@ -3,6 +3,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import time
 import uuid
 
@@ -169,12 +170,31 @@ def _write_log_stream(spark, sf, parts: int = 4) -> str:
     return path
 
 
+@contextlib.contextmanager
+def _state_partitions(spark):
+    """State-store partitions are fixed when a stream first starts; size them to
+    the cluster's parallelism for the start, then restore the caller's value."""
+    key = "spark.sql.shuffle.partitions"
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
+def _start(spark, writer):
+    with _state_partitions(spark):
+        q = writer.start()
+    q.awaitTermination()
+    return q
+
+
 def _run_stream(spark, df, name: str, mode: str = "append"):
     out = _scratch(spark, f"{name}-out")
-    q = (df.writeStream.format("parquet").option("path", out)
-         .option("checkpointLocation", _scratch(spark, f"{name}-ckpt"))
-         .outputMode(mode).trigger(availableNow=True).start())
-    q.awaitTermination()
+    _start(spark, df.writeStream.format("parquet").option("path", out)
+           .option("checkpointLocation", _scratch(spark, f"{name}-ckpt"))
+           .outputMode(mode).trigger(availableNow=True))
     return spark.read.parquet(out)
 
 
@@ -224,9 +244,8 @@ def stream_assemble(spark, sf):
     def snapshot(batch, batch_id):
         batch.write.mode("overwrite").parquet(out)      # complete mode: the batch is the whole table
 
-    q = (SS.assemble_stream(src).writeStream.outputMode("complete").foreachBatch(snapshot)
-         .option("checkpointLocation", _scratch(spark, "assemble-ckpt")).trigger(availableNow=True).start())
-    q.awaitTermination()
+    _start(spark, SS.assemble_stream(src).writeStream.outputMode("complete").foreachBatch(snapshot)
+           .option("checkpointLocation", _scratch(spark, "assemble-ckpt")).trigger(availableNow=True))
     return spark.read.parquet(out)
 
 
@@ -272,7 +291,6 @@ def stream_latency_stats(spark, sf):
     def snapshot(batch, batch_id):
         batch.write.mode("overwrite").parquet(out)      # complete mode: the batch is the whole state
 
-    q = (SS.request_progress(src).writeStream.outputMode("complete").foreachBatch(snapshot)
-         .option("checkpointLocation", _scratch(spark, "progress-ckpt")).trigger(availableNow=True).start())
-    q.awaitTermination()
+    _start(spark, SS.request_progress(src).writeStream.outputMode("complete").foreachBatch(snapshot)
+           .option("checkpointLocation", _scratch(spark, "progress-ckpt")).trigger(availableNow=True))
     return SS.stream_latency_stats(spark.read.parquet(out))
