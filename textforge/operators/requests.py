@@ -22,7 +22,7 @@ TEMPERATURE_RANGE = (0.0, 2.0)
 PENALTY_RANGE = (1.0, 2.0)
 SYSTEM_PROMPT_MAX_CHARS = 500
 HIGH_TEMPERATURE = 1.0
-MODEL_NAME = "darija-llm"
+MODEL_NAME = "summarizer"         # served model name; a parameter of build_payload
 STOP = ("<|eot_id|>", "<|end_of_text|>")
 STATUS_BACKEND_ERROR, STATUS_TIMEOUT, STATUS_INTERNAL = 502, 504, 500
 # --- end of fixed values ---
