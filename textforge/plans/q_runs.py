@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from textforge.operators import corpus as C
 from textforge.operators import runs as RN
 from textforge.plans.fixtures_sql import with_bindings
-from textforge.plans.q_corpus import _DEDUP, _with_clean
+from textforge.plans.q_corpus import _DEDUP, _SHORT, _with_clean
 from textforge.plans.q_serving import _DEFAULTED as _SERVING_DEFAULTED
 from textforge.plans.q_serving import _PARSED, _START, _TOKENS
 from textforge.plans.q_serving import _REASONS as _SERVING_REASONS
@@ -294,3 +294,19 @@ def stream_latency_stats(spark, sf):
     _start(spark, SS.request_progress(src).writeStream.outputMode("complete").foreachBatch(snapshot)
            .option("checkpointLocation", _scratch(spark, "progress-ckpt")).trigger(availableNow=True))
     return SS.stream_latency_stats(spark.read.parquet(out))
+
+
+@register("dedup_stream", _with_clean(f"SELECT DISTINCT headline FROM cleaned WHERE NOT ({_SHORT})"))
+def dedup_stream(spark, sf):
+    """F3 as a stream: cleaned, long-enough headlines arrive with an event time
+    derived from their position; with a watermark delay wider than the span
+    of the input every key is emitted exactly once (its first arrival)."""
+    from textforge.functions.text import clean_text, trim_ws
+    raw = B.articles(spark, sf).select("pos", clean_text("headline").alias("headline"))
+    ok = F.length(trim_ws("headline")) >= C.HEADLINE_MIN_LENGTH
+    rows = raw.withColumn("_ok", ok).where("_ok").select(
+        "headline", F.timestamp_seconds("pos").alias("ts"))
+    src_path = _scratch(spark, "headlines")
+    rows.write.parquet(src_path)
+    src = spark.readStream.schema("headline string, ts timestamp").option("maxFilesPerTrigger", 2).parquet(src_path)
+    return _run_stream(spark, SS.dedup_stream(src, "headline", "ts", "7 days"), "dedup").select("headline")
