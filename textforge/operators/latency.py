@@ -151,6 +151,15 @@ def request_metrics(lines: DataFrame, request: str = "request_id", seq: str = "s
         F.lit(None).cast("string").alias("error"))
 
 
+def exact_mean(col: Column | str) -> Column:
+    """Mean with an exact (decimal) sum, so the result is the correctly rounded
+    mean whatever the partitioning and summation order. Millisecond inputs
+    derived from microseconds are exact at 9 decimals; 29 integer digits
+    leave room for any realistic total."""
+    c = F.col(col) if isinstance(col, str) else col
+    return F.avg(c.cast("decimal(38,9)")).cast("double")
+
+
 def filter_valid_results(df: DataFrame) -> DataFrame:
     """F8: a ttft is present and the error is null or empty."""
     return df.where(F.col("ttft_ms").isNotNull() & (F.coalesce(F.col("error"), F.lit("")) == ""))
@@ -172,13 +181,13 @@ def latency_summary(measured: DataFrame, label: str = "label", key: str = "reque
     ranked = pos.join(sizes, label)
     i, n, v = F.col("_i"), F.col("_n"), F.col("ttft_ms")
     mid = (i == F.floor((n - 1) / 2)) | (i == F.floor(n / 2))
-    aggs = [F.count(F.lit(1)).alias("n_successful"), F.avg(v).alias("ttft_mean_ms"),
+    aggs = [F.count(F.lit(1)).alias("n_successful"), exact_mean(v).alias("ttft_mean_ms"),
             F.avg(F.when(mid, v)).alias("ttft_median_ms")]
     for q in PERCENTILES:
         aggs.append(F.max(F.when(i == F.floor(n * F.lit(q)), v)).alias(f"ttft_p{int(round(q * 100))}_ms"))
     aggs += [F.min(v).alias("ttft_min_ms"), F.max(v).alias("ttft_max_ms"),
-             F.avg("total_time_ms").alias("total_time_mean_ms"),
-             F.avg("tokens_per_sec").alias("throughput_mean_tps"),
+             exact_mean("total_time_ms").alias("total_time_mean_ms"),
+             exact_mean("tokens_per_sec").alias("throughput_mean_tps"),
              F.max("tokens_per_sec").alias("throughput_max_tps")]
     stats = ranked.groupBy(label).agg(*aggs)
     out = stats.join(counts, label)
