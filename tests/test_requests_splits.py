@@ -61,3 +61,23 @@ def test_to_instruction_missing_column(spark):
     df = spark.createDataFrame([("a",)], "article string")
     r = C.to_instruction(df).first()
     assert (r.input, r.output) == ("a", "") and r.instruction == C.INSTRUCTION
+
+
+def test_build_payload_golden(spark):
+    import json
+    df = spark.createDataFrame([(1, "نص", 50, 0.1, 1.3, "لخص:")], SCHEMA)
+    got = json.loads(df.select(RQ.build_payload(df, stream=True).alias("p")).first().p)
+    assert list(got) == ["model", "messages", "max_tokens", "temperature", "repetition_penalty", "stop", "stream"]
+    assert got["messages"] == [{"role": "system", "content": "لخص:"}, {"role": "user", "content": "نص"}]
+    assert got["stop"] == list(RQ.STOP) and got["stream"] is True and got["max_tokens"] == 50
+
+
+def test_render_chat_and_conversations(spark):
+    from textforge.operators import chat as CH
+    df = spark.createDataFrame([("sys", "in", "out")], "instruction string, input string, output string")
+    t = df.select(CH.render_chat(CH.build_messages("instruction", "input", "output"), False).alias("t")).first().t
+    assert t.startswith("<|begin_of_text|><|start_header_id|>system<|end_header_id|>\n\nsys<|eot_id|>")
+    assert t.endswith("<|start_header_id|>assistant<|end_header_id|>\n\nout<|eot_id|>")
+    turns = spark.createDataFrame([(1, 1, "user", "b"), (1, 0, "system", "a")], "conv_id long, turn long, role string, text string")
+    r = CH.render_conversations(turns, chunk=1).first().text
+    assert r.index("\n\na<|eot_id|>") < r.index("\n\nb<|eot_id|>")

@@ -73,7 +73,10 @@ def ship_package(spark: SparkSession) -> None:
     Python UDFs, ``mapInPandas`` and streaming state functions are pickled by
     reference to this package, so executors must import it. The package's
     sources are zipped and added with ``addPyFile``, which Spark distributes
-    to every executor and puts on its ``sys.path``.
+    to every executor and puts on its ``sys.path``. The zip is staged on the
+    driver only: executors never read that path, Spark serves the file to
+    them (as it does for ``--py-files``), so nothing depends on a
+    machine-local folder being shared.
     """
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
