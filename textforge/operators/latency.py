@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textforge.plans.joins import join_side
 from textforge.plans.ordered import ordered_running
 
 # --- fixed values: stream protocol and report rules ---
@@ -177,8 +178,8 @@ def latency_summary(measured: DataFrame, label: str = "label", key: str = "reque
     valid = filter_valid_results(measured)
     pos = ordered_running(valid, [label], ["ttft_ms", key], index_col="_i")
     sizes = valid.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    # the size table has one row per label (AQE broadcasts it when small)
-    ranked = pos.join(sizes, label)
+    # one row per label: broadcast after a size check (a label may hold most rows)
+    ranked = join_side(pos, sizes, label)
     i, n, v = F.col("_i"), F.col("_n"), F.col("ttft_ms")
     mid = (i == F.floor((n - 1) / 2)) | (i == F.floor(n / 2))
     aggs = [F.count(F.lit(1)).alias("n_successful"), exact_mean(v).alias("ttft_mean_ms"),
@@ -199,7 +200,7 @@ def percentile_rank_floor(df: DataFrame, value: str, by: Sequence[str], tie: Seq
     """L3 alone: ``sorted(values)[int(n * q)]`` per group, exactly."""
     pos = ordered_running(df, list(by), [value, *tie], index_col="_i")
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = pos.join(sizes, list(by))
+    ranked = join_side(pos, sizes, list(by))
     return ranked.groupBy(*by).agg(*[
         F.max(F.when(F.col("_i") == F.floor(F.col("_n") * F.lit(q)), F.col(value)))
         .alias(f"p{int(round(q * 100))}") for q in qs])

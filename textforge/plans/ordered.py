@@ -152,5 +152,6 @@ def rank_select(df: DataFrame, group_cols: Sequence[str], value_col: str,
     task or in memory.
     """
     idx = ordered_index(df, group_cols, [value_col, *tie_cols], num_partitions=num_partitions)
+    from textforge.plans.joins import join_side
     sizes = group_sizes(df, group_cols)
-    return idx.join(sizes, list(group_cols)).where(ranks)
+    return join_side(idx, sizes, list(group_cols)).where(ranks)
