@@ -81,3 +81,19 @@ def test_render_chat_and_conversations(spark):
     turns = spark.createDataFrame([(1, 1, "user", "b"), (1, 0, "system", "a")], "conv_id long, turn long, role string, text string")
     r = CH.render_conversations(turns, chunk=1).first().text
     assert r.index("\n\na<|eot_id|>") < r.index("\n\nb<|eot_id|>")
+
+
+class _SplitTokenizer:
+    def encode(self, text):
+        return text.split()
+
+
+def test_exact_tokenizer_udf_matches_native_whitespace(spark):
+    from pyspark.sql import functions as F
+
+    from textforge.operators import chat as CH
+    df = spark.createDataFrame([("a  b\tc",), ("",), (None,), ("one two",)], "t string")
+    udf = CH.tokenizer_count_udf(_SplitTokenizer)
+    rows = df.select(udf(F.col("t")).alias("u"), CH.token_count("t").alias("n")).collect()
+    assert [r.u for r in rows] == [3, 0, None, 2]
+    assert [r.n for r in rows[:2]] + [rows[3].n] == [3, 0, 2]
