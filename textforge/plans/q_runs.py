@@ -4,6 +4,7 @@
 from __future__ import annotations
 
 import contextlib
+import os
 import time
 import uuid
 
@@ -158,6 +159,8 @@ def _write_log_stream(spark, sf, parts: int = 4) -> str:
     b6 = B.stream_lines(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
     cuts = b6.select(F.percentile_approx("ts", [i / parts for i in range(1, parts)]).alias("c")).first()["c"]
     bounds = [None, *cuts, None]
+    local = path[5:] if path.startswith("file:") else (path if path.startswith("/") else None)
+    t0 = time.time() - parts
     for i in range(parts):
         lo, hi = bounds[i], bounds[i + 1]
         cond = F.lit(True)
@@ -165,8 +168,15 @@ def _write_log_stream(spark, sf, parts: int = 4) -> str:
             cond = cond & (F.col("ts") > F.lit(lo))
         if hi is not None:
             cond = cond & (F.col("ts") <= F.lit(hi))
+        before = set(os.listdir(local)) if local and os.path.isdir(local) else set()
         IO.write_lines(b6.where(cond).coalesce(1), path)
-        time.sleep(1.05)        # distinct file times: the source replays files in time order
+        # distinct file times: the source replays files in modification-time order
+        if local:
+            for f in set(os.listdir(local)) - before:
+                if not f.startswith((".", "_")):
+                    os.utime(os.path.join(local, f), (t0 + i, t0 + i))
+        else:
+            time.sleep(1.05)
     return path
 
 
