@@ -33,3 +33,8 @@ def test_column_pruning(spark):
 def test_no_python_in_cleaning(spark):
     p = _plan(spark, "clean_text")
     assert "ArrowEvalPython" not in p and "BatchEvalPython" not in p
+
+
+def test_per_label_side_is_broadcast(spark):
+    p = _plan(spark, "latency_summary")
+    assert "BroadcastHashJoin" in p and "SortMergeJoin" not in p
