@@ -39,6 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from textforge.llm import tokens as W
 from textforge.llm.registry import register, table
@@ -90,49 +91,52 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
 
+_WIDTH = (1 << SKETCH_BITS) // _BLOCKS
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE) -> DataFrame:
-    """(id, n_shingles, c): the class of every row; c is null for empty sets."""
+    """(id, n_shingles, c, block, counts): the class of every row (c is null for
+    empty sets; block is null), and after each task's rows its part of the count
+    sketch (block is set): one pass over the texts yields both."""
     src = _source(docs, id_col, text_col)
+    names = ["id", "n_shingles", "c", "block", "counts"]
+    id_field = src.schema["id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bins, id_type = np.zeros(1 << SKETCH_BITS, np.int64), to_arrow_type(id_field.dataType)
         for b in batches:
             size, cls = [], []
             for s in _sets(b.column(1), n):
                 size.append(len(s))
                 cls.append(_class_of(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(cls, pa.int64())],
-                                             names=["id", "n_shingles", "c"])
-
-    return src.mapInArrow(run, T.StructType([src.schema["id"], T.StructField("n_shingles", T.LongType()),
-                                             T.StructField("c", T.LongType())]))
-
-
-def token_levels(docs: DataFrame, text_col: str = "text", n: int = SHINGLE) -> np.ndarray:
-    """Per sketch bin, how many doublings its count lies above the mean: one
-    pass over all documents; the sketch has a fixed size at any scale."""
-    width = (1 << SKETCH_BITS) // _BLOCKS
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bins = np.zeros(1 << SKETCH_BITS, np.int64)
-        for b in batches:
-            for s in _sets(b.column(0), n):
                 np.add.at(bins, (s >> _U(64 - SKETCH_BITS)).astype(np.int64), 1)
-        packed = [zlib.compress(x.astype("<i8").tobytes(), 1) for x in bins.reshape(_BLOCKS, width)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(_BLOCKS), pa.int32()), pa.array(packed, pa.binary())],
-                                         names=["block", "counts"])
-
+            none = [None] * len(size)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(cls, pa.int64()),
+                                              pa.array(none, pa.int32()), pa.array(none, pa.binary())], names=names)
+        none = [None] * _BLOCKS
+        packed = [zlib.compress(x.astype("<i8").tobytes(), 1) for x in bins.reshape(_BLOCKS, _WIDTH)]
+        yield pa.RecordBatch.from_arrays([pa.array(none, id_type), pa.array(none, pa.int64()), pa.array(none, pa.int64()),
+                                          pa.array(range(_BLOCKS), pa.int32()), pa.array(packed, pa.binary())], names=names)
+
+    return src.mapInArrow(run, T.StructType([
+        id_field, T.StructField("n_shingles", T.LongType()), T.StructField("c", T.LongType()),
+        T.StructField("block", T.IntegerType()), T.StructField("counts", T.BinaryType())]))
+
+
+def token_levels(cls: DataFrame) -> np.ndarray:
+    """Per sketch bin, how many doublings its count lies above the mean. The
+    sketch counts all documents and has one fixed size at any scale."""
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, block = np.zeros(width, np.int64), 0
+        total, block = np.zeros(_WIDTH, np.int64), 0
         for pdf in batches:
             block = int(pdf["block"].iloc[0])
             for raw in pdf["counts"]:
                 total += np.frombuffer(zlib.decompress(raw), "<i8")
         yield pd.DataFrame({"block": np.array([block], np.int32), "counts": [zlib.compress(total.tobytes(), 1)]})
 
-    schema = "block int, counts binary"
-    parts = docs.select(F.col(text_col).cast("string")).mapInArrow(count, schema)
-    rows = parts.groupBy("block").applyInPandas(add, schema).collect()
-    bins = np.zeros((_BLOCKS, width), np.int64)
+    rows = cls.where("block is not null").select("block", "counts").groupBy("block").applyInPandas(
+        add, "block int, counts binary").collect()
+    bins = np.zeros((_BLOCKS, _WIDTH), np.int64)
     for r in rows:
         bins[r["block"]] = np.frombuffer(zlib.decompress(bytes(r["counts"])), np.int64)
     flat = bins.reshape(-1)
@@ -188,14 +192,15 @@ def _prefix_rows(docs: DataFrame, text_col: str, levels: np.ndarray, n: int) ->
 
 
 def _lead(rows: DataFrame) -> DataFrame:
-    """Adds ``leader`` (the least class of the same token, salt and band) and
-    drops rows alone with their token. The sorted stream is read once; what is
+    """Adds ``leader`` (the least class of the same token, salt and band) with
+    its size ``leader_n`` and drops rows alone with their token. The sorted stream is read once; what is
     held is one batch, however long a bucket is."""
     dealt = rows.repartition("tok", "salt").sortWithinPartitions("tok", "salt", "band", "c")
-    names = ["tok", "salt", "band", "c", "n", "pos", "leader"]
+    names = ["tok", "salt", "band", "c", "n", "pos", "leader", "leader_n"]
+    given = names[:6]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry, prev = None, None     # a held last row; the last row that was judged: (tok, salt, band, c, leader)
+        carry, prev = None, None     # a held last row; the last row that was judged: (tok, salt, band, c, leader, its n)
 
         def judge(x: dict, prev, following):
             m = len(x["tok"])
@@ -209,21 +214,22 @@ def _lead(rows: DataFrame) -> DataFrame:
             run_[0] = bucket[0] and prev[2] == h[2]
             again[0] = run_[0] and prev[3] == h[3]
             at = np.maximum.accumulate(np.where(run_, -1, np.arange(m)))
-            lead = np.where(at >= 0, x["c"][np.maximum(at, 0)], prev[4] if prev is not None else 0)
+            lead, lead_n = (np.where(at >= 0, x[k][np.maximum(at, 0)], prev[i] if prev is not None else 0).astype(x[k].dtype)
+                            for k, i in (("c", 4), ("n", 5)))
             # alone: nothing else in the bucket before or after (copies of the class do not count)
             after = np.empty(m, bool)
             after[:-1] = bucket[1:]
             after[-1] = following
             salted = ((x["tok"].view(_U) >> _U(58)).astype(np.int64) > SALT_LEVEL)
             keep = ~again & (bucket | after | salted)
-            out = pa.RecordBatch.from_arrays([pa.array(v[keep]) for v in (*(x[k] for k in names[:-1]), lead)], names=names)
-            return out, (h_last(x) + (int(lead[-1]),))
+            out = pa.RecordBatch.from_arrays([pa.array(v[keep]) for v in (*(x[k] for k in given), lead, lead_n)], names=names)
+            return out, (h_last(x) + (int(lead[-1]), int(lead_n[-1])))
 
         def h_last(x):
             return tuple(x[k][-1] for k in ("tok", "salt", "band", "c"))
 
         for b in batches:
-            x = {k: b.column(k).to_numpy(zero_copy_only=False) for k in names[:-1]}
+            x = {k: b.column(k).to_numpy(zero_copy_only=False) for k in given}
             if not len(x["tok"]):
                 continue
             if carry is not None:
@@ -237,12 +243,12 @@ def _lead(rows: DataFrame) -> DataFrame:
         if carry is not None:
             yield judge(carry, prev, False)[0]
 
-    return dealt.mapInArrow(run, "tok long, salt int, band int, c long, n int, pos int, leader long")
+    return dealt.mapInArrow(run, "tok long, salt int, band int, c long, n int, pos int, leader long, leader_n int")
 
 
-def _class_sets(docs: DataFrame, text_col: str, wanted: DataFrame, n: int) -> DataFrame:
-    """(c, tokens binary): the sets of the classes in ``wanted`` (c), and of
-    some others that share a filter bit with them."""
+def _class_rows(docs: DataFrame, text_col: str, wanted: DataFrame, n: int, bitmaps: bool) -> DataFrame:
+    """(c, data binary): the token set of each class in ``wanted`` (c), as
+    sorted hashes or as its bitmap row."""
     size = 1 << FILTER_BITS
     bits = np.zeros(size, bool)
     on = wanted.select(F.pmod("c", F.lit(size)).cast("int").alias("bit")).distinct()
@@ -260,21 +266,21 @@ def _class_sets(docs: DataFrame, text_col: str, wanted: DataFrame, n: int) -> Da
                 if keep[c % size] and c not in seen:
                     seen.add(c)
                     cls.append(c)
-                    raw.append(s.tobytes())
+                    raw.append(_bitmap(s) if bitmaps else s.tobytes())
                     held += len(raw[-1])
                     if held >= 4 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(raw, pa.binary())], names=["c", "tokens"])
+                        yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(raw, pa.binary())], names=["c", "data"])
                         cls, raw, held = [], [], 0
             if cls:
-                yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(raw, pa.binary())], names=["c", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(raw, pa.binary())], names=["c", "data"])
 
-    rows = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "c long, tokens binary")
-    return rows.join(wanted.select("c").distinct(), "c", "left_semi").groupBy("c").agg(F.first("tokens").alias("tokens"))
+    rows = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "c long, data binary")
+    return rows.join(wanted.select("c").distinct(), "c", "left_semi").groupBy("c").agg(F.first("data").alias("data"))
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets pass the threshold, exactly."""
-    side = lambda k, s: sets.select(F.col("c").alias(k), F.col("tokens").alias(s))
+    side = lambda k, s: sets.select(F.col("c").alias(k), F.col("data").alias(s))
     both = pairs.select("a", "b").join(side("a", "ta"), "a").join(side("b", "tb"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,117 +307,151 @@ def _least(n):
     return F.ceil(F.lit(PERCENT) * n / F.lit(100))
 
 
-def _bits_of(band: int) -> int:
-    """Bitmap bits of a group row: at least 16 per token of its largest member."""
-    return 1 << int(np.ceil(np.log2(16 * max(4.0, (100 / PERCENT) ** (band + 1)))))
+def _slack(n1, n2):
+    """A least number of shared prefix tokens: tokens beyond the prefixes that
+    two sets of these sizes can share at most do not reach a link without them."""
+    rest = _least(F.greatest(n1, n2)) - 1
+    return _need(n1, n2) - rest - 2
 
 
-def _unions(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """(g, band, bits): the token-group matrix, a bitmap row per group; folded
-    per task first, so a group of any size meets as a few bitmaps."""
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows: dict[tuple[int, int], np.ndarray] = {}
+def _bitmap(s: np.ndarray) -> bytes:
+    """A matrix row: 8 to 16 bits per token, a power of two in size."""
+    m = 64 << max(0, int(len(s) * 8 - 1).bit_length() - 6)
+    row = np.zeros(m, bool)
+    row[(s & _U(m - 1)).astype(np.int64)] = True
+    return np.packbits(row, bitorder="little").tobytes()
+
+
+def _folded(row: np.ndarray, size: int) -> np.ndarray:
+    """A bitmap (bytes) folded to ``size`` bytes: still holds every token."""
+    return np.bitwise_or.reduce(row.reshape(-1, size), axis=0) if len(row) > size else row
+
+
+def _unions(members: DataFrame, rows: DataFrame) -> DataFrame:
+    """(g, band, bits): the token-group matrix, a bitmap row per group, as wide
+    as its narrowest member's; folded per task first, so that a group of any
+    size meets as a few bitmaps."""
+    def unite(a: np.ndarray | None, raw: bytes) -> np.ndarray:
+        b = np.frombuffer(raw, np.uint8)
+        if a is None:
+            return b
+        size = min(len(a), len(b))
+        return _folded(a, size) | _folded(b, size)
+
+    def per_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple[int, int], np.ndarray] = {}
         for pdf in batches:
-            for g, band, raw in zip(pdf["g"], pdf["band"], pdf["tokens"]):
-                m = _bits_of(int(band))
-                if (g, band) not in rows:
-                    rows[g, band] = np.zeros(m, bool)
-                rows[g, band][(np.frombuffer(raw, _U) & _U(m - 1)).astype(np.int64)] = True
-                if len(rows) >= 4096:
-                    yield out(rows)
-                    rows = {}
-        if rows:
-            yield out(rows)
-
-    def out(rows) -> pd.DataFrame:
-        return pd.DataFrame({"g": [k[0] for k in rows], "band": np.array([k[1] for k in rows], np.int32),
-                             "bits": [np.packbits(v).tobytes() for v in rows.values()]})
-
-    def unite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for g, band, raw in zip(pdf["g"], pdf["band"], pdf["data"]):
+                held[g, band] = unite(held.get((g, band)), raw)
+            if sum(map(len, held.values())) >= 64 << 20:
+                yield out(held)
+                held = {}
+        if held:
+            yield out(held)
+
+    def out(held) -> pd.DataFrame:
+        return pd.DataFrame({"g": [k[0] for k in held], "band": np.array([k[1] for k in held], np.int32),
+                             "bits": [v.tobytes() for v in held.values()]})
+
+    def per_group(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, key = None, (0, 0)
         for pdf in batches:
             key = (pdf["g"].iloc[0], pdf["band"].iloc[0])
             for raw in pdf["bits"]:
-                x = np.frombuffer(raw, np.uint8)
-                total = x.copy() if total is None else np.bitwise_or(total, x, out=total)
+                total = unite(total, raw)
         yield pd.DataFrame({"g": [key[0]], "band": np.array([key[1]], np.int32), "bits": [total.tobytes()]})
 
     schema = "g long, band int, bits binary"
-    return members.join(sets, "c").select("g", "band", "tokens").mapInPandas(fold, schema).groupBy(
-        "g", "band").applyInPandas(unite, schema)
+    return members.join(rows, "c").select("g", "band", "data").mapInPandas(per_task, schema).groupBy(
+        "g", "band").applyInPandas(per_group, schema)
 
 
-def _qualifying(cands: DataFrame, sets: DataFrame, unions: DataFrame) -> DataFrame:
-    """Candidates (c, g, band, need) whose overlap bound reaches ``need``."""
-    both = cands.join(sets, "c").join(unions, ["g", "band"])
+def _qualifying(cands: DataFrame, rows: DataFrame, unions: DataFrame) -> DataFrame:
+    """Candidates (c, g, band) whose overlap with the group's union can reach
+    ``need``: common bits, plus what collisions inside the query may hide."""
+    both = cands.join(rows, "c").join(unions, ["g", "band"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok = np.zeros(b.num_rows, bool)
-            toks, bits, need = b.column("tokens"), b.column("bits"), b.column("need").to_numpy()
+            mine, union = b.column("data"), b.column("bits")
+            n, need = b.column("n").to_numpy(), b.column("need").to_numpy()
             for i in range(b.num_rows):
-                row = np.unpackbits(np.frombuffer(bits[i].as_buffer(), np.uint8)).view(bool)
-                q = np.frombuffer(toks[i].as_buffer(), _U)
-                ok[i] = row[(q & _U(len(row) - 1)).astype(np.int64)].sum() >= need[i]
+                x, y = (np.frombuffer(v[i].as_buffer(), np.uint8) for v in (mine, union))
+                size = min(len(x), len(y))
+                x, y = _folded(x, size), _folded(y, size)
+                hidden = n[i] - np.bitwise_count(x).sum(dtype=np.int64)
+                ok[i] = np.bitwise_count(x & y).sum(dtype=np.int64) + hidden >= need[i]
             at = pa.array(np.flatnonzero(ok))
-            yield pa.RecordBatch.from_arrays([b.column(k).take(at) for k in ("c", "g", "band")], names=["c", "g", "band"])
+            yield pa.RecordBatch.from_arrays([b.column(k).take(at) for k in ("c", "n", "g", "band")], names=["c", "n", "g", "band"])
 
-    return both.select("c", "g", "band", "need", "tokens", "bits").mapInArrow(run, "c long, g long, band int")
+    return both.select("c", "n", "g", "band", "need", "data", "bits").mapInArrow(run, "c long, n int, g long, band int")
 
 
-def links(docs: DataFrame, text_col: str = "text", n: int = SHINGLE) -> DataFrame:
+def links(docs: DataFrame, levels: np.ndarray, text_col: str = "text", n: int = SHINGLE) -> DataFrame:
     """Verified links (a, b) between classes: enough of them to connect every
     pair of classes that the threshold connects."""
-    levels = token_levels(docs, text_col, n)
     rows = materialise(_lead(_prefix_rows(docs, text_col, levels, n)), "prefix-buckets")
 
     # groups: the leader that most of a class's prefix tokens point at
-    votes = rows.where("leader <> c").groupBy("c", "leader").agg(F.count(F.lit(1)).alias("k"))
+    votes = rows.where("leader <> c").groupBy("c", "leader", "n", "leader_n").agg(F.count(F.lit(1)).alias("k")).where(
+        F.col("k") >= _slack(F.col("n"), F.col("leader_n")))
     star = votes.groupBy(F.col("c").alias("a")).agg(F.max_by("leader", F.struct("k", "leader")).alias("b"))
     star = materialise(star, "leader-pairs")
-    wanted = star.select(F.col("a").alias("c")).union(star.select(F.col("b").alias("c")))
-    first = materialise(_linked(star, _class_sets(docs, text_col, wanted, n)), "leader-links")
-    comp = materialise(components(first), "groups")
+    first = materialise(_verified(docs, text_col, star, n), "leader-links")
+    comp = components(first)
 
     # tokens that still meet several components
-    own = rows.join(comp.select(F.col("node").alias("c"), F.col("label").alias("g")), "c", "left").withColumn(
-        "g", F.coalesce("g", "c"))
-    own = materialise(own.select("tok", "band", "c", "n", "pos", "g"), "labelled-buckets")
+    own = rows.join(comp.select(F.col("node").alias("c"), F.col("label").alias("g")), "c", "left").select(
+        "tok", "band", "c", "n", "pos", F.coalesce("g", "c").alias("g"))
+    own = materialise(own, "labelled-buckets")
     mixed = own.groupBy("tok").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("tok")
     own = materialise(own.join(mixed, "tok", "left_semi"), "mixed-buckets")
     weight = F.struct(F.col("k"), F.col("g"))
     sizes = own.select("c", "g").distinct().groupBy("g").agg(F.count(F.lit(1)).alias("k"))
-    queries = own.join(sizes.select("g", weight.alias("w")), "g")
+    queries = own.join(sizes.select("g", weight.alias("w")), "g").select("tok", "c", "n", "pos", "g", "w")
     groups = own.groupBy("tok", "g", "band").agg(
         F.min("n").alias("n_lo"), F.max("n").alias("n_hi"), F.min("pos").alias("g_pos"))
     groups = groups.join(sizes.select("g", weight.alias("g_w")), "g").select(
         "tok", F.col("g").alias("g2"), F.col("band").alias("band2"), "n_lo", "n_hi", "g_pos", "g_w")
-    # the lighter side asks; the token may be the first one shared only if enough tokens follow it on both sides
-    low = F.greatest(F.col("n_lo"), _least(F.col("n")))
-    need = _need(F.col("n"), low)
+    # the lighter side asks; a link's first shared token leaves enough tokens after it on both sides
+    n_q, low = F.col("n"), F.greatest(F.col("n_lo"), _least(F.col("n")))
+    need = _need(n_q, low)
     met = queries.join(groups, "tok").where(
         (F.col("g") != F.col("g2")) & (F.col("w") < F.col("g_w"))
-        & (F.col("n_hi") >= _least(F.col("n"))) & (_least(F.col("n_lo")) <= F.col("n"))
-        & (F.col("n") - F.col("pos") >= need) & (F.col("n_hi") - F.col("g_pos") >= need))
-    cands = materialise(met.groupBy("c", F.col("g2").alias("g"), F.col("band2").alias("band")).agg(
-        F.min(need).alias("need")), "group-candidates")
-
-    members = own.select("c", "g", "band", "n").distinct().join(cands.select("g", "band").distinct(), ["g", "band"], "left_semi")
+        & (F.col("n_hi") >= _least(n_q)) & (_least(F.col("n_lo")) <= n_q))
+    first_shared = (n_q - F.col("pos") >= need) & (F.col("n_hi") - F.col("g_pos") >= need)
+    cands = met.groupBy("c", "n", F.col("g2").alias("g"), F.col("band2").alias("band")).agg(
+        F.min("n_lo").alias("n_lo"), F.max("n_hi").alias("n_hi"), F.min(need).alias("need"),
+        F.count(F.lit(1)).alias("k"), F.max(first_shared).alias("possible"))
+    # the least number of shared prefix tokens, at the ends of the group's sizes (it is concave between)
+    high = F.least(F.col("n_hi"), F.floor(F.lit(100) * n_q / F.lit(PERCENT)))
+    cands = cands.where(F.col("possible") & (F.col("k") >= F.least(
+        _slack(n_q, F.greatest(F.col("n_lo"), _least(n_q))), _slack(n_q, high))))
+    cands = materialise(cands.select("c", "n", "g", "band", "need"), "group-candidates")
+
+    members = own.select("c", "g", "band", F.col("n").alias("n_s")).distinct().join(
+        cands.select("g", "band").distinct(), ["g", "band"], "left_semi")
     members = materialise(members, "group-members")
-    sets = materialise(_class_sets(docs, text_col, cands.select("c").union(members.select("c")), n), "group-sets")
-    opened = _qualifying(cands, sets, _unions(members, sets))
-    asked = own.select("c", "n").distinct()
-    pairs = opened.join(asked, "c").select(F.col("c").alias("a"), F.col("n").alias("na"), "g", "band").join(
-        members, ["g", "band"]).where(
-        (F.least("na", "n") * 100 >= F.greatest("na", "n") * PERCENT)).select("a", F.col("c").alias("b"))
-    second = _linked(materialise(pairs, "opened-pairs"), sets)
+    bitmaps = materialise(_class_rows(docs, text_col, cands.select("c").union(members.select("c")), n, True), "group-rows")
+    opened = _qualifying(cands, bitmaps, _unions(members, bitmaps))
+    pairs = opened.join(members.withColumnRenamed("c", "b"), ["g", "band"]).where(
+        F.least("n", "n_s") * 100 >= F.greatest("n", "n_s") * PERCENT).select(F.col("c").alias("a"), "b")
+    second = _verified(docs, text_col, materialise(pairs, "opened-pairs"), n)
     return materialise(first.union(second), "links")
 
 
+def _verified(docs: DataFrame, text_col: str, pairs: DataFrame, n: int) -> DataFrame:
+    """The linked ones of ``pairs`` (a, b)."""
+    wanted = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c")))
+    return _linked(pairs, _class_rows(docs, text_col, wanted, n, False))
+
+
 def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE) -> DataFrame:
     """(id_col, n_shingles, component_id) for every row of ``docs``."""
-    cls = materialise(classes(docs, id_col, text_col, n), "classes")
-    label = components(links(docs, text_col, n))
+    scan = materialise(classes(docs, id_col, text_col, n), "classes")
+    label = components(links(docs, token_levels(scan), text_col, n))
+    cls = scan.where("block is null").select("id", "n_shingles", "c")
     reps = cls.where("c is not null").groupBy("c").agg(F.min("id").alias("rep"))
     labelled = reps.join(label, reps["c"] == label["node"], "left").select(
         "c", F.coalesce("label", "c").alias("g"), "rep")
