@@ -47,14 +47,17 @@ from textforge.llm.scratch import components, materialise
 
 SHINGLE = 5
 PERCENT = 75
-#: Count sketch of the token order: bins (a parameter of speed, never of results).
-SKETCH_BITS = 20
-_BLOCKS = 64
+#: Count sketch of the token order: text bytes per bin, and its size in bits at
+#: least and at most (a task holds 4 bytes a bin). Speed depends on it, results do not.
+SKETCH_BYTES, SKETCH_MIN, SKETCH_MAX = 192, 16, 24
+_BLOCK_BITS = 16
 #: Tokens this many doublings above the mean bin are dealt in 2**excess salted parts.
 SALT_LEVEL = 8
 #: Bits of the filter that keeps only the sets of classes in question; a fixed
 #: bound on what is sent to the tasks. False positives cost time, not results.
 FILTER_BITS = 22
+#: Members of a component that share a row of the matrix, about.
+GROUP = 32
 _U = np.uint64
 
 
@@ -91,52 +94,55 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
 
-_WIDTH = (1 << SKETCH_BITS) // _BLOCKS
+def sketch_bits(docs: DataFrame, text_col: str = "text") -> int:
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    return min(SKETCH_MAX, max(SKETCH_MIN, int(size // SKETCH_BYTES).bit_length()))
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE) -> DataFrame:
+def classes(docs: DataFrame, bits: int, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE) -> DataFrame:
     """(id, n_shingles, c, block, counts): the class of every row (c is null for
     empty sets; block is null), and after each task's rows its part of the count
     sketch (block is set): one pass over the texts yields both."""
     src = _source(docs, id_col, text_col)
     names = ["id", "n_shingles", "c", "block", "counts"]
     id_field = src.schema["id"]
+    blocks = 1 << (bits - _BLOCK_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bins, id_type = np.zeros(1 << SKETCH_BITS, np.int64), to_arrow_type(id_field.dataType)
+        bins, id_type = np.zeros(1 << bits, np.int32), to_arrow_type(id_field.dataType)
         for b in batches:
             size, cls = [], []
             for s in _sets(b.column(1), n):
                 size.append(len(s))
                 cls.append(_class_of(s) if len(s) else None)
-                np.add.at(bins, (s >> _U(64 - SKETCH_BITS)).astype(np.int64), 1)
+                bins[(s >> _U(64 - bits)).astype(np.int64)] += 1  # tokens of a bin count once a text
             none = [None] * len(size)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(cls, pa.int64()),
                                               pa.array(none, pa.int32()), pa.array(none, pa.binary())], names=names)
-        none = [None] * _BLOCKS
-        packed = [zlib.compress(x.astype("<i8").tobytes(), 1) for x in bins.reshape(_BLOCKS, _WIDTH)]
+        none = [None] * blocks
+        packed = [zlib.compress(x.tobytes(), 1) for x in bins.reshape(blocks, -1)]
         yield pa.RecordBatch.from_arrays([pa.array(none, id_type), pa.array(none, pa.int64()), pa.array(none, pa.int64()),
-                                          pa.array(range(_BLOCKS), pa.int32()), pa.array(packed, pa.binary())], names=names)
+                                          pa.array(range(blocks), pa.int32()), pa.array(packed, pa.binary())], names=names)
 
     return src.mapInArrow(run, T.StructType([
         id_field, T.StructField("n_shingles", T.LongType()), T.StructField("c", T.LongType()),
         T.StructField("block", T.IntegerType()), T.StructField("counts", T.BinaryType())]))
 
 
-def token_levels(cls: DataFrame) -> np.ndarray:
+def token_levels(cls: DataFrame, bits: int) -> np.ndarray:
     """Per sketch bin, how many doublings its count lies above the mean. The
-    sketch counts all documents and has one fixed size at any scale."""
+    sketch counts all documents; its size is bounded at any scale."""
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, block = np.zeros(_WIDTH, np.int64), 0
+        total, block = np.zeros(1 << _BLOCK_BITS, np.int64), 0
         for pdf in batches:
             block = int(pdf["block"].iloc[0])
             for raw in pdf["counts"]:
-                total += np.frombuffer(zlib.decompress(raw), "<i8")
+                total += np.frombuffer(zlib.decompress(raw), np.int32)
         yield pd.DataFrame({"block": np.array([block], np.int32), "counts": [zlib.compress(total.tobytes(), 1)]})
 
     rows = cls.where("block is not null").select("block", "counts").groupBy("block").applyInPandas(
         add, "block int, counts binary").collect()
-    bins = np.zeros((_BLOCKS, _WIDTH), np.int64)
+    bins = np.zeros((1 << (bits - _BLOCK_BITS), 1 << _BLOCK_BITS), np.int64)
     for r in rows:
         bins[r["block"]] = np.frombuffer(zlib.decompress(bytes(r["counts"])), np.int64)
     flat = bins.reshape(-1)
@@ -145,7 +151,8 @@ def token_levels(cls: DataFrame) -> np.ndarray:
 
 def _ordered(s: np.ndarray, levels: np.ndarray) -> np.ndarray:
     """Tokens as keys of the global order: frequency level, then hash."""
-    lv = levels[(s >> _U(64 - SKETCH_BITS)).astype(np.int64)].astype(_U)
+    shift = _U(65 - len(levels).bit_length())
+    lv = levels[(s >> shift).astype(np.int64)].astype(_U)
     return np.sort((lv << _U(58)) | (s >> _U(6)))
 
 
@@ -191,91 +198,95 @@ def _prefix_rows(docs: DataFrame, text_col: str, levels: np.ndarray, n: int) ->
         run, "tok long, salt int, band int, c long, n int, pos int")
 
 
-def _lead(rows: DataFrame) -> DataFrame:
-    """Adds ``leader`` (the least class of the same token, salt and band) with
-    its size ``leader_n`` and drops rows alone with their token. The sorted stream is read once; what is
-    held is one batch, however long a bucket is."""
-    dealt = rows.repartition("tok", "salt").sortWithinPartitions("tok", "salt", "band", "c")
-    names = ["tok", "salt", "band", "c", "n", "pos", "leader", "leader_n"]
-    given = names[:6]
+def _shared(rows: DataFrame) -> DataFrame:
+    """The prefix rows whose token another class has too, one per class and
+    token. The sorted stream is read once; what is held is one batch, however
+    long a bucket is. (A salted token is frequent: its rows all stay.)"""
+    dealt = rows.repartition("tok", "salt").sortWithinPartitions("tok", "salt", "c")
+    names = ["tok", "band", "c", "n", "pos"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry, prev = None, None     # a held last row; the last row that was judged: (tok, salt, band, c, leader, its n)
+        # the last row waits for its follower; (tok, salt, c) of the row before it, and
+        # whether another class stood before that one in its bucket
+        held, prev, met = None, None, False
 
-        def judge(x: dict, prev, following):
+        def judge(x: dict, bucket_goes_on: bool, class_goes_on: bool) -> tuple[pa.RecordBatch, bool]:
             m = len(x["tok"])
-            same = lambda k: x[k][1:] == x[k][:-1]
-            bucket, run_, again = np.empty(m, bool), np.empty(m, bool), np.empty(m, bool)
-            bucket[1:] = same("tok") & same("salt")
-            run_[1:] = bucket[1:] & same("band")
-            again[1:] = run_[1:] & same("c")
-            h = tuple(x[k][0] for k in ("tok", "salt", "band", "c"))
-            bucket[0] = prev is not None and prev[:2] == h[:2]
-            run_[0] = bucket[0] and prev[2] == h[2]
-            again[0] = run_[0] and prev[3] == h[3]
-            at = np.maximum.accumulate(np.where(run_, -1, np.arange(m)))
-            lead, lead_n = (np.where(at >= 0, x[k][np.maximum(at, 0)], prev[i] if prev is not None else 0).astype(x[k].dtype)
-                            for k, i in (("c", 4), ("n", 5)))
-            # alone: nothing else in the bucket before or after (copies of the class do not count)
-            after = np.empty(m, bool)
-            after[:-1] = bucket[1:]
-            after[-1] = following
+            bucket, again = np.empty(m, bool), np.empty(m, bool)
+            bucket[1:] = (x["tok"][1:] == x["tok"][:-1]) & (x["salt"][1:] == x["salt"][:-1])
+            bucket[0] = prev is not None and prev[:2] == (x["tok"][0], x["salt"][0])
+            again[1:] = bucket[1:] & (x["c"][1:] == x["c"][:-1])
+            again[0] = bucket[0] and prev[2] == x["c"][0]
+            begins = lambda same: np.maximum.accumulate(np.where(same, -1, np.arange(m)))
+            others = np.where(begins(again) >= 0, begins(again) != begins(bucket), met)
+            last = ~np.append(again[1:], class_goes_on)
+            follows = np.append(bucket[1:], bucket_goes_on)
             salted = ((x["tok"].view(_U) >> _U(58)).astype(np.int64) > SALT_LEVEL)
-            keep = ~again & (bucket | after | salted)
-            out = pa.RecordBatch.from_arrays([pa.array(v[keep]) for v in (*(x[k] for k in given), lead, lead_n)], names=names)
-            return out, (h_last(x) + (int(lead[-1]), int(lead_n[-1])))
-
-        def h_last(x):
-            return tuple(x[k][-1] for k in ("tok", "salt", "band", "c"))
+            keep = last & (others | follows | salted)
+            return pa.RecordBatch.from_arrays([pa.array(x[k][keep]) for k in names], names=names), bool(others[-1])
 
         for b in batches:
-            x = {k: b.column(k).to_numpy(zero_copy_only=False) for k in given}
+            x = {k: b.column(k).to_numpy(zero_copy_only=False) for k in ("tok", "salt", *names[1:])}
             if not len(x["tok"]):
                 continue
-            if carry is not None:
-                x = {k: np.concatenate([carry[k], x[k]]) for k in x}
-            carry = {k: v[-1:].copy() for k, v in x.items()}
+            if held is not None:
+                x = {k: np.concatenate([held[k], x[k]]) for k in x}
+            held = {k: v[-1:].copy() for k, v in x.items()}
             x = {k: v[:-1] for k, v in x.items()}
             if len(x["tok"]):
-                nxt = carry["tok"][0] == x["tok"][-1] and carry["salt"][0] == x["salt"][-1]
-                out, prev = judge(x, prev, nxt)
+                goes_on = (held["tok"][0], held["salt"][0]) == (x["tok"][-1], x["salt"][-1])
+                out, met = judge(x, goes_on, goes_on and held["c"][0] == x["c"][-1])
+                prev = (x["tok"][-1], x["salt"][-1], x["c"][-1])
                 yield out
-        if carry is not None:
-            yield judge(carry, prev, False)[0]
-
-    return dealt.mapInArrow(run, "tok long, salt int, band int, c long, n int, pos int, leader long, leader_n int")
-
-
-def _class_rows(docs: DataFrame, text_col: str, wanted: DataFrame, n: int, bitmaps: bool) -> DataFrame:
-    """(c, data binary): the token set of each class in ``wanted`` (c), as
-    sorted hashes or as its bitmap row."""
-    size = 1 << FILTER_BITS
-    bits = np.zeros(size, bool)
-    on = wanted.select(F.pmod("c", F.lit(size)).cast("int").alias("bit")).distinct()
-    bits[on.toPandas()["bit"].to_numpy(np.int64)] = True  # at most `size` ints, whatever the corpus
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep, seen = np.unpackbits(shared.value).view(bool), set()
-        for b in batches:
-            cls, raw, held = [], [], 0
-            for s in _sets(b.column(0), n):
-                if not len(s):
-                    continue
-                c = _class_of(s)
-                if keep[c % size] and c not in seen:
+        if held is not None:
+            yield judge(held, False, False)[0]
+
+    return dealt.mapInArrow(run, "tok long, band int, c long, n int, pos int")
+
+
+class _Texts:
+    """The documents, and which one of them stands for each class."""
+
+    def __init__(self, docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, n: int):
+        self.src = _source(docs, id_col, text_col).select(F.xxhash64("id").alias("hid"), "text")
+        self.reps, self.n = reps, n
+
+    def rows(self, wanted: DataFrame, bitmaps: bool) -> DataFrame:
+        """(c, data binary): the token set of each class in ``wanted`` (c), as
+        sorted hashes or as its bitmap row. Only documents whose id passes a
+        filter of fixed size are tokenised; false positives cost time only."""
+        size, n, wanted = 1 << FILTER_BITS, self.n, wanted.select("c").distinct()
+        on = wanted.join(self.reps, "c").select(F.pmod("hid", F.lit(size)).cast("int").alias("bit")).distinct()
+        bits = np.zeros(size, bool)
+        bits[on.toPandas()["bit"].to_numpy(np.int64)] = True  # at most `size` ints, whatever the corpus
+        shared = self.src.sparkSession.sparkContext.broadcast(np.packbits(bits))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            keep, seen = np.unpackbits(shared.value).view(bool), set()
+            names = ["c", "data"]
+            for b in batches:
+                hit = np.flatnonzero(keep[b.column(0).to_numpy() % size])
+                cls, raw, held = [], [], 0
+                for s in _sets(b.column(1).take(pa.array(hit)), n):
+                    if not len(s) or (c := _class_of(s)) in seen:
+                        continue
                     seen.add(c)
                     cls.append(c)
                     raw.append(_bitmap(s) if bitmaps else s.tobytes())
                     held += len(raw[-1])
                     if held >= 4 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(raw, pa.binary())], names=["c", "data"])
+                        yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(raw, pa.binary())], names=names)
                         cls, raw, held = [], [], 0
-            if cls:
-                yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(raw, pa.binary())], names=["c", "data"])
+                if cls:
+                    yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(raw, pa.binary())], names=names)
 
-    rows = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "c long, data binary")
-    return rows.join(wanted.select("c").distinct(), "c", "left_semi").groupBy("c").agg(F.first("data").alias("data"))
+        found = self.src.mapInArrow(run, "c long, data binary")
+        return found.join(wanted, "c", "left_semi").groupBy("c").agg(F.first("data").alias("data"))
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """The linked ones of ``pairs`` (a, b)."""
+        wanted = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c")))
+        return _linked(pairs, self.rows(wanted, False))
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -328,7 +339,7 @@ def _folded(row: np.ndarray, size: int) -> np.ndarray:
 
 
 def _unions(members: DataFrame, rows: DataFrame) -> DataFrame:
-    """(g, band, bits): the token-group matrix, a bitmap row per group, as wide
+    """(g, part, band, bits): the token-group matrix, a bitmap row per group, as wide
     as its narrowest member's; folded per task first, so that a group of any
     size meets as a few bitmaps."""
     def unite(a: np.ndarray | None, raw: bytes) -> np.ndarray:
@@ -339,10 +350,10 @@ def _unions(members: DataFrame, rows: DataFrame) -> DataFrame:
         return _folded(a, size) | _folded(b, size)
 
     def per_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[tuple[int, int], np.ndarray] = {}
+        held: dict[tuple[int, int, int], np.ndarray] = {}
         for pdf in batches:
-            for g, band, raw in zip(pdf["g"], pdf["band"], pdf["data"]):
-                held[g, band] = unite(held.get((g, band)), raw)
+            for *key, raw in zip(pdf["g"], pdf["part"], pdf["band"], pdf["data"]):
+                held[tuple(key)] = unite(held.get(tuple(key)), raw)
             if sum(map(len, held.values())) >= 64 << 20:
                 yield out(held)
                 held = {}
@@ -350,26 +361,28 @@ def _unions(members: DataFrame, rows: DataFrame) -> DataFrame:
             yield out(held)
 
     def out(held) -> pd.DataFrame:
-        return pd.DataFrame({"g": [k[0] for k in held], "band": np.array([k[1] for k in held], np.int32),
+        keys = np.array(list(held), np.int64)
+        return pd.DataFrame({"g": keys[:, 0], "part": keys[:, 1], "band": keys[:, 2].astype(np.int32),
                              "bits": [v.tobytes() for v in held.values()]})
 
     def per_group(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, key = None, (0, 0)
+        total, key = None, ()
         for pdf in batches:
-            key = (pdf["g"].iloc[0], pdf["band"].iloc[0])
+            key = tuple(int(pdf[k].iloc[0]) for k in ("g", "part", "band"))
             for raw in pdf["bits"]:
                 total = unite(total, raw)
-        yield pd.DataFrame({"g": [key[0]], "band": np.array([key[1]], np.int32), "bits": [total.tobytes()]})
+        yield out({key: total})
 
-    schema = "g long, band int, bits binary"
-    return members.join(rows, "c").select("g", "band", "data").mapInPandas(per_task, schema).groupBy(
-        "g", "band").applyInPandas(per_group, schema)
+    schema = "g long, part long, band int, bits binary"
+    return members.join(rows, "c").select("g", "part", "band", "data").mapInPandas(per_task, schema).groupBy(
+        "g", "part", "band").applyInPandas(per_group, schema)
 
 
 def _qualifying(cands: DataFrame, rows: DataFrame, unions: DataFrame) -> DataFrame:
-    """Candidates (c, g, band) whose overlap with the group's union can reach
+    """Candidates (c, g, part, band) whose overlap with the group's union can reach
     ``need``: common bits, plus what collisions inside the query may hide."""
-    both = cands.join(rows, "c").join(unions, ["g", "band"])
+    names = ["c", "n", "g", "part", "band"]
+    both = cands.join(rows, "c").join(unions, ["g", "part", "band"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -383,22 +396,30 @@ def _qualifying(cands: DataFrame, rows: DataFrame, unions: DataFrame) -> DataFra
                 hidden = n[i] - np.bitwise_count(x).sum(dtype=np.int64)
                 ok[i] = np.bitwise_count(x & y).sum(dtype=np.int64) + hidden >= need[i]
             at = pa.array(np.flatnonzero(ok))
-            yield pa.RecordBatch.from_arrays([b.column(k).take(at) for k in ("c", "n", "g", "band")], names=["c", "n", "g", "band"])
+            yield pa.RecordBatch.from_arrays([b.column(k).take(at) for k in names], names=names)
 
-    return both.select("c", "n", "g", "band", "need", "data", "bits").mapInArrow(run, "c long, n int, g long, band int")
+    return both.select(*names, "need", "data", "bits").mapInArrow(run, "c long, n int, g long, part long, band int")
 
 
-def links(docs: DataFrame, levels: np.ndarray, text_col: str = "text", n: int = SHINGLE) -> DataFrame:
+def links(docs: DataFrame, levels: np.ndarray, texts: _Texts, text_col: str) -> DataFrame:
     """Verified links (a, b) between classes: enough of them to connect every
     pair of classes that the threshold connects."""
-    rows = materialise(_lead(_prefix_rows(docs, text_col, levels, n)), "prefix-buckets")
-
-    # groups: the leader that most of a class's prefix tokens point at
-    votes = rows.where("leader <> c").groupBy("c", "leader", "n", "leader_n").agg(F.count(F.lit(1)).alias("k")).where(
-        F.col("k") >= _slack(F.col("n"), F.col("leader_n")))
-    star = votes.groupBy(F.col("c").alias("a")).agg(F.max_by("leader", F.struct("k", "leader")).alias("b"))
-    star = materialise(star, "leader-pairs")
-    first = materialise(_verified(docs, text_col, star, n), "leader-links")
+    rows = materialise(_shared(_prefix_rows(docs, text_col, levels, texts.n)), "prefix-buckets")
+
+    # leaders: of a bucket's classes the one with the least share of tokens of its own (the
+    # text that the others were copied from); a class follows the leader of most of its buckets
+    own_share = rows.groupBy("c").agg((F.count(F.lit(1)) / F.max("n")).alias("shared"))
+    rank = F.struct("shared", F.col("c").alias("leader"), F.col("n").alias("leader_n"))
+    ranked = rows.join(own_share, "c").select("tok", "c", "n", rank.alias("r"))
+    heads = ranked.groupBy("tok").agg(F.max("r").alias("r")).select("tok", "r.leader", "r.leader_n")
+    votes = ranked.select("tok", "c", "n").join(heads, "tok").where("leader <> c").groupBy(
+        "c", "leader", "n", "leader_n").agg(F.count(F.lit(1)).alias("k"))
+    # only a choice of pairs to try first: half of the class's prefix, and sizes that can link
+    likely = (F.col("k") * 8 >= F.col("n")) & (
+        F.least("n", "leader_n") * 100 >= F.greatest("n", "leader_n") * PERCENT)
+    star = votes.where(likely).groupBy(F.col("c").alias("a")).agg(
+        F.max_by("leader", F.struct("k", "leader")).alias("b"))
+    first = materialise(texts.verified(materialise(star, "leader-pairs")), "leader-links")
     comp = components(first)
 
     # tokens that still meet several components
@@ -406,53 +427,56 @@ def links(docs: DataFrame, levels: np.ndarray, text_col: str = "text", n: int =
         "tok", "band", "c", "n", "pos", F.coalesce("g", "c").alias("g"))
     own = materialise(own, "labelled-buckets")
     mixed = own.groupBy("tok").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("tok")
-    own = materialise(own.join(mixed, "tok", "left_semi"), "mixed-buckets")
+    own = own.join(mixed, "tok", "left_semi")
+    # groups: runs of GROUP members of a component, in the order of their rarest shared tokens
+    place = own.groupBy("c", "n", "g").agg(F.min(F.struct("pos", "tok")).alias("at"))
+    sizes = place.groupBy("g").agg(F.count(F.lit(1)).alias("k"))
     weight = F.struct(F.col("k"), F.col("g"))
-    sizes = own.select("c", "g").distinct().groupBy("g").agg(F.count(F.lit(1)).alias("k"))
-    queries = own.join(sizes.select("g", weight.alias("w")), "g").select("tok", "c", "n", "pos", "g", "w")
-    groups = own.groupBy("tok", "g", "band").agg(
-        F.min("n").alias("n_lo"), F.max("n").alias("n_hi"), F.min("pos").alias("g_pos"))
-    groups = groups.join(sizes.select("g", weight.alias("g_w")), "g").select(
-        "tok", F.col("g").alias("g2"), F.col("band").alias("band2"), "n_lo", "n_hi", "g_pos", "g_w")
+    place = place.join(sizes, "g").select(
+        "c", "n", "g", weight.alias("w"),
+        F.pmod(F.xxhash64("at"), F.ceil(F.col("k") / GROUP)).alias("part"))
+    place = materialise(place, "group-members")
+    own = materialise(own.select("tok", "band", "c", "pos").join(place, "c"), "mixed-buckets")
+    gid = ["g", "part", "band"]
+    groups = own.groupBy("tok", *gid, F.col("w").alias("g_w")).agg(
+        F.min("n").alias("n_lo"), F.max("n").alias("n_hi"), F.min("pos").alias("g_pos")).select(
+        "tok", *[F.col(k).alias(f"{k}2") for k in gid], "g_w", "n_lo", "n_hi", "g_pos")
     # the lighter side asks; a link's first shared token leaves enough tokens after it on both sides
     n_q, low = F.col("n"), F.greatest(F.col("n_lo"), _least(F.col("n")))
     need = _need(n_q, low)
-    met = queries.join(groups, "tok").where(
+    met = own.join(groups, "tok").where(
         (F.col("g") != F.col("g2")) & (F.col("w") < F.col("g_w"))
         & (F.col("n_hi") >= _least(n_q)) & (_least(F.col("n_lo")) <= n_q))
     first_shared = (n_q - F.col("pos") >= need) & (F.col("n_hi") - F.col("g_pos") >= need)
-    cands = met.groupBy("c", "n", F.col("g2").alias("g"), F.col("band2").alias("band")).agg(
+    cands = met.groupBy("c", "n", *[F.col(f"{k}2").alias(k) for k in gid]).agg(
         F.min("n_lo").alias("n_lo"), F.max("n_hi").alias("n_hi"), F.min(need).alias("need"),
         F.count(F.lit(1)).alias("k"), F.max(first_shared).alias("possible"))
     # the least number of shared prefix tokens, at the ends of the group's sizes (it is concave between)
     high = F.least(F.col("n_hi"), F.floor(F.lit(100) * n_q / F.lit(PERCENT)))
     cands = cands.where(F.col("possible") & (F.col("k") >= F.least(
         _slack(n_q, F.greatest(F.col("n_lo"), _least(n_q))), _slack(n_q, high))))
-    cands = materialise(cands.select("c", "n", "g", "band", "need"), "group-candidates")
+    cands = materialise(cands.select("c", "n", *gid, "need"), "group-candidates")
 
-    members = own.select("c", "g", "band", F.col("n").alias("n_s")).distinct().join(
-        cands.select("g", "band").distinct(), ["g", "band"], "left_semi")
-    members = materialise(members, "group-members")
-    bitmaps = materialise(_class_rows(docs, text_col, cands.select("c").union(members.select("c")), n, True), "group-rows")
+    members = own.select("c", *gid, F.col("n").alias("n_s")).distinct().join(
+        cands.select(*gid).distinct(), gid, "left_semi")
+    members = materialise(members, "opened-members")
+    bitmaps = materialise(texts.rows(cands.select("c").union(members.select("c")), True), "group-rows")
     opened = _qualifying(cands, bitmaps, _unions(members, bitmaps))
-    pairs = opened.join(members.withColumnRenamed("c", "b"), ["g", "band"]).where(
+    pairs = opened.join(members.withColumnRenamed("c", "b"), gid).where(
         F.least("n", "n_s") * 100 >= F.greatest("n", "n_s") * PERCENT).select(F.col("c").alias("a"), "b")
-    second = _verified(docs, text_col, materialise(pairs, "opened-pairs"), n)
+    second = texts.verified(materialise(pairs, "opened-pairs"))
     return materialise(first.union(second), "links")
 
 
-def _verified(docs: DataFrame, text_col: str, pairs: DataFrame, n: int) -> DataFrame:
-    """The linked ones of ``pairs`` (a, b)."""
-    wanted = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c")))
-    return _linked(pairs, _class_rows(docs, text_col, wanted, n, False))
-
-
 def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE) -> DataFrame:
     """(id_col, n_shingles, component_id) for every row of ``docs``."""
-    scan = materialise(classes(docs, id_col, text_col, n), "classes")
-    label = components(links(docs, token_levels(scan), text_col, n))
+    bits = sketch_bits(docs, text_col)
+    scan = materialise(classes(docs, bits, id_col, text_col, n), "classes")
     cls = scan.where("block is null").select("id", "n_shingles", "c")
-    reps = cls.where("c is not null").groupBy("c").agg(F.min("id").alias("rep"))
+    reps = cls.where("c is not null").groupBy("c").agg(F.min("id").alias("rep"), F.min(F.xxhash64("id")).alias("hid"))
+    reps = materialise(reps, "class-reps")
+    texts = _Texts(docs, reps.select("c", "hid"), id_col, text_col, n)
+    label = components(links(docs, token_levels(scan, bits), texts, text_col))
     labelled = reps.join(label, reps["c"] == label["node"], "left").select(
         "c", F.coalesce("label", "c").alias("g"), "rep")
     least = labelled.groupBy("g").agg(F.min("rep").alias("component_id"))

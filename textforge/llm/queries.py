@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textforge.llm import bpe, decontaminate, jaccard, pii, quality  # noqa: F401
+from textforge.llm import bpe, decontaminate, jaccard, pii, quality, sharding, warc  # noqa: F401
 from textforge.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
