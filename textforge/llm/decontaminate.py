@@ -45,18 +45,8 @@ MIN_WORDS = 5
 BLOCK_BYTES = 8 << 20
 _U = np.uint64
 
-# bytes that separate words: everything ASCII but letters and digits
-_TABLE = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
-
-
-def _clean(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets) with every separator as a blank, capitals lowered later."""
-    data, offsets = W.buffer_of(texts)
-    return np.frombuffer(_TABLE, np.uint8)[data], offsets
-
-
 def _item_words(text: str | None) -> np.ndarray:
-    data, offsets = _clean(pa.array([text or ""], pa.string()))
+    data, offsets = W.plain(pa.array([text or ""], pa.string()))
     return W.words(data, offsets)[0]
 
 
@@ -123,7 +113,7 @@ def _seed_counts(docs: DataFrame, seeds: np.ndarray, n: int) -> np.ndarray:
         table_ = shared.value
         total = np.zeros(len(table_), np.int64)
         for b in batches:
-            data, offsets = _clean(b.column(0))
+            data, offsets = W.plain(b.column(0))
             for lo, hi in W.slices(offsets):
                 a = offsets[lo]
                 h, first = W.words(data[a: offsets[hi]], offsets[lo: hi + 1] - a)
@@ -205,7 +195,7 @@ def _against(src: DataFrame, block: list[tuple], n: int, threshold: float, schem
         uniq, first_post = np.unique(keys, return_index=True)
         ends = np.append(first_post[1:], len(keys))
         for b in batches:
-            data, offsets = _clean(b.column(1))
+            data, offsets = W.plain(b.column(1))
             rows: list[tuple] = []
             for lo, hi in W.slices(offsets):
                 a = offsets[lo]

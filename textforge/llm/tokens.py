@@ -90,7 +90,13 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
     """64-bit hashes of the byte ranges, in passes over bounded segments."""
-    out = np.empty(len(starts), _U)
+    return hash_ranges(data, starts, ends, [ends], lower)[0]
+
+
+def hash_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, stops: list[np.ndarray],
+                lower: bool = True) -> list[np.ndarray]:
+    """Hashes of data[starts:stop] for several arrays of stops, none beyond ``ends``."""
+    out = [np.empty(len(starts), _U) for _ in stops]
     codes, lo = (CODES_LOWER if lower else CODES), 0
     while lo < len(starts):
         a = int(starts[lo])
@@ -100,8 +106,10 @@ def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bo
         sums = np.zeros(b - a + 1, _U)
         with np.errstate(over="ignore"):
             np.cumsum(codes[data[a:b]] * pw[: b - a], out=sums[1:])
-            s, e = starts[lo:hi] - a, ends[lo:hi] - a
-            out[lo:hi] = mix((sums[e] - sums[s]) * inv[s] + (e - s).astype(_U))
+            s = starts[lo:hi] - a
+            for o, stop in zip(out, stops):
+                e = stop[lo:hi] - a
+                o[lo:hi] = mix((sums[e] - sums[s]) * inv[s] + (e - s).astype(_U))
         lo = hi
     return out
 
@@ -113,6 +121,16 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return hash_words(data, starts, ends), np.searchsorted(starts, offsets, "left")
 
 
+#: Bytes that separate letters-and-digits words: all of ASCII but letters and digits.
+_PLAIN = np.frombuffer(bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256)), np.uint8)
+
+
+def plain(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of the texts with ASCII punctuation as blanks."""
+    data, offsets = buffer_of(texts)
+    return _PLAIN[data], offsets
+
+
 def grams(hashes: np.ndarray, n: int) -> np.ndarray:
     """Hash of every run of ``n`` consecutive words (across documents too;
     callers pick those that lie inside one)."""
