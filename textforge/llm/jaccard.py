@@ -57,7 +57,7 @@ SALT_LEVEL = 8
 #: bound on what is sent to the tasks. False positives cost time, not results.
 FILTER_BITS = 22
 #: Members of a component that share a row of the matrix, about.
-GROUP = 32
+GROUP = 4
 _U = np.uint64
 
 
@@ -379,14 +379,14 @@ def _unions(members: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def _qualifying(cands: DataFrame, rows: DataFrame, unions: DataFrame) -> DataFrame:
-    """Candidates (c, g, part, band) whose overlap with the group's union can reach
+    """Candidates (c, n, g, part, band, bound) whose overlap with the group's union can reach
     ``need``: common bits, plus what collisions inside the query may hide."""
     names = ["c", "n", "g", "part", "band"]
     both = cands.join(rows, "c").join(unions, ["g", "part", "band"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = np.zeros(b.num_rows, bool)
+            bound = np.zeros(b.num_rows, np.int64)
             mine, union = b.column("data"), b.column("bits")
             n, need = b.column("n").to_numpy(), b.column("need").to_numpy()
             for i in range(b.num_rows):
@@ -394,11 +394,13 @@ def _qualifying(cands: DataFrame, rows: DataFrame, unions: DataFrame) -> DataFra
                 size = min(len(x), len(y))
                 x, y = _folded(x, size), _folded(y, size)
                 hidden = n[i] - np.bitwise_count(x).sum(dtype=np.int64)
-                ok[i] = np.bitwise_count(x & y).sum(dtype=np.int64) + hidden >= need[i]
-            at = pa.array(np.flatnonzero(ok))
-            yield pa.RecordBatch.from_arrays([b.column(k).take(at) for k in names], names=names)
+                bound[i] = np.bitwise_count(x & y).sum(dtype=np.int64) + hidden
+            at = np.flatnonzero(bound >= need)
+            yield pa.RecordBatch.from_arrays([*(b.column(k).take(pa.array(at)) for k in names), pa.array(bound[at])],
+                                             names=[*names, "bound"])
 
-    return both.select(*names, "need", "data", "bits").mapInArrow(run, "c long, n int, g long, part long, band int")
+    return both.select(*names, "need", "data", "bits").mapInArrow(
+        run, "c long, n int, g long, part long, band int, bound long")
 
 
 def links(docs: DataFrame, levels: np.ndarray, texts: _Texts, text_col: str) -> DataFrame:
@@ -428,44 +430,56 @@ def links(docs: DataFrame, levels: np.ndarray, texts: _Texts, text_col: str) ->
     own = materialise(own, "labelled-buckets")
     mixed = own.groupBy("tok").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("tok")
     own = own.join(mixed, "tok", "left_semi")
-    # groups: runs of GROUP members of a component, in the order of their rarest shared tokens
-    place = own.groupBy("c", "n", "g").agg(F.min(F.struct("pos", "tok")).alias("at"))
+    # groups: about GROUP members of a component each
+    place = own.select("c", "n", "band", "g").distinct()
     sizes = place.groupBy("g").agg(F.count(F.lit(1)).alias("k"))
     weight = F.struct(F.col("k"), F.col("g"))
     place = place.join(sizes, "g").select(
-        "c", "n", "g", weight.alias("w"),
-        F.pmod(F.xxhash64("at"), F.ceil(F.col("k") / GROUP)).alias("part"))
+        "c", "n", "band", "g", weight.alias("w"), F.pmod(F.xxhash64("c"), F.ceil(F.col("k") / GROUP)).alias("part"))
     place = materialise(place, "group-members")
-    own = materialise(own.select("tok", "band", "c", "pos").join(place, "c"), "mixed-buckets")
+    own = materialise(own.select("tok", "c", "pos").join(place.drop("part"), "c"), "mixed-buckets")
     gid = ["g", "part", "band"]
-    groups = own.groupBy("tok", *gid, F.col("w").alias("g_w")).agg(
+    whole = own.groupBy("tok", "g", "band", F.col("w").alias("g_w")).agg(
         F.min("n").alias("n_lo"), F.max("n").alias("n_hi"), F.min("pos").alias("g_pos")).select(
-        "tok", *[F.col(k).alias(f"{k}2") for k in gid], "g_w", "n_lo", "n_hi", "g_pos")
-    # the lighter side asks; a link's first shared token leaves enough tokens after it on both sides
+        "tok", F.col("g").alias("g2"), F.col("band").alias("band2"), "g_w", "n_lo", "n_hi", "g_pos")
+    # the lighter side asks, of a component's size band first; a link's first
+    # shared token leaves enough tokens after it on both sides
     n_q, low = F.col("n"), F.greatest(F.col("n_lo"), _least(F.col("n")))
     need = _need(n_q, low)
-    met = own.join(groups, "tok").where(
-        (F.col("g") != F.col("g2")) & (F.col("w") < F.col("g_w"))
-        & (F.col("n_hi") >= _least(n_q)) & (_least(F.col("n_lo")) <= n_q))
+    fits = (F.col("n_hi") >= _least(n_q)) & (_least(F.col("n_lo")) <= n_q)
+    met = own.join(whole, "tok").where((F.col("g") != F.col("g2")) & (F.col("w") < F.col("g_w")) & fits)
     first_shared = (n_q - F.col("pos") >= need) & (F.col("n_hi") - F.col("g_pos") >= need)
-    cands = met.groupBy("c", "n", *[F.col(f"{k}2").alias(k) for k in gid]).agg(
-        F.min("n_lo").alias("n_lo"), F.max("n_hi").alias("n_hi"), F.min(need).alias("need"),
+    cands = met.groupBy("c", "n", F.col("g2").alias("g"), F.col("band2").alias("band")).agg(
+        F.min("n_lo").alias("n_lo"), F.max("n_hi").alias("n_hi"),
         F.count(F.lit(1)).alias("k"), F.max(first_shared).alias("possible"))
     # the least number of shared prefix tokens, at the ends of the group's sizes (it is concave between)
     high = F.least(F.col("n_hi"), F.floor(F.lit(100) * n_q / F.lit(PERCENT)))
     cands = cands.where(F.col("possible") & (F.col("k") >= F.least(
         _slack(n_q, F.greatest(F.col("n_lo"), _least(n_q))), _slack(n_q, high))))
-    cands = materialise(cands.select("c", "n", *gid, "need"), "group-candidates")
+    # then of its groups, the rows of the matrix
+    rows_of = place.groupBy(*gid).agg(F.min("n").alias("n_lo"), F.max("n").alias("n_hi"))
+    cands = cands.select("c", "n", "g", "band").join(rows_of, ["g", "band"]).where(fits)
+    cands = materialise(cands.select("c", "n", *gid, need.alias("need")), "group-candidates")
 
-    members = own.select("c", *gid, F.col("n").alias("n_s")).distinct().join(
-        cands.select(*gid).distinct(), gid, "left_semi")
+    members = place.select("c", *gid, F.col("n").alias("n_s")).join(cands.select(*gid).distinct(), gid, "left_semi")
     members = materialise(members, "opened-members")
     bitmaps = materialise(texts.rows(cands.select("c").union(members.select("c")), True), "group-rows")
-    opened = _qualifying(cands, bitmaps, _unions(members, bitmaps))
-    pairs = opened.join(members.withColumnRenamed("c", "b"), gid).where(
-        F.least("n", "n_s") * 100 >= F.greatest("n", "n_s") * PERCENT).select(F.col("c").alias("a"), "b")
-    second = texts.verified(materialise(pairs, "opened-pairs"))
-    return materialise(first.union(second), "links")
+    opened = materialise(_qualifying(cands, bitmaps, _unions(members, bitmaps)), "opened-groups")
+
+    def against(asked: DataFrame) -> DataFrame:
+        pairs = asked.join(members.withColumnRenamed("c", "b"), gid).where(
+            F.least("n", "n_s") * 100 >= F.greatest("n", "n_s") * PERCENT).select(F.col("c").alias("a"), "b")
+        return materialise(texts.verified(materialise(pairs, "opened-pairs")), "group-links")
+
+    # of a component's open groups the one with the highest bound; then all of
+    # those whose component the query is still apart from
+    best = opened.groupBy("c", "n", "g").agg(F.max_by(F.struct("part", "band"), F.struct("bound", "part", "band")).alias("x"))
+    second = first.union(against(best.select("c", "n", "g", "x.part", "x.band")))
+    now = components(second)
+    label = lambda k, name: now.select(F.col("node").alias(k), F.col("label").alias(name))
+    apart = opened.join(label("c", "l_c"), "c", "left").join(label("g", "l_g"), "g", "left").where(
+        F.coalesce("l_c", "c") != F.coalesce("l_g", "g")).select("c", "n", *gid)
+    return materialise(second.union(against(apart)), "links")
 
 
 def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE) -> DataFrame:
