@@ -40,9 +40,9 @@ from textforge.llm.registry import register, table
 from textforge.llm.scratch import materialise
 from textforge.llm.toxicity import fold
 
-FREQUENT, RARE = 96, 32
+FREQUENT, RARE = 96, 48
 CONTEXT, DIM = 3, 16
-NOISE, BATCH, ROUNDS, RATE = 32, 4096, 3, 0.1
+NOISE, BATCH, ROUNDS, RATE = 32, 1024, 3, 0.1
 FOLDS, HELD_OUT = 10, 0
 SMOOTH = 0.1
 #: Bytes of text per chunk: bounds what a task holds and what a chunk asks for.
@@ -230,7 +230,7 @@ def train(chunks: DataFrame, top: np.ndarray, place: np.ndarray, frequencies: np
 
         def run(batches: Iterator[pa.RecordBatch], r=r, shared=shared) -> Iterator[pa.RecordBatch]:
             start, top_, place_, noise = shared.value
-            mine, squares, seen, key = start.copy(), np.zeros_like(start), 0, 0
+            mine, squares, seen, key = start.copy(), np.full_like(start, 1e-6), 0, 0
             for b in batches:
                 for i in range(b.num_rows):
                     key = b.column(0)[i].as_py()
