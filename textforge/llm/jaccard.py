@@ -431,23 +431,26 @@ def links(docs: DataFrame, levels: np.ndarray, texts: _Texts, text_col: str) ->
     mixed = own.groupBy("tok").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("tok")
     own = own.join(mixed, "tok", "left_semi")
     # groups: about GROUP members of a component each
-    place = own.select("c", "n", "band", "g").distinct()
+    place = own.groupBy("c", "n", "band", "g").agg(F.min("pos").alias("deep"))
     sizes = place.groupBy("g").agg(F.count(F.lit(1)).alias("k"))
     weight = F.struct(F.col("k"), F.col("g"))
     place = place.join(sizes, "g").select(
-        "c", "n", "band", "g", weight.alias("w"), F.pmod(F.xxhash64("c"), F.ceil(F.col("k") / GROUP)).alias("part"))
+        "c", "n", "band", "g", "deep", weight.alias("w"), F.pmod(F.xxhash64("c"), F.ceil(F.col("k") / GROUP)).alias("part"))
     place = materialise(place, "group-members")
     own = materialise(own.select("tok", "c", "pos").join(place.drop("part"), "c"), "mixed-buckets")
     gid = ["g", "part", "band"]
     whole = own.groupBy("tok", "g", "band", F.col("w").alias("g_w")).agg(
-        F.min("n").alias("n_lo"), F.max("n").alias("n_hi"), F.min("pos").alias("g_pos")).select(
-        "tok", F.col("g").alias("g2"), F.col("band").alias("band2"), "g_w", "n_lo", "n_hi", "g_pos")
+        F.min("n").alias("n_lo"), F.max("n").alias("n_hi"), F.min("pos").alias("g_pos"),
+        F.max(F.col("n") - F.col("deep")).alias("g_left")).select(
+        "tok", F.col("g").alias("g2"), F.col("band").alias("band2"), "g_w", "n_lo", "n_hi", "g_pos", "g_left")
     # the lighter side asks, of a component's size band first; a link's first
     # shared token leaves enough tokens after it on both sides
     n_q, low = F.col("n"), F.greatest(F.col("n_lo"), _least(F.col("n")))
     need = _need(n_q, low)
     fits = (F.col("n_hi") >= _least(n_q)) & (_least(F.col("n_lo")) <= n_q)
-    met = own.join(whole, "tok").where((F.col("g") != F.col("g2")) & (F.col("w") < F.col("g_w")) & fits)
+    # neither side may have more tokens of its own before its first shared one than a link leaves room for
+    room = (n_q - F.col("deep") >= need) & (F.col("g_left") >= need)
+    met = own.join(whole, "tok").where((F.col("g") != F.col("g2")) & (F.col("w") < F.col("g_w")) & fits & room)
     first_shared = (n_q - F.col("pos") >= need) & (F.col("n_hi") - F.col("g_pos") >= need)
     cands = met.groupBy("c", "n", F.col("g2").alias("g"), F.col("band2").alias("band")).agg(
         F.min("n_lo").alias("n_lo"), F.max("n_hi").alias("n_hi"),
