@@ -2,7 +2,18 @@
 
 from __future__ import annotations
 
-from textforge.llm import bpe, decontaminate, jaccard, pii, quality, sharding, warc  # noqa: F401
+from textforge.llm import (  # noqa: F401
+    bpe,
+    decontaminate,
+    jaccard,
+    lm,
+    pii,
+    quality,
+    sharding,
+    suffix,
+    toxicity,
+    warc,
+)
 from textforge.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
