@@ -119,12 +119,21 @@ def normalize_arabic(col: Column | str) -> Column:
     return collapse_runs(c)
 
 
+# the characters of WS other than the space, from its ranges
+_OTHER_WS = "".join(map(chr, [9, 10, 11, 12, 13, *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+                              0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def clean_text(col: Column | str) -> Column:
-    """C1, C2, C3-C9, C10, C11 composed; one native expression chain."""
+    """C1, C2, C3-C9, C10, C11 composed; one native expression chain.
+
+    After C9 nothing depends on which whitespace character it is, so all become
+    spaces in one ``translate``, and C10 and C11 work with short classes."""
     c = strip_html_tags(strip_urls(col))
     c = normalize_arabic(c)
-    c = filter_charset(c)
-    return squeeze_whitespace(c)
+    c = F.translate(c, _OTHER_WS, " " * len(_OTHER_WS))
+    c = F.regexp_replace(c, "[^0-9a-zA-Z\\u0600-\\u06FF\\u00C0-\\u00FF ]+", "")
+    return F.trim(F.regexp_replace(c, " {2,}", " "))
 
 
 CLEANERS = {

@@ -1,14 +1,15 @@
 """Corpus preparation: clean, filter, first-wins dedup, format, split.
 
 The whole preparation is one lazy plan
-``scan -> clean -> length filter -> dedup -> to_instruction -> split``
-with a single exchange (the dedup aggregate); the exact split adds one
-range exchange.
+``scan -> clean -> length filter -> dedup -> to_instruction -> split``: an
+exchange of headlines for the dedup aggregate and a join that brings back the
+surviving articles; the exact split adds one range exchange.
 """
 
 from __future__ import annotations
 
 import math
+from decimal import Decimal
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -60,25 +61,29 @@ def dedup_keep_first(df: DataFrame, key: str = "headline",
         *[F.col(f"_first.{c}").alias(c) for c in (*order, *rest)], F.col(key))
 
 
-POS_BITS = 48   # positions below 2**48; split ranks above them in one long
+_WORD, _SHIFT = Decimal(1 << 64), Decimal(1 << 63)
 
 
 def first_positions(df: DataFrame, key: str = "headline", rank: str = "split_rank",
                     pos: str = "pos", keep: Column | None = None) -> DataFrame:
-    """``key -> pos`` of its first row in ``(rank, pos)`` order.
-
-    ``(rank, pos)`` is packed into one long so ``min`` is a fixed-width
-    HashAggregate (partial aggregation per map task, no sort); a key
-    holding a third of all rows leaves one candidate per task. Rows failing
-    ``keep`` never win. The test sits inside the aggregate on purpose: as a
-    Filter it would be pushed below the projection that computes ``key``
-    (duplicating that expression) and below any preceding repartition.
+    """``key -> (rank, pos)`` of its first row in that order.
+
+    The pair is carried as one 38-digit decimal, which holds any two longs, so
+    ``min`` is a fixed-width HashAggregate (partial aggregation per map task,
+    no sort); a key holding a third of all rows leaves one candidate per task.
+    Rows failing ``keep`` never win. The test sits inside the aggregate on
+    purpose: as a Filter it would be pushed below the projection that computes
+    ``key`` (duplicating that expression) and below any preceding repartition.
     """
-    packed = F.col(rank).cast("long") * F.lit(1 << POS_BITS) + F.col(pos)
+    whole = F.col(pos).cast("decimal(20,0)") + F.lit(_SHIFT)
+    pair = (F.col(rank).cast("decimal(10,0)") * F.lit(_WORD) + whole).cast("decimal(38,0)")
     if keep is not None:
-        packed = F.when(keep, packed)
-    firsts = df.groupBy(key).agg(F.min(packed).alias("_first")).where(F.col("_first").isNotNull())
-    return firsts.select(key, (F.col("_first") % F.lit(1 << POS_BITS)).alias(pos))
+        pair = F.when(keep, pair)
+    firsts = df.groupBy(key).agg(F.min(pair).alias("_first")).where(F.col("_first").isNotNull())
+    low = F.pmod(F.col("_first"), F.lit(_WORD))
+    return firsts.select(
+        key, ((F.col("_first") - low) / F.lit(_WORD)).cast(df.schema[rank].dataType).alias(rank),
+        (low - F.lit(_SHIFT)).cast("long").alias(pos))
 
 
 def prepare_corpus(raw: DataFrame, min_length: int = HEADLINE_MIN_LENGTH) -> DataFrame:
@@ -86,14 +91,14 @@ def prepare_corpus(raw: DataFrame, min_length: int = HEADLINE_MIN_LENGTH) -> Dat
 
     Equivalent to ``dedup_keep_first(filter_min_length(clean_corpus(raw)))``
     but ordered for cost: headlines are cleaned and deduplicated first on
-    small rows, then only the surviving articles are joined back on ``pos``
-    and cleaned, so duplicates never pay for the article regex chain.
+    small rows, then only the surviving articles are joined back on
+    ``(split_rank, pos)`` (positions restart in every split) and cleaned, so duplicates never pay for the article regex chain.
     """
     heads = raw.select("split_rank", "pos", clean_text("headline").alias("headline"))
     ok = F.length(trim_ws("headline")) >= min_length
     winners = first_positions(heads, keep=ok)
     rest = [c for c in raw.columns if c != "headline"]
-    kept = winners.join(raw.select(*rest), "pos")
+    kept = winners.join(raw.select(*rest), ["split_rank", "pos"])
     return kept.withColumn("article", clean_text("article")).select(*rest, "headline")
 
 
@@ -187,7 +192,7 @@ def cleaning_report(raw: DataFrame, min_length: int = HEADLINE_MIN_LENGTH) -> Da
     One projection cleans each text once. The first-position aggregate
     carries the length test inside (no Filter over cleaned text for
     Catalyst to push below the projection). Survivors are marked with an
-    equi-join on the unique ``pos``.
+    equi-join on the unique ``(split_rank, pos)``.
     """
     cleaned = raw.select(
         "split", "split_rank", "pos", clean_text("headline").alias("headline"),
@@ -196,8 +201,8 @@ def cleaning_report(raw: DataFrame, min_length: int = HEADLINE_MIN_LENGTH) -> Da
     flagged = cleaned.withColumns({
         "_ok": F.coalesce(F.length(trim_ws("headline")) >= min_length, F.lit(False)),
         "_removed": F.col("_removed_a") - F.coalesce(F.length("headline"), F.lit(0))})
-    first = first_positions(flagged, keep=F.col("_ok")).select("pos", F.lit(True).alias("_kept"))
-    marked = flagged.join(first, "pos", "left")
+    first = first_positions(flagged, keep=F.col("_ok")).select("split_rank", "pos", F.lit(True).alias("_kept"))
+    marked = flagged.join(first, ["split_rank", "pos"], "left")
     kept = F.coalesce(F.col("_kept"), F.lit(False))
     return marked.groupBy("split").agg(
         F.count(F.lit(1)).alias("rows_in"),

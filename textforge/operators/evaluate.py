@@ -301,19 +301,6 @@ def hashed_embedding(text: Column | str, dim: int = 64, tokenizer: str = "unicod
     return _bincount_l2(dim)(hash_buckets(text, dim, tokenizer))
 
 
-def hashed_counts(text: Column | str, dim: int = 64, tokenizer: str = "unicode") -> Column:
-    """Token counts per hash bucket, fully native (O(dim x tokens) per row)."""
-    buckets = hash_buckets(text, dim, tokenizer)
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                       lambda i: F.size(F.filter(buckets, lambda b: b == i)).cast("double"))
-
-
-def l2_normalize(vec: Column | str) -> Column:
-    v = _c(vec)
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x))
-    return F.transform(v, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0)))
-
-
 def batch_embed(df: DataFrame, text: str, out: str = "embedding",
                 load_model: Callable[[], Callable[[list[str]], np.ndarray]] | None = None,
                 dim: int = 64) -> DataFrame:

@@ -10,6 +10,7 @@ with map-side combine.
 from __future__ import annotations
 
 import string
+import json
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -66,21 +67,24 @@ def strip_code_fence(raw: Column | str) -> Column:
     """P10: trim; if fenced keep the part after the first fence, minus a
     leading ``json``; trim again."""
     t = trim_ws(raw)
-    inner = F.element_at(F.split(t, FENCE), 2)
+    inner = F.get(F.split(t, FENCE), F.lit(1))
     inner = F.when(inner.startswith("json"), F.substring(inner, 5, 1 << 30)).otherwise(inner)
     return trim_ws(F.when(t.startswith(FENCE), inner).otherwise(t))
 
 
 def parse_verdict(text: Column | str, required: Sequence[str] = REQUIRED_KEYS,
                   schema: T.StructType = SCALAR_VERDICT) -> Column:
-    """The verdict struct when the text is a JSON object holding every
-    required key; null otherwise."""
+    """The verdict struct when the text is exactly one JSON object holding
+    every required key; null otherwise. The object is parsed as the only member
+    of a list, so that text after it is an error instead of being ignored."""
     c = F.col(text) if isinstance(text, str) else text
-    keys = F.from_json(c, T.MapType(T.StringType(), T.StringType()))
-    ok = F.lit(True)
+    listed, strict = F.concat(F.lit("["), c, F.lit("]")), {"allowSingleQuotes": "false"}
+    objects = F.from_json(listed, T.ArrayType(T.MapType(T.StringType(), T.StringType())), strict)
+    keys = F.get(objects, F.lit(0))
+    ok = F.coalesce(F.size(objects) == 1, F.lit(False))
     for k in required:
         ok = ok & F.coalesce(F.map_contains_key(keys, k), F.lit(False))
-    return F.when(ok, F.from_json(c, schema))
+    return F.when(ok, F.get(F.from_json(listed, T.ArrayType(schema), strict), F.lit(0)))
 
 
 def verdict_fallback(schema: T.StructType = SCALAR_VERDICT) -> Column:
@@ -152,26 +156,48 @@ def judge_win_rate(raw: DataFrame, raw_col: str = "raw") -> DataFrame:
         "axis", "winner", "confidence", "n", (F.col("n") / F.col("_t")).alias("share"))
 
 
+def is_verdict(text: str, required: Sequence[str] = REQUIRED_KEYS) -> bool:
+    """P10 + P11 for one reply, where it is made."""
+    t = text.strip()
+    if t.startswith(FENCE):
+        t = t.split(FENCE)[1]
+        t = t[4:] if t.startswith("json") else t
+    try:
+        parsed = json.loads(t)
+    except ValueError:
+        return False
+    return isinstance(parsed, dict) and all(k in parsed for k in required)
+
+
 def batch_judge(df: DataFrame, prompt: str = "prompt", out: str = "raw",
                 load_client: Callable[[], Callable[[list[str]], list[str]]] | None = None,
-                attempts: int = MAX_ATTEMPTS) -> DataFrame:
-    """Prompt -> raw verdict text per attempt via an iterator pandas UDF
-    (one client per task; rate limiting belongs to the client).
+                attempts: int = MAX_ATTEMPTS, valid: Callable[[str], bool] = is_verdict) -> DataFrame:
+    """Prompt -> raw verdict texts via an iterator pandas UDF (one client
+    per task; rate limiting belongs to the client).
 
-    Output has one row per (input row, attempt) with ``attempt`` 1..n; the
-    default client is a deterministic offline stub.
+    A prompt is asked again only while its reply is not ``valid``, at most
+    ``attempts`` times. Output has one row per (input row, attempt made) with
+    ``attempt`` 1..n; the default client is a deterministic offline stub.
     """
     loader = load_client or stub_judge_client
 
-    @F.pandas_udf(T.StringType())
-    def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def call(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         client = loader()
-        for b in batches:
-            texts = [f"{p}\u0000{a}" for p, a in zip(b["p"], b["a"])]
-            yield pd.Series(client(texts), index=b.index, dtype=object)
-
-    rows = df.withColumn("attempt", F.explode(F.sequence(F.lit(1), F.lit(attempts))))
-    return rows.withColumn(out, call(F.struct(F.col(prompt).alias("p"), F.col("attempt").alias("a"))))
+        for prompts in batches:
+            replies: list[list[str]] = [[] for _ in prompts]
+            todo = list(range(len(prompts)))
+            for a in range(1, attempts + 1):
+                if not todo:
+                    break
+                for i, r in zip(todo, client([f"{prompts.iloc[i]}\u0000{a}" for i in todo])):
+                    replies[i].append(r)
+                todo = [i for i in todo if not valid(replies[i][-1] or "")]
+            yield pd.Series(replies, index=prompts.index, dtype=object)
+
+    made = df.withColumn("_replies", call(F.col(prompt)))
+    return made.select(*df.columns, F.posexplode("_replies").alias("_at", out)).select(
+        *df.columns, (F.col("_at") + 1).alias("attempt"), out)
 
 
 def stub_judge_client() -> Callable[[list[str]], list[str]]:

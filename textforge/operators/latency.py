@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textforge.plans.joins import join_side
+from textforge.plans.joins import checked_broadcast, null_safe_join
 from textforge.plans.ordered import ordered_running
 
 # --- fixed values: stream protocol and report rules ---
@@ -59,7 +59,7 @@ def token_delta(line: Column | str) -> Column:
     l = F.col(line) if isinstance(line, str) else line
     keep = (l != "") & (l != DONE_LINE) & l.startswith(DATA_PREFIX)
     chunk = F.from_json(F.substring(l, len(DATA_PREFIX) + 1, 1 << 30), CHUNK_SCHEMA)
-    d = F.element_at(chunk["choices"], 1)["delta"]["content"]
+    d = F.get(chunk["choices"], F.lit(0))["delta"]["content"]       # null for an empty list of choices
     return F.when(keep & (F.coalesce(d, F.lit("")) != ""), d)
 
 
@@ -69,8 +69,8 @@ def sse_parse(lines: DataFrame, line: str = "line") -> DataFrame:
     l = F.col(line)
     keep = (l != "") & (l != DONE_LINE) & l.startswith(DATA_PREFIX)
     chunk = F.from_json(F.substring(l, len(DATA_PREFIX) + 1, 1 << 30), CHUNK_SCHEMA)
-    first = F.element_at(chunk["choices"], 1)
-    parsed = lines.where(keep).withColumn("_ok", F.element_at(chunk["choices"], 1).isNotNull()) \
+    first = F.get(chunk["choices"], F.lit(0))
+    parsed = lines.where(keep).withColumn("_ok", first.isNotNull()) \
         .withColumn("delta", F.coalesce(first["delta"]["content"], F.lit("")))
     return parsed.where("_ok").drop("_ok", line)
 
@@ -124,7 +124,9 @@ def assemble_text(lines: DataFrame, request: str = "request_id", seq: str = "seq
 def request_metrics(lines: DataFrame, request: str = "request_id", seq: str = "seq",
                     ts: str = "ts") -> DataFrame:
     """L1: ttft (first non-empty delta minus start), total time, token count,
-    tokens/s (0 without tokens) and the first 100 characters of the text.
+    tokens/s (0 without tokens) and the first 100 characters of the text. A
+    request with tokens but no duration has no rate: it counts as failed, with
+    an error and no ttft.
 
     Only tokens starting before character 100 are gathered (a running sum
     of token lengths decides), so the gathered list is bounded.
@@ -142,14 +144,19 @@ def request_metrics(lines: DataFrame, request: str = "request_id", seq: str = "s
     m = times.join(first, request, "left").join(head, request, "left")
     total_us = micros_between("_start", "_end")
     n = F.coalesce(F.col("token_count"), F.lit(0))
+    instant = (n > 0) & (total_us == 0)
     return m.select(
         request,
-        (micros_between("_start", "_first") / 1000.0).alias("ttft_ms"),
+        F.when(~instant, micros_between("_start", "_first") / 1000.0).alias("ttft_ms"),
         (total_us / 1000.0).alias("total_time_ms"),
         n.cast("int").alias("token_count"),
-        F.when(n > 0, n / (total_us / 1e6)).otherwise(F.lit(0.0)).alias("tokens_per_sec"),
+        F.when(n > 0, F.try_divide(n.cast("double"), total_us / 1e6)).otherwise(F.lit(0.0)).alias("tokens_per_sec"),
         F.coalesce(F.col("response"), F.lit("")).alias("response"),
-        F.lit(None).cast("string").alias("error"))
+        F.when(instant, F.lit(ZERO_DURATION)).alias("error"))
+
+
+#: Error text of a request whose lines all share one timestamp.
+ZERO_DURATION = "zero duration"
 
 
 def exact_mean(col: Column | str) -> Column:
@@ -177,9 +184,9 @@ def latency_summary(measured: DataFrame, label: str = "label", key: str = "reque
     counts = measured.groupBy(label).agg(F.count(F.lit(1)).alias("n_requests"))
     valid = filter_valid_results(measured)
     pos = ordered_running(valid, [label], ["ttft_ms", key], index_col="_i")
+    # one row per label: broadcast after a check of its bytes (a label may hold most rows)
     sizes = valid.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    # one row per label: broadcast after a size check (a label may hold most rows)
-    ranked = join_side(pos, sizes, label)
+    ranked = null_safe_join(pos, checked_broadcast(sizes), [label])
     i, n, v = F.col("_i"), F.col("_n"), F.col("ttft_ms")
     mid = (i == F.floor((n - 1) / 2)) | (i == F.floor(n / 2))
     aggs = [F.count(F.lit(1)).alias("n_successful"), exact_mean(v).alias("ttft_mean_ms"),
@@ -191,7 +198,7 @@ def latency_summary(measured: DataFrame, label: str = "label", key: str = "reque
              exact_mean("tokens_per_sec").alias("throughput_mean_tps"),
              F.max("tokens_per_sec").alias("throughput_max_tps")]
     stats = ranked.groupBy(label).agg(*aggs)
-    out = stats.join(counts, label)
+    out = null_safe_join(stats, counts, [label])
     return out.withColumn("n_failed", F.col("n_requests") - F.col("n_successful")).select(label, *STAT_ORDER)
 
 
@@ -200,7 +207,7 @@ def percentile_rank_floor(df: DataFrame, value: str, by: Sequence[str], tie: Seq
     """L3 alone: ``sorted(values)[int(n * q)]`` per group, exactly."""
     pos = ordered_running(df, list(by), [value, *tie], index_col="_i")
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = join_side(pos, sizes, list(by))
+    ranked = null_safe_join(pos, sizes, list(by))
     return ranked.groupBy(*by).agg(*[
         F.max(F.when(F.col("_i") == F.floor(F.col("_n") * F.lit(q)), F.col(value)))
         .alias(f"p{int(round(q * 100))}") for q in qs])

@@ -104,7 +104,7 @@ def extract_response(df: DataFrame, body: str = "body") -> DataFrame:
     """Summary (first choice, stripped) and usage counts from the body."""
     r = F.from_json(F.col(body), RESPONSE_SCHEMA)
     return df.withColumns({
-        "summary": trim_ws(F.element_at(r["choices"], 1)["message"]["content"]),
+        "summary": trim_ws(F.get(r["choices"], F.lit(0))["message"]["content"]),
         "prompt_tokens": r["usage"]["prompt_tokens"],
         "completion_tokens": r["usage"]["completion_tokens"],
         "total_tokens": r["usage"]["total_tokens"],

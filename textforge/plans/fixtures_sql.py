@@ -8,10 +8,11 @@ V = ("concat('{\"faithfulness\": ', CAST(1 + 4 * quality AS VARCHAR), "
 
 B1 = """SELECT CASE WHEN doc_id % 10 = 0 THEN 'test' WHEN doc_id % 10 = 1 THEN 'validation' ELSE 'train' END AS split,
        CASE WHEN doc_id % 10 = 0 THEN 2 WHEN doc_id % 10 = 1 THEN 1 ELSE 0 END AS split_rank,
-       doc_id AS pos, text AS article, split_part(text, chr(10), 1) AS headline
+       CASE WHEN doc_id % 10 < 2 THEN doc_id // 10 ELSE doc_id // 10 * 8 + doc_id % 10 - 2 END AS pos, text AS article, split_part(text, chr(10), 1) AS headline
 FROM documents"""
 
-B2 = """SELECT pos AS id, 'Summarize this text:' AS instruction, article AS input, headline AS output FROM b1"""
+B2 = """SELECT doc_id AS id, 'Summarize this text:' AS instruction, text AS input, split_part(text, chr(10), 1) AS output
+FROM documents"""
 
 B3 = """SELECT doc_id AS id, m.model, text AS input, split_part(text, chr(10), 1) AS reference,
        CASE WHEN doc_id % 20 = 1 THEN '' ELSE substring(text, m.start, 80) END AS predicted
@@ -23,7 +24,10 @@ FROM embeddings a JOIN (SELECT 'finetuned' AS model, 1 AS k UNION ALL SELECT 'ba
 JOIN embeddings p ON p.vec_id = a.vec_id + k.k"""
 
 B5 = f"""SELECT doc_id AS id, n AS attempt,
-       CASE WHEN doc_id % 5 = 0 THEN {V}
+       CASE WHEN n = 1 AND doc_id % 7 = 3 THEN translate({V}, '"', '\'\'')
+            WHEN n = 1 AND doc_id % 7 = 5 THEN concat({V}, ' Hope this helps')
+            WHEN n = 1 AND doc_id % 7 = 6 THEN concat({V}, ' {{')
+            WHEN doc_id % 5 = 0 THEN {V}
             WHEN doc_id % 5 = 1 THEN concat('```json', chr(10), {V}, chr(10), '```')
             WHEN doc_id % 5 = 2 AND n < 3 THEN 'not json'
             WHEN doc_id % 5 = 2 THEN {V}
@@ -58,6 +62,7 @@ B6 = """SELECT user_id AS request_id, seq, ts,
        CASE WHEN seq = last_seq THEN 'data: [DONE]' WHEN event_type = 'signup' THEN ''
             WHEN event_type = 'error' THEN 'data: {bad'
             WHEN event_type = 'view' THEN 'data: {"choices":[{"delta":{}}]}'
+            WHEN event_id % 23 = 5 THEN 'data: {"choices":[]}'
             ELSE concat('data: {"choices":[{"delta":{"content":"c', CAST(event_id AS VARCHAR), ' "}}]}') END AS line
 FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq,
              count(*) OVER (PARTITION BY user_id) - 1 AS last_seq FROM events) e"""
@@ -86,7 +91,8 @@ B10 = """SELECT event_id AS request_id, CASE WHEN user_id % 2 = 0 THEN 'model-a'
        CASE WHEN event_type = 'error' THEN 'timeout' WHEN event_type = 'view' AND event_id % 3 = 0 THEN 'exception' ELSE 'response' END AS outcome,
        CASE WHEN event_type = 'error' THEN NULL WHEN event_type = 'click' AND event_id % 3 = 0 THEN 503 ELSE 200 END AS status_code,
        value * 8 AS latency_ms,
-       concat('{"choices":[{"message":{"content":"  s', CAST(event_id AS VARCHAR), ' "}}],"usage":{"prompt_tokens":', CAST(10 + event_id % 90 AS VARCHAR),
+       concat(CASE WHEN event_id % 17 = 4 THEN '{"choices":[' ELSE concat('{"choices":[{"message":{"content":"  s', CAST(event_id AS VARCHAR), ' "}}') END,
+              '],"usage":{"prompt_tokens":', CAST(10 + event_id % 90 AS VARCHAR),
               ',"completion_tokens":', CAST(1 + event_id % 50 AS VARCHAR), ',"total_tokens":', CAST(11 + event_id % 90 + event_id % 50 AS VARCHAR), '}}') AS body
 FROM events"""
 
@@ -95,11 +101,9 @@ ALL = {"b1": B1, "b2": B2, "b3": B3, "b4": B4, "b5": B5, "b5p": B5P, "b6": B6, "
 
 
 def with_bindings(sql: str, *names: str) -> str:
-    """Prefix ``sql`` with the named bindings as CTEs (b2 pulls in b1)."""
+    """Prefix ``sql`` with the named bindings as CTEs."""
     need = []
     for n in names:
-        if n == "b2" and "b1" not in need:
-            need.append("b1")
         if n not in need:
             need.append(n)
     ctes = ",\n".join(f"{n} AS ({ALL[n]})" for n in need)

@@ -1,10 +1,9 @@
-"""Joins against per-key side tables.
+"""Joins that keep null keys.
 
-A side table with one row per key (group sizes, centroids) is tiny when the
-key has few values, and then the key is exactly what makes a sort-merge
-join dangerous: one value may hold a third of the big side. Such sides are
-broadcast, but only after their size is checked; beyond the bound the
-plain join is left to AQE, which splits skewed partitions.
+``df.join(other, "key")`` loses rows whose key is null. A side table with one
+row per key (group sizes, statistics) is joined null-safely instead. How a hot
+key is split is left to adaptive execution; a small side of a written table can
+be broadcast after a check of its bytes.
 """
 
 from __future__ import annotations
@@ -14,17 +13,21 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_BROADCAST_ROWS = 1_000_000
 
+MAX_BROADCAST_BYTES = 8 << 20
 
-def checked_broadcast(side: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """``broadcast(side)`` if it has at most ``max_rows`` rows (one small count
-    job over the aggregated side), else ``side`` unchanged."""
-    n = side.limit(max_rows + 1).count()
-    return F.broadcast(side) if n <= max_rows else side
 
+def checked_broadcast(side: DataFrame, row_bytes: int = 64) -> DataFrame:
+    """``broadcast(side)`` if its rows, at ``row_bytes`` each, fit the bound, else
+    ``side``. The check counts rows of ``side``: use it on cheap sides only."""
+    most = MAX_BROADCAST_BYTES // row_bytes
+    return F.broadcast(side) if side.limit(most + 1).count() <= most else side
 
-def join_side(big: DataFrame, side: DataFrame, on: Sequence[str] | str, how: str = "inner",
-              max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """``big.join(side)`` with the size-checked broadcast of ``side``."""
-    return big.join(checked_broadcast(side, max_rows), on, how)
+
+def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """``left.join(right, on)`` where null equals null; key columns are left's."""
+    renamed = right.select(*[F.col(c).alias(f"_tf_r_{c}") if c in on else F.col(c) for c in right.columns])
+    cond = F.lit(True)
+    for c in on:
+        cond = cond & left[c].eqNullSafe(renamed[f"_tf_r_{c}"])
+    return left.join(renamed, cond, how).drop(*[f"_tf_r_{c}" for c in on])

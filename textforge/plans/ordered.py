@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
+from textforge.plans.joins import null_safe_join
 from textforge.session import ensure_checkpoint_dir
 
 PID = "_tf_pid"
@@ -43,22 +44,32 @@ def _bytes(text: str) -> int:
     return int(m.group(1)) * _UNITS.get(m.group(2).lower(), 1) if m else 64 << 20
 
 
+#: Session setting that bounds the range pieces; larger pieces sort with spilling.
+MAX_PIECES_CONF, MAX_PIECES = "spark.textforge.ordered.maxPieces", 20000
+
+
+def leaf_bytes(df: DataFrame) -> int | None:
+    """Bytes of the scans under ``df``: grows with the input, unlike the size
+    estimate of a join, which multiplies its sides."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(sizes) if all(s < (1 << 62) for s in sizes) else None
+
+
 def _partitions(df: DataFrame, num_partitions: int | None) -> int:
-    """Range pieces: one per advisory partition size of the estimated input
-    (AQE cannot coalesce an explicit range exchange, so size it up front), at
-    least the cluster's parallelism; the shuffle width when size is unknown."""
+    """Range pieces: one per advisory partition size of the scanned bytes (AQE
+    cannot coalesce an explicit range exchange, so size it up front), at least
+    the cluster's parallelism, at most the session's bound; the shuffle width
+    when the size is unknown."""
     if num_partitions:
         return int(num_partitions)
     spark = df.sparkSession
-    fallback = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    try:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001 - statistics are an optimisation only
-        return fallback
-    if size >= (1 << 62):
-        return fallback
+    size = leaf_bytes(df)
+    if size is None:
+        return int(spark.conf.get("spark.sql.shuffle.partitions"))
     target = _bytes(spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64MB"))
-    return max(spark.sparkContext.defaultParallelism, -(-size // max(target, 1)))
+    most = int(spark.conf.get(MAX_PIECES_CONF, str(MAX_PIECES)))
+    return min(most, max(spark.sparkContext.defaultParallelism, -(-size // max(target, 1))))
 
 
 def ordered_running(
@@ -117,8 +128,8 @@ def ordered_running(
         F.coalesce(F.sum("_tf_cnt").over(before), F.lit(0)).alias("_tf_off_cnt"),
         *[F.coalesce(F.sum(f"_tf_tot_{tmp}").over(before), F.lit(0)).alias(f"_tf_off_{tmp}")
           for tmp in tmp_sums.values()])
-    # at most 2 * P rows: a proven bound, so broadcasting it is safe
-    out = local.join(F.broadcast(offs), [PID, *group_cols], "left")
+    # at most 2 * P rows, and P is bounded by MAX_PIECES_CONF; null groups are groups too
+    out = null_safe_join(local, F.broadcast(offs), [PID, *group_cols], "left")
     if index_col:
         out = out.withColumn(index_col,
                              F.coalesce(F.col("_tf_off_cnt"), F.lit(0)) + F.col("_tf_cnt") - 1)
@@ -140,18 +151,3 @@ def ordered_index(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence
 def group_sizes(df: DataFrame, group_cols: Sequence[str], name: str = "n") -> DataFrame:
     """Rows per group, as a partial+final aggregate (map-side combine)."""
     return df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias(name))
-
-
-def rank_select(df: DataFrame, group_cols: Sequence[str], value_col: str,
-                tie_cols: Sequence[str], ranks: Column, num_partitions: int | None = None
-                ) -> DataFrame:
-    """Rows whose 0-based ascending position by ``value_col`` satisfies ``ranks``.
-
-    ``ranks`` may use ``idx`` (position) and ``n`` (group size). This is the
-    exact order statistic of each group without gathering a group in one
-    task or in memory.
-    """
-    idx = ordered_index(df, group_cols, [value_col, *tie_cols], num_partitions=num_partitions)
-    from textforge.plans.joins import join_side
-    sizes = group_sizes(df, group_cols)
-    return join_side(idx, sizes, list(group_cols)).where(ranks)

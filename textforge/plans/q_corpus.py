@@ -92,8 +92,8 @@ def clean_text_conversations(spark, sf):
 # ---- C13 / C14 -------------------------------------------------------------
 _CLEAN_B1 = (
     "SELECT b.split, b.split_rank, b.pos, a.cleaned AS article, h.cleaned AS headline FROM b1 b "
-    f"JOIN ({S.clean_text_select('pos', 'article', 'b1')}) a ON a.pos = b.pos "
-    f"JOIN ({S.clean_text_select('pos', 'headline', 'b1')}) h ON h.pos = b.pos"
+    f"JOIN ({S.clean_text_select('split_rank, pos', 'article', 'b1')}) a ON a.split_rank = b.split_rank AND a.pos = b.pos "
+    f"JOIN ({S.clean_text_select('split_rank, pos', 'headline', 'b1')}) h ON h.split_rank = b.split_rank AND h.pos = b.pos"
 )
 
 
@@ -115,7 +115,7 @@ SELECT r.split, count(*) AS rows_in,
        CAST(sum(coalesce(length(r.article), 0) + coalesce(length(r.headline), 0)
            - coalesce(length(c.article), 0) - coalesce(length(c.headline), 0)) AS BIGINT) AS chars_removed
 FROM b1 r JOIN (SELECT *, CASE WHEN {_SHORT} THEN NULL ELSE row_number() OVER
-      (PARTITION BY headline, {_SHORT} ORDER BY split_rank, pos) END AS rn FROM cleaned) c ON c.pos = r.pos
+      (PARTITION BY headline, {_SHORT} ORDER BY split_rank, pos) END AS rn FROM cleaned) c ON c.split_rank = r.split_rank AND c.pos = r.pos
 GROUP BY r.split"""
 
 
@@ -215,9 +215,11 @@ def assign_round_robin(spark, sf):
 @register("union_splits", _with_clean(
     f"SELECT pos, split, {_split_sql(_bucket_sql('pos'))} AS new_split FROM ({_DEDUP}) f"))
 def union_splits(spark, sf):
-    prepared = C.prepare_corpus(B.articles(spark, sf)).select("pos", "split")
-    parts = [prepared.where(F.col("split") == s) for s in C.SPLIT_ORDER]
-    return C.split_hash(C.union_splits(*parts), "pos", out="new_split")
+    raw = B.articles(spark, sf)
+    parts = [raw.where(F.col("split") == s) for s in C.SPLIT_ORDER]
+    parts.append(raw.where(~F.col("split").isin(*C.SPLIT_ORDER)))       # whatever else there is
+    prepared = C.prepare_corpus(C.union_splits(*parts)).select("pos", "split")
+    return C.split_hash(prepared, "pos", out="new_split")
 
 
 # ---- the whole preparation pipeline (entry) --------------------------------

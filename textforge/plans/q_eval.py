@@ -14,7 +14,7 @@ from textforge.operators import evaluate as EV
 from textforge.operators import judge as J
 from textforge.plans import sql_text as S
 from textforge.plans.fixtures_sql import with_bindings
-from textforge.plans.joins import join_side
+from textforge.plans.joins import null_safe_join
 from textforge.plans.registry import register
 from textforge.sources import bindings as B
 from textforge.sources.tables import read_table
@@ -234,7 +234,7 @@ FROM embeddings e JOIN pooled p USING (label)""")
 def cosine_similarity(spark, sf):
     e = read_table(spark, sf, "embeddings")
     cent = EV.pooled_vectors(EV.masked_mean_pool(e, ["label"]), ["label"])
-    return join_side(e, cent, "label").select(
+    return null_safe_join(e, cent, ["label"]).select(
         "vec_id", "label", EV.cosine_similarity("embedding", "vector").alias("similarity"))
 
 

@@ -4,8 +4,6 @@
 from __future__ import annotations
 
 import contextlib
-import os
-import time
 import uuid
 
 from pyspark.sql import functions as F
@@ -146,6 +144,12 @@ def scan_csv(spark, sf):
     return IO.scan_csv(spark, path).withColumn("id", F.col("id").cast("long"))
 
 
+@register("dataset_manifest_directories")
+def dataset_manifest_directories(spark, sf):
+    files, dirs = IO.dataset_manifest(spark, sf, "*.parquet")
+    return dirs.select(F.regexp_extract("dir", "[^/]*$", 0).alias("dir"), "nfiles", "size", "md5")
+
+
 @register("dataset_manifest")
 def dataset_manifest(spark, sf):
     files, dirs = IO.dataset_manifest(spark, sf, "*.parquet")
@@ -153,31 +157,31 @@ def dataset_manifest(spark, sf):
 
 
 # ---- S11 + T1..T3 as real streams over the log B6 -----------------------------------
-def _write_log_stream(spark, sf, parts: int = 4) -> str:
-    """B6 as ``parts`` JSON files in time order, written one after another."""
-    path = _scratch(spark, "lines")
+LOG_PARTS = 4
+
+
+def _log_parts(spark, sf, path: str, parts: int = LOG_PARTS):
+    """Append B6 to ``path`` in ``parts`` steps of event time; yields after each.
+    Every step is written by as many tasks as it has."""
     b6 = B.stream_lines(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
     cuts = b6.select(F.percentile_approx("ts", [i / parts for i in range(1, parts)]).alias("c")).first()["c"]
-    bounds = [None, *cuts, None]
-    local = path[5:] if path.startswith("file:") else (path if path.startswith("/") else None)
-    t0 = time.time() - parts
-    for i in range(parts):
-        lo, hi = bounds[i], bounds[i + 1]
+    for lo, hi in zip([None, *(cuts or [])], [*(cuts or []), None]):
         cond = F.lit(True)
         if lo is not None:
             cond = cond & (F.col("ts") > F.lit(lo))
         if hi is not None:
             cond = cond & (F.col("ts") <= F.lit(hi))
-        before = set(os.listdir(local)) if local and os.path.isdir(local) else set()
-        IO.write_lines(b6.where(cond).coalesce(1), path)
-        # distinct file times: the source replays files in modification-time order
-        if local:
-            for f in set(os.listdir(local)) - before:
-                if not f.startswith((".", "_")):
-                    os.utime(os.path.join(local, f), (t0 + i, t0 + i))
-        else:
-            time.sleep(1.05)
-    return path
+        IO.write_lines(b6.where(cond), path)
+        yield
+
+
+def _follow_log(spark, sf, writer) -> None:
+    """Run a stream over the growing log: ``writer(source)`` is started once per
+    step with the same checkpoint and takes all that the step added as one
+    micro-batch, so a request's lines arrive in order on any storage."""
+    path = _scratch(spark, "lines")
+    for _ in _log_parts(spark, sf, path):
+        _start(spark, writer(IO.stream_lines_source(spark, path, None)))
 
 
 @contextlib.contextmanager
@@ -200,18 +204,28 @@ def _start(spark, writer):
     return q
 
 
+def _sink(spark, name: str, mode: str = "append"):
+    """(folder, writer) of a Parquet sink whose runs share one checkpoint."""
+    out, ckpt = _scratch(spark, f"{name}-out"), _scratch(spark, f"{name}-ckpt")
+    return out, lambda df: (df.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
+                            .outputMode(mode).trigger(availableNow=True))
+
+
 def _run_stream(spark, df, name: str, mode: str = "append"):
-    out = _scratch(spark, f"{name}-out")
-    _start(spark, df.writeStream.format("parquet").option("path", out)
-           .option("checkpointLocation", _scratch(spark, f"{name}-ckpt"))
-           .outputMode(mode).trigger(availableNow=True))
+    out, writer = _sink(spark, name, mode)
+    _start(spark, writer(df))
+    return spark.read.parquet(out)
+
+
+def _run_over_log(spark, sf, transform, name: str):
+    out, writer = _sink(spark, name)
+    _follow_log(spark, sf, lambda src: writer(transform(src)))
     return spark.read.parquet(out)
 
 
 @register("stream_sse_parse", with_bindings(f"SELECT request_id, seq, delta FROM ({_PARSED}) p", "b6"))
 def stream_sse_parse(spark, sf):
-    src = IO.stream_lines_source(spark, _write_log_stream(spark, sf))
-    return _run_stream(spark, SS.parse_stream(src).select("request_id", "seq", "delta"), "parse")
+    return _run_over_log(spark, sf, lambda src: SS.parse_stream(src).select("request_id", "seq", "delta"), "parse")
 
 
 @register("stream_relay_events", with_bindings(
@@ -221,8 +235,7 @@ def stream_sse_parse(spark, sf):
     f"LEFT JOIN (SELECT request_id, count(*) FILTER (WHERE delta <> '') AS n FROM ({_PARSED}) p GROUP BY 1) c "
     f"ON c.request_id = s.request_id", "b6"))
 def stream_relay_events(spark, sf):
-    src = IO.stream_lines_source(spark, _write_log_stream(spark, sf))
-    ev = _run_stream(spark, SS.relay_events(src, timeout=False), "relay")
+    ev = _run_over_log(spark, sf, lambda src: SS.relay_events(src, timeout=False), "relay")
     schema = "token string, index long, elapsed_ms double, done boolean, total_tokens long, total_ms double"
     j = F.from_json("event", schema)
     return ev.select("request_id", "seq", "kind",
@@ -248,14 +261,13 @@ def stream_validate_requests(spark, sf):
 @register("stream_assemble", with_bindings(
     f"SELECT request_id, string_agg(delta, '' ORDER BY seq) AS text FROM ({_TOKENS}) t GROUP BY 1", "b6"))
 def stream_assemble(spark, sf):
-    src = IO.stream_lines_source(spark, _write_log_stream(spark, sf))
-    out = _scratch(spark, "assembled")
+    out, ckpt = _scratch(spark, "assembled"), _scratch(spark, "assemble-ckpt")
 
     def snapshot(batch, batch_id):
         batch.write.mode("overwrite").parquet(out)      # complete mode: the batch is the whole table
 
-    _start(spark, SS.assemble_stream(src).writeStream.outputMode("complete").foreachBatch(snapshot)
-           .option("checkpointLocation", _scratch(spark, "assemble-ckpt")).trigger(availableNow=True))
+    _follow_log(spark, sf, lambda src: SS.assemble_stream(src).writeStream.outputMode("complete").foreachBatch(snapshot)
+                .option("checkpointLocation", ckpt).trigger(availableNow=True))
     return spark.read.parquet(out)
 
 
@@ -280,8 +292,7 @@ def write_stats_report(spark, sf):
 
 @register("stream_lines_source", with_bindings("SELECT request_id, seq, line FROM b6", "b6"))
 def stream_lines_source(spark, sf):
-    src = IO.stream_lines_source(spark, _write_log_stream(spark, sf))
-    return _run_stream(spark, src.select("request_id", "seq", "line"), "source")
+    return _run_over_log(spark, sf, lambda src: src.select("request_id", "seq", "line"), "source")
 
 
 @register("metrics_callback", with_bindings(
@@ -295,28 +306,27 @@ def metrics_callback(spark, sf):
 
 @register("stream_latency_stats", STREAM_STATS_SQL)
 def stream_latency_stats(spark, sf):
-    src = IO.stream_lines_source(spark, _write_log_stream(spark, sf))
-    out = _scratch(spark, "progress")
+    out, ckpt = _scratch(spark, "progress"), _scratch(spark, "progress-ckpt")
 
     def snapshot(batch, batch_id):
         batch.write.mode("overwrite").parquet(out)      # complete mode: the batch is the whole state
 
-    _start(spark, SS.request_progress(src).writeStream.outputMode("complete").foreachBatch(snapshot)
-           .option("checkpointLocation", _scratch(spark, "progress-ckpt")).trigger(availableNow=True))
+    _follow_log(spark, sf, lambda src: SS.request_progress(src).writeStream.outputMode("complete").foreachBatch(snapshot)
+                .option("checkpointLocation", ckpt).trigger(availableNow=True))
     return SS.stream_latency_stats(spark.read.parquet(out))
 
 
 @register("dedup_stream", _with_clean(f"SELECT DISTINCT headline FROM cleaned WHERE NOT ({_SHORT})"))
 def dedup_stream(spark, sf):
-    """F3 as a stream: cleaned, long-enough headlines arrive with an event time
-    derived from their position; with a watermark delay wider than the span
-    of the input every key is emitted exactly once (its first arrival)."""
+    """F3 as a stream: cleaned, long-enough headlines arrive with one event time,
+    so no row is ever late and every key is emitted exactly once (its first
+    arrival), however large the table."""
     from textforge.functions.text import clean_text, trim_ws
     raw = B.articles(spark, sf).select("pos", clean_text("headline").alias("headline"))
     ok = F.length(trim_ws("headline")) >= C.HEADLINE_MIN_LENGTH
     rows = raw.withColumn("_ok", ok).where("_ok").select(
-        "headline", F.timestamp_seconds("pos").alias("ts"))
+        "headline", F.timestamp_seconds(F.lit(86400)).alias("ts"))
     src_path = _scratch(spark, "headlines")
     rows.write.parquet(src_path)
     src = spark.readStream.schema("headline string, ts timestamp").option("maxFilesPerTrigger", 2).parquet(src_path)
-    return _run_stream(spark, SS.dedup_stream(src, "headline", "ts", "7 days"), "dedup").select("headline")
+    return _run_stream(spark, SS.dedup_stream(src, "headline", "ts"), "dedup").select("headline")

@@ -29,6 +29,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("TEXTFORGE_DRIVER_MEMORY", "16g"))
+        .config("spark.textforge.spread", str(cores if str(cores).isdigit() else os.cpu_count()))
         .config(CHECKPOINT_CONF, os.environ.get("TEXTFORGE_CHECKPOINT_DIR")
                 or tempfile.mkdtemp(prefix="textforge-ckpt-"))
         .getOrCreate()
@@ -52,8 +53,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf = sc.getConf().get(CHECKPOINT_CONF, None)
     if not conf:
-        # unset: a local run or a test, never a cluster
-        conf = tempfile.mkdtemp(prefix="textforge-ckpt-")
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError(f"{CHECKPOINT_CONF} must name a folder that all executors share")
+        conf = tempfile.mkdtemp(prefix="textforge-ckpt-")     # a local run or a test
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf
 

@@ -23,13 +23,15 @@ def _lit_rows(*rows: tuple) -> "F.Column":
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """B1: raw corpus ``split, split_rank, pos, article, headline``."""
+    """B1: raw corpus ``split, split_rank, pos, article, headline``; positions
+    restart in every split."""
     d = read_table(spark, sf_dir, "documents")
     m = F.col("doc_id") % 10
+    ten = F.floor(F.col("doc_id") / 10)
     return d.select(
         F.when(m == 0, "test").when(m == 1, "validation").otherwise("train").alias("split"),
         F.when(m == 0, 2).when(m == 1, 1).otherwise(0).alias("split_rank"),
-        F.col("doc_id").alias("pos"),
+        F.when(m < 2, ten).otherwise(ten * 8 + m - 2).alias("pos"),
         F.col("text").alias("article"),
         F.split_part(F.col("text"), F.lit(NL), F.lit(1)).alias("headline"),
     )
@@ -37,9 +39,10 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B2: instruction records ``id, instruction, input, output``."""
-    b1 = articles(spark, sf_dir)
-    return b1.select(F.col("pos").alias("id"), F.lit("Summarize this text:").alias("instruction"),
-                     F.col("article").alias("input"), F.col("headline").alias("output"))
+    d = read_table(spark, sf_dir, "documents")
+    return d.select(F.col("doc_id").alias("id"), F.lit("Summarize this text:").alias("instruction"),
+                    F.col("text").alias("input"),
+                    F.split_part(F.col("text"), F.lit(NL), F.lit(1)).alias("output"))
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,8 +82,11 @@ def raw_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     lab = read_table(spark, sf_dir, "labels")
     t = lab.select("*", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("n"))
     v = verdict_json()
-    m = F.col("doc_id") % 5
-    raw = (F.when(m == 0, v)
+    m, first = F.col("doc_id") % 5, F.col("n") == 1
+    raw = (F.when(first & (F.col("doc_id") % 7 == 3), F.translate(v, '"', "'"))      # single quotes
+           .when(first & (F.col("doc_id") % 7 == 5), F.concat(v, F.lit(" Hope this helps")))
+           .when(first & (F.col("doc_id") % 7 == 6), F.concat(v, F.lit(" {")))
+           .when(m == 0, v)
            .when(m == 1, F.concat(F.lit("```json" + NL), v, F.lit(NL + "```")))
            .when((m == 2) & (F.col("n") < 3), F.lit("not json"))
            .when(m == 2, v)
@@ -127,6 +133,7 @@ def stream_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             .when(t == "signup", F.lit(""))
             .when(t == "error", F.lit("data: {bad"))
             .when(t == "view", F.lit('data: {"choices":[{"delta":{}}]}'))
+            .when(F.col("event_id") % 23 == 5, F.lit('data: {"choices":[]}'))
             .otherwise(F.concat(F.lit('data: {"choices":[{"delta":{"content":"c'),
                                 F.col("event_id").cast("string"), F.lit(' "}}]}'))))
     return e.select(F.col("user_id").alias("request_id"), F.col("seq").cast("long").alias("seq"),
@@ -181,8 +188,9 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read_table(spark, sf_dir, "events")
     i, t = F.col("event_id"), F.col("event_type")
     body = F.concat(
-        F.lit('{"choices":[{"message":{"content":"  s'), i.cast("string"),
-        F.lit(' "}}],"usage":{"prompt_tokens":'), (10 + i % 90).cast("string"),
+        F.when(i % 17 == 4, F.lit('{"choices":[')).otherwise(F.concat(
+            F.lit('{"choices":[{"message":{"content":"  s'), i.cast("string"), F.lit(' "}}'))),
+        F.lit('],"usage":{"prompt_tokens":'), (10 + i % 90).cast("string"),
         F.lit(',"completion_tokens":'), (1 + i % 50).cast("string"),
         F.lit(',"total_tokens":'), (11 + i % 90 + i % 50).cast("string"), F.lit("}}"))
     return e.select(

@@ -46,17 +46,17 @@ def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
+#: Session setting for runs on one machine over small files: deal every scan to
+#: so many partitions (0, the default, leaves scans as they are).
+SPREAD_CONF = "spark.textforge.spread"
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one test table with its declared schema.
 
-    A file with few row groups scans as few tasks however many cores wait,
-    and the text operators are CPU-bound per row. With ``spread`` such a
-    scan is redistributed round-robin to the session's parallelism; a large
-    input already has at least that many splits and is left untouched.
+    A file of one row group scans as one task however many cores wait; a session
+    that works on such files sets SPREAD_CONF. Inputs with many splits need not.
     """
     df = spark.read.schema(SCHEMAS[name]).parquet(table_path(sf_dir, name))
-    if spread:
-        want = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < want:
-            df = df.repartition(want)
-    return df
+    spread = int(spark.conf.get(SPREAD_CONF, "0"))
+    return df.repartition(spread) if spread else df

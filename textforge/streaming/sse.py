@@ -61,11 +61,9 @@ def _relay(timeout: bool):
     def relay(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rid = int(key[0])
         if state.hasTimedOut:
-            n = state.get[0] if state.exists else 0
             state.remove()
             yield pd.DataFrame({"request_id": [rid], "seq": [None], "kind": ["error"],
-                                "event": [json.dumps({"error": TIMEOUT_MESSAGE, "tokens": int(n)},
-                                                     ensure_ascii=False)]})
+                                "event": [json.dumps({"error": TIMEOUT_MESSAGE}, ensure_ascii=False)]})
             return
         pdf = pd.concat(list(batches), ignore_index=True).sort_values("seq")
         n, start, last = state.get if state.exists else (0, None, None)
@@ -140,10 +138,10 @@ def stream_latency_stats(progress: DataFrame, label: Column | None = None) -> Da
     n = F.coalesce(F.col("token_count"), F.lit(0))
     measured = progress.select(
         "request_id", lab.alias("label"),
-        (LT.micros_between("_start", "_first") / 1000.0).alias("ttft_ms"),
+        F.when(~((n > 0) & (total_us == 0)), LT.micros_between("_start", "_first") / 1000.0).alias("ttft_ms"),
         (total_us / 1000.0).alias("total_time_ms"),
-        F.when(n > 0, n / (total_us / 1e6)).otherwise(F.lit(0.0)).alias("tokens_per_sec"),
-        F.lit(None).cast("string").alias("error"))
+        F.when(n > 0, F.try_divide(n.cast("double"), total_us / 1e6)).otherwise(F.lit(0.0)).alias("tokens_per_sec"),
+        F.when((n > 0) & (total_us == 0), F.lit(LT.ZERO_DURATION)).alias("error"))
     return LT.latency_summary(measured)
 
 
@@ -152,15 +150,19 @@ def validate_stream(requests: DataFrame, accepted_path: str, rejected_path: str,
     """Validate a request stream; accepted rows and rejects go to two
     Parquet sinks from one ``foreachBatch`` (batch id makes reruns idempotent)."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        v = RQ.validate_requests(batch).withColumn("_batch", F.lit(batch_id))
-        RQ.accepted_requests(v).write.mode("append").partitionBy("_batch").parquet(accepted_path)
-        (RQ.rejected_requests(v).withColumn("_batch", F.lit(batch_id))
-         .write.mode("append").partitionBy("_batch").parquet(rejected_path))
+        v = RQ.validate_requests(batch).withColumn("_batch", F.lit(batch_id)).persist()
+        for part, path in ((RQ.accepted_requests(v), accepted_path),
+                           (RQ.rejected_requests(v).withColumn("_batch", F.lit(batch_id)), rejected_path)):
+            # a batch that is replayed after a failure replaces its own partition
+            (part.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy("_batch").parquet(path))
+        v.unpersist()
     w = requests.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if trigger_once else w).start()
 
 
 def dedup_stream(df: DataFrame, key: str = "headline", ts: str = "ts", delay: str = "1 hour") -> DataFrame:
-    """first arrival per key with bounded state: repeats further apart than
-    ``delay`` (the watermark) pass through again."""
+    """first arrival per key with state bounded by ``delay`` (the watermark):
+    repeats further apart than it pass through again, and rows later than it are
+    dropped. Give every row one event time to keep all keys for good."""
     return df.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
