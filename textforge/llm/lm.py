@@ -40,13 +40,15 @@ from textforge.llm.registry import register, table
 from textforge.llm.scratch import materialise
 from textforge.llm.toxicity import fold
 
-FREQUENT, RARE = 96, 48
+FREQUENT, RARE = 96, 32
 CONTEXT, DIM = 3, 16
 NOISE, BATCH, ROUNDS, RATE = 32, 1024, 3, 0.1
 FOLDS, HELD_OUT = 10, 0
 SMOOTH = 0.1
 #: Bytes of text per chunk: bounds what a task holds and what a chunk asks for.
 CHUNK_BYTES = 12 << 20
+#: Tokens whose contexts are held at once (whole texts, at least one).
+SLICE_TOKENS = 1 << 18
 _U = np.uint64
 _END = np.uint64(0x8000000000000001)
 N_CLASSES = FREQUENT + RARE + 1      # the last one is the end
@@ -152,13 +154,23 @@ def _contexts(classes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The CONTEXT classes before each token, nearest first; before a text's
     first token stands _START."""
     place = np.arange(len(classes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    out = np.full((len(classes), CONTEXT), _START, np.int64)
+    out = np.full((len(classes), CONTEXT), _START, np.int32)
     for j in range(CONTEXT):
         ok = place > j
         out[ok, j] = classes[np.flatnonzero(ok) - j - 1]
     return out
 
 
+def _slices(lengths: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """Ranges of texts of about SLICE_TOKENS tokens, and their token ranges."""
+    ends = np.cumsum(lengths)
+    lo = at = 0
+    while lo < len(lengths):
+        hi = max(lo + 1, int(np.searchsorted(ends, at + SLICE_TOKENS, "right")))
+        yield lo, hi, at, int(ends[hi - 1])
+        lo, at = hi, int(ends[hi - 1])
+
+
 def train_pass(flat: np.ndarray, squares: np.ndarray, classes: np.ndarray, contexts: np.ndarray, noise_p: np.ndarray,
                seed: int) -> None:
     """One pass of noise-contrastive estimation with Adagrad, in place."""
@@ -237,8 +249,10 @@ def train(chunks: DataFrame, top: np.ndarray, place: np.ndarray, frequencies: np
                     held, lengths, seq = (_unpack(b.column(k)[i].as_py(), t) for k, t in ((1, "?"), (2, "<i4"), (3, "<i4")))
                     vocab, ending = np.frombuffer(b.column(4)[i].as_py(), _U), _unpack(b.column(5)[i].as_py(), "u1")
                     use = ~held & (np.arange(len(held)) % ROUNDS == r)      # every training text, in one of the rounds
-                    classes = _class_map(vocab, ending, top_, place_)[seq[np.repeat(use, lengths)]]
-                    train_pass(mine, squares, classes, _contexts(classes, lengths[use]), noise, (key << 3) + r)
+                    classes = _class_map(vocab, ending, top_, place_).astype(np.int32)[seq[np.repeat(use, lengths)]]
+                    for lo, hi, s, e in _slices(lengths[use]):
+                        contexts = _contexts(classes[s:e], lengths[use][lo:hi])
+                        train_pass(mine, squares, classes[s:e], contexts, noise, (key << 3) + r + (lo << 40))
                     seen += len(classes)
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array([(key >> 24) % 16], pa.int64()), pa.array([float(seen)]),
@@ -306,14 +320,20 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         base = np.log10((c + SMOOTH) / (n_all + SMOOTH * (v_all + 1)))
         rare = (cls >= FREQUENT) & (cls < FREQUENT + RARE)
         inside = np.where(rare, np.log((c + SMOOTH) / (n_r[ending] + SMOOTH * (v_r[ending] + 1))), 0.0)
-        doc = np.repeat(np.arange(len(lengths)), lengths)
-        classes = cls[seq]
-        logp = log_probabilities(flat, classes, _contexts(classes, lengths)) + inside[seq]
         n = len(lengths)
+        found, base_of, score_of = np.zeros(n), np.zeros(n), np.zeros(n)
+        for lo, hi, s, e in _slices(lengths):
+            part = seq[s:e]
+            doc = np.repeat(np.arange(hi - lo), lengths[lo:hi])
+            classes = cls[part]
+            logp = log_probabilities(flat, classes, _contexts(classes, lengths[lo:hi])) + inside[part]
+            found[lo:hi] = np.bincount(doc, c[part] > 0, hi - lo)
+            base_of[lo:hi] = np.bincount(doc, base[part], hi - lo)
+            score_of[lo:hi] = np.bincount(doc, logp, hi - lo)
         return pd.DataFrame({
             id_col: list(row["ids"]), "held_out": held, "n_tokens": lengths.astype(np.int64),
-            "n_known": np.bincount(doc, c[seq] > 0, n).astype(np.int64), "train_tokens": np.full(n, int(n_all)),
-            "base_score": np.bincount(doc, base[seq], n), "score": np.bincount(doc, logp, n) / np.log(10)})
+            "n_known": found.astype(np.int64), "train_tokens": np.full(n, int(n_all)),
+            "base_score": base_of, "score": score_of / np.log(10)})
 
     answers = counts.join(F.broadcast(frequent), "h", "left").select(
         "chunk", "i", "c", F.when(F.col("h") == end, N_CLASSES - 1).otherwise(F.coalesce("cls", F.lit(-1))).alias("cls"))
