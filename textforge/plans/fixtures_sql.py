@@ -16,8 +16,9 @@ FROM documents"""
 
 B3 = """SELECT doc_id AS id, m.model, text AS input, split_part(text, chr(10), 1) AS reference,
        CASE WHEN doc_id % 20 = 1 THEN '' ELSE substring(text, m.start, 80) END AS predicted
-FROM documents JOIN (SELECT 'finetuned' AS model, 1 AS start UNION ALL SELECT 'base', 81) m ON TRUE
-WHERE doc_id % 20 <> 0"""
+FROM documents JOIN (SELECT 'finetuned' AS model, 1 AS start UNION ALL SELECT 'base', 81) m ON TRUE"""
+
+B3_GAPS = f"SELECT * FROM ({B3}) p WHERE id % 20 <> 0"
 
 B4 = """SELECT a.vec_id AS id, k.model, a.embedding AS ref_vec, p.embedding AS pred_vec
 FROM embeddings a JOIN (SELECT 'finetuned' AS model, 1 AS k UNION ALL SELECT 'base', 2) k ON TRUE
@@ -96,7 +97,7 @@ B10 = """SELECT event_id AS request_id, CASE WHEN user_id % 2 = 0 THEN 'model-a'
               ',"completion_tokens":', CAST(1 + event_id % 50 AS VARCHAR), ',"total_tokens":', CAST(11 + event_id % 90 + event_id % 50 AS VARCHAR), '}}') AS body
 FROM events"""
 
-ALL = {"b1": B1, "b2": B2, "b3": B3, "b4": B4, "b5": B5, "b5p": B5P, "b6": B6, "b7": B7,
+ALL = {"b1": B1, "b2": B2, "b3": B3, "b3_gaps": B3_GAPS, "b4": B4, "b5": B5, "b5p": B5P, "b6": B6, "b7": B7,
        "b8": B8, "b9": B9, "b10": B10}
 
 

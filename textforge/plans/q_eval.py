@@ -280,10 +280,10 @@ def align_predictions(spark, sf):
 
 
 @register("skipped_samples", with_bindings(
-    "SELECT id FROM b2 WHERE id NOT IN (SELECT id FROM b3 WHERE model = 'finetuned' "
-    "AND length(predicted) > 0)", "b2", "b3"))
+    "SELECT id FROM b2 WHERE id NOT IN (SELECT id FROM b3_gaps WHERE model = 'finetuned' "
+    "AND length(predicted) > 0)", "b2", "b3_gaps"))
 def skipped_samples(spark, sf):
-    preds = CH.skip_empty_predictions(B.predictions(spark, sf)).where(F.col("model") == "finetuned")
+    preds = CH.skip_empty_predictions(B.predictions_with_gaps(spark, sf)).where(F.col("model") == "finetuned")
     return EV.skipped_samples(B.instructions(spark, sf).select("id"), preds)
 
 
