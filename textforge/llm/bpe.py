@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +30,8 @@ from textforge.llm.registry import register, table
 from textforge.llm.tokens import mix
 
 _MASK = (1 << 64) - 1
-#: Entries of a worker's memo of recent pre-tokens (about 100 bytes each).
-MEMO_ENTRIES = 1 << 17
+#: Entries of a worker's memo of recent pre-tokens (about 200 bytes each).
+MEMO_ENTRIES = 1 << 20
 #: Longer pre-tokens are not worth a memo entry.
 MEMO_BYTES = 64
 
@@ -107,7 +108,7 @@ class Codec:
         tokens = [base64.b64decode(t) for t, _ in pairs]
         ranks = [int(r) for _, r in pairs]
         self.hash = PerfectHash(tokens)
-        self.rank_of = dict(zip(range(len(ranks)), ranks))
+        self.pair_rank = dict(zip(tokens, ranks)).get      # of merged parts, inside the heap's loop
         self.ranks = np.array(ranks, np.int64)
         size = max(ranks) + 1
         self.bytes_of: list[bytes] = [b""] * size
@@ -117,47 +118,43 @@ class Codec:
         self.memo: dict[str, bytes] = {}
 
     def rank(self, token: bytes) -> int:
+        """Tier one: the rank of a whole pre-token, or -1."""
         i = self.hash.get(token)
         return int(self.ranks[i]) if i >= 0 else -1
 
     def merge(self, piece: bytes) -> list[int]:
-        """Lowest-rank-first merges (leftmost among equals) of one pre-token."""
-        n = len(piece)
-        end = list(range(1, n + 1))           # end of the part that starts at i
+        """Tier two: lowest-rank-first merges (leftmost among equals). Parts are
+        linked by ``after`` and ``before``; part i spans [i, after[i]). A heap
+        entry (rank, i, e) is stale unless i and the part after it span [i, e)."""
+        n, rank, push = len(piece), self.pair_rank, heapq.heappush
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap: list[tuple[int, int, int]] = []
-
-        def offer(i: int) -> None:
-            j = after[i]
-            if j < n:
-                r = self.rank(piece[i:end[j]])
-                if r >= 0:
-                    heapq.heappush(heap, (r, i, end[j]))
-
-        for i in range(n - 1):
-            offer(i)
-        alive = [True] * n
+        heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank(piece[i:i + 2])) is not None]
+        heapq.heapify(heap)
         while heap:
             _, i, e = heapq.heappop(heap)
-            if not alive[i] or after[i] >= n or end[after[i]] != e:
-                continue  # one of its parts has been merged since
             j = after[i]
-            alive[j], end[i], after[i] = False, e, after[j]
-            if after[i] < n:
-                before[after[i]] = i
-            offer(i)
-            if before[i] >= 0:
-                offer(before[i])
+            if j >= n or after[j] != e:
+                continue
+            after[i], after[j] = e, n            # part j is gone: nothing follows it
+            if e < n:
+                before[e] = i
+                k = after[e]
+                if (r := rank(piece[i:k])) is not None:
+                    push(heap, (r, i, k))
+            h = before[i]
+            if h >= 0 and (r := rank(piece[h:e])) is not None:
+                push(heap, (r, h, e))
         out, i = [], 0
         while i < n:
-            out.append(self.rank(piece[i:end[i]]))
+            out.append(rank(piece[i:after[i]]))
             i = after[i]
         return out
 
     def encode_piece(self, piece: str) -> bytes:
         raw = piece.encode("utf-8", "surrogatepass")
         r = self.rank(raw)
-        ids = np.array([r] if r >= 0 else self.merge(raw), "<u4").tobytes()
+        found = [r] if r >= 0 else self.merge(raw)
+        ids = struct.pack(f"<{len(found)}I", *found)
         if len(raw) <= MEMO_BYTES:
             if len(self.memo) >= MEMO_ENTRIES:
                 self.memo.clear()
