@@ -131,8 +131,11 @@ def apply_policy(docs: DataFrame, policy: str = CURRENT, text_col: str = "text")
     """The rows of ``docs`` that pass, with exactly their columns."""
     cols = docs.columns
     marked = with_measures(docs.select("*", F.col(text_col).alias("_tf_src")), "_tf_src")
-    return marked.withColumn("_tf_bits", fail_bits()).where(passes(policy, "_tf_bits")).select(
-        *[F.col(f"`{c}`") for c in cols])
+    # the row number keeps the optimizer from pushing the filter into the measurements,
+    # which would evaluate them again for every reference, inside lambdas too
+    marked = marked.select(*[F.col(f"`{c}`") for c in cols], fail_bits().alias("_tf_bits"),
+                           F.monotonically_increasing_id().alias("_tf_row"))
+    return marked.where(passes(policy, "_tf_bits") & (F.col("_tf_row") >= 0)).drop("_tf_bits", "_tf_row")
 
 
 def ablations(led: DataFrame, policy: str = CURRENT) -> DataFrame:
