@@ -52,3 +52,39 @@ def test_copies_edits_and_clean_texts(spark):
     kept = D.without_contaminated(docs, bench)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(texts) - set(planted)
     assert D.contaminated(docs.limit(0), bench).count() == 0 == D.contaminated(docs, bench.limit(0)).count()
+
+
+def _item(n, tag="w"):
+    return [f"{tag}{i}" for i in range(n)]
+
+
+def _edited(words):
+    """Every fifth word replaced: 18 of 28 3-word seeds break."""
+    return ["other" if i % 5 == 2 else w for i, w in enumerate(words)]
+
+
+def test_one_edited_or_partial_copy_is_found(spark):
+    bench = spark.createDataFrame([(1, " ".join(_item(30)))], "item_id long, text string")
+    for copy, score in ((_edited(_item(30)), 24 * 2 - 6), (_item(30)[8:22], 28)):
+        docs = documents(spark, {5: " ".join(_item(40, "x") + copy + _item(40, "y")), 6: " ".join(_item(90, "z"))})
+        assert [(r.doc_id, r.item_id, r.score) for r in D.contaminated(docs, bench).collect()] == [(5, 1, score)]
+
+
+def test_copies_do_not_depend_on_other_documents(spark):
+    bench = spark.createDataFrame([(1, " ".join(_item(30)))], "item_id long, text string")
+    texts = {i: " ".join(_item(30)) for i in range(40)}
+    texts |= {100: " ".join(_edited(_item(30))), 101: " ".join(_item(30)[:14]), 102: " ".join(_item(30)[10:13] + _item(50, "z"))}
+    texts |= {200 + i: " ".join(_item(3) + _item(20, f"q{i}v")) for i in range(60)}      # a frequent phrase is no passage
+    rows = D.contaminated(documents(spark, texts), bench).collect()
+    assert {r.doc_id for r in rows} == {*range(40), 100, 101} and len(rows) == 42
+
+
+def test_bounds_never_hide_a_passage(monkeypatch):
+    rng = random.Random(6)
+    for _ in range(300):
+        item, doc = (np.array([rng.randint(0, 30) for _ in range(rng.randint(1, 25))], np.uint64) for _ in range(2))
+        score = D.align(item, doc)[0]
+        assert score <= min(D._bound(np.isin(doc, item)), D._bound(np.isin(item, doc)))
+    monkeypatch.setattr(D, "PART", 5)
+    doc, many = np.array([0, 0, 1, 1, 1, 2, 4, 4]), np.array([1, 2, 3, 4, 5, 1, 2, 1])
+    assert list(D._parts(doc, many)) == [(0, 2), (2, 5), (5, 8)] and list(D._parts(doc[:0], many[:0])) == []

@@ -1,13 +1,15 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-1. The n-grams of every test item are its possible seeds. One pass over all
-   documents counts, for each, the documents that hold it; an item keeps its
-   rarer half (ties included), so frequent phrases seed nothing unless an item
-   has nothing else.
+1. The n-grams of every test item are its seeds. One pass over all documents
+   counts, for each, the documents that hold it; only seeds that no document
+   holds are left out, so an edited or partial copy is met by any n-gram it kept,
+   whatever other documents hold.
 2. A second pass joins seeds to the words of each document. Around the hits of
    an item, grouped by diagonal neighbourhood, the document's words and the
    item's words are aligned locally (match +2, mismatch -1, gap -1), so copies
-   with replaced, added or dropped words still score.
+   with replaced, added or dropped words still score. Frequent phrases make many
+   hits; a window whose words cannot reach the threshold in any order (an upper
+   bound of the alignment) is not aligned.
 3. A passage is reported when its score reaches ``threshold`` of a perfect copy
    and that of MIN_WORDS matching words.
 
@@ -43,6 +45,8 @@ THRESHOLD = 0.35
 MIN_WORDS = 5
 #: Bytes of item text whose seeds a task holds at once.
 BLOCK_BYTES = 8 << 20
+#: Postings of hits that are gathered at once (whole documents, at least one).
+PART = 1 << 20
 _U = np.uint64
 
 def _item_words(text: str | None) -> np.ndarray:
@@ -129,19 +133,47 @@ def _seed_counts(docs: DataFrame, seeds: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _windows(hits: np.ndarray, offsets: np.ndarray, n_item: int, n_doc: int) -> list[tuple[int, int]]:
-    """Document word ranges to align, from the hits' positions in document and
-    item: an item's length on both sides of where it would start, united."""
-    start = hits - offsets
-    slack = n_item // 2 + 4
-    out: list[tuple[int, int]] = []
-    for s in np.sort(start):
-        lo, hi = max(0, int(s) - slack), min(n_doc, int(s) + n_item + slack)
-        if out and lo <= out[-1][1]:
-            out[-1] = (out[-1][0], max(hi, out[-1][1]))
-        else:
-            out.append((lo, hi))
-    return out
+def _windows(doc: np.ndarray, item: np.ndarray, start: np.ndarray, n_item: np.ndarray,
+             n_doc: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(document, item, word range to align), from where each hit says that the
+    item would start: its length on both sides, overlapping ranges united."""
+    order = np.lexsort((start, item, doc))
+    doc, item, start = doc[order], item[order], start[order]
+    slack = n_item[item] // 2 + 4
+    lo, hi = np.maximum(0, start - slack), np.minimum(n_doc[doc], start + n_item[item] + slack)
+    head = np.ones(len(doc), bool)
+    head[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (lo[1:] > hi[:-1])
+    at = np.flatnonzero(head)
+    last = np.append(at[1:], len(doc))[: len(at)] - 1
+    return zip(doc[at].tolist(), item[at].tolist(), lo[at].tolist(), hi[last].tolist())
+
+
+def _parts(doc: np.ndarray, many: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of the hits (sorted by document, each with ``many`` postings) of
+    about PART postings, whole documents each."""
+    total, lo = np.cumsum(many), 0
+    while lo < len(doc):
+        at = int(np.searchsorted(total, total[lo] - many[lo] + PART, "right"))
+        hi = int(np.searchsorted(doc, doc[min(max(at, lo), len(doc) - 1)], "left"))
+        if hi <= lo:                       # one document has more
+            hi = int(np.searchsorted(doc, doc[lo], "right"))
+        elif at >= len(doc):
+            hi = len(doc)
+        yield lo, hi
+        lo = hi
+
+
+def _bound(held: np.ndarray) -> int:
+    """The most a local alignment can score over words of which ``held`` are on
+    the other side: a word of its range matches or costs at least one."""
+    total = np.cumsum(np.where(held, MATCH, max(MISMATCH, GAP)))
+    return int((total - np.minimum(0, np.minimum.accumulate(total))).max(initial=0))
+
+
+def _reachable(item: np.ndarray, words: np.ndarray, threshold: float) -> bool:
+    """Whether the words alone leave room for a passage at the threshold."""
+    least = max(threshold * MATCH * len(item), MATCH * MIN_WORDS)
+    return _bound(np.isin(words, item)) >= least and _bound(np.isin(item, words)) >= least
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -176,17 +208,17 @@ def _against(src: DataFrame, block: list[tuple], n: int, threshold: float, schem
         return src.sparkSession.createDataFrame([], schema)
     seeds = np.unique(np.concatenate([s for _, _, s in items]))
     df = _seed_counts(src.select("text"), seeds, n)
-    # postings of the rarer half of each item's distinct seeds, by seed
+    # postings of each item's seeds that some document holds, by seed
     post_seed, post_item, post_off = [], [], []
     for k, (_, _, s) in enumerate(items):
-        count = df[np.searchsorted(seeds, s)]
-        per_seed = np.sort(count[np.unique(s, return_index=True)[1]])
-        for off in np.flatnonzero(count <= per_seed[(len(per_seed) - 1) // 2]):
+        for off in np.flatnonzero(df[np.searchsorted(seeds, s)]):
             post_seed.append(s[off])
             post_item.append(k)
             post_off.append(off)
+    if not post_seed:
+        return src.sparkSession.createDataFrame([], schema)
     order = np.argsort(np.array(post_seed, _U), kind="stable")
-    postings = (np.array(post_seed, _U)[order], np.array(post_item)[order], np.array(post_off)[order])
+    postings = (np.array(post_seed, _U)[order], np.array(post_item, np.int64)[order], np.array(post_off, np.int64)[order])
     shared = src.sparkSession.sparkContext.broadcast((postings, [(i, w) for i, w, _ in items]))
     names, arrow_id = schema.names, to_arrow_type(item_type)
 
@@ -194,23 +226,23 @@ def _against(src: DataFrame, block: list[tuple], n: int, threshold: float, schem
         (keys, item_of, off_of), held = shared.value
         uniq, first_post = np.unique(keys, return_index=True)
         ends = np.append(first_post[1:], len(keys))
+        n_item = np.array([len(w) for _, w in held])
         for b in batches:
             data, offsets = W.plain(b.column(1))
             rows: list[tuple] = []
             for lo, hi in W.slices(offsets):
                 a = offsets[lo]
                 h, first = W.words(data[a: offsets[hi]], offsets[lo: hi + 1] - a)
-                found: dict[tuple[int, int], list[tuple[int, int]]] = {}
-                for d, p, k in zip(*(x.tolist() for x in _hits(h, first, n, uniq))):
-                    for q in range(first_post[k], ends[k]):
-                        found.setdefault((d, int(item_of[q])), []).append((p - int(first[d]), int(off_of[q])))
-                for (d, k), hits in found.items():
-                    words = h[first[d]: first[d + 1]]
-                    item_id, item = held[k]
-                    pos, off = np.array(hits).T
-                    for s, e in _windows(pos, off, len(item), len(words)):
-                        for x in _passages(item, words, s, e, threshold):
-                            rows.append((lo + d, item_id, *x))
+                doc, pos, k = _hits(h, first, n, uniq)
+                for x, y in _parts(doc, ends[k] - first_post[k]):
+                    many = ends[k[x:y]] - first_post[k[x:y]]
+                    q = np.arange(many.sum()) + np.repeat(first_post[k[x:y]] - (np.cumsum(many) - many), many)
+                    start = np.repeat(pos[x:y] - first[doc[x:y]], many) - off_of[q]
+                    for d, i, s, e in _windows(np.repeat(doc[x:y], many), item_of[q], start, n_item, np.diff(first)):
+                        item_id, item = held[i]
+                        words = h[first[d]: first[d + 1]]
+                        if _reachable(item, words[s:e], threshold):
+                            rows += [(lo + d, item_id, *z) for z in _passages(item, words, s, e, threshold)]
             if rows:
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).take(pa.array([r[0] for r in rows])), pa.array([r[1] for r in rows], arrow_id),
