@@ -74,3 +74,24 @@ def test_table(spark):
     red = {r.doc_id: r for r in pii.redact(df).collect()}
     assert red[0].text is None and red[4].text == "<EMAIL>" and red[3].spans == "x" and "john" not in red[3].text
     assert pii.personal_data(df.limit(0)).count() == 0
+
+
+SPELLED = {
+    "dns eight dot eight dot four dot four ok": ("ip", "eight dot eight dot four dot four"),
+    "dns one dot one dot one dot one ok": ("ip", "one dot one dot one dot one"),
+    "dns 1 dot one point 0 dot five ok": ("ip", "1 dot one point 0 dot five"),
+    "call plus 1 five 5 five 2 three 4 five 6 seven 8 ok": ("phone", "plus 1 five 5 five 2 three 4 five 6 seven 8"),
+    "call + 1 dash five hyphen 5 space five 2 three 4 five 6 seven 8 ok": ("phone", "+ 1 dash five hyphen 5 space five 2 three 4 five 6 seven 8"),
+    "card 4 " + "one 1 " * 7 + "one ok": ("card", "4 " + "one 1 " * 7 + "one"),
+    "dns ſix dot fİve dot zero dot one ok": ("ip", "ſix dot fİve dot zero dot one"),
+    "ask name at host dot sa now": ("email", "name at host dot sa"),
+    "ask name at host dot xn--p1ai now": ("email", "name at host dot xn--p1ai"),
+}
+
+
+@pytest.mark.parametrize("text", SPELLED)
+def test_no_prefilter_hides_what_a_transducer_takes(text):
+    kind, piece = SPELLED[text]
+    base, every = pii.find(text)
+    assert base == [] and [(pii.KINDS[k], text[s:e]) for s, k, e in every] == [(kind, piece)]
+    assert piece not in pii.mask(text, every)

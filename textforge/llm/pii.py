@@ -122,12 +122,23 @@ _ITEM = rf"(?:(?:{_MULT}[ -]?)?(?:{_NUM})|[0-9]+)"
 _SPELLED = re.compile(rf"(?<![A-Za-z0-9])(?:(?:\+|plus)[ ]?)?{_ITEM}(?:{_GAP}{_ITEM}){{2,}}+(?![A-Za-z0-9])", re.I)
 _SPELLED_PART = re.compile(rf"(?P<plus>\bplus\b[ ]?)|(?P<dot>[ ]?\b(?:dot|point)\b[ ]?)|(?P<dash>[ ]?\b(?:dash|hyphen|space)\b[ ]?)"
                            rf"|(?:(?P<mult>{_MULT})[ -]?)?\b(?P<num>{_NUM})\b|(?P<gap>[ \t\n,]+)|(?P<other>.)", re.I | re.S)
-_SPELLED_HINT = re.compile(rf"\b{_NUM}\b[^A-Za-z0-9]{{1,3}}(?:{_MULT}[ -]?)?\b{_NUM}\b", re.I)
-
-#: Top-level names that make "x at y dot z" an address rather than prose: fixed values.
-TOP_LEVEL = frozenset(
-    "com org net edu gov mil int info biz name pro io ai app dev me tv cc co us uk ca au nz ie in jp cn kr br mx ar cl "
-    "de fr es it pt nl be ch at dk se no fi pl cz ru ua tr gr hu ro za eu example test invalid local online site".split())
+#: Letters that match ASCII ones without regard to case.
+_FOLDED = str.maketrans("ſİı", "sii")
+
+#: Top-level names that make "x at y dot z" an address rather than prose: fixed
+#: values, all country codes and the common generic names (and any ``xn--`` name).
+TOP_LEVEL = frozenset((
+    "com org net edu gov mil int info biz name pro aero asia cat coop jobs mobi museum post tel travel arpa app dev page "
+    "cloud tech live blog shop store online site website space world life news media email mail wiki xyz top club agency "
+    "academy company digital group network solutions systems software studio services center care health bank finance law "
+    "art design photo music games zone team work works today global city earth green one example test invalid local "
+    "ac ad ae af ag ai al am ao aq ar as at au aw ax az ba bb bd be bf bg bh bi bj bm bn bo br bs bt bw by bz ca cc cd cf "
+    "cg ch ci ck cl cm cn co cr cu cv cw cx cy cz de dj dk dm do dz ec ee eg er es et eu fi fj fk fm fo fr ga gd ge gf gg "
+    "gh gi gl gm gn gp gq gr gs gt gu gw gy hk hm hn hr ht hu id ie il im in io iq ir is it je jm jo jp ke kg kh ki km kn "
+    "kp kr kw ky kz la lb lc li lk lr ls lt lu lv ly ma mc md me mg mh mk ml mm mn mo mp mq mr ms mt mu mv mw mx my mz na "
+    "nc ne nf ng ni nl no np nr nu nz om pa pe pf pg ph pk pl pm pn pr ps pt pw py qa re ro rs ru rw sa sb sc sd se sg sh "
+    "si sk sl sm sn so sr ss st su sv sx sy sz tc td tf tg th tj tk tl tm tn to tr tt tv tw tz ua ug uk us uy uz va vc ve "
+    "vg vi vn vu wf ws ye yt za zm zw").split())
 
 _OPEN, _CLOSE = r"[\[({<{]", r"[\])}>}]"
 _AT_CODE = re.compile(rf"[ ]?{_OPEN}[ ]?(?:at|@|arroba|ät)[ ]?{_CLOSE}[ ]?|&#0*64;|&#x0*40;|&commat;|%40|[ ]?[_*-]+at[_*-]+[ ]?", re.I)
@@ -218,8 +229,8 @@ def _spelled(a: Aligned) -> None:
             elif p["dash"]:
                 edits.append((s, e, "-"))
             elif p["num"]:
-                times = {"double": 2, "triple": 3}.get((p["mult"] or "").lower(), 1)
-                edits.append((s, e, NUMBER_WORDS[p["num"].lower()] * times))
+                mult, num = ((p[k] or "").translate(_FOLDED).lower() for k in ("mult", "num"))
+                edits.append((s, e, NUMBER_WORDS[num] * {"double": 2, "triple": 3}.get(mult, 1)))
             elif p["gap"]:
                 edits.append((s, e, ""))
     a.rewrite(edits)
@@ -251,7 +262,8 @@ def _at_dot(a: Aligned) -> None:
                 stop = at_e + re.search(r"[^ ]\. ", tail).start() + 1  # a sentence ends here
                 if "." not in a.text[at_e:stop]:
                     continue
-            if spelled and re.split(r"[ .]", a.text[at_e:stop])[-1].lower() not in TOP_LEVEL:
+            end = re.split(r"[ .]", a.text[at_e:stop])[-1].lower()
+            if spelled and end not in TOP_LEVEL and not end.startswith("xn--"):
                 continue  # "look at the dot on"
             edits += [(m.start() + d.start(), m.start() + d.end(), ".")
                       for d in _DOT_WORD.finditer(a.text[m.start():at_s])]
@@ -271,14 +283,13 @@ def _at_dot(a: Aligned) -> None:
 def deobfuscate(text: str) -> Aligned | None:
     """The rewritten text with its source offsets; None where nothing changes."""
     odd = _ODD_CHAR.search(text)
-    spelled = _SPELLED_HINT.search(text)
+    spelled = _SPELLED.search(text)  # the transducer's own pattern: a cheaper one would be stricter
     if not (odd or spelled or _CODE_HINT.search(text) or _PLAIN_HINT.search(text) or _IP_HINT.search(text)):
         return None
     a = Aligned(text)
     if odd:
         _characters(a)
-    if _SPELLED_HINT.search(a.text):
-        _spelled(a)
+    _spelled(a)
     _at_dot(a)
     return a if a.text != text else None
 
