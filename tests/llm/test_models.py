@@ -70,3 +70,29 @@ def test_toxicity_from_document_labels(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
     none = toxicity.train(docs, labels.where("toxic = 0"))
     assert toxicity.score(docs, none).agg(F.max("score")).first()[0] < 0.01
+
+
+def test_classes_grow_with_the_vocabulary():
+    counts = [lm.class_counts(v) for v in (0, 1000, 10**5, 10**7)]
+    assert counts[0] == (lm.FREQUENT, lm.RARE) and counts == sorted(counts) and counts[3][0] >= 9 * counts[2][0] > 50 * lm.FREQUENT // 10
+    for n in (lm.N_CLASSES, 700, 5000):
+        flat = lm.initial(np.random.default_rng(1).dirichlet(np.ones(n)) + 1e-6)
+        context = np.repeat([[1, n - 1, n]], n, 0)
+        assert len(lm._split(flat)[-1]) == n and lm._groups(n)[-1] == n - 1
+        assert np.exp(lm.log_probabilities(flat, np.arange(n), context)).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_context_tells_words_beyond_the_most_frequent_apart():
+    rng = np.random.default_rng(5)
+    n, length, texts = 700, 60, 1500
+    frequencies = np.full(n, 1e-3 / n)
+    frequencies[100:600] += 1 / 500                             # none of them is among the FREQUENT first
+    frequencies /= frequencies.sum()
+    classes = rng.integers(50, 300, (texts, length)) * 2 + np.arange(texts)[:, None] % 2     # even or odd, text by text
+    lengths = np.full(texts, length)
+    contexts = lm._contexts(classes.ravel(), lengths, n)
+    flat = lm.initial(frequencies)
+    before = lm.log_probabilities(flat, classes.ravel(), contexts).mean()
+    lm.train_pass(flat, np.full_like(flat, 1e-6), classes.ravel()[:-9000], contexts[:-9000], frequencies, 1)
+    after = lm.log_probabilities(flat, classes.ravel()[-9000:], contexts[-9000:]).mean()
+    assert after > before + 0.2                                 # of at most log 2

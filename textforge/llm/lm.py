@@ -1,14 +1,18 @@
 """Scoring texts with a log-bilinear neural language model.
 
 Tokens are words (ASCII capitals lowered) and one end per text. The model
-predicts a token's *class* from the CONTEXT classes before it: the FREQUENT most
+predicts a token's *class* from the CONTEXT classes before it: the most
 frequent training tokens and the end are classes of their own, every other token
-is in one of RARE classes by its ending. The context vector is the sum of
+is in one of the rare classes by its ending. The context vector is the sum of
 position-weighted class embeddings, a class's score is its inner product with
-the context vector plus a bias. Inside a rare class tokens follow their smoothed
+the context vector plus a bias. The number of classes grows with the square root
+of the counted training vocabulary (``class_counts``; FREQUENT and RARE are its
+least values), so what context learns about words follows the corpus. Beyond the
+least numbers classes lie in groups (``_groups``): the context predicts the
+group, then the class in it, each by a softmax of its own. Inside a rare class tokens follow their smoothed
 training counts. So every token, seen or not, has a normalised probability:
 
-    P(token | context) = softmax(scores)[class] * P(token | class)
+    P(token | context) = P(group | context) * P(class | group, context) * P(token | class)
 
 Training is noise-contrastive estimation in numpy: every task trains on its part
 of all training texts, in ROUNDS passes over disjoint parts, and the tasks'
@@ -25,6 +29,8 @@ remainder is that of an empty text. Without training texts every count is zero.
 
 from __future__ import annotations
 
+import bisect
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -40,9 +46,10 @@ from textforge.llm.registry import register, table
 from textforge.llm.scratch import materialise
 from textforge.llm.toxicity import fold
 
-FREQUENT, RARE = 96, 32
+#: Least numbers of frequent and rare classes, and frequent classes per root of the vocabulary.
+FREQUENT, RARE, PER_ROOT = 96, 48, 2
 CONTEXT, DIM = 3, 16
-NOISE, BATCH, ROUNDS, RATE = 32, 1024, 3, 0.1
+NOISE, NOISE_IN, BATCH, ROUNDS, RATE = 32, 4, 1024, 3, 0.1
 FOLDS, HELD_OUT = 10, 0
 SMOOTH = 0.1
 #: Bytes of text per chunk: bounds what a task holds and what a chunk asks for.
@@ -51,21 +58,53 @@ CHUNK_BYTES = 12 << 20
 SLICE_TOKENS = 1 << 18
 _U = np.uint64
 _END = np.uint64(0x8000000000000001)
-N_CLASSES = FREQUENT + RARE + 1      # the last one is the end
-_START = N_CLASSES                   # the class before a text's first token
-_SIZES = ((CONTEXT, DIM), (N_CLASSES + 1, DIM), (N_CLASSES, DIM), (N_CLASSES,))
+#: Bytes of scores held at once.
+SCORE_BYTES = 8 << 20
+
+
+def class_counts(vocabulary: int) -> tuple[int, int]:
+    """(frequent, rare) classes for so many distinct training tokens."""
+    frequent = max(FREQUENT, PER_ROOT * math.isqrt(vocabulary))
+    return frequent, frequent * RARE // FREQUENT
+
+
+def _groups(n: int) -> np.ndarray:
+    """First class of each group of n classes: the FREQUENT first and the end are
+    groups of their own, the others are cut into RARE or root-of-n ranges."""
+    middle, g = n - 1 - FREQUENT, max(RARE, math.isqrt(n))
+    return np.concatenate([np.arange(FREQUENT), FREQUENT + np.arange(g) * middle // g, [n - 1]])
+
+
+def _sizes(n: int) -> tuple[tuple[int, ...], ...]:
+    """Shapes of the parameters of n classes (position weights, embeddings,
+    outputs and biases of groups, then of classes); the last class is the end,
+    embedding n stands before a text's first token."""
+    g = len(_groups(n))
+    return (CONTEXT, DIM), (n + 1, DIM), (g, DIM), (g,), (n, DIM), (n,)
+
+
+def _total(n: int) -> int:
+    return sum(math.prod(x) for x in _sizes(n))
+
+
+N_CLASSES = FREQUENT + RARE + 1      # the least number
+_SIZES = _sizes(N_CLASSES)
 
 
 def _endings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The rare class of each word: a hash of its last two bytes."""
-    last = data[ends - 1].astype(_U)
-    before = np.where(ends - starts > 1, data[np.maximum(ends - 2, 0)], 0).astype(_U)
-    return (W.mix(last * _U(257) + before + _U(1)) % _U(RARE)).astype(np.uint8)
+    """The last two bytes of each word."""
+    before = np.where(ends - starts > 1, data[np.maximum(ends - 2, 0)], 0).astype(np.uint16)
+    return data[ends - 1].astype(np.uint16) << np.uint16(8) | before
+
+
+def _rare(ending: np.ndarray, n_rare: int) -> np.ndarray:
+    """The rare class of each ending."""
+    return (W.mix(ending.astype(_U) + _U(1)) % _U(n_rare)).astype(np.int64)
 
 
 def chunked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(chunk, ids, held_out, lengths, seq, vocab, ending, trained): texts as
-    indices into their chunk's sorted token hashes, with the rare class and the
+    indices into their chunk's sorted token hashes, with the ending and the
     training count of each."""
     src = docs.select(F.col(id_col).alias("id"), (fold(F.col(id_col), FOLDS) == HELD_OUT).alias("held_out"),
                       F.col(text_col).cast("string").alias("text"))
@@ -84,7 +123,7 @@ def chunked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 first = np.searchsorted(starts, off, "left")
                 doc = np.repeat(np.arange(n), np.diff(first))
                 tokens = np.full(len(starts) + n, _END)
-                ending = np.zeros(len(starts) + n, np.uint8)
+                ending = np.zeros(len(starts) + n, np.uint16)
                 at = np.arange(len(starts)) + doc            # each text's end follows its words
                 tokens[at] = W.hash_words(raw, starts, ends)
                 ending[at] = _endings(raw, starts, ends)
@@ -97,7 +136,7 @@ def chunked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                      *(pa.array([zlib.compress(x.tobytes(), 1)], pa.binary()) for x in (
                          held[lo:hi], lengths.astype("<i4"), seq.astype("<i4"))),
                      pa.array([vocab.tobytes()], pa.binary()),
-                     *(pa.array([zlib.compress(x.tobytes(), 1)], pa.binary()) for x in (ending[where], trained.astype("<i4")))],
+                     *(pa.array([zlib.compress(x.tobytes(), 1)], pa.binary()) for x in (ending[where].astype("<u2"), trained.astype("<i4")))],
                     names=names)
                 chunk += 1
 
@@ -117,16 +156,16 @@ def counted(chunks: DataFrame) -> DataFrame:
         for b in batches:
             for i in range(b.num_rows):
                 vocab = np.frombuffer(b.column(1)[i].as_py(), np.int64)
-                ending, trained = _unpack(b.column(2)[i].as_py(), "u1"), _unpack(b.column(3)[i].as_py(), "<i4")
+                ending, trained = _unpack(b.column(2)[i].as_py(), "<u2"), _unpack(b.column(3)[i].as_py(), "<i4")
                 for s in range(0, len(vocab), 1 << 16):
                     e = min(len(vocab), s + (1 << 16))
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(vocab[s:e]), pa.array(np.full(e - s, b.column(0)[i].as_py(), np.int64)),
-                         pa.array(np.arange(s, e, dtype=np.int32)), pa.array(ending[s:e].astype(np.int8)),
+                         pa.array(np.arange(s, e, dtype=np.int32)), pa.array(ending[s:e].astype(np.int32)),
                          pa.array(trained[s:e])], names=["h", "chunk", "i", "ending", "k"])
 
     rows = chunks.select("chunk", "vocab", "ending", "trained").mapInArrow(
-        run, "h long, chunk long, i int, ending byte, k int")
+        run, "h long, chunk long, i int, ending int, k int")
     of = Window.partitionBy("h")
     return rows.select("chunk", "i", "ending", "h", F.sum("k").over(of).alias("c"),
                        (F.row_number().over(of.orderBy("chunk")) == 1).alias("lead"))
@@ -136,7 +175,7 @@ def counted(chunks: DataFrame) -> DataFrame:
 
 def _split(flat: np.ndarray) -> list[np.ndarray]:
     out, at = [], 0
-    for shape in _SIZES:
+    for shape in _sizes(bisect.bisect_left(range(len(flat)), len(flat), N_CLASSES, key=_total)):
         n = int(np.prod(shape))
         out.append(flat[at: at + n].reshape(shape))
         at += n
@@ -146,15 +185,20 @@ def _split(flat: np.ndarray) -> list[np.ndarray]:
 def initial(frequencies: np.ndarray) -> np.ndarray:
     """Parameters whose softmax is the class frequencies."""
     rng = np.random.default_rng(7)
-    parts = [np.ones(_SIZES[0]), rng.normal(0, 0.1, _SIZES[1]), rng.normal(0, 0.1, _SIZES[2]), np.log(frequencies)]
+    sizes = _sizes(len(frequencies))
+    starts = _groups(len(frequencies))
+    of_group = np.add.reduceat(frequencies, starts)
+    inside = frequencies / np.repeat(of_group, np.diff(starts, append=len(frequencies)))
+    parts = [np.ones(sizes[0]), *(rng.normal(0, 0.1, sizes[k]) for k in (1, 2)), np.log(of_group),
+             rng.normal(0, 0.1, sizes[4]), np.log(inside)]
     return np.concatenate([p.ravel() for p in parts]).astype(np.float32)
 
 
-def _contexts(classes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+def _contexts(classes: np.ndarray, lengths: np.ndarray, n_classes: int) -> np.ndarray:
     """The CONTEXT classes before each token, nearest first; before a text's
-    first token stands _START."""
+    first token stands ``n_classes``."""
     place = np.arange(len(classes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    out = np.full((len(classes), CONTEXT), _START, np.int32)
+    out = np.full((len(classes), CONTEXT), n_classes, np.int32)
     for j in range(CONTEXT):
         ok = place > j
         out[ok, j] = classes[np.flatnonzero(ok) - j - 1]
@@ -173,66 +217,121 @@ def _slices(lengths: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
 
 def train_pass(flat: np.ndarray, squares: np.ndarray, classes: np.ndarray, contexts: np.ndarray, noise_p: np.ndarray,
                seed: int) -> None:
-    """One pass of noise-contrastive estimation with Adagrad, in place."""
+    """One pass of noise-contrastive estimation with Adagrad, in place. A batch
+    touches only the rows of its own classes, so its cost does not depend on
+    their number."""
     rng = np.random.default_rng(seed)
-    where, emb, out, bias = _split(flat)
-    s_where, s_emb, s_out, s_bias = _split(squares)
-    log_kp = np.log(NOISE * noise_p).astype(np.float32)
+    where, emb, out, bias, out_in, bias_in = _split(flat)
+    s_where, s_emb, s_out, s_bias, s_out_in, s_bias_in = _split(squares)
+    starts = _groups(len(noise_p))
+    size = np.diff(starts, append=len(noise_p))
+    group_of = np.repeat(np.arange(len(starts)), size)
+    group_p = np.add.reduceat(noise_p, starts)
+    log_kp = np.log(NOISE * group_p).astype(np.float32)
+    log_kp_in = np.log(NOISE_IN * noise_p / group_p[group_of]).astype(np.float32)
+    cumulated = np.cumsum(group_p)
+    cumulated /= cumulated[-1]
+    below = np.concatenate([[0], np.cumsum(noise_p)])
     order = rng.permutation(len(classes))
+    mark, place = np.zeros(len(emb), bool), np.zeros(len(emb), np.int64)
     sigmoid = lambda x: 1 / (1 + np.exp(-x))
 
+    def distinct(index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        mark[index] = True
+        rows = np.flatnonzero(mark)
+        mark[rows] = False
+        place[rows] = np.arange(len(rows))
+        return rows, place[index]
+
     def summed(index: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
         return np.stack([np.bincount(index, values[:, k], n) for k in range(DIM)], 1).astype(np.float32)
 
-    def step(param, square, grad):
-        square += grad * grad
-        param -= RATE * grad / (np.sqrt(square) + 1e-6)
+    def step(param, square, grad, rows=slice(None)):
+        square[rows] += grad * grad
+        param[rows] -= RATE * grad / (np.sqrt(square[rows]) + 1e-6)
 
     for s in range(0, len(order), BATCH):
         at = order[s: s + BATCH]
         w, ctx = classes[at], contexts[at]
         near = emb[ctx]                                           # batch, position, dim
         v = (near * where).sum(1)
-        noise = rng.choice(N_CLASSES, NOISE, p=noise_p)
-        g_data = (sigmoid((v * out[w]).sum(1) + bias[w] - log_kp[w]) - 1) / len(at)
+        # the group, against noise that the batch shares
+        group = group_of[w]
+        noise = np.searchsorted(cumulated, rng.random(NOISE), "right")
+        g_data = (sigmoid((v * out[group]).sum(1) + bias[group] - log_kp[group]) - 1) / len(at)
         g_noise = sigmoid(v @ out[noise].T + bias[noise] - log_kp[noise]) / len(at)
-        g_v = g_data[:, None] * out[w] + g_noise @ out[noise]
-        g_out = summed(w, g_data[:, None] * v, N_CLASSES)
-        np.add.at(g_out, noise, g_noise.T @ v)
-        g_bias = (np.bincount(w, g_data, N_CLASSES) + np.bincount(noise, g_noise.sum(0), N_CLASSES)).astype(np.float32)
-        g_emb = sum(summed(ctx[:, j], g_v * where[j], N_CLASSES + 1) for j in range(CONTEXT))
+        g_v = g_data[:, None] * out[group] + g_noise @ out[noise]
+        o_rows, o_at = distinct(np.concatenate([group, noise]))
+        g_out = summed(o_at[:len(w)], g_data[:, None] * v, len(o_rows))
+        np.add.at(g_out, o_at[len(w):], g_noise.T @ v)
+        g_bias = np.bincount(o_at, np.concatenate([g_data, g_noise.sum(0)]), len(o_rows)).astype(np.float32)
+        # the class inside a group of several, against noise from that group
+        many = np.flatnonzero(size[group] > 1)
+        if len(many):
+            first, stop = starts[group[many]], starts[group[many]] + size[group[many]]
+            u = below[first, None] + rng.random((len(many), NOISE_IN)) * (below[stop] - below[first])[:, None]
+            drawn = np.clip(np.searchsorted(below, u, "right") - 1, first[:, None], stop[:, None] - 1)
+            which = np.concatenate([w[many, None], drawn], 1)     # the token's class, then noise
+            rows_in = out_in[which]
+            g_in = sigmoid(np.einsum("bkd,bd->bk", rows_in, v[many]) + bias_in[which] - log_kp_in[which])
+            g_in[:, 0] -= 1
+            g_in /= len(at)
+            g_v[many] += np.einsum("bk,bkd->bd", g_in, rows_in)
+            i_rows, i_at = distinct(which.ravel())
+            g_out_in = summed(i_at, (g_in[:, :, None] * v[many, None, :]).reshape(-1, DIM), len(i_rows))
+            g_bias_in = np.bincount(i_at, g_in.ravel(), len(i_rows)).astype(np.float32)
+            step(out_in, s_out_in, g_out_in, i_rows)
+            step(bias_in, s_bias_in, g_bias_in, i_rows)
+        e_rows, e_at = distinct(ctx)
+        g_emb = sum(summed(e_at[:, j], g_v * where[j], len(e_rows)) for j in range(CONTEXT))
         g_where = np.einsum("bd,bjd->jd", g_v, near)
-        for args in ((out, s_out, g_out), (bias, s_bias, g_bias), (emb, s_emb, g_emb), (where, s_where, g_where)):
+        for args in ((out, s_out, g_out, o_rows), (bias, s_bias, g_bias, o_rows), (emb, s_emb, g_emb, e_rows), (where, s_where, g_where)):
             step(*args)
 
 
+def _chosen(scores: np.ndarray, column: np.ndarray) -> np.ndarray:
+    """Log softmax of one column per row; ``scores`` is overwritten."""
+    top = scores.max(1)
+    chosen = scores[np.arange(len(column)), column] - top
+    scores -= top[:, None]
+    np.exp(scores, out=scores)
+    return chosen - np.log(scores.sum(1))
+
+
 def log_probabilities(flat: np.ndarray, classes: np.ndarray, contexts: np.ndarray) -> np.ndarray:
-    """Natural log of P(class | context), by batched matrix products."""
-    where, emb, out, bias = _split(flat)
+    """Natural log of P(class | context), by batched matrix products: the
+    group's softmax, times the class's in a group of several."""
+    where, emb, out, bias, out_in, bias_in = _split(flat)
+    starts = _groups(len(bias_in))
+    stops = np.append(starts[1:], len(bias_in))
+    group = np.searchsorted(starts, classes, "right") - 1
     result = np.empty(len(classes))
-    for s in range(0, len(classes), 1 << 14):
-        w = classes[s: s + (1 << 14)]
-        v = sum(emb[contexts[s: s + (1 << 14), j]] * where[j] for j in range(CONTEXT))
-        scores = v @ out.T
-        scores += bias
-        top = scores.max(1)
-        chosen = scores[np.arange(len(w)), w]
-        scores -= top[:, None]
-        np.exp(scores, out=scores)
-        result[s: s + len(w)] = chosen - top - np.log(scores.sum(1))
+    block = max(1, min(1 << 14, SCORE_BYTES // (4 * len(bias))))
+    for s in range(0, len(classes), block):
+        g, w = group[s: s + block], classes[s: s + block]
+        v = sum(emb[contexts[s: s + block, j]] * where[j] for j in range(CONTEXT))
+        p = _chosen(v @ out.T + bias, g).astype(np.float64)
+        order = np.argsort(g, kind="stable")
+        k, first = np.unique(g[order], return_index=True)
+        for k, lo, hi in zip(k, first, np.append(first[1:], len(g))):
+            a, b = starts[k], stops[k]
+            if b - a > 1:
+                at = order[lo:hi]
+                p[at] += _chosen(v[at] @ out_in[a:b].T + bias_in[a:b], w[at] - a)
+        result[s: s + len(g)] = p
     return result
 
 
-def _class_map(vocab: np.ndarray, ending: np.ndarray, top: np.ndarray, place: np.ndarray) -> np.ndarray:
+def _class_map(vocab: np.ndarray, ending: np.ndarray, top: np.ndarray, place: np.ndarray, n_frequent: int, n_rare: int) -> np.ndarray:
     """Class of each vocabulary entry; ``top`` holds sorted hashes, ``place`` their classes."""
-    out = FREQUENT + ending.astype(np.int64)
+    out = n_frequent + _rare(ending, n_rare)
     if len(top):
         at = np.minimum(np.searchsorted(top, vocab), len(top) - 1)
         out = np.where(top[at] == vocab, place[at], out)
-    return np.where(vocab == _END, N_CLASSES - 1, out)
+    return np.where(vocab == _END, n_frequent + n_rare, out)
 
 
-def train(chunks: DataFrame, top: np.ndarray, place: np.ndarray, frequencies: np.ndarray) -> np.ndarray:
+def train(chunks: DataFrame, top: np.ndarray, place: np.ndarray, frequencies: np.ndarray, n_frequent: int) -> np.ndarray:
     """Parameters after ROUNDS rounds of local training and averaging."""
     flat = initial(frequencies)
     noise_p = frequencies / frequencies.sum()
@@ -247,11 +346,12 @@ def train(chunks: DataFrame, top: np.ndarray, place: np.ndarray, frequencies: np
                 for i in range(b.num_rows):
                     key = b.column(0)[i].as_py()
                     held, lengths, seq = (_unpack(b.column(k)[i].as_py(), t) for k, t in ((1, "?"), (2, "<i4"), (3, "<i4")))
-                    vocab, ending = np.frombuffer(b.column(4)[i].as_py(), _U), _unpack(b.column(5)[i].as_py(), "u1")
+                    vocab, ending = np.frombuffer(b.column(4)[i].as_py(), _U), _unpack(b.column(5)[i].as_py(), "<u2")
                     use = ~held & (np.arange(len(held)) % ROUNDS == r)      # every training text, in one of the rounds
-                    classes = _class_map(vocab, ending, top_, place_).astype(np.int32)[seq[np.repeat(use, lengths)]]
+                    classes = _class_map(vocab, ending, top_, place_, n_frequent, len(noise) - 1 - n_frequent).astype(
+                        np.int32)[seq[np.repeat(use, lengths)]]
                     for lo, hi, s, e in _slices(lengths[use]):
-                        contexts = _contexts(classes[s:e], lengths[use][lo:hi])
+                        contexts = _contexts(classes[s:e], lengths[use][lo:hi], len(noise))
                         train_pass(mine, squares, classes[s:e], contexts, noise, (key << 3) + r + (lo << 40))
                     seen += len(classes)
             if seen:
@@ -282,24 +382,27 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     counts = materialise(counted(chunks), "lm-counts")
     known = counts.where("lead and c > 0")
     end = int(_END.view(np.int64))
-    best = known.where(F.col("h") != end).orderBy(F.desc("c"), "h").limit(FREQUENT).select("h", "c").toPandas()
+    total, distinct = known.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    n_frequent, n_rare = class_counts(distinct)
+    n_classes = n_frequent + n_rare + 1
+    best = known.where(F.col("h") != end).orderBy(F.desc("c"), "h").limit(n_frequent).select("h", "c").toPandas()
     ranked = best["h"].to_numpy(np.int64).view(_U)
     order = np.argsort(ranked)
     top, place = ranked[order], order.astype(np.int64)
     frequent = spark.createDataFrame([(int(h), int(k)) for k, h in enumerate(best["h"])], "h long, cls int")
     rest = known.where(F.col("h") != end).join(F.broadcast(frequent), "h", "left_anti")
-    n_rare, v_rare = np.zeros(RARE), np.zeros(RARE)
-    for r in rest.groupBy("ending").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect():
-        n_rare[r["ending"]], v_rare[r["ending"]] = r["n"], r["v"]
-    total, distinct = known.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    # at most one row per pair of last bytes
+    rare = rest.groupBy("ending").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).toPandas()
+    of = _rare(rare["ending"].to_numpy(np.int64), n_rare)
+    c_rare, v_rare = (np.bincount(of, rare[k].to_numpy(float), n_rare) for k in ("n", "v"))
     n_end = known.where(F.col("h") == end).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    frequencies = np.zeros(N_CLASSES)
+    frequencies = np.zeros(n_classes)
     frequencies[:len(best)] = best["c"]
-    frequencies[FREQUENT: FREQUENT + RARE] = n_rare
+    frequencies[n_frequent:-1] = c_rare
     frequencies[-1] = n_end
     frequencies = (frequencies + 0.5) / (frequencies + 0.5).sum()
-    model = train(chunks, top, place, frequencies)
-    shared = spark.sparkContext.broadcast((model, n_rare, v_rare, total, distinct))
+    model = train(chunks, top, place, frequencies, n_frequent)
+    shared = spark.sparkContext.broadcast((model, c_rare, v_rare, total, distinct))
 
     id_type = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField(id_col, id_type), T.StructField("held_out", T.BooleanType()),
@@ -308,25 +411,25 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                            T.StructField("score", T.DoubleType())])
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        flat, n_r, v_r, n_all, v_all = shared.value
+        flat, c_r, v_r, n_all, v_all = shared.value
         row = left.iloc[0]
         held, lengths, seq = (_unpack(row[k], t) for k, t in (("held_out", "?"), ("lengths", "<i4"), ("seq", "<i4")))
-        ending = _unpack(row["ending"], "u1")
+        bucket = _rare(_unpack(row["ending"], "<u2"), n_rare)
         at = right["i"].to_numpy()
-        c, cls = np.zeros(len(ending)), np.zeros(len(ending), np.int64)
+        c, cls = np.zeros(len(bucket)), np.zeros(len(bucket), np.int64)
         c[at] = right["c"].to_numpy()
         cls[at] = right["cls"].to_numpy()
-        cls = np.where(cls < 0, FREQUENT + ending.astype(np.int64), cls)
+        cls = np.where(cls < 0, n_frequent + bucket, cls)
         base = np.log10((c + SMOOTH) / (n_all + SMOOTH * (v_all + 1)))
-        rare = (cls >= FREQUENT) & (cls < FREQUENT + RARE)
-        inside = np.where(rare, np.log((c + SMOOTH) / (n_r[ending] + SMOOTH * (v_r[ending] + 1))), 0.0)
+        rare = (cls >= n_frequent) & (cls < n_frequent + n_rare)
+        inside = np.where(rare, np.log((c + SMOOTH) / (c_r[bucket] + SMOOTH * (v_r[bucket] + 1))), 0.0)
         n = len(lengths)
         found, base_of, score_of = np.zeros(n), np.zeros(n), np.zeros(n)
         for lo, hi, s, e in _slices(lengths):
             part = seq[s:e]
             doc = np.repeat(np.arange(hi - lo), lengths[lo:hi])
             classes = cls[part]
-            logp = log_probabilities(flat, classes, _contexts(classes, lengths[lo:hi])) + inside[part]
+            logp = log_probabilities(flat, classes, _contexts(classes, lengths[lo:hi], n_classes)) + inside[part]
             found[lo:hi] = np.bincount(doc, c[part] > 0, hi - lo)
             base_of[lo:hi] = np.bincount(doc, base[part], hi - lo)
             score_of[lo:hi] = np.bincount(doc, logp, hi - lo)
@@ -336,7 +439,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             "base_score": base_of, "score": score_of / np.log(10)})
 
     answers = counts.join(F.broadcast(frequent), "h", "left").select(
-        "chunk", "i", "c", F.when(F.col("h") == end, N_CLASSES - 1).otherwise(F.coalesce("cls", F.lit(-1))).alias("cls"))
+        "chunk", "i", "c", F.when(F.col("h") == end, n_classes - 1).otherwise(F.coalesce("cls", F.lit(-1))).alias("cls"))
     return chunks.select("chunk", "ids", "held_out", "lengths", "seq", "ending").groupBy("chunk").cogroup(
         answers.groupBy("chunk")).applyInPandas(run, schema)
 
