@@ -96,3 +96,14 @@ def test_context_tells_words_beyond_the_most_frequent_apart():
     lm.train_pass(flat, np.full_like(flat, 1e-6), classes.ravel()[:-9000], contexts[:-9000], frequencies, 1)
     after = lm.log_probabilities(flat, classes.ravel()[-9000:], contexts[-9000:]).mean()
     assert after > before + 0.2                                 # of at most log 2
+
+
+def test_toxicity_of_a_few_labelled_documents(spark):
+    texts = {i: f"Some words here {i}. And more of them." for i in range(12)}
+    docs = documents(spark, texts)
+    train = [i for i in texts if zlib.crc32(str(i).encode()) % 4 != 2][:5]
+    for n in (2, 5):
+        labels = spark.createDataFrame([(i, k % 2) for k, i in enumerate(train[:n])], "doc_id long, toxic int")
+        model = toxicity.train(docs, labels)
+        rows = toxicity.score(docs, model).collect()
+        assert len(model.keys) == 0 and len(rows) == 12 and all(0 < r.score < 1 for r in rows)

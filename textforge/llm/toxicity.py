@@ -131,7 +131,8 @@ def fit(n_docs: int, label: np.ndarray, weight: np.ndarray, sent_doc: np.ndarray
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           label_col: str = "toxic") -> Model:
-    """Fit on labelled rows outside the held-out fold."""
+    """Fit on labelled rows outside the held-out fold; where no feature is in
+    MIN_DOCS of them, the model is a bias alone."""
     lab = labels.where(F.col(label_col).isNotNull() & (fold(F.col(id_col), FOLDS) != HELD_OUT)).groupBy(
         F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
     totals = {r["y"]: r["n"] for r in lab.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -168,8 +169,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for b in batches:
             y = b.column(0).to_numpy()
             for lo, sent_doc, owner, feats, _ in _features(b.column(1)):
-                at = np.minimum(np.searchsorted(known, feats), len(known) - 1)
-                ok = known[at] == feats[:]
+                at = np.minimum(np.searchsorted(known, feats), max(len(known) - 1, 0))
+                ok = known[at] == feats if len(known) else np.zeros(len(feats), bool)
                 pairs = np.unique(owner[ok].astype(np.int64) * len(known) + at[ok])
                 yield pa.RecordBatch.from_arrays([
                     pa.array([y[lo: lo + int(sent_doc.max()) + 1].astype("<i4").tobytes() if len(sent_doc) else b""], pa.binary()),
@@ -182,10 +183,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         y, s, pairs = np.frombuffer(r["y"], "<i4"), np.frombuffer(r["sent"], "<i4"), np.frombuffer(r["pairs"], "<i8")
         label.append(y)
         sent_doc.append(s + n_docs)
-        owner.append(pairs // len(keys) + n_sent)
-        feat.append(pairs % len(keys))
+        owner.append(pairs // max(len(keys), 1) + n_sent)
+        feat.append(pairs % max(len(keys), 1))
         n_docs, n_sent = n_docs + len(y), n_sent + len(s)
-    label = np.concatenate(label)
+    label = np.concatenate([np.zeros(0, "<i4"), *label])
+    if len(np.unique(label)) < 2:        # without a sentence on one side there is nothing to fit
+        return Model(np.zeros(0, _U), np.zeros(0), -20.0)
     share = {y: totals.get(y, 0) / max(1, int((label == y).sum())) for y in (0, 1)}
     w, bias = fit(n_docs, label, np.where(label == 1, share[1], share[0]), np.concatenate(sent_doc),
                   np.concatenate(owner), np.concatenate(feat), len(keys))
