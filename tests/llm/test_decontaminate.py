@@ -88,3 +88,9 @@ def test_bounds_never_hide_a_passage(monkeypatch):
     monkeypatch.setattr(D, "PART", 5)
     doc, many = np.array([0, 0, 1, 1, 1, 2, 4, 4]), np.array([1, 2, 3, 4, 5, 1, 2, 1])
     assert list(D._parts(doc, many)) == [(0, 2), (2, 5), (5, 8)] and list(D._parts(doc[:0], many[:0])) == []
+
+
+def test_an_edited_copy_beside_exact_ones(spark):
+    bench = spark.createDataFrame([(1, " ".join(_item(30)))], "item_id long, text string")
+    texts = {i: " ".join(_item(30)) for i in range(40)} | {100: " ".join(_edited(_item(30)))}
+    assert {r.doc_id for r in D.contaminated(documents(spark, texts), bench).collect()} == set(texts)
