@@ -5,6 +5,7 @@ from __future__ import annotations
 from textforge.llm import (  # noqa: F401
     bpe,
     decontaminate,
+    divergence,
     jaccard,
     lm,
     pii,
