@@ -7,6 +7,7 @@ from textforge.llm import (  # noqa: F401
     decontaminate,
     divergence,
     jaccard,
+    licenses,
     lm,
     pii,
     quality,
