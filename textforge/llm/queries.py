@@ -14,6 +14,7 @@ from textforge.llm import (  # noqa: F401
     sharding,
     suffix,
     toxicity,
+    variants,
     warc,
 )
 from textforge.llm.registry import ORACLES, QUERIES
