@@ -13,6 +13,8 @@ range of source characters it came from:
 The same detectors run on the rewritten text; a span there is mapped back to
 source code points and added unless it touches a base span of its kind. Where
 no transducer changes anything, there is nothing to add. Base spans always stay.
+All of it is linear in the text: runs are scanned once, from their start, and a
+run that comes to nothing is not entered again.
 
 Null or empty text: no spans. Rows are independent (no exchange); repeated rows
 and null ids keep their own rows.
@@ -20,11 +22,13 @@ and null ids keep their own rows.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -116,17 +120,22 @@ _MIXABLE = re.compile(f"[A-Za-z0-9@._%+\\-{_ALIKE}]+")
 NUMBER_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5",
                 "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 _NUM = "(?:" + "|".join(NUMBER_WORDS) + ")"
-_GAP = r"(?:[ \t\n]{1,2}|[ ]?[-,.()/][ ]?|[ ]?\b(?:dot|point|dash|hyphen|space)\b[ ]?)"
+_GAP = r"(?:[ \t\n]+|[ ]*[-,.()/][ ]*|[ ]*\b(?:dot|point|dash|hyphen|space)\b[ ]*)"
 _MULT = r"(?:double|triple)"
 _ITEM = rf"(?:(?:{_MULT}[ -]?)?(?:{_NUM})|[0-9]+)"
-_SPELLED = re.compile(rf"(?<![A-Za-z0-9])(?:(?:\+|plus)[ ]?)?{_ITEM}(?:{_GAP}{_ITEM}){{2,}}+(?![A-Za-z0-9])", re.I)
-_SPELLED_PART = re.compile(rf"(?P<plus>\bplus\b[ ]?)|(?P<dot>[ ]?\b(?:dot|point)\b[ ]?)|(?P<dash>[ ]?\b(?:dash|hyphen|space)\b[ ]?)"
+_SPELLED = re.compile(rf"(?<![A-Za-z0-9])(?:(?:\+|plus)[ ]?)?{_ITEM}(?:{_GAP}{_ITEM}){{2,}}+", re.I)
+_NUMBER_WORD = re.compile(_NUM, re.I)
+_ALNUM = re.compile(r"[A-Za-z0-9]")
+#: What a run may end in once its last item is taken off.
+_DANGLING = re.compile(r"(?<![ \t\n,.()/-])(?:[ \t\n,.()/-]++(?:(?:dot|point|dash|hyphen|space|double|triple)(?![A-Za-z0-9]))?+)++\Z", re.I)
+_SPELLED_PART = re.compile(rf"(?P<plus>\bplus\b[ ]?)|(?P<dot>[ ]*\b(?:dot|point)\b[ ]*)|(?P<dash>[ ]*\b(?:dash|hyphen|space)\b[ ]*)"
                            rf"|(?:(?P<mult>{_MULT})[ -]?)?\b(?P<num>{_NUM})\b|(?P<gap>[ \t\n,]+)|(?P<other>.)", re.I | re.S)
 #: Letters that match ASCII ones without regard to case.
 _FOLDED = str.maketrans("ſİı", "sii")
 
-#: Top-level names that make "x at y dot z" an address rather than prose: fixed
-#: values, all country codes and the common generic names (and any ``xn--`` name).
+#: Top-level names that always make "x at y dot z" an address: fixed values, all
+#: country codes and the common generic names (and any ``xn--`` name). Any other
+#: name of three or more letters does so too unless a word of the host is one of PROSE.
 TOP_LEVEL = frozenset((
     "com org net edu gov mil int info biz name pro aero asia cat coop jobs mobi museum post tel travel arpa app dev page "
     "cloud tech live blog shop store online site website space world life news media email mail wiki xyz top club agency "
@@ -141,17 +150,25 @@ TOP_LEVEL = frozenset((
     "vg vi vn vu wf ws ye yt za zm zw").split())
 
 _OPEN, _CLOSE = r"[\[({<{]", r"[\])}>}]"
-_AT_CODE = re.compile(rf"[ ]?{_OPEN}[ ]?(?:at|@|arroba|ät)[ ]?{_CLOSE}[ ]?|&#0*64;|&#x0*40;|&commat;|%40|[ ]?[_*-]+at[_*-]+[ ]?", re.I)
-_DOT_CODE = re.compile(rf"[ ]?{_OPEN}[ ]?(?:dot|\.|punkt|punto|point|d0t)[ ]?{_CLOSE}[ ]?|&#0*46;|&#x0*2e;|&period;|%2e|[ ]?[_*-]+dot[_*-]+[ ]?", re.I)
-_NAME = r"[A-Za-z0-9][A-Za-z0-9_%+-]*"
-_PLAIN = re.compile(
-    rf"(?<![A-Za-z0-9._%+-]){_NAME}(?:(?:\.|[ ]dot[ ]){_NAME}){{0,4}}(?P<at>[ ]{{1,2}}at[ ]{{1,2}}|[ ]?@[ ]?)"
-    rf"[A-Za-z0-9-]+(?:(?:\.|[ ]{{1,2}}dot[ ]{{1,2}}|[ ]\.[ ]?|[ ]?\.[ ])[A-Za-z0-9-]+){{1,5}}", re.I)
-_DOT_WORD = re.compile(r"[ ]{1,2}dot[ ]{1,2}|[ ]\.[ ]?|[ ]?\.[ ]", re.I)
-_AT_WORD = re.compile(r"[ ]{1,2}at[ ]{1,2}|[ ]?@[ ]?", re.I)
-_PLAIN_HINT = re.compile(r" dot |[ ]@|@[ ]|@[A-Za-z0-9-]{1,64}(?: \.|\. )", re.I)
-_IP_DOTS = re.compile(r"(?<![0-9.])[0-9]{1,3}(?:[ ]?(?:\.|\bdot\b)[ ]?[0-9]{1,3}){3}(?![0-9])", re.I)
-_IP_HINT = re.compile(r"[0-9](?: ?dot ?| \. ?| ?\. )[0-9]", re.I)
+_AT_CODE = re.compile(rf"[ ]?{_OPEN}[ ]?(?:at|@|arroba|ät)[ ]?{_CLOSE}[ ]?|&#0*64;|&#x0*40;|&commat;|%40|[ ]?(?<![_*-])[_*-]++at[_*-]++[ ]?", re.I)
+_DOT_CODE = re.compile(rf"[ ]?{_OPEN}[ ]?(?:dot|\.|punkt|punto|point|d0t)[ ]?{_CLOSE}[ ]?|&#0*46;|&#x0*2e;|&period;|%2e|[ ]?(?<![_*-])[_*-]++dot[_*-]++[ ]?", re.I)
+#: Words that make "x at y dot z" prose when they stand in its host: fixed values.
+PROSE = frozenset((
+    "the a an this that these those his her its our your their my one each every any some no and or but if of on in at to by "
+    "for from with as is are was were be been it he she we they you i not so then than there here when where which who what "
+    "polka red green blue yellow black white orange pink purple grey gray brown laser quantum micro big small little tiny "
+    "matrix product products pattern patterns plot").split())
+# runs are found from their start only and never entered again, so each scan is linear
+_AT = re.compile(r"(?<! )(?:[ ]++at[ ]++|[ ]*+@[ ]*+)", re.I)
+_NAMES = re.compile(r"[A-Za-z0-9._%+-]++(?:[ ]++dot[ ]++[A-Za-z0-9._%+-]++)*+", re.I)
+_HOST = re.compile(r"[A-Za-z0-9-]++(?:(?:\.|[ ]+dot[ ]+|[ ]+\.[ ]*|[ ]*\.[ ]+)[A-Za-z0-9-]++)*+", re.I)
+_DOT_WORD = re.compile(r"[ ]+dot[ ]+|[ ]+\.[ ]*|[ ]*\.[ ]+", re.I)
+_SAID_DOT = re.compile(r" dot ", re.I)
+_SENTENCE = re.compile(r"[^ ]\. ")
+_PLAIN_HINT = re.compile(r" dot |[ ]@|@[ ]|@[A-Za-z0-9-]+(?: \.|\. )", re.I)
+_IP_DOTS = re.compile(r"(?<![0-9.])[0-9]{1,3}(?:[ ]*(?:\.|\bdot\b)[ ]*[0-9]{1,3}){3}(?![0-9])", re.I)
+_IP_DOT = re.compile(r"[ ]*(?:\.|dot)[ ]*", re.I)
+_IP_HINT = re.compile(r"[0-9](?: *dot *| +\. *| *\. +)[0-9]", re.I)
 _CODE_HINT = re.compile(rf"{_OPEN}[ ]?(?:at|@|dot|\.|arroba|ät|punkt|punto|point|d0t)[ ]?{_CLOSE}|&#|&commat;|&period;|%40|%2e|[_*-](?:at|dot)[_*-]", re.I)
 
 
@@ -160,27 +177,30 @@ class Aligned:
 
     def __init__(self, text: str):
         self.text = text
-        self.lo = list(range(len(text)))
-        self.hi = list(range(1, len(text) + 1))
+        self.lo = np.arange(len(text), dtype=np.int32)
+        self.hi = self.lo + np.int32(1)
 
     def rewrite(self, edits: list[tuple[int, int, str]]) -> None:
-        """Replace the disjoint, ordered ranges; each output character of an
-        edit keeps the whole source range that the edit replaced."""
+        """Replace the disjoint, ordered, not empty ranges; each output character
+        of an edit keeps the whole source range that the edit replaced."""
         if not edits:
             return
-        parts, lo, hi, at = [], [], [], 0
-        for s, e, new in edits:
-            parts += [self.text[at:s], new]
-            lo += self.lo[at:s]
-            hi += self.hi[at:s]
-            if e > s:
-                lo += [self.lo[s]] * len(new)
-                hi += [self.hi[e - 1]] * len(new)
-            at = e
+        s, e = (np.fromiter((x[k] for x in edits), np.int64, len(edits)) for k in (0, 1))
+        new = np.fromiter((len(x[2]) for x in edits), np.int64, len(edits))
+        # pieces: what stays before an edit, then what the edit puts there
+        first = np.empty(2 * len(edits) + 1, np.int64)
+        size, last, stays = first.copy(), first.copy(), np.zeros(len(first), bool)
+        first[0], first[2::2], first[1::2] = 0, e, s
+        size[:-1:2], size[-1], size[1::2] = s - first[:-1:2], len(self.text) - e[-1], new
+        last[::2], last[1::2], stays[::2] = first[::2], e - 1, True
+        step = (np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)) * np.repeat(stays, size)
+        self.lo, self.hi = self.lo[np.repeat(first, size) + step], self.hi[np.repeat(last, size) + step]
+        parts, at = [], 0
+        for a, b, text in edits:
+            parts += (self.text[at:a], text)
+            at = b
         parts.append(self.text[at:])
-        lo += self.lo[at:]
-        hi += self.hi[at:]
-        self.text, self.lo, self.hi = "".join(parts), lo, hi
+        self.text = "".join(parts)
 
 
 def _characters(a: Aligned) -> None:
@@ -214,14 +234,23 @@ def _characters(a: Aligned) -> None:
     a.rewrite(edits)
 
 
-def _spelled(a: Aligned) -> None:
+def _spelled(text: str) -> list[tuple[int, int, str]]:
+    """Edits of the runs of three or more number words and digits, each run
+    scanned once; an item that is the start of a longer word is not part of its run."""
     edits = []
-    for m in _SPELLED.finditer(a.text):
-        run = m.group()
-        if not re.search(_NUM, run, re.I):
+    for m in _SPELLED.finditer(text):
+        run, at = m.group(), m.start()
+        if _ALNUM.match(text, m.end()):
+            cut = len(run)
+            while cut and _ALNUM.match(run, cut - 1):   # the last item, and the gap before it
+                cut -= 1
+            run = _DANGLING.sub("", run[:cut])
+            if not _SPELLED.fullmatch(run):
+                continue
+        if not _NUMBER_WORD.search(run):
             continue
         for p in _SPELLED_PART.finditer(run):
-            s, e = m.start() + p.start(), m.start() + p.end()
+            s, e = at + p.start(), at + p.end()
             if p["plus"]:
                 edits.append((s, e, "+"))
             elif p["dot"]:
@@ -233,7 +262,49 @@ def _spelled(a: Aligned) -> None:
                 edits.append((s, e, NUMBER_WORDS[num] * {"double": 2, "triple": 3}.get(mult, 1)))
             elif p["gap"]:
                 edits.append((s, e, ""))
-    a.rewrite(edits)
+    return edits
+
+
+def _is_host(tail: str) -> bool:
+    """Whether the spelled host ``y dot z`` is one rather than prose."""
+    labels = [x for x in re.split(r"[ .]+", _DOT_WORD.sub(".", tail).lower()) if x]
+    end = labels[-1]
+    if end in TOP_LEVEL or end.startswith("xn--"):
+        return labels[0] not in ("the", "this", "that")     # "at the dot com boom"
+    return len(end) >= 3 and end.isalpha() and not PROSE.intersection(labels)
+
+
+def _addresses(text: str) -> list[tuple[int, int, str]]:
+    """Edits of the addresses whose @ or dots are words or stand between blanks.
+    Names and hosts are runs found in one pass each; every @ looks up its own."""
+    names = [m.end() for m in _NAMES.finditer(text)]
+    starts = [m.start() for m in _NAMES.finditer(text)]
+    hosts = [m.span() for m in _HOST.finditer(text)]
+    edits: list[tuple[int, int, str]] = []
+    done = 0
+    for at in _AT.finditer(text):
+        s, e = at.span()
+        k, h = bisect.bisect_right(names, s) - 1, bisect.bisect_right(hosts, (e, len(text) + 1)) - 1
+        if s < done or k < 0 or names[k] != s or h < 0 or hosts[h][1] <= e or not _ALNUM.match(text, s - 1):
+            continue
+        done = hosts[h][1]      # accepted or not, its host is not searched again
+        tail = text[e:done]
+        spelled = "at" in at.group().lower()
+        end = _SENTENCE.search(tail)
+        if end and (spelled or not _SAID_DOT.search(tail)):
+            tail = tail[: end.start() + 1]      # a sentence ends here
+        if spelled and not (_SAID_DOT.search(tail) and _is_host(tail)):
+            continue                            # "meet at example.com", "look at the dot on"
+        if not spelled and at.group() == "@" and not _DOT_WORD.search(text, e, done):
+            continue
+        if "." not in tail and not _SAID_DOT.search(tail):
+            continue
+        left = max(starts[k], edits[-1][1] if edits else 0)
+        edits += [(left + d.start(), left + d.end(), ".") for d in _DOT_WORD.finditer(text[left:s])]
+        if e - s > 1:
+            edits.append((s, e, "@"))
+        edits += [(e + d.start(), e + d.end(), ".") for d in _DOT_WORD.finditer(tail)]
+    return edits
 
 
 def _at_dot(a: Aligned) -> None:
@@ -248,48 +319,22 @@ def _at_dot(a: Aligned) -> None:
                 end = x[1]
         a.rewrite(kept)
     if _PLAIN_HINT.search(a.text):
-        edits = []
-        for m in _PLAIN.finditer(a.text):
-            at_s, at_e = m.span("at")
-            spelled = "at" in m["at"].lower()
-            tail = a.text[at_e:m.end()]
-            if spelled and not re.search(r" dot ", tail, re.I):
-                continue  # "meet at example.com": prose, unless the dots are disguised too
-            if not spelled and m["at"] == "@" and not _DOT_WORD.search(tail):
-                continue
-            stop = m.end()
-            if not re.search(r" dot ", tail, re.I) and re.search(r"[^ ]\. ", tail):
-                stop = at_e + re.search(r"[^ ]\. ", tail).start() + 1  # a sentence ends here
-                if "." not in a.text[at_e:stop]:
-                    continue
-            end = re.split(r"[ .]", a.text[at_e:stop])[-1].lower()
-            if spelled and end not in TOP_LEVEL and not end.startswith("xn--"):
-                continue  # "look at the dot on"
-            edits += [(m.start() + d.start(), m.start() + d.end(), ".")
-                      for d in _DOT_WORD.finditer(a.text[m.start():at_s])]
-            if at_e - at_s > 1:
-                edits.append((at_s, at_e, "@"))
-            edits += [(at_e + d.start(), at_e + d.end(), ".") for d in _DOT_WORD.finditer(a.text[at_e:stop])]
-        a.rewrite(edits)
+        a.rewrite(_addresses(a.text))
     if _IP_HINT.search(a.text):
-        edits = []
-        for m in _IP_DOTS.finditer(a.text):
-            for d in re.finditer(r"[ ]?(?:\.|dot)[ ]?", m.group(), re.I):
-                if d.group() != ".":
-                    edits.append((m.start() + d.start(), m.start() + d.end(), "."))
-        a.rewrite(edits)
+        a.rewrite([(m.start() + d.start(), m.start() + d.end(), ".") for m in _IP_DOTS.finditer(a.text)
+                   for d in _IP_DOT.finditer(m.group()) if d.group() != "."])
 
 
 def deobfuscate(text: str) -> Aligned | None:
     """The rewritten text with its source offsets; None where nothing changes."""
     odd = _ODD_CHAR.search(text)
-    spelled = _SPELLED.search(text)  # the transducer's own pattern: a cheaper one would be stricter
+    spelled = None if odd else _spelled(text)
     if not (odd or spelled or _CODE_HINT.search(text) or _PLAIN_HINT.search(text) or _IP_HINT.search(text)):
         return None
     a = Aligned(text)
     if odd:
         _characters(a)
-    _spelled(a)
+    a.rewrite(_spelled(a.text) if odd else spelled)
     _at_dot(a)
     return a if a.text != text else None
 
@@ -301,14 +346,19 @@ def find(text: str) -> tuple[list[Span], list[Span]]:
     if a is None:
         return base, base
     spans = list(base)
+    # base spans of a kind are disjoint and in order, and so are the added ones
+    taken = [[(s, e) for s, k, e in base if k == kind] for kind in range(len(KINDS))]
+    end = [0] * len(KINDS)
     for s, k, e in detect(a.text):
-        lo, hi = a.lo[s], a.hi[e - 1]
+        lo, hi = int(a.lo[s]), int(a.hi[e - 1])
         while hi > lo and text[lo].isspace():  # an edit may have swallowed blanks
             lo += 1
         while hi > lo and text[hi - 1].isspace():
             hi -= 1
-        if not any(bk == k and bs < hi and lo < be for bs, bk, be in spans):
+        at = bisect.bisect_left(taken[k], (hi, 0)) - 1
+        if lo >= end[k] and (at < 0 or taken[k][at][1] <= lo):
             spans.append((lo, k, hi))
+            end[k] = hi
     spans.sort()
     return base, spans
 
