@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 
@@ -94,3 +95,92 @@ def test_an_edited_copy_beside_exact_ones(spark):
     bench = spark.createDataFrame([(1, " ".join(_item(30)))], "item_id long, text string")
     texts = {i: " ".join(_item(30)) for i in range(40)} | {100: " ".join(_edited(_item(30)))}
     assert {r.doc_id for r in D.contaminated(documents(spark, texts), bench).collect()} == set(texts)
+
+
+def _exhaustive(texts, items):
+    """{(doc, item)} whose best alignment over the whole document reaches the threshold."""
+    out = set()
+    for k, item in items.items():
+        w = D._item_words(item)
+        for i, t in texts.items():
+            d = D._item_words(t)
+            if len(w) >= D.MIN_WORDS:
+                if D.align(w, d)[0] >= D._least(len(w), D.THRESHOLD):
+                    out.add((i, k))
+            elif len(w) > 1 and any((d[x: x + len(w)] == w).all() for x in range(len(d) - len(w) + 1)):
+                out.add((i, k))
+            elif len(w) == 1 and len(d) == 1 and d[0] == w[0]:
+                out.add((i, k))
+    return out
+
+
+def test_search_equals_exhaustive_alignment(spark):
+    """Words of very uneven frequency, copies edited in every way: nothing is missed, nothing added."""
+    rng = random.Random(21)
+    vocab = [f"v{i}" for i in range(400)]
+    word = lambda: vocab[min(int(rng.paretovariate(0.6)) - 1, 399)]
+    prose = lambda n: [word() for _ in range(n)]
+    items = {k: " ".join(prose(rng.choice([1, 2, 3, 4, 5, 6, 8, 15, 30, 60]))) for k in range(40)}
+    texts = {}
+    for i in range(250):
+        w = items[rng.randrange(40)].split()
+        how = i % 7
+        if how == 0:
+            w = ["zz" if x % 3 == 2 else v for x, v in enumerate(w)]             # every third word replaced
+        elif how == 1:
+            w = [v for x in w for v in (x, f"q{rng.randrange(99)}")]              # a word put after every word
+        elif how == 2:
+            w = [v for x, v in enumerate(w) if x % 3]                             # every third word dropped
+        elif how == 3:
+            w = w[len(w) // 3: len(w) // 3 + max(5, len(w) // 2)]
+        elif how == 4:
+            w = [rng.choice([v, v, v, word(), f"q{rng.randrange(99)}"]) for v in w]
+        elif how == 5:
+            w = w + prose(9) + w
+        texts[i] = " ".join([f"p{rng.randrange(99)}" for _ in range(rng.randrange(30))] + w + prose(rng.randrange(30)))
+    texts |= {900 + k: items[k].split()[0] for k in range(10)}
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    rows = D.contaminated(documents(spark, texts), bench).collect()
+    want = _exhaustive(texts, items)
+    assert {(r.doc_id, r.item_id) for r in rows} == want and len(want) > 200
+    for r in rows:      # each reported range aligns as well as it says
+        item, doc = D._item_words(items[r.item_id]), D._item_words(texts[r.doc_id])
+        assert D.align(item, doc[r.start_word: r.end_word])[0] == r.score
+
+
+def test_copies_without_three_equal_words_in_a_row(spark):
+    bench = spark.createDataFrame([(1, " ".join(_item(30)))], "item_id long, text string")
+    copy = ["other" if i % 3 == 2 else w for i, w in enumerate(_item(30))]
+    docs = documents(spark, {5: " ".join(_item(40, "x") + copy), 6: " ".join(_item(90, "z"))})
+    assert [(r.doc_id, r.score) for r in D.contaminated(docs, bench).collect()] == [(5, 31)]
+
+
+def test_repeated_passages_take_linear_time():
+    item = D._item_words(" ".join(_item(40)))
+    for n in (1000, 2000):
+        words = np.concatenate([np.concatenate([item, item[:1] + np.uint64(i + 7)]) for i in range(n)])
+        began = time.process_time()
+        found = list(D._passages(item, words, 0, len(words), D.THRESHOLD))
+        assert len(found) == n and {f[0] for f in found} == {80} and time.process_time() - began < n / 1000
+
+
+def test_short_items_and_scripts_without_blanks(spark):
+    items = {1: "alpha beta gamma", 2: "the", 3: "\u4eca\u5929\u5929\u6c14\u5f88\u597d\u6211\u4eec\u53bb\u516c\u56ed", 4: "\u0e2a\u0e27\u0e31\u0e2a\u0e14\u0e35"}
+    texts = {1: "xx Alpha, beta gamma yy", 2: "alpha beta", 3: "the", 4: "the end", 5: "\u524d" + items[3] + "\u3002", 6: "\u4eca\u5929",
+             7: "\u201cAlpha\u201d beta \u2014 gamma", 8: "see " + items[4] + " ok"}
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    rows = D.contaminated(documents(spark, texts), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in rows} == {(1, 1), (3, 2), (5, 3), (7, 1), (8, 4)}
+
+
+def test_every_row_has_its_own_verdict(spark):
+    """Null and repeated ids: a row goes by its own text alone."""
+    bench = spark.createDataFrame([(1, " ".join(_item(30))), (2, "alpha beta gamma")], "item_id long, text string")
+    bad, good = " ".join(_item(30)), "some other words that nobody copied"
+    rows = [(None, bad), (None, good), (7, bad), (7, good), (7, None), (8, "x alpha beta gamma"), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    for size in (1, D.BLOCK_BYTES):
+        kept = D.without_contaminated(docs, bench, block_bytes=size).collect()
+        assert sorted((r.doc_id or 0, r.text or "") for r in kept) == [(0, good), (7, ""), (7, good), (9, "")]
+    found = D.contaminated(docs, bench).collect()
+    assert sorted((r.doc_id or 0, r.item_id) for r in found) == [(0, 1), (7, 1), (8, 2)]
