@@ -39,6 +39,8 @@ from textforge.llm.tokens import buffer_of, hash_words, mix, slices
 MIN_DOCS = 30
 PRIOR, UNIT = 5, 1_000_000_000
 TOP = 50
+#: Rows of a side table (one a group, or one a lang and octave) that may be broadcast.
+SMALL = 1 << 16
 #: Terms of a block and groups of a tile: what one product holds.
 BLOCK, TILE = 256, 32
 #: Rows of the left matrix multiplied at once, and bytes of text counted at once.
@@ -102,13 +104,20 @@ def _price(n: Column, total: Column, terms: Column) -> Column:
     return F.call_function("div", above, (total + F.lit(PRIOR) * terms).cast("decimal(20,0)")) + F.lit(1)
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """A written table, sent to every task if it has at most SMALL rows; a larger
+    one is left to a shuffled join, whose hot keys Spark splits."""
+    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
+
+
 class Audit:
     """The tables of an audit over ``counts`` (see ``term_counts``), each written once.
 
     kept: (lang, term, total, block), the terms in at least ``min_docs`` documents of a lang.
     cells: (lang, source, term, n, total, block), what a group has of its lang's kept terms.
-    groups: (lang, source, g, total, terms), every group with its number in the lang,
-    its occurrences of kept terms and how many kept terms there are.
+    groups: (lang, source, g, last, total, terms, every), every group with its number
+    in the lang and the lang's last one, its occurrences of kept terms, and how many
+    kept terms and occurrences of them the lang has.
     """
 
     def __init__(self, counts: DataFrame, min_docs: int = MIN_DOCS, block: int = BLOCK, tile: int = TILE):
@@ -119,17 +128,19 @@ class Audit:
             F.col("docs") >= min_docs).select("lang", "term", "total", F.floor(F.log2("total")).cast("int").alias("octave"))
         kept = materialise(kept, "kept-terms")
         parts = kept.groupBy("lang", "octave").agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("parts"))
-        self.kept = kept.join(parts, ["lang", "octave"]).select(
+        self.kept = kept.join(_small(materialise(parts, "term-octaves")), ["lang", "octave"]).select(
             "lang", "term", "total",
             F.struct("octave", F.pmod(F.xxhash64("term"), "parts").alias("part")).alias("block"))
         self.cells = materialise(real.select("lang", "source", "term", "n").join(self.kept, ["lang", "term"]), "term-cells")
         sums = self.cells.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-        langs = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"))
+        langs = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"), F.sum("total").alias("every"))
         number = F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1
+        last = F.count(F.lit(1)).over(Window.partitionBy("lang")).cast("int") - 1
         zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
         self.groups = materialise(
             counts.where("term = ''").select("lang", "source").join(sums, ["lang", "source"], "left").join(langs, "lang", "left")
-            .select("lang", "source", number.alias("g"), zero("total"), zero("terms")), "term-groups")
+            .select("lang", "source", number.alias("g"), last.alias("last"), zero("total"), zero("terms"), zero("every")), "term-groups")
+        self.priced = self.cells.join(_small(self.groups.withColumnRenamed("total", "of")), ["lang", "source"])
 
     def pairs(self) -> DataFrame:
         """(lang, a, b, value): the distance of groups number a < b of a lang, the
@@ -141,14 +152,12 @@ class Audit:
         level0 = F.when(F.col("terms") > 0, _price(F.lit(0).cast("long"), F.col("total"), F.col("terms"))).otherwise(F.lit(0))
         # a row without a term says which groups a block has and what their level 0 lends
         heads = self.groups.join(blocks.union(empty), "lang").select(
-            "lang", "block", "g", F.lit(None).cast("string").alias("term"), F.col("n_terms").alias("n"),
+            "lang", "block", "g", "last", F.lit(None).cast("string").alias("term"), F.col("n_terms").alias("n"),
             level0.cast("long").alias("p"))
-        rows = self.cells.join(self.groups.select("lang", "source", "g", F.col("total").alias("of"), "terms"),
-                               ["lang", "source"]).select(
-            "lang", "block", "g", "term", "n", _price(F.col("n"), F.col("of"), F.col("terms")).alias("p"))
-        tiles = self.groups.groupBy("lang").agg(F.floor(F.max("g") / self.tile).cast("int").alias("last"))
-        own = F.floor(F.col("g") / self.tile).cast("int")
-        dealt = heads.union(rows).join(tiles, "lang").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last")))).select(
+        rows = self.priced.select("lang", "block", "g", "last", "term", "n", _price(F.col("n"), F.col("of"), F.col("terms")).alias("p"))
+        at = lambda g: F.floor(F.col(g) / self.tile).cast("int")
+        own = at("g")
+        dealt = heads.union(rows).withColumn("other", F.explode(F.sequence(F.lit(0), at("last")))).select(
             "lang", "block", F.least(own, "other").alias("ti"), F.greatest(own, "other").alias("tj"), "g", "term", "n", "p")
         tile = self.tile
         priced = dealt.groupBy("lang", "block", "ti", "tj").applyInPandas(
@@ -165,11 +174,9 @@ class Audit:
 
     def terms(self) -> DataFrame:
         """(lang, source, item, value): the terms a group has and lends more than its lang does."""
-        every = self.kept.groupBy("lang").agg(F.sum("total").alias("all"))
-        priced = self.cells.join(self.groups.select("lang", "source", F.col("total").alias("of"), "terms"),
-                                 ["lang", "source"]).join(every, "lang")
-        value = _price(F.col("n"), F.col("of"), F.col("terms")) - _price(F.col("total"), F.col("all"), F.col("terms"))
-        return priced.select("lang", "source", F.col("term").alias("item"), value.alias("value")).where("value > 0")
+        value = (_price(F.col("n"), F.col("of"), F.col("terms"))
+                 - _price(F.col("total"), F.col("every"), F.col("terms")))
+        return self.priced.select("lang", "source", F.col("term").alias("item"), value.alias("value")).where("value > 0")
 
 
 def level_rows(group: np.ndarray, column: np.ndarray, n: np.ndarray, p: np.ndarray, heads: dict[int, int],
