@@ -16,7 +16,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textforge.functions.text import clean_text, trim_ws
+from textforge.plans.joins import null_safe_join, small_copy
 from textforge.plans.ordered import ordered_index
+from textforge.plans.selection import Rank, probes, values_at
 
 # --- fixed values of the reference pipeline ---
 INSTRUCTION = "لخص هذا النص بالدارجة المغربية:"
@@ -61,7 +63,7 @@ def dedup_keep_first(df: DataFrame, key: str = "headline",
         *[F.col(f"_first.{c}").alias(c) for c in (*order, *rest)], F.col(key))
 
 
-_WORD, _SHIFT = Decimal(1 << 64), Decimal(1 << 63)
+_WORD, _SHIFT, _LAST_RANK = Decimal(1 << 64), Decimal(1 << 63), Decimal(1 << 32)
 
 
 def first_positions(df: DataFrame, key: str = "headline", rank: str = "split_rank",
@@ -71,19 +73,27 @@ def first_positions(df: DataFrame, key: str = "headline", rank: str = "split_ran
     The pair is carried as one 38-digit decimal, which holds any two longs, so
     ``min`` is a fixed-width HashAggregate (partial aggregation per map task,
     no sort); a key holding a third of all rows leaves one candidate per task.
+    A null rank or position comes after every other one (and is returned as null).
     Rows failing ``keep`` never win. The test sits inside the aggregate on
     purpose: as a Filter it would be pushed below the projection that computes
     ``key`` (duplicating that expression) and below any preceding repartition.
     """
-    whole = F.col(pos).cast("decimal(20,0)") + F.lit(_SHIFT)
-    pair = (F.col(rank).cast("decimal(10,0)") * F.lit(_WORD) + whole).cast("decimal(38,0)")
+    last_rank, last_pos = F.lit(_LAST_RANK), F.lit(_WORD)
+    whole = F.coalesce(F.col(pos).cast("decimal(20,0)") + F.lit(_SHIFT), last_pos)
+    pair = (F.coalesce(F.col(rank).cast("decimal(18,0)"), last_rank) * F.lit(_WORD * 2) + whole).cast("decimal(38,0)")
     if keep is not None:
         pair = F.when(keep, pair)
     firsts = df.groupBy(key).agg(F.min(pair).alias("_first")).where(F.col("_first").isNotNull())
-    low = F.pmod(F.col("_first"), F.lit(_WORD))
+    low = F.pmod(F.col("_first"), F.lit(_WORD * 2))
+    high = ((F.col("_first") - low) / F.lit(_WORD * 2)).cast("long")
     return firsts.select(
-        key, ((F.col("_first") - low) / F.lit(_WORD)).cast(df.schema[rank].dataType).alias(rank),
-        (low - F.lit(_SHIFT)).cast("long").alias(pos))
+        key, F.when(high != int(_LAST_RANK), high).cast(df.schema[rank].dataType).alias(rank),
+        F.when(low < last_pos, (low - F.lit(_SHIFT)).cast("long")).alias(pos))
+
+
+def _unplaced() -> Column:
+    """A row whose place in the corpus is unknown: it comes after all others."""
+    return F.col("split_rank").isNull() | F.col("pos").isNull()
 
 
 def prepare_corpus(raw: DataFrame, min_length: int = HEADLINE_MIN_LENGTH) -> DataFrame:
@@ -98,8 +108,14 @@ def prepare_corpus(raw: DataFrame, min_length: int = HEADLINE_MIN_LENGTH) -> Dat
     ok = F.length(trim_ws("headline")) >= min_length
     winners = first_positions(heads, keep=ok)
     rest = [c for c in raw.columns if c != "headline"]
-    kept = winners.join(raw.select(*rest), ["split_rank", "pos"])
-    return kept.withColumn("article", clean_text("article")).select(*rest, "headline")
+    kept = winners.where(~_unplaced()).join(raw.select(*rest), ["split_rank", "pos"])
+    # headlines that only rows without a place have: found by the headline, the least such row
+    loose = raw.where(_unplaced()).withColumn("headline", clean_text("headline"))
+    loose = loose.join(winners.where(_unplaced()).select("headline"), "headline").where(ok)
+    loose = loose.groupBy("headline").agg(F.min(F.struct(*[F.col(c) for c in rest])).alias("_r")).select(
+        *[F.col(f"_r.{c}").alias(c) for c in rest], "headline")
+    kept = kept.select(*rest, "headline").unionByName(loose.select(*rest, "headline"))
+    return kept.withColumn("article", clean_text("article"))
 
 
 def to_instruction(df: DataFrame, instruction: str = INSTRUCTION, keep: Sequence[str] = ()
@@ -130,23 +146,50 @@ def split_exact(df: DataFrame, id_col: str = "id", seed: int = SPLIT_SEED,
                 ratios: Sequence[float] = SPLIT_RATIOS, out: str = "split") -> DataFrame:
     """exact sizes: train = floor(r_train * n), test = ceil(rest * r_test / (r_val + r_test)).
 
-    Rows are ordered by (hash, id) with a range exchange and numbered by
-    :func:`ordered_index` (a distributed zipWithIndex). ``n`` comes from one
-    count job (a single number to the driver), so the cut points are
-    literals and no join is needed.
+    Rows are ordered by (hash, id), but never sorted or numbered: the two cut
+    keys are found by selection (counts between probes), then the split is a
+    projection with literals. Where a cut falls among rows of one and the same
+    key, those cannot be told apart by it and the rows are numbered instead.
     """
     tr, va, te = ratios
-    n = df.count()
-    n_train = int(n * tr)
-    rest = n - n_train
-    n_test = int(min(rest, math.ceil(rest * te / (va + te))))
-    n_val = rest - n_test
-    keyed = df.withColumn("_h", split_bucket(id_col, seed))
+    keyed = df.withColumn("_h", F.coalesce(split_bucket(id_col, seed), F.lit(-1.0)))      # rows without an id come first
+
+    def bounds(n: int) -> tuple[int, int]:
+        n_train = int(n * tr)
+        rest = n - n_train
+        return n_train, n_train + rest - int(min(rest, math.ceil(rest * te / (va + te))))
+
+    head = F.lit(0)
+    probe = keyed.groupBy(head.alias("_all")).agg(
+        F.count(F.lit(1)).alias("n"), probes(F.col("_h"), [Rank("a", tr, None), Rank("b", tr + va, None)]).alias("probes"))
+    stats = small_copy(probe)
+    one = stats.first()
+    if one is None or one["n"] == 0 or one["probes"] is None:
+        return df.withColumn(out, F.lit("train"))
+    n = one["n"]
+    cuts = [c for c in sorted(set(bounds(n))) if c < n]
+    ranks = [Rank(f"c{k}", (tr, tr + va)[bounds(n).index(c)], lambda _, c=c: F.lit(c).cast("long")) for k, c in enumerate(cuts)]
+    found = values_at(keyed.withColumn("_all", head), ["_all"], F.col("_h"), ranks, stats.withColumn(
+        "probes", F.flatten(F.array(*[F.slice("probes", 1 + 2 * (bounds(n).index(c)), 2) for c in cuts])))).first() if cuts else None
+    at = F.lit(0)
+    for k, c in enumerate(cuts):
+        h, skip = found[f"c{k}"], c - found[f"c{k}_before"]
+        tied = keyed.where(F.col("_h") == F.lit(h)).select(id_col).orderBy(id_col).limit(skip + 2).collect()
+        ids = [r[0] for r in tied]
+        if skip + 1 < len(ids) and ids[skip] == ids[skip + 1] or skip and ids[skip - 1] == ids[skip] or ids[skip] is None:
+            return _split_numbered(keyed, id_col, *bounds(n), out)
+        at = at + F.when((F.col("_h") > F.lit(h)) | ((F.col("_h") == F.lit(h)) & (F.col(id_col) >= F.lit(ids[skip]))), 1).otherwise(0)
+    names = ["train", *(("val", "test")[bounds(n).index(c)] for c in cuts)]
+    # two equal cuts leave the part between them empty
+    if len(cuts) == 1 and bounds(n)[0] == bounds(n)[1]:
+        names[1] = "test"
+    return keyed.withColumn(out, F.get(F.array(*[F.lit(x) for x in names]), at)).drop("_h")
+
+
+def _split_numbered(keyed: DataFrame, id_col: str, first: int, second: int, out: str) -> DataFrame:
     pos = ordered_index(keyed, [], ["_h", id_col], index_col="_pos")
-    return pos.withColumn(
-        out, F.when(F.col("_pos") < n_train, "train")
-        .when(F.col("_pos") < n_train + n_val, "val").otherwise("test")
-    ).drop("_h", "_pos")
+    return pos.withColumn(out, F.when(F.col("_pos") < first, "train").when(F.col("_pos") < second, "val").otherwise("test")
+                          ).drop("_h", "_pos")
 
 
 def split_report(df: DataFrame, split_col: str = "split") -> DataFrame:
@@ -201,12 +244,15 @@ def cleaning_report(raw: DataFrame, min_length: int = HEADLINE_MIN_LENGTH) -> Da
     flagged = cleaned.withColumns({
         "_ok": F.coalesce(F.length(trim_ws("headline")) >= min_length, F.lit(False)),
         "_removed": F.col("_removed_a") - F.coalesce(F.length("headline"), F.lit(0))})
-    first = first_positions(flagged, keep=F.col("_ok")).select("split_rank", "pos", F.lit(True).alias("_kept"))
-    marked = flagged.join(first, ["split_rank", "pos"], "left")
-    kept = F.coalesce(F.col("_kept"), F.lit(False))
+    # a row without a place is known by its headline; of such rows with one headline a split keeps one
+    key = F.when(_unplaced(), F.col("headline")).alias("_loose")
+    first = first_positions(flagged, keep=F.col("_ok")).select("split_rank", "pos", key, F.lit(True).alias("_kept"))
+    marked = null_safe_join(flagged.withColumn("_loose", key), first, ["split_rank", "pos", "_loose"], "left")
+    kept = F.coalesce(F.col("_kept"), F.lit(False)) & F.col("_ok")
+    placed = kept & F.col("_loose").isNull()
     return marked.groupBy("split").agg(
         F.count(F.lit(1)).alias("rows_in"),
         F.count_if(~F.col("_ok")).alias("short"),
-        F.count_if(F.col("_ok") & ~kept).alias("duplicate"),
-        F.count_if(kept).alias("kept"),
+        (F.count_if(F.col("_ok") & ~placed) - F.count_distinct(F.when(kept, F.col("_loose")))).alias("duplicate"),
+        (F.count_if(placed) + F.count_distinct(F.when(kept, F.col("_loose")))).alias("kept"),
         F.sum("_removed").alias("chars_removed"))

@@ -1,10 +1,9 @@
 """Token streams and latency analytics (T1 batch form, W2, W3, L1-L5, F8, J5, S8).
 
-Per-request and per-label orderings go through
-:func:`textforge.plans.ordered.ordered_running`, so neither a long request
-nor a label holding most measurements lands in a single task; the exact
-floor-rank percentiles and medians are order statistics read off those
-positions, never a gathered list.
+Per-request orderings go through :func:`textforge.plans.ordered.ordered_running`,
+so a long request does not land in a single task; the exact floor-rank
+percentiles and medians are found by counting (:mod:`textforge.plans.selection`),
+so no label's measurements are ever sorted or gathered.
 """
 
 from __future__ import annotations
@@ -15,8 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textforge.plans.joins import checked_broadcast, null_safe_join
+from textforge.functions.strict_json import strict_json
+from textforge.plans.joins import null_safe_join, small_copy
 from textforge.plans.ordered import ordered_running
+from textforge.plans.selection import floor_rank, middle_ranks, probes, select_ranks, values_at
 
 # --- fixed values: stream protocol and report rules ---
 DATA_PREFIX = "data: "
@@ -54,25 +55,24 @@ def json_number_2dp(c: Column) -> Column:
     return F.when(s.endswith("."), F.concat(s, F.lit("0"))).otherwise(s)
 
 
+def _first_choice(line: Column) -> Column:
+    """The first choice of the chunk a ``data:`` line carries; null if it carries none."""
+    keep = (line != "") & (line != DONE_LINE) & line.startswith(DATA_PREFIX)
+    chunk = strict_json(F.substring(line, len(DATA_PREFIX) + 1, 1 << 30), CHUNK_SCHEMA)
+    return F.when(keep, F.get(chunk["choices"], F.lit(0)))          # null for an empty list of choices
+
+
 def token_delta(line: Column | str) -> Column:
     """The non-empty delta a line carries, else null (T1 as one expression)."""
-    l = F.col(line) if isinstance(line, str) else line
-    keep = (l != "") & (l != DONE_LINE) & l.startswith(DATA_PREFIX)
-    chunk = F.from_json(F.substring(l, len(DATA_PREFIX) + 1, 1 << 30), CHUNK_SCHEMA)
-    d = F.get(chunk["choices"], F.lit(0))["delta"]["content"]       # null for an empty list of choices
-    return F.when(keep & (F.coalesce(d, F.lit("")) != ""), d)
+    d = _first_choice(F.col(line) if isinstance(line, str) else line)["delta"]["content"]
+    return F.when(d != "", d)
 
 
 def sse_parse(lines: DataFrame, line: str = "line") -> DataFrame:
-    """Keep ``data:`` lines that are not ``[DONE]`` and parse as a chunk;
-    ``delta`` is the content ('' when absent). Blank and bad lines drop out."""
-    l = F.col(line)
-    keep = (l != "") & (l != DONE_LINE) & l.startswith(DATA_PREFIX)
-    chunk = F.from_json(F.substring(l, len(DATA_PREFIX) + 1, 1 << 30), CHUNK_SCHEMA)
-    first = F.get(chunk["choices"], F.lit(0))
-    parsed = lines.where(keep).withColumn("_ok", first.isNotNull()) \
-        .withColumn("delta", F.coalesce(first["delta"]["content"], F.lit("")))
-    return parsed.where("_ok").drop("_ok", line)
+    """Keep ``data:`` lines that are not ``[DONE]`` and are a chunk in strict
+    JSON; ``delta`` is the content ('' when absent). Blank and bad lines drop out."""
+    parsed = lines.withColumn("_first", _first_choice(F.col(line))).where("_first is not null")
+    return parsed.withColumn("delta", F.coalesce(F.col("_first")["delta"]["content"], F.lit(""))).drop("_first", line)
 
 
 def token_events(lines: DataFrame, request: str = "request_id", seq: str = "seq",
@@ -81,7 +81,7 @@ def token_events(lines: DataFrame, request: str = "request_id", seq: str = "seq"
     and ``elapsed_ms`` since the request's first line."""
     start = lines.groupBy(request).agg(F.min(ts).alias("_start"))
     tokens = sse_parse(lines).where(F.col("delta") != "")
-    idx = ordered_running(tokens, [request], [seq], index_col="token_index")
+    idx = ordered_running(tokens, [request], [seq], index_col="token_index", sizes_of=lines)
     # aggregate side has one row per request; AQE splits a skewed request
     out = idx.join(start, request)
     return out.withColumn("elapsed_ms", ms_2dp(micros_between("_start", ts))).drop("_start")
@@ -137,7 +137,7 @@ def request_metrics(lines: DataFrame, request: str = "request_id", seq: str = "s
         F.min(ts).alias("_first"), F.count(F.lit(1)).alias("token_count"))
     toks = parsed.where(F.col("delta") != "")
     run = ordered_running(toks, [request], [seq], index_col=None,
-                          sums={"_end_char": F.length("delta")})
+                          sums={"_end_char": F.length("delta")}, sizes_of=lines)
     head = run.where(F.col("_end_char") - F.length("delta") < RESPONSE_CHARS).groupBy(request).agg(
         F.substring(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(seq, "delta"))),
                                              lambda x: x["delta"]), ""), 1, RESPONSE_CHARS).alias("response"))
@@ -161,16 +161,21 @@ ZERO_DURATION = "zero duration"
 
 def exact_mean(col: Column | str) -> Column:
     """Mean with an exact (decimal) sum, so the result is the correctly rounded
-    mean whatever the partitioning and summation order. Millisecond inputs
-    derived from microseconds are exact at 9 decimals; 29 integer digits
-    leave room for any realistic total."""
+    mean whatever the partitioning and summation order. Values count to 18
+    decimals; where one is infinite or not a number, or the sum has more than 20
+    integer digits, it is the plain mean."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.avg(c.cast("decimal(38,9)")).cast("double")
+    odd = F.count_if(c.isNotNull() & c.cast("decimal(38,18)").isNull())
+    return F.when(odd > 0, F.avg(c)).otherwise(F.coalesce(F.avg(c.cast("decimal(38,18)")).cast("double"), F.avg(c)))
+
+
+def _valid() -> Column:
+    return F.col("ttft_ms").isNotNull() & (F.coalesce(F.col("error"), F.lit("")) == "")
 
 
 def filter_valid_results(df: DataFrame) -> DataFrame:
     """F8: a ttft is present and the error is null or empty."""
-    return df.where(F.col("ttft_ms").isNotNull() & (F.coalesce(F.col("error"), F.lit("")) == ""))
+    return df.where(_valid())
 
 
 def latency_summary(measured: DataFrame, label: str = "label", key: str = "request_id"
@@ -179,38 +184,31 @@ def latency_summary(measured: DataFrame, label: str = "label", key: str = "reque
     total mean, throughput mean/max. No row for a label without a valid row.
 
     Median interpolates the two middle values; p95/p99 are the floor-rank
-    order statistics ``sorted[int(n * q)]``.
+    order statistics ``sorted[int(n * q)]``, both found by selection: one pass
+    for all other statistics and the probes, one for the counts between probes.
     """
-    counts = measured.groupBy(label).agg(F.count(F.lit(1)).alias("n_requests"))
-    valid = filter_valid_results(measured)
-    pos = ordered_running(valid, [label], ["ttft_ms", key], index_col="_i")
-    # one row per label: broadcast after a check of its bytes (a label may hold most rows)
-    sizes = valid.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = null_safe_join(pos, checked_broadcast(sizes), [label])
-    i, n, v = F.col("_i"), F.col("_n"), F.col("ttft_ms")
-    mid = (i == F.floor((n - 1) / 2)) | (i == F.floor(n / 2))
-    aggs = [F.count(F.lit(1)).alias("n_successful"), exact_mean(v).alias("ttft_mean_ms"),
-            F.avg(F.when(mid, v)).alias("ttft_median_ms")]
-    for q in PERCENTILES:
-        aggs.append(F.max(F.when(i == F.floor(n * F.lit(q)), v)).alias(f"ttft_p{int(round(q * 100))}_ms"))
-    aggs += [F.min(v).alias("ttft_min_ms"), F.max(v).alias("ttft_max_ms"),
-             exact_mean("total_time_ms").alias("total_time_mean_ms"),
-             exact_mean("tokens_per_sec").alias("throughput_mean_tps"),
-             F.max("tokens_per_sec").alias("throughput_max_tps")]
-    stats = ranked.groupBy(label).agg(*aggs)
-    out = null_safe_join(stats, counts, [label])
-    return out.withColumn("n_failed", F.col("n_requests") - F.col("n_successful")).select(label, *STAT_ORDER)
-
-
-def percentile_rank_floor(df: DataFrame, value: str, by: Sequence[str], tie: Sequence[str],
+    ok = _valid()
+    v = F.when(ok, F.col("ttft_ms"))
+    ranks = [*middle_ranks("_m0", "_m1"), *(floor_rank(f"ttft_p{int(round(q * 100))}_ms", q) for q in PERCENTILES)]
+    stats = small_copy(measured.groupBy(label).agg(
+        F.count(F.lit(1)).alias("n_requests"), F.count_if(ok).alias("n_successful"),
+        exact_mean(v).alias("ttft_mean_ms"), F.min(v).alias("ttft_min_ms"), F.max(v).alias("ttft_max_ms"),
+        exact_mean(F.when(ok, F.col("total_time_ms"))).alias("total_time_mean_ms"),
+        exact_mean(F.when(ok, F.col("tokens_per_sec"))).alias("throughput_mean_tps"),
+        F.max(F.when(ok, F.col("tokens_per_sec"))).alias("throughput_max_tps"), probes(v, ranks).alias("_probes")))
+    found = values_at(measured, [label], v, ranks, stats, n="n_successful", probed="_probes")
+    out = null_safe_join(found, stats.drop("_probes"), [label])
+    return out.withColumns({
+        "ttft_median_ms": (F.col("_m0") + F.col("_m1")) / 2,
+        "n_failed": F.col("n_requests") - F.col("n_successful")}).select(label, *STAT_ORDER)
+
+
+def percentile_rank_floor(df: DataFrame, value: str, by: Sequence[str], tie: Sequence[str] = (),
                           qs: Sequence[float] = PERCENTILES) -> DataFrame:
-    """L3 alone: ``sorted(values)[int(n * q)]`` per group, exactly."""
-    pos = ordered_running(df, list(by), [value, *tie], index_col="_i")
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = null_safe_join(pos, sizes, list(by))
-    return ranked.groupBy(*by).agg(*[
-        F.max(F.when(F.col("_i") == F.floor(F.col("_n") * F.lit(q)), F.col(value)))
-        .alias(f"p{int(round(q * 100))}") for q in qs])
+    """L3 alone: ``sorted(values)[int(n * q)]`` per group, exactly, by selection
+    (equal values need no ``tie`` to be ordered by)."""
+    ranks = [floor_rank(f"p{int(round(q * 100))}", q) for q in qs]
+    return select_ranks(df, list(by), F.col(value), ranks).select(*by, *(r.name for r in ranks))
 
 
 def latency_target(mean: Column | str, target: float = TARGET_TTFT_MS) -> Column:
@@ -260,13 +258,15 @@ def stats_report_lines(long: DataFrame, label: str = "label") -> DataFrame:
 
 def write_stats_report(lines: DataFrame, path: str, sections: Sequence[str] = ("sequential", "concurrent"),
                        titles: dict[str, str] | None = None) -> None:
-    """S8 sink: one text file, sections in order, a header line per section."""
-    titles = titles or {s: f"=== {s.upper()} BENCHMARK ===" for s in sections}
-    rank = F.array_position(F.array(*[F.lit(s) for s in sections]), F.col("section"))
-    heads = lines.select("section").distinct().select(
-        "section", F.lit(0).alias("line_no"),
-        F.element_at(F.create_map(*[x for s in sections for x in (F.lit(s), F.lit(titles[s]))]),
-                     F.col("section")).alias("line"))
+    """S8 sink: one text file, a header line per section; the named ``sections``
+    come first, in order, then any others by name. A section without a title of
+    its own gets the usual one."""
+    order = F.array_position(F.array(*[F.lit(s) for s in sections]), F.col("section"))
+    rank = F.when(order > 0, order).otherwise(len(sections) + 1)
+    title = F.concat(F.lit("=== "), F.upper("section"), F.lit(" BENCHMARK ==="))
+    for name, own in (titles or {}).items():
+        title = F.when(F.col("section") == name, F.lit(own)).otherwise(title)
+    heads = lines.select("section").distinct().select("section", F.lit(0).alias("line_no"), title.alias("line"))
     body = heads.unionByName(lines.select("section", "line_no", "line"))
-    (body.withColumn("_r", rank).orderBy("_r", "line_no").select("line")
+    (body.withColumn("_r", rank).orderBy("_r", "section", "line_no").select("line")
      .coalesce(1).write.mode("overwrite").text(path))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textforge.functions.strict_json import strict_json
 from textforge.functions.text import trim_ws
 from textforge.operators.corpus import INSTRUCTION
 
@@ -101,8 +102,9 @@ RESPONSE_SCHEMA = T.StructType([
 
 
 def extract_response(df: DataFrame, body: str = "body") -> DataFrame:
-    """Summary (first choice, stripped) and usage counts from the body."""
-    r = F.from_json(F.col(body), RESPONSE_SCHEMA)
+    """Summary (first choice, stripped) and usage counts from the body; all
+    null where the body is not exactly one JSON value."""
+    r = strict_json(F.col(body), RESPONSE_SCHEMA)
     return df.withColumns({
         "summary": trim_ws(F.get(r["choices"], F.lit(0))["message"]["content"]),
         "prompt_tokens": r["usage"]["prompt_tokens"],

@@ -22,7 +22,7 @@ B3_GAPS = f"SELECT * FROM ({B3}) p WHERE id % 20 <> 0"
 
 B4 = """SELECT a.vec_id AS id, k.model, a.embedding AS ref_vec, p.embedding AS pred_vec
 FROM embeddings a JOIN (SELECT 'finetuned' AS model, 1 AS k UNION ALL SELECT 'base', 2) k ON TRUE
-JOIN embeddings p ON p.vec_id = a.vec_id + k.k"""
+JOIN embeddings p ON p.vec_id = (a.vec_id + k.k) % (SELECT max(vec_id) + 1 FROM embeddings)"""
 
 B5 = f"""SELECT doc_id AS id, n AS attempt,
        CASE WHEN n = 1 AND doc_id % 7 = 3 THEN translate({V}, '"', '\'\'')
@@ -64,6 +64,8 @@ B6 = """SELECT user_id AS request_id, seq, ts,
             WHEN event_type = 'error' THEN 'data: {bad'
             WHEN event_type = 'view' THEN 'data: {"choices":[{"delta":{}}]}'
             WHEN event_id % 23 = 5 THEN 'data: {"choices":[]}'
+            WHEN event_id % 23 = 7 THEN 'data: {''choices'':[{''delta'':{''content'':''q''}}]}'
+            WHEN event_id % 23 = 9 THEN 'data: {"choices":[{"delta":{"content":"t"}}]} trailing'
             ELSE concat('data: {"choices":[{"delta":{"content":"c', CAST(event_id AS VARCHAR), ' "}}]}') END AS line
 FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq,
              count(*) OVER (PARTITION BY user_id) - 1 AS last_seq FROM events) e"""
@@ -73,7 +75,7 @@ B7 = """SELECT doc_id AS request_id,
        CASE WHEN doc_id % 7 = 0 THEN NULL ELSE doc_id % 600 END AS max_tokens,
        CASE WHEN doc_id % 11 = 0 THEN NULL ELSE CAST(doc_id % 25 AS DOUBLE) / 10 END AS temperature,
        CASE WHEN doc_id % 13 = 0 THEN NULL ELSE 0.5e0 + CAST(doc_id % 20 AS DOUBLE) / 10 END AS repetition_penalty,
-       CAST(NULL AS VARCHAR) AS system_prompt
+       CASE WHEN doc_id % 17 = 3 THEN repeat('s', 501) WHEN doc_id % 17 = 5 THEN 'Answer in one line.' END AS system_prompt
 FROM documents"""
 
 B8 = """SELECT CASE WHEN user_id % 2 = 0 THEN 'sequential' ELSE 'concurrent' END AS label, event_id AS request_id,
@@ -92,13 +94,29 @@ B10 = """SELECT event_id AS request_id, CASE WHEN user_id % 2 = 0 THEN 'model-a'
        CASE WHEN event_type = 'error' THEN 'timeout' WHEN event_type = 'view' AND event_id % 3 = 0 THEN 'exception' ELSE 'response' END AS outcome,
        CASE WHEN event_type = 'error' THEN NULL WHEN event_type = 'click' AND event_id % 3 = 0 THEN 503 ELSE 200 END AS status_code,
        value * 8 AS latency_ms,
-       concat(CASE WHEN event_id % 17 = 4 THEN '{"choices":[' ELSE concat('{"choices":[{"message":{"content":"  s', CAST(event_id AS VARCHAR), ' "}}') END,
+       CASE WHEN event_id % 17 = 6 THEN concat(body0, ' trailing') WHEN event_id % 17 = 8 THEN translate(body0, '"', '''') ELSE body0 END AS body
+FROM (SELECT *, concat(CASE WHEN event_id % 17 = 4 THEN '{"choices":[' ELSE concat('{"choices":[{"message":{"content":"  s', CAST(event_id AS VARCHAR), ' "}}') END,
               '],"usage":{"prompt_tokens":', CAST(10 + event_id % 90 AS VARCHAR),
-              ',"completion_tokens":', CAST(1 + event_id % 50 AS VARCHAR), ',"total_tokens":', CAST(11 + event_id % 90 + event_id % 50 AS VARCHAR), '}}') AS body
-FROM events"""
+              ',"completion_tokens":', CAST(1 + event_id % 50 AS VARCHAR), ',"total_tokens":', CAST(11 + event_id % 90 + event_id % 50 AS VARCHAR), '}}') AS body0 FROM events) e"""
+
+B11 = """SELECT request_id, k AS seq, t0 + to_microseconds(CAST(k * 250000 + (event_id % 200) * 1000 + event_id % 7
+         + CASE WHEN request_id % 7 = 3 AND k >= 4 THEN 90000000 ELSE 0 END AS BIGINT)) AS ts, kind,
+       CASE WHEN k = 0 THEN CASE WHEN request_id % 11 = 4 THEN 503 WHEN request_id % 11 = 9 THEN 429 ELSE 200 END END AS status,
+       CASE WHEN kind = 'failure' THEN 'connection reset by peer' WHEN kind = 'line' THEN
+         CASE WHEN k = n - 3 THEN 'data: [DONE]' WHEN event_type = 'signup' THEN '' WHEN event_type = 'error' THEN 'data: {bad'
+              WHEN event_id % 10 = 7 THEN 'data: {''choices'':[{''delta'':{''content'':''q''}}]}'
+              WHEN event_id % 10 = 8 THEN 'data: {"choices":[{"delta":{"content":"t"}}]} trailing'
+              WHEN event_type = 'view' THEN 'data: {"choices":[{"delta":{}}]}'
+              ELSE concat('data: {"choices":[{"delta":{"content":"c', CAST(event_id AS VARCHAR), ' "}}]}') END END AS text
+FROM (SELECT *, CASE WHEN k = 0 THEN 'status' WHEN k = n - 1 THEN 'close'
+                     WHEN request_id % 13 = 6 AND k = 3 THEN 'failure' ELSE 'line' END AS kind
+      FROM (SELECT *, count(*) OVER (PARTITION BY request_id) AS n, min(ts) OVER (PARTITION BY request_id) AS t0
+            FROM (SELECT event_id, ts, event_type, s % 12 AS k, user_id * 100000 + s // 12 AS request_id
+                  FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS s FROM events) a) b) c) d
+WHERE NOT (request_id % 7 = 5 AND k >= 5)"""
 
 ALL = {"b1": B1, "b2": B2, "b3": B3, "b3_gaps": B3_GAPS, "b4": B4, "b5": B5, "b5p": B5P, "b6": B6, "b7": B7,
-       "b8": B8, "b9": B9, "b10": B10}
+       "b8": B8, "b9": B9, "b10": B10, "b11": B11}
 
 
 def with_bindings(sql: str, *names: str) -> str:

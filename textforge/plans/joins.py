@@ -24,6 +24,15 @@ def checked_broadcast(side: DataFrame, row_bytes: int = 64) -> DataFrame:
     return F.broadcast(side) if side.limit(most + 1).count() <= most else side
 
 
+def small_copy(side: DataFrame, row_bytes: int = 512) -> DataFrame:
+    """``side`` computed once and broadcast if its rows, at ``row_bytes`` each, fit
+    the bound; otherwise ``side`` itself, left to a shuffled join. For aggregates
+    over few groups, whose input would else be read again for every use."""
+    most = MAX_BROADCAST_BYTES // row_bytes
+    rows = side.limit(most + 1).collect()
+    return F.broadcast(side.sparkSession.createDataFrame(rows, side.schema)) if len(rows) <= most else side
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
     """``left.join(right, on)`` where null equals null; key columns are left's."""
     renamed = right.select(*[F.col(c).alias(f"_tf_r_{c}") if c in on else F.col(c) for c in right.columns])

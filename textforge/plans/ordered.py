@@ -1,8 +1,9 @@
-"""Exact positions and running sums within groups, without one task per group.
+"""Exact positions and running sums within groups, without one task per hot group.
 
 ``Window.partitionBy(g).orderBy(o)`` sends every row of a group to one task,
-so a group holding a third of the table serialises a third of the job. Here
-the rows are range-partitioned on ``(g, o)`` instead, so a hot group is cut
+so a group holding a third of the table serialises a third of the job. Groups
+are counted first; those of at most HOT_ROWS rows go through that plain window,
+one exchange. The rows of the others are range-partitioned on ``(g, o)`` instead, so a hot group is cut
 into many ordered pieces of bounded size:
 
 1. ``repartitionByRange(P, g, o)`` and tag each row with its range piece
@@ -33,6 +34,8 @@ from textforge.plans.joins import null_safe_join
 from textforge.session import ensure_checkpoint_dir
 
 PID = "_tf_pid"
+#: Rows that one task may order as a group, and hot groups that may be sent to every task.
+HOT_ROWS, MAX_HOT = 1 << 18, 1 << 16
 
 
 _UNITS = {"": 1, "b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20,
@@ -80,14 +83,52 @@ def ordered_running(
     index_col: str | None = "idx",
     sums: Mapping[str, Column] | None = None,
     num_partitions: int | None = None,
+    sizes_of: DataFrame | None = None,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Add a 0-based position ``index_col`` and inclusive running ``sums``.
 
     Positions and sums restart for every value of ``group_cols`` and follow
-    ``order_cols`` (ascending unless given as sorted Columns).
+    ``order_cols`` (ascending unless given as sorted Columns). ``sizes_of`` may
+    name a cheaper table with at least as many rows of every group, to be counted
+    in place of ``df``. ``num_partitions`` sends every group the way of the hot ones.
     """
     sums = dict(sums or {})
     group_cols = list(group_cols)
+    if group_cols and num_partitions is None:
+        hot = _hot_groups(df if sizes_of is None else sizes_of, group_cols, hot_rows or HOT_ROWS)
+        if hot is None:
+            return _in_windows(df, group_cols, order_cols, index_col, sums)
+        if hot is not df:
+            mark = null_safe_join(df, F.broadcast(hot.withColumn("_tf_hot", F.lit(True))), group_cols, "left")
+            cold, warm = (mark.where(c).drop("_tf_hot") for c in ("_tf_hot is null", "_tf_hot"))
+            return _in_windows(cold, group_cols, order_cols, index_col, sums).unionByName(
+                _in_ranges(warm, group_cols, order_cols, index_col, sums, None))
+    return _in_ranges(df, group_cols, order_cols, index_col, sums, num_partitions)
+
+
+def _hot_groups(df: DataFrame, group_cols: list[str], hot_rows: int) -> DataFrame | None:
+    """The groups of more than ``hot_rows`` rows; None if there are none, ``df``
+    itself if they are too many to be sent to every task."""
+    hot = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_tf_n")).where(F.col("_tf_n") > hot_rows).drop("_tf_n")
+    rows = hot.limit(MAX_HOT + 1).collect()
+    if len(rows) > MAX_HOT:
+        return df
+    return df.sparkSession.createDataFrame(rows, hot.schema) if rows else None
+
+
+def _in_windows(df: DataFrame, group_cols: list[str], order_cols: Sequence[str | Column], index_col: str | None,
+                sums: Mapping[str, Column]) -> DataFrame:
+    of = Window.partitionBy(*group_cols).orderBy(*order_cols)
+    running = of.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = df
+    if index_col:
+        out = out.withColumn(index_col, (F.row_number().over(of) - 1).cast("long"))
+    return out.withColumns({name: F.sum(expr).over(running) for name, expr in sums.items()}) if sums else out
+
+
+def _in_ranges(df: DataFrame, group_cols: list[str], order_cols: Sequence[str | Column], index_col: str | None,
+               sums: Mapping[str, Column], num_partitions: int | None) -> DataFrame:
     p = _partitions(df, num_partitions)
     keyed = df
     tmp_sums = {}
@@ -142,10 +183,10 @@ def ordered_running(
 
 
 def ordered_index(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str | Column],
-                  index_col: str = "idx", num_partitions: int | None = None) -> DataFrame:
+                  index_col: str = "idx", num_partitions: int | None = None, sizes_of: DataFrame | None = None) -> DataFrame:
     """0-based position within the group: ``row_number() - 1`` that scales."""
     return ordered_running(df, group_cols, order_cols, index_col=index_col,
-                           num_partitions=num_partitions)
+                           num_partitions=num_partitions, sizes_of=sizes_of)
 
 
 def group_sizes(df: DataFrame, group_cols: Sequence[str], name: str = "n") -> DataFrame:

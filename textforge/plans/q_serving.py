@@ -79,7 +79,8 @@ _EXTRACT = (f"SELECT request_id, model, outcome, status_code, latency_ms, "
             f"{S.trim_ws(_CONTENT)} AS summary, "
             f"CAST(json_extract(body, '$.usage.prompt_tokens') AS BIGINT) AS prompt_tokens, "
             f"CAST(json_extract(body, '$.usage.completion_tokens') AS BIGINT) AS completion_tokens, "
-            f"CAST(json_extract(body, '$.usage.total_tokens') AS BIGINT) AS total_tokens FROM b10")
+            f"CAST(json_extract(body, '$.usage.total_tokens') AS BIGINT) AS total_tokens "
+            f"FROM (SELECT * REPLACE (CASE WHEN json_valid(body) THEN body END AS body) FROM b10) b10")
 
 
 @register("extract_response", with_bindings(

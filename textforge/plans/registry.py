@@ -43,4 +43,5 @@ def load_all() -> None:
         q_eval,
         q_serving,
         q_runs,
+        q_relay,
     )

@@ -65,12 +65,14 @@ def predictions_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def embedding_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``id, model, ref_vec, pred_vec`` (prediction = a neighbouring vector)."""
+    """``id, model, ref_vec, pred_vec`` (prediction = a neighbouring vector;
+    the last ids' neighbours are the first ones)."""
     e = read_table(spark, sf_dir, "embeddings")
+    n = e.agg(F.coalesce(F.max("vec_id"), F.lit(0)) + 1).first()[0]
     a = e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("ref_vec"),
                  F.explode(_lit_rows(("finetuned", 1), ("base", 2))).alias("k"))
     a = a.select("id", "ref_vec", F.col("k.col1").alias("model"),
-                 (F.col("id") + F.col("k.col2")).alias("pred_id"))
+                 F.pmod(F.col("id") + F.col("k.col2"), F.lit(n)).alias("pred_id"))
     p = e.select(F.col("vec_id").alias("pred_id"), F.col("embedding").alias("pred_vec"))
     return a.join(p, "pred_id").select("id", "model", "ref_vec", "pred_vec")
 
@@ -140,6 +142,8 @@ def stream_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             .when(t == "error", F.lit("data: {bad"))
             .when(t == "view", F.lit('data: {"choices":[{"delta":{}}]}'))
             .when(F.col("event_id") % 23 == 5, F.lit('data: {"choices":[]}'))
+            .when(F.col("event_id") % 23 == 7, F.lit("data: {'choices':[{'delta':{'content':'q'}}]}"))
+            .when(F.col("event_id") % 23 == 9, F.lit('data: {"choices":[{"delta":{"content":"t"}}]} trailing'))
             .otherwise(F.concat(F.lit('data: {"choices":[{"delta":{"content":"c'),
                                 F.col("event_id").cast("string"), F.lit(' "}}]}'))))
     return e.select(F.col("user_id").alias("request_id"), F.col("seq").cast("long").alias("seq"),
@@ -158,7 +162,8 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(i % 11 == 0, F.lit(None)).otherwise((i % 25).cast("double") / 10).alias("temperature"),
         F.when(i % 13 == 0, F.lit(None))
         .otherwise(F.lit(0.5) + (i % 20).cast("double") / 10).alias("repetition_penalty"),
-        F.lit(None).cast("string").alias("system_prompt"),
+        F.when(i % 17 == 3, F.repeat(F.lit("s"), 501)).when(i % 17 == 5, F.lit("Answer in one line."))
+        .alias("system_prompt"),
     )
 
 
@@ -199,6 +204,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('],"usage":{"prompt_tokens":'), (10 + i % 90).cast("string"),
         F.lit(',"completion_tokens":'), (1 + i % 50).cast("string"),
         F.lit(',"total_tokens":'), (11 + i % 90 + i % 50).cast("string"), F.lit("}}"))
+    body = F.when(i % 17 == 6, F.concat(body, F.lit(" trailing"))).when(i % 17 == 8, F.translate(body, '"', "'")).otherwise(body)
     return e.select(
         i.alias("request_id"),
         F.when(F.col("user_id") % 2 == 0, "model-a").otherwise("model-b").alias("model"),
@@ -208,3 +214,34 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.lit(200)).alias("status_code"),
         (F.col("value") * 8).alias("latency_ms"),
         body.alias("body"))
+
+
+REQUEST_LINES = 12
+
+
+def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request log ``request_id, seq, ts, kind, status, text``: every user's
+    events in blocks of twelve, each block a request. Some are refused, fail, go
+    silent and come back, or are never heard of again."""
+    ev = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
+    pos = ordered_index(ev, ["user_id"], ["ts", "event_id"], index_col="s")
+    r = pos.select("event_id", "ts", "event_type", (F.col("s") % REQUEST_LINES).alias("k"),
+                   (F.col("user_id") * 100000 + F.floor(F.col("s") / REQUEST_LINES)).alias("request_id"))
+    per = r.groupBy("request_id").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("t0"))
+    r = r.join(per, "request_id")
+    k, rid, i = F.col("k"), F.col("request_id"), F.col("event_id")
+    micros = (k * 250000 + (i % 200) * 1000 + i % 7
+              + F.when((rid % 7 == 3) & (k >= 4), F.lit(90_000_000)).otherwise(F.lit(0))).cast("long")
+    kind = (F.when(k == 0, "status").when(k == F.col("n") - 1, "close")
+            .when((rid % 13 == 6) & (k == 3), "failure").otherwise("line"))
+    line = (F.when(k == F.col("n") - 3, "data: [DONE]").when(F.col("event_type") == "signup", "")
+            .when(F.col("event_type") == "error", "data: {bad")
+            .when(i % 10 == 7, "data: {'choices':[{'delta':{'content':'q'}}]}")
+            .when(i % 10 == 8, 'data: {"choices":[{"delta":{"content":"t"}}]} trailing')
+            .when(F.col("event_type") == "view", 'data: {"choices":[{"delta":{}}]}')
+            .otherwise(F.concat(F.lit('data: {"choices":[{"delta":{"content":"c'), i.cast("string"), F.lit(' "}}]}'))))
+    return r.where(~((rid % 7 == 5) & (k >= 5))).select(
+        rid.cast("long").alias("request_id"), k.cast("long").alias("seq"),
+        F.timestamp_add("MICROSECOND", micros, F.col("t0")).alias("ts"), kind.alias("kind"),
+        F.when(k == 0, F.when(rid % 11 == 4, 503).when(rid % 11 == 9, 429).otherwise(200)).cast("int").alias("status"),
+        F.when(kind == "failure", "connection reset by peer").when(kind == "line", line).alias("text"))
