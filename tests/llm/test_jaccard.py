@@ -53,5 +53,21 @@ def test_one_per_group_and_edges(spark):
     assert sorted(r.doc_id for r in out.collect()) == [3, 9, 11, 12] and out.columns == df.columns
     assert jaccard.join_components(df.limit(0)).count() == 0
     null = df.withColumn("doc_id", F.lit(None).cast("long"))
-    assert jaccard.one_per_group(null).count() == 5
+    assert jaccard.one_per_group(null).count() == 4     # rows without an id have a verdict of their own
     assert {r.component_id for r in jaccard.join_components(null).collect()} == {None}
+
+
+def test_every_row_has_its_own_verdict(spark):
+    """Null and repeated ids: one row of each group stays, whatever the ids."""
+    a = "one two three four five six seven eight nine ten eleven twelve"
+    near = a + " more"
+    rows = [(5, a), (5, a), (None, near), (3, "quite another text of seven words here"), (3, a + " x y"), (None, "alone but without any number of its own"),
+            (None, "alone but without any number of its own"), (8, None), (8, ""), (None, None), (9, near)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = jaccard.one_per_group(docs)
+    assert kept.columns == docs.columns
+    got = sorted(str(tuple(r)) for r in kept.collect())
+    want = [(3, a + " x y"), (3, "quite another text of seven words here"), (None, "alone but without any number of its own"),
+            (8, None), (8, ""), (None, None)]
+    assert got == sorted(map(str, want))
+    assert jaccard.one_per_group(docs.limit(0)).count() == 0

@@ -69,3 +69,20 @@ def test_stages_keep_the_columns_and_take_an_empty_table(spark):
         assert stage(spark, docs, path).dtypes == docs.dtypes, name
     for _, stage in P.STAGES:
         assert stage(spark, docs.limit(0), path).count() == 0
+
+
+def test_null_and_repeated_ids(spark):
+    """A row goes by its own text: copies of an item and near copies without an id, or under another's."""
+    rng = random.Random(30)
+    prose = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    item, base = prose(30), prose(60)
+    near = " ".join(base[:59] + ["edit"])
+    rows = [(None, " ".join(prose(20) + item)), (None, " ".join(base)), (7, near), (7, " ".join(prose(50))), (7, " ".join(prose(20) + item + prose(9))),
+            (None, " ".join(prose(40))), (None, "too short"), (8, None)]
+    path = fresh_path(spark, "pipeline-test")
+    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], COLUMNS).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(1, " ".join(item))], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    enc = _library()
+    want = [(7, near), rows[3], rows[5]]
+    got = sorted((r.doc_id or 0, r.ids) for r in P.run(spark, path).collect())
+    assert got == sorted((i or 0, enc.encode_ordinary(t)) for i, t in want)

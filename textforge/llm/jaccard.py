@@ -532,10 +532,12 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is its component's least id: one document
-    of each group stays. Ids are taken as unique: rows that repeat a kept id
-    collapse to one. Rows without an id stay as they are."""
-    found = join_components(docs, id_col, text_col)
-    keep = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_tf_keep")).distinct()
-    kept = docs.join(keep, docs[id_col] == keep["_tf_keep"], "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    """One row of each group of similar texts, the one of the least id (a row
+    without an id only where all are); rows of an empty set stay. Rows are told
+    apart by a number of their own, so null and repeated ids get a verdict per row."""
+    keyed = materialise(docs.withColumn("_tf_row", F.monotonically_increasing_id()), "numbered-documents")
+    found = join_components(keyed, "_tf_row", text_col).select("_tf_row", F.col("component_id").alias("_tf_group"))
+    order = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.col("_tf_row").alias("r"))
+    least = found.join(keyed.select("_tf_row", F.col(id_col)), "_tf_row").groupBy("_tf_group").agg(F.min(order).alias("x"))
+    kept = keyed.join(least.select(F.col("x.r").alias("_tf_row")), "_tf_row", "left_semi")
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
