@@ -8,13 +8,14 @@ the columns of ``documents``:
 
 * ``quality_rules`` drops the rows that fail the current policy (a null or
   empty text has too few words and goes).
-* ``ngram_jaccard`` keeps one document of each group of similar texts, the one
-  with the least id; rows without an id stay.
-* ``decontamination`` drops documents with a passage of ``benchmark``.
+* ``ngram_jaccard`` keeps one row of each group of similar texts, the one of the
+  least id (one without an id only where all are).
+* ``decontamination`` drops rows with a passage of ``benchmark``.
 * ``pii`` masks personal data; ``n_chars`` follows the new text.
 * ``byte_bpe`` returns doc_id, n_tokens, ids and the digests of both directions.
 
-An empty table passes through every stage.
+Every row gets its own verdict, also where ids are null or repeated. An empty
+table passes through every stage.
 """
 
 from __future__ import annotations
