@@ -3,18 +3,16 @@
 ``lcs_length`` is the bit-parallel algorithm (Allison-Dix / Hyyro): one
 pass over ``a`` with word-parallel operations on a bit set of ``b``, i.e.
 O(|a| * |b| / 64) machine work, so whole texts stay cheap.
-``lcs_indices`` backtracks the full table (built with vectorised running
-maxima), needed where the matched positions themselves matter
-(summary-level union LCS).
+``lcs_indices`` also finds the matched positions (summary-level union LCS), by
+going back over rows of which only some are kept.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Sequence
 
-import numpy as np
-
 
 def lcs_length(a: Sequence[str], b: Sequence[str]) -> int:
     if not a or not b:
@@ -33,46 +31,49 @@ def lcs_length(a: Sequence[str], b: Sequence[str]) -> int:
     return len(b) - bin(v).count("1")
 
 
-def lcs_table(ref: Sequence[str], cand: Sequence[str]) -> np.ndarray:
-    """The LCS length table ``T[i][j]`` of ``ref[:i]`` and ``cand[:j]``.
-
-    A row (or column) of the table is a running maximum:
-    ``T[i][j] = max_k<=j max(T[i-1][k], T[i-1][k-1] + match(i, k))``, so each
-    step is two vectorised numpy passes along the longer sequence while
-    Python iterates over the shorter one.
-    """
-    vocab: dict[str, int] = {}
-    r = np.fromiter((vocab.setdefault(t, len(vocab)) for t in ref), dtype=np.int64, count=len(ref))
-    c = np.fromiter((vocab.setdefault(t, len(vocab)) for t in cand), dtype=np.int64, count=len(cand))
-    n, m = len(r), len(c)
-    table = np.zeros((n + 1, m + 1), dtype=np.int32)
-    if m <= n:
-        for j in range(1, m + 1):
-            prev = table[:, j - 1]
-            step = np.maximum(prev[1:], prev[:-1] + (r == c[j - 1]))
-            table[1:, j] = np.maximum.accumulate(step)
-    else:
-        for i in range(1, n + 1):
-            prev = table[i - 1, :]
-            step = np.maximum(prev[1:], prev[:-1] + (c == r[i - 1]))
-            table[i, 1:] = np.maximum.accumulate(step)
-    return table
+def _next_row(v: int, mask: int | None, full: int) -> int:
+    """Row i + 1 of the LCS length table from row i: a zero bit is a column where the length grows."""
+    if mask is None:
+        return v
+    u = v & mask
+    return ((v + u) | (v - u)) & full
 
 
 def lcs_indices(ref: Sequence[str], cand: Sequence[str]) -> list[int]:
-    """Positions in ``ref`` of one LCS with ``cand`` (ties prefer moving in ``ref``)."""
+    """Positions in ``ref`` of one LCS with ``cand`` (ties prefer moving in ``ref``).
+
+    Rows of the length table are bit sets. Every root-of-n-th row is kept; going
+    back, the rows between two kept ones are made again, so about 2 * root(n)
+    rows of len(cand) bits are held at once and each row is computed twice.
+    """
     n, m = len(ref), len(cand)
     if not n or not m:
         return []
-    table = lcs_table(ref, cand)
+    masks: dict[str, int] = {}
+    for j, tok in enumerate(cand):
+        masks[tok] = masks.get(tok, 0) | (1 << j)
+    full, step = (1 << m) - 1, math.isqrt(n) + 1
+    kept, v = [full], full
+    for i, tok in enumerate(ref, 1):
+        v = _next_row(v, masks.get(tok), full)
+        if i % step == 0:
+            kept.append(v)
     out: list[int] = []
-    i, j = n, m
+    i, j, block, rows = n, m, None, []
     while i > 0 and j > 0:
+        if (i - 1) // step != block:
+            block = (i - 1) // step
+            rows = [kept[block]]
+            for tok in ref[block * step: min(n, (block + 1) * step)]:
+                rows.append(_next_row(rows[-1], masks.get(tok), full))
         if ref[i - 1] == cand[j - 1]:
             out.append(i - 1)
-            i -= 1
-            j -= 1
-        elif table[i, j - 1] > table[i - 1, j]:
+            i, j = i - 1, j - 1
+            continue
+        here, above = rows[i - block * step], rows[i - 1 - block * step]
+        # left beats up only where the length does not grow here, but does from the row above
+        low = (1 << j) - 1
+        if here >> (j - 1) & 1 and (here & low).bit_count() < (above & low).bit_count():
             j -= 1
         else:
             i -= 1

@@ -9,6 +9,7 @@ natively (Python only does the LCS).
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -152,6 +153,46 @@ def rouge_corpus(scores: DataFrame, by: Sequence[str] = ("model",),
                                    F.count(F.lit(1)).alias("n"))
 
 
+#: Fixed resolution of the bootstrap's weights: 16 bits of a hash each.
+_POISSON_STEPS = 8
+
+
+def poisson_thresholds() -> list[int]:
+    """Where a uniform 16-bit number passes from k to k + 1: the distribution of
+    a Poisson variable of mean one, in steps of 1 / 65536."""
+    total, term, out = 0.0, math.exp(-1), []
+    for k in range(_POISSON_STEPS):
+        total += term
+        out.append(int(total * 65536))
+        term /= k + 1
+    return out
+
+
+def poisson_weights(key: Column, replicates: int, seed: int = 0) -> Column:
+    """array<int>: how often a row counts in each replicate; from its key alone,
+    so any partitioning, and any retry, draws the same samples."""
+    number = lambda h, i: F.conv(F.substring(h, 4 * i + 1, 4), 16, 10).cast("int")
+    hashes = [F.md5(F.concat(F.lit(f"{seed}|{c}|"), key.cast("string"))) for c in range(-(-replicates // 8))]
+    draws = F.array(*[number(hashes[r // 8], r % 8) for r in range(replicates)])
+    return F.transform(draws, lambda u: sum((F.when(u >= t, 1).otherwise(0) for t in poisson_thresholds()), F.lit(0)))
+
+
+def rouge_interval(scores: DataFrame, key: str = "id", by: Sequence[str] = ("model",),
+                   variants: Sequence[str] = ("rouge1", "rouge2", "rougeL"), replicates: int = 96,
+                   tail: float = 0.025) -> DataFrame:
+    """A4: (by..., variant, low, mid, high): the midpoint and bounds of the mean F1
+    over ``replicates`` resamples, by a Poisson bootstrap in one pass: each row is
+    weighted per replicate, and only weighted sums are shuffled. The bounds are
+    floor-rank order statistics of the replicates' means."""
+    long = scores.select(*by, F.posexplode(poisson_weights(F.col(key), replicates)).alias("_r", "_w"),
+                         *[F.col(f"{v}_f") for v in variants]).where("_w > 0")
+    sums = long.groupBy(*by, "_r").agg(F.sum("_w").alias("_n"), *[F.sum(F.col("_w") * F.col(f"{v}_f")).alias(v) for v in variants])
+    means = sums.select(*by, *[(F.col(v) / F.col("_n")).alias(v) for v in variants]).unpivot(list(by), list(variants), "variant", "_v")
+    at = lambda q: F.get("_s", F.floor(F.size("_s") * q).cast("int"))
+    return means.groupBy(*by, "variant").agg(F.sort_array(F.collect_list("_v")).alias("_s")).select(
+        *by, "variant", at(tail).alias("low"), at(0.5).alias("mid"), at(1 - tail).alias("high"))
+
+
 def masked_mean_pool(df: DataFrame, group: Sequence[str], vec: str = "embedding",
                      mask: Column | None = None) -> DataFrame:
     """A5: ``sum(vec * mask) / max(sum(mask), eps)`` per group and dimension.
@@ -269,13 +310,29 @@ def batch_generate(df: DataFrame, text: str = "input", out: str = "predicted",
         model = load_model()
         for s in batches:
             yield pd.Series(model(s.tolist()), index=s.index, dtype=object)
-    return df.withColumn(out, gen(F.col(text)))
+    # not deterministic for the optimizer: a later filter must not move the model below an earlier one
+    return df.withColumn(out, gen.asNondeterministic()(F.col(text)))
+
+
+def generate_chain(df: DataFrame, load_model: Callable[[], Callable[[list[str]], list[str]]], key: str = "id",
+                   prompt_tokens: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """F6 -> U4 -> F7: (predictions, skipped). Rows with too long a prompt never
+    reach the model; empty predictions are dropped; ``skipped`` are the keys of
+    all rows without a prediction and why."""
+    from textforge.operators import chat as CH
+    lengths = prompt_tokens if prompt_tokens is not None else CH.prompt_lengths(df, keep=(key,))
+    fit, long = CH.skip_long_prompts(lengths)
+    made = batch_generate(df.join(fit.select(key), key, "left_semi"), load_model=load_model)
+    kept = CH.skip_empty_predictions(made)
+    empty = fit.select(key).join(kept.select(key), key, "left_anti").select(key, F.lit("empty prediction").alias("reason"))
+    return kept, long.select(key, F.lit("prompt too long").alias("reason")).unionByName(empty)
 
 
 def hash_buckets(text: Column | str, dim: int = 64, tokenizer: str = "unicode") -> Column:
-    """Bucket of every token (JVM-side tokenising and ``xxhash64``)."""
+    """Bucket of every token (JVM-side tokenising; the first 32 bits of its MD5,
+    which every engine computes alike)."""
     toks = rouge_tokens(text, tokenizer)
-    return F.transform(toks, lambda t: F.pmod(F.xxhash64(t), F.lit(dim)).cast("int"))
+    return F.transform(toks, lambda t: F.pmod(F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int"))
 
 
 @functools.lru_cache(maxsize=None)

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import string
 import json
+import time
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -171,9 +172,11 @@ def is_verdict(text: str, required: Sequence[str] = REQUIRED_KEYS) -> bool:
 
 def batch_judge(df: DataFrame, prompt: str = "prompt", out: str = "raw",
                 load_client: Callable[[], Callable[[list[str]], list[str]]] | None = None,
-                attempts: int = MAX_ATTEMPTS, valid: Callable[[str], bool] = is_verdict) -> DataFrame:
-    """Prompt -> raw verdict texts via an iterator pandas UDF (one client
-    per task; rate limiting belongs to the client).
+                attempts: int = MAX_ATTEMPTS, valid: Callable[[str], bool] = is_verdict,
+                pause: float = 0.0) -> DataFrame:
+    """Prompt -> raw verdict texts via an iterator pandas UDF (one client per
+    task). With ``pause``, a task asks one prompt at a time and at most once in so
+    many seconds; run fewer tasks for fewer calls at once.
 
     A prompt is asked again only while its reply is not ``valid``, at most
     ``attempts`` times. Output has one row per (input row, attempt made) with
@@ -183,7 +186,7 @@ def batch_judge(df: DataFrame, prompt: str = "prompt", out: str = "raw",
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def call(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        client = loader()
+        client = loader() if not pause else paced(loader(), pause)
         for prompts in batches:
             replies: list[list[str]] = [[] for _ in prompts]
             todo = list(range(len(prompts)))
@@ -200,6 +203,44 @@ def batch_judge(df: DataFrame, prompt: str = "prompt", out: str = "raw",
         *df.columns, (F.col("_at") + 1).alias("attempt"), out)
 
 
+def paced(client: Callable[[list[str]], list[str]], pause: float, clock: Callable[[], float] = time.monotonic,
+          sleep: Callable[[float], None] = time.sleep) -> Callable[[list[str]], list[str]]:
+    """``client`` asked one prompt at a time, calls at least ``pause`` seconds apart."""
+    due = 0.0
+
+    def ask(texts: list[str]) -> list[str]:
+        nonlocal due
+        out = []
+        for t in texts:
+            wait = due - clock()
+            if wait > 0:
+                sleep(wait)
+            due = clock() + pause
+            out += client([t])
+        return out
+    return ask
+
+
+REPLY_DDL = "digest string, attempt int, raw string"
+
+
+def judge_with_store(df: DataFrame, store: str, prompt: str = "prompt", out: str = "raw",
+                     load_client: Callable[[], Callable[[list[str]], list[str]]] | None = None, **options) -> DataFrame:
+    """U6 with replies kept: ``df`` joined to the replies of its prompts, which
+    ``store`` (a Parquet path) holds by the prompt's digest. Only prompts without
+    a reply there are asked, each once however many rows have it; their replies
+    are appended before anything is returned, so a later or repeated run asks nothing."""
+    spark = df.sparkSession
+    keyed = df.withColumn("_digest", F.sha2(F.col(prompt), 256))
+    prompts = keyed.where(F.col(prompt).isNotNull()).groupBy(F.col("_digest").alias("digest")).agg(F.first(prompt).alias("_p"))
+    spark.createDataFrame([], REPLY_DDL).write.mode("append").parquet(store)
+    known = spark.read.schema(REPLY_DDL).parquet(store).select("digest").distinct()
+    asked = batch_judge(prompts.join(known, "digest", "left_anti"), "_p", "raw", load_client, **options)
+    asked.select("digest", F.col("attempt").cast("int").alias("attempt"), "raw").write.mode("append").parquet(store)
+    replies = spark.read.schema(REPLY_DDL).parquet(store).select(F.col("digest").alias("_digest"), "attempt", F.col("raw").alias(out))
+    return keyed.join(replies, "_digest").select(*df.columns, "attempt", out)
+
+
 def stub_judge_client() -> Callable[[list[str]], list[str]]:
     """Offline stand-in for a judge model: scores from the prompt's length."""
     def client(texts: list[str]) -> list[str]:

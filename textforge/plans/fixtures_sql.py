@@ -115,8 +115,21 @@ FROM (SELECT *, CASE WHEN k = 0 THEN 'status' WHEN k = n - 1 THEN 'close'
                   FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS s FROM events) a) b) c) d
 WHERE NOT (request_id % 7 = 5 AND k >= 5)"""
 
+_WS = r"\x09-\x0D\x1C-\x20\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+
+
+def _lead(line: int, k: int) -> str:
+    return (f"array_to_string(list_filter(regexp_split_to_array(coalesce(ls[{line}], ''), '[{_WS}]+'), lambda x: x <> '')[1:{k}], ' ')")
+
+
+B12 = f"""SELECT id, model, reference, CASE model WHEN 'finetuned' THEN {_lead(2, 12)} || chr(10) || {_lead(1, 9)}
+         ELSE {_lead(3, 8)} || chr(10) || {_lead(2, 10)} END AS predicted
+FROM (SELECT doc_id AS id, ls, concat(coalesce(ls[1], ''), chr(10), coalesce(ls[2], ''), chr(10), coalesce(ls[3], '')) AS reference
+      FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents) l) r
+JOIN (SELECT 'finetuned' AS model UNION ALL SELECT 'base') m ON TRUE"""
+
 ALL = {"b1": B1, "b2": B2, "b3": B3, "b3_gaps": B3_GAPS, "b4": B4, "b5": B5, "b5p": B5P, "b6": B6, "b7": B7,
-       "b8": B8, "b9": B9, "b10": B10, "b11": B11}
+       "b8": B8, "b9": B9, "b10": B10, "b11": B11, "b12": B12}
 
 
 def with_bindings(sql: str, *names: str) -> str:

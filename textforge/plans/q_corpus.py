@@ -217,7 +217,7 @@ def assign_round_robin(spark, sf):
 def union_splits(spark, sf):
     raw = B.articles(spark, sf)
     parts = [raw.where(F.col("split") == s) for s in C.SPLIT_ORDER]
-    parts.append(raw.where(~F.col("split").isin(*C.SPLIT_ORDER)))       # whatever else there is
+    parts.append(raw.where(F.coalesce(~F.col("split").isin(*C.SPLIT_ORDER), F.lit(True))))       # whatever else there is
     prepared = C.prepare_corpus(C.union_splits(*parts)).select("pos", "split")
     return C.split_hash(prepared, "pos", out="new_split")
 

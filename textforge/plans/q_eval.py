@@ -193,17 +193,82 @@ def rouge_n_corpus(spark, sf):
                            variants=("rouge1", "rouge2"))
 
 
-@register("rouge_l")
+# a row of LCS lengths over the prediction's words, folded over the reference's
+_LCS = """coalesce(list_last(list_reduce(rt, lambda prev, t: list_reduce(list_zip(pt, generate_series(1, len(pt))), lambda acc, u:
+  list_append(acc, greatest(coalesce(acc[u[2] - 1], 0), prev[u[2]], CASE WHEN u[1] = t THEN coalesce(prev[u[2] - 1], 0) + 1 ELSE 0 END)),
+  []::BIGINT[]), list_transform(pt, lambda z: 0::BIGINT))), 0)"""
+_PRF = ("CASE WHEN n > 0 THEN hit / n ELSE 0e0 END AS {0}_p, CASE WHEN m > 0 THEN hit / m ELSE 0e0 END AS {0}_r, "
+        "CASE WHEN hit > 0 THEN 2e0 * (hit / n) * (hit / m) / (hit / n + hit / m) ELSE 0e0 END AS {0}_f")
+_ROUGE_L = (f"SELECT id, model, {_PRF.format('rougeL')} FROM (SELECT id, model, len(pt) AS n, len(rt) AS m, {_LCS} AS hit "
+            f"FROM (SELECT id, model, {_tok_sql('predicted')} AS pt, {_tok_sql('reference')} AS rt FROM b3 WHERE length(predicted) > 0) t) h")
+# the same fold with the matched positions in place of their number: (reference line, predicted line) -> positions
+_PATH = """list_last(list_reduce(list_zip(rt, generate_series(1, len(rt))), lambda prev, t: list_reduce(list_zip(pt, generate_series(1, len(pt))),
+  lambda acc, u: list_append(acc, CASE WHEN u[1] = t[1] THEN list_append(CASE WHEN u[2] = 1 THEN [] ELSE prev[u[2] - 1] END, t[2])
+    WHEN u[2] > 1 AND len(acc[u[2] - 1]) > len(prev[u[2]]) THEN acc[u[2] - 1] ELSE prev[u[2]] END), []::BIGINT[][]),
+  list_transform(pt, lambda z: []::BIGINT[])))"""
+_ROUGE_LSUM = f"""SELECT id, model, {_PRF.format('rougeLsum')} FROM (
+  SELECT s.id, s.model, max(s.n) AS n, max(s.m) AS m, coalesce(sum(least(u.c, w.cp, w.cr)), 0) AS hit
+  FROM (SELECT id, model, coalesce(len({_tok_sql("replace(predicted, chr(10), ' ')")}), 0) AS n,
+               coalesce(len({_tok_sql("replace(reference, chr(10), ' ')")}), 0) AS m FROM b12) s
+  LEFT JOIN (SELECT id, model, tok, count(*) AS c FROM (
+      SELECT DISTINCT id, model, ri, pos, rt[pos] AS tok FROM (SELECT id, model, ri, rt, unnest({_PATH}) AS pos FROM (
+        SELECT id, model, ri, {_tok_sql('rl')} AS rt, {_tok_sql('pl')} AS pt FROM (
+          SELECT id, model, ri, rl, unnest(string_split(predicted, chr(10))) AS pl FROM (
+            SELECT id, model, predicted, unnest(string_split(reference, chr(10))) AS rl,
+                   unnest(generate_series(1, len(string_split(reference, chr(10))))) AS ri FROM b12) a) b) c
+        WHERE len(rt) > 0 AND len(pt) > 0) d) e GROUP BY id, model, tok) u ON u.id = s.id AND u.model = s.model
+  LEFT JOIN (SELECT id, model, tok, sum(cp) AS cp, sum(cr) AS cr FROM (
+      SELECT id, model, unnest({_tok_sql("replace(predicted, chr(10), ' ')")}) AS tok, 1 AS cp, 0 AS cr FROM b12 UNION ALL
+      SELECT id, model, unnest({_tok_sql("replace(reference, chr(10), ' ')")}), 0, 1 FROM b12) k GROUP BY id, model, tok) w
+    ON w.id = u.id AND w.model = u.model AND w.tok = u.tok
+  GROUP BY s.id, s.model) h"""
+
+
+@register("rouge_lsum_sentences", with_bindings(_ROUGE_LSUM, "b12"))
+def rouge_lsum_sentences(spark, sf):
+    return EV.rouge_lsum(B.summaries(spark, sf), ["id", "model"])
+
+
+_REPLICATES = 96
+_POISSON = " + ".join(f"CASE WHEN u >= {t} THEN 1 ELSE 0 END" for t in EV.poisson_thresholds())
+_ALL_F = (f"SELECT a.id, a.model, rouge1_f AS rouge1, rouge2_f AS rouge2, rougeL_f AS \"rougeL\" FROM ({_ROUGE_N}) a "
+          f"JOIN ({_ROUGE_L}) b ON a.id = b.id AND a.model = b.model")
+_INTERVAL = f"""SELECT model, variant, s[1 + CAST(floor(len(s) * 0.025e0) AS INTEGER)] AS low, s[1 + CAST(floor(len(s) * 0.5e0) AS INTEGER)] AS mid,
+  s[1 + CAST(floor(len(s) * 0.975e0) AS INTEGER)] AS high FROM (
+  SELECT model, variant, list(v ORDER BY v) AS s FROM (
+    SELECT model, r, unnest(['rouge1', 'rouge2', 'rougeL']) AS variant,
+           unnest([sum(w * rouge1) / sum(w), sum(w * rouge2) / sum(w), sum(w * "rougeL") / sum(w)]) AS v FROM (
+      SELECT *, {_POISSON} AS w FROM (
+        SELECT f.*, r, CAST('0x' || substr(md5('0|' || (r // 8) || '|' || id), 4 * (r % 8) + 1, 4) AS INTEGER) AS u
+        FROM ({_ALL_F}) f, (SELECT unnest(generate_series(0, {_REPLICATES - 1})) AS r) k) d) e WHERE w > 0 GROUP BY model, r) g
+  GROUP BY model, variant) h"""
+
+
+@register("rouge_interval", with_bindings(_INTERVAL, "b3"))
+def rouge_interval(spark, sf):
+    preds = _scored_preds(spark, sf)
+    n = EV.rouge_n(preds, ["id", "model"])
+    scores = n.join(EV.rouge_l(preds, ["id", "model"]), ["id", "model"])
+    return EV.rouge_interval(scores, replicates=_REPLICATES)
+
+
+@register("rouge_l", with_bindings(_ROUGE_L, "b3"))
 def rouge_l(spark, sf):
     return EV.rouge_l(_scored_preds(spark, sf), ["id", "model"])
 
 
-@register("rouge_lsum")
+_LSUM_B3 = _ROUGE_LSUM.replace("FROM b12", "FROM (SELECT * FROM b3 WHERE length(predicted) > 0) z")
+
+
+@register("rouge_lsum", with_bindings(_LSUM_B3, "b3"))
 def rouge_lsum(spark, sf):
     return EV.rouge_lsum(_scored_preds(spark, sf), ["id", "model"])
 
 
-@register("rouge_corpus")
+@register("rouge_corpus", with_bindings(
+    f"SELECT n.model, avg(rouge1_f) AS rouge1, avg(rouge2_f) AS rouge2, avg(\"rougeL_f\") AS \"rougeL\", "
+    f"avg(\"rougeLsum_f\") AS \"rougeLsum\", count(*) AS n FROM ({_ROUGE_N}) n JOIN ({_ROUGE_L}) l ON l.id = n.id AND l.model = n.model "
+    f"JOIN ({_LSUM_B3}) s ON s.id = n.id AND s.model = n.model GROUP BY n.model", "b3"))
 def rouge_corpus(spark, sf):
     return EV.rouge_corpus(EV.rouge_scores(_scored_preds(spark, sf), ["id", "model"]))
 
@@ -214,9 +279,17 @@ FROM (SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS
 GROUP BY label, i"""
 
 
-@register("masked_mean_pool", _POOL)
+# token vectors with a real mask: some positions are padding, and every fifth label has nothing else
+_MASK_SQL = "CASE WHEN label % 5 = 4 OR vec_id % 4 = 0 THEN 0 ELSE 1 END"
+_MASKED = f"""SELECT label, CAST(i - 1 AS INTEGER) AS dim, sum(CAST(v AS DOUBLE) * k) / greatest(sum(k), 1e-9) AS value
+FROM (SELECT label, {_MASK_SQL} AS k, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings) x
+GROUP BY label, i"""
+
+
+@register("masked_mean_pool", _MASKED)
 def masked_mean_pool(spark, sf):
-    return EV.masked_mean_pool(read_table(spark, sf, "embeddings"), ["label"])
+    mask = F.when((F.col("label") % 5 == 4) | (F.col("vec_id") % 4 == 0), 0).otherwise(1)
+    return EV.masked_mean_pool(read_table(spark, sf, "embeddings"), ["label"], mask=mask)
 
 
 _COS = ("list_inner_product({a}, {b}) / (greatest(sqrt(list_inner_product({a}, {a})), 1e-8) * "
@@ -326,10 +399,43 @@ def batch_generate(spark, sf):
     return EV.batch_generate(B.instructions(spark, sf).select("id", "input")).select("id", "predicted")
 
 
-@register("batch_embed")
+_DIM = 64
+_EMBED = f"""SELECT d.doc_id, CAST(k.dim AS INTEGER) AS dim, coalesce(c.n / sqrt(sum(c.n * c.n) OVER (PARTITION BY d.doc_id)), 0e0) AS value
+FROM documents d JOIN (SELECT unnest(generate_series(0, {_DIM - 1})) AS dim) k ON TRUE
+LEFT JOIN (SELECT doc_id, dim, CAST(count(*) AS DOUBLE) AS n FROM (
+  SELECT doc_id, CAST('0x' || substr(md5(t), 1, 8) AS BIGINT) % {_DIM} AS dim FROM (
+    SELECT doc_id, unnest({_tok_sql('text')}) AS t FROM documents) a) b GROUP BY doc_id, dim) c
+ON c.doc_id = d.doc_id AND c.dim = k.dim"""
+
+
+@register("batch_embed", _EMBED)
 def batch_embed(spark, sf):
     d = read_table(spark, sf, "documents").select("doc_id", "text")
-    return EV.batch_embed(d, "text").select("doc_id", "embedding")
+    return EV.batch_embed(d, "text", dim=_DIM).select("doc_id", F.posexplode("embedding").alias("dim", "value"))
+
+
+def last_words_model():
+    """A stand-in for a summariser: a text's last eight words, nothing for a text of an even number of words."""
+    def model(texts: list[str]) -> list[str]:
+        words = [(t or "").split(" ") for t in texts]
+        return ["" if len(w) % 2 == 0 else " ".join(w[-8:]) for w in words]
+    return model
+
+
+_CHAIN = (f"SELECT id, CASE WHEN len(w) % 2 = 0 THEN '' ELSE array_to_string(w[-8:], ' ') END AS predicted, "
+          f"{_ntok_sql(_PROMPT_TEXT)} > {CH.MAX_PROMPT_TOKENS} AS long FROM (SELECT *, string_split(input, ' ') AS w FROM b2) b")
+
+
+@register("generate_chain", with_bindings(f"SELECT id, predicted FROM ({_CHAIN}) c WHERE NOT long AND predicted <> ''", "b2"))
+def generate_chain(spark, sf):
+    return EV.generate_chain(B.instructions(spark, sf), last_words_model)[0].select("id", "predicted")
+
+
+@register("generate_chain_skipped", with_bindings(
+    f"SELECT id, CASE WHEN long THEN 'prompt too long' ELSE 'empty prediction' END AS reason FROM ({_CHAIN}) c "
+    f"WHERE long OR predicted = ''", "b2"))
+def generate_chain_skipped(spark, sf):
+    return EV.generate_chain(B.instructions(spark, sf), last_words_model)[1]
 
 
 # ---- P8..P12, A9..A12, U6 ------------------------------------------------------
@@ -441,11 +547,35 @@ def judge_win_rate(spark, sf):
     return J.judge_win_rate(B.raw_pairwise(spark, sf))
 
 
-@register("batch_judge")
-def batch_judge(spark, sf):
-    p = B.predictions(spark, sf).select(
+_PROMPTS = (f"SELECT id, model, {_sql_template(SCALAR_PROMPT, input='input', reference='reference', prediction='predicted')} "
+            f"AS prompt FROM b3")
+_STUB = ("concat('{\"faithfulness\": ', 1 + length(prompt) % 5, ', \"darija_quality\": ', 5 - length(prompt) % 5, "
+         "', \"conciseness\": ', 1 + length(prompt) // 7 % 5, ', \"reasoning\": \"stub 1\"}')")
+_JUDGED = with_bindings(f"SELECT id, model, CAST(1 AS INTEGER) AS attempt, {_STUB} AS raw FROM ({_PROMPTS}) p", "b3")
+
+
+def _prompts(spark, sf):
+    return B.predictions(spark, sf).select(
         "id", "model", J.judge_prompt_scalar("input", "reference", "predicted").alias("prompt"))
-    return J.batch_judge(p).select("id", "model", "attempt", "raw")
+
+
+@register("batch_judge", _JUDGED)
+def batch_judge(spark, sf):
+    return J.batch_judge(_prompts(spark, sf)).select("id", "model", "attempt", "raw")
+
+
+def no_client():
+    def client(texts: list[str]) -> list[str]:
+        raise AssertionError(f"{len(texts)} prompts were asked again")
+    return client
+
+
+@register("judge_with_store", _JUDGED)
+def judge_with_store(spark, sf):
+    from textforge.plans.q_runs import _scratch
+    store = _scratch(spark, "replies")
+    J.judge_with_store(_prompts(spark, sf), store)
+    return J.judge_with_store(_prompts(spark, sf), store, load_client=no_client).select("id", "model", "attempt", "raw")
 
 
 @register("render_conversations", f"SELECT conv_id, concat({_q(_T['begin'])}, string_agg(concat({_q(_H)}, role, "

@@ -330,3 +330,29 @@ def dedup_stream(spark, sf):
     rows.write.parquet(src_path)
     src = spark.readStream.schema("headline string, ts timestamp").option("maxFilesPerTrigger", 2).parquet(src_path)
     return _run_stream(spark, SS.dedup_stream(src, "headline", "ts"), "dedup").select("headline")
+
+
+@register("dedup_stream_table", _with_clean(f"SELECT DISTINCT headline FROM cleaned WHERE NOT ({_SHORT})"))
+def dedup_stream_table(spark, sf):
+    """F3 with spread event times: the log of headlines arrives in steps, a row's
+    time follows its position, and keys leave the state long before the end."""
+    from textforge.functions.text import clean_text, trim_ws
+    raw = B.articles(spark, sf).select("pos", "split_rank", clean_text("headline").alias("headline"))
+    rows = raw.withColumn("_ok", F.length(trim_ws("headline")) >= C.HEADLINE_MIN_LENGTH).where("_ok").select(
+        "headline", "split_rank", "pos", F.timestamp_seconds(F.col("pos") * 60).alias("ts"))
+    path, out, ckpt = (_scratch(spark, f"dedup-{x}") for x in ("rows", "out", "ckpt"))
+    schema = rows.schema
+    cuts = rows.select(F.percentile_approx("pos", [1 / 3, 2 / 3]).alias("c")).first()["c"] or []
+    for lo, hi in zip([None, *cuts], [*cuts, None]):
+        step = rows if lo is None else rows.where(F.col("pos") > lo)
+        (step if hi is None else step.where(F.col("pos") <= hi)).write.mode("append").parquet(path)
+        src = spark.readStream.schema(schema).parquet(path)
+        _start(spark, SS.dedup_to_table(src, out, ckpt, "headline", ["split_rank", "pos"], "ts", "10 minutes"))
+    return spark.read.parquet(out).select("headline")
+
+
+@register("scan_csv_blocks", with_bindings("SELECT id, model, input, reference, predicted FROM b3", "b3"))
+def scan_csv_blocks(spark, sf):
+    path = _scratch(spark, "csv-blocks")
+    IO.write_csv(B.predictions(spark, sf), path, ["id", "model", "input", "reference", "predicted"])
+    return IO.scan_csv_blocks(spark, path).withColumn("id", F.col("id").cast("long"))

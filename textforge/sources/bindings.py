@@ -245,3 +245,18 @@ def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.timestamp_add("MICROSECOND", micros, F.col("t0")).alias("ts"), kind.alias("kind"),
         F.when(k == 0, F.when(rid % 11 == 4, 503).when(rid % 11 == 9, 429).otherwise(200)).cast("int").alias("status"),
         F.when(kind == "failure", "connection reset by peer").when(kind == "line", line).alias("text"))
+
+
+def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summaries of several sentences ``id, model, reference, predicted``: the
+    document's first three lines against two leads of its lines, one to a line."""
+    from textforge.operators.evaluate import lead_words
+    d = read_table(spark, sf_dir, "documents")
+    line = lambda i: F.coalesce(F.get(F.split("text", NL), F.lit(i)), F.lit(""))
+    both = d.select("doc_id", F.concat_ws(NL, line(0), line(1), line(2)).alias("reference"),
+                    F.concat_ws(NL, lead_words(line(1), 12), lead_words(line(0), 9)).alias("a"),
+                    F.concat_ws(NL, lead_words(line(2), 8), lead_words(line(1), 10)).alias("b"))
+    m = both.select("doc_id", "reference", F.explode(F.array(
+        F.struct(F.lit("finetuned").alias("model"), F.col("a").alias("predicted")),
+        F.struct(F.lit("base").alias("model"), F.col("b").alias("predicted")))).alias("m"))
+    return m.select(F.col("doc_id").alias("id"), "m.model", "reference", "m.predicted")

@@ -6,12 +6,15 @@ rerun and duplicates its output; ingest is idempotent through ``ignore``.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textforge.plans.joins import small_copy
+
 CORPUS_SCHEMA = T.StructType([
     T.StructField("split", T.StringType()), T.StructField("pos", T.LongType()),
     T.StructField("article", T.StringType()), T.StructField("headline", T.StringType())])
@@ -69,6 +72,77 @@ def scan_csv(spark: SparkSession, path: str, schema: T.StructType = PREDICTION_S
             .option("emptyValue", "").csv(path))
 
 
+def _csv_fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each file block, in the order of its lines: the records that lie in it
+    whole, and its first and last pieces, which belong to records that began
+    before it or go on after it."""
+    names = ["file", "block", "n", "whole", "text"]
+
+    def rows(file, block, parts) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array([file] * len(parts)), pa.array([block] * len(parts), pa.int64()), pa.array([x[0] for x in parts], pa.int64()),
+             pa.array([x[1] for x in parts]), pa.array([x[2] for x in parts])], names=names)
+
+    at, held, n, open_, out = None, [], 0, False, []
+    for b in batches:
+        for file, block, inside, line in zip(*(b.column(k).to_pylist() for k in range(4))):
+            if (file, block) != at:
+                if held:
+                    out.append((n, False, "\n".join(held)))
+                if out:
+                    yield rows(*at, out)
+                at, held, n, out = (file, block), [], 0, []
+                open_ = first = inside
+            held.append(line)
+            open_ ^= line.count('"') % 2 == 1
+            if not open_:
+                out.append((n, not first, "\n".join(held)))
+                n, held, first = n + 1, [], False
+        if len(out) > 10_000:
+            yield rows(*at, out)
+            out = []
+    if held:
+        out.append((n, False, "\n".join(held)))
+    if out:
+        yield rows(*at, out)
+
+
+def scan_csv_blocks(spark: SparkSession, path: str, schema: T.StructType = PREDICTION_SCHEMA) -> DataFrame:
+    """S6 for files of any size: the rows of ``scan_csv``, each file read by as
+    many tasks as it has blocks.
+
+    Lines are read splittably. A line with an odd number of quotes opens or closes
+    a field that goes on over lines, so the parity of the quotes of all earlier
+    blocks (a running sum over blocks, not rows) says whether a block begins
+    inside a field. Every task then cuts its block into records; the pieces at its
+    ends, at most two a block, are joined with their neighbours'. The header of
+    every file is its first record."""
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line"))
+    quotes = F.sum(F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit(""))))
+    blocks = lines.groupBy("file", "block").agg(quotes.alias("q"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.select("file", "block", (F.coalesce(F.sum("q").over(earlier), F.lit(0)) % 2 == 1).alias("inside"))
+    # broadcast whatever its size would be a gather; a row per block is small beside the block itself
+    placed = lines.join(small_copy(starts, 256), ["file", "block"]).select("file", "block", "inside", "line")
+    cut = placed.mapInArrow(_csv_fragments, "file string, block long, n long, whole boolean, text string")
+    # a block's first piece ends a record if the block begins inside one; its last piece begins one
+    pieces = cut.where("not whole")
+    ends = pieces.join(starts, ["file", "block"])
+    begins = ~(F.col("inside") & (F.col("n") == 0))
+    nth = F.sum(begins.cast("int")).over(Window.partitionBy("file").orderBy("block", "n"))
+    joined = ends.withColumn("_of", nth).groupBy("file", "_of").agg(
+        F.min(F.struct("block", "n")).alias("_at"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block", "n", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    records = cut.where("whole").select("file", "block", "n", "text").unionByName(
+        joined.select("file", F.col("_at.block").alias("block"), F.col("_at.n").alias("n"), "text"))
+    head = (F.col("block") == 0) & (F.col("n") == 0)
+    fields = F.from_csv("text", schema.simpleString()[len("struct<"):-1].replace(":", " "),
+                        {"quote": '"', "escape": '"', "nullValue": "\u0000", "emptyValue": "",
+                         "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "maxCharsPerColumn": "-1"})
+    return records.where(~head).select(fields.alias("r")).select("r.*")
+
+
 def write_csv(df: DataFrame, path: str, columns: Sequence[str] | None = None) -> None:
     """Header CSV of the chosen columns, RFC-4180 quoting."""
     out = df.select(*columns) if columns else df

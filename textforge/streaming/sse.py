@@ -13,7 +13,7 @@ cast it first.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -166,3 +166,27 @@ def dedup_stream(df: DataFrame, key: str = "headline", ts: str = "ts", delay: st
     repeats further apart than it pass through again, and rows later than it are
     dropped. Give every row one event time to keep all keys for good."""
     return df.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
+
+
+def dedup_to_table(df: DataFrame, path: str, checkpoint: str, key: str, order: Sequence[str], ts: str = "ts", delay: str = "1 hour"):
+    """F3 without forgetting: every key once, its first row by ``order`` within
+    the micro-batch that brings it. A key's repeats inside ``delay`` end in the
+    stream's state, which forgets it afterwards; later ones end against the keys
+    that earlier micro-batches wrote. Each batch writes a partition of its own id
+    and reads only those of earlier ids, so a replayed batch changes nothing."""
+    schema = df.schema
+    table = T.StructType([*schema.fields, T.StructField("_batch", T.LongType())])
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        first = batch.groupBy(key).agg(F.min(F.struct(*order, *[c for c in batch.columns if c not in (*order, key)])).alias("_f"))
+        rows = first.select(key, "_f.*").select(*batch.columns)
+        spark.createDataFrame([], table).write.mode("append").partitionBy("_batch").parquet(path)       # so that it exists
+        before = spark.read.schema(f"`{key}` {schema[key].dataType.simpleString()}, _batch long").parquet(path).where(
+            F.col("_batch") < batch_id).select(key)
+        new = rows.join(before, rows[key].eqNullSafe(before[key]), "left_anti")
+        (new.withColumn("_batch", F.lit(batch_id).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("_batch").parquet(path))
+
+    return (dedup_stream(df, key, ts, delay).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True))
