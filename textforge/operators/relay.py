@@ -43,8 +43,7 @@ def with_delta(log: DataFrame) -> DataFrame:
 
 def due_millis(last: Column) -> Column:
     """When a request whose last row is at ``last`` times out (epoch milliseconds)."""
-    return F.floor(LT.micros_between(F.lit("1970-01-01").cast("timestamp_ntz"), last.cast("timestamp_ntz")) / 1000) \
-        + TIMEOUT_SECONDS * 1000
+    return F.unix_millis(last.cast("timestamp")) + TIMEOUT_SECONDS * 1000
 
 
 def request_ends(log: DataFrame) -> DataFrame:
@@ -70,9 +69,8 @@ def request_ends(log: DataFrame) -> DataFrame:
     per = rows.groupBy("request_id").agg(
         F.min(stop).alias("_stop"), F.min("ts").alias("start"),
         F.min(F.struct("seq", "kind"))["kind"].alias("_first"), F.max(F.struct("seq", "ts")).alias("_last"))
-    now = log.agg(F.max("ts")).first()[0]        # one value: the log's own clock
-    clock = F.floor(LT.micros_between(F.lit("1970-01-01").cast("timestamp_ntz"), F.lit(now).cast("timestamp_ntz")) / 1000)
-    silent = F.col("_stop").isNull() & (due_millis(F.col("_last.ts")) < clock)
+    now = log.agg(F.max(F.unix_millis(F.col("ts").cast("timestamp")))).first()[0]        # one value: the log's own clock
+    silent = F.col("_stop").isNull() & (due_millis(F.col("_last.ts")) < F.lit(now))
     return per.where(F.col("_first") == "status").select(
         "request_id", "start",
         F.when(silent, F.col("_last.seq") + 1).otherwise(F.col("_stop.seq")).alias("stop_seq"),
