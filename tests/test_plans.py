@@ -21,8 +21,15 @@ def test_rouge_n_single_key_exchange(spark):
 
 
 def test_top_k_partial_limit(spark):
-    p = _plan(spark, "retain_last_k")
+    """Where rows of a run are spread over tasks, each keeps its k before the exchange."""
+    from pyspark.sql import functions as F
+    from textforge.operators import runs as RN
+    log = spark.range(1000).select(
+        (F.col("id") % 3).cast("string").alias("run"), (F.col("id") * 50).alias("step"), F.rand(1).alias("loss"),
+        F.rand(2).alias("eval_loss"), F.lit(0.1).alias("learning_rate"), F.current_timestamp().alias("logged_at"))
+    p = RN.retain_last_k(log)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in p and "Partial" in p
+    assert "WindowGroupLimit" in _plan(spark, "retain_last_k")
 
 
 def test_column_pruning(spark):

@@ -112,8 +112,8 @@ def prepare_corpus(raw: DataFrame, min_length: int = HEADLINE_MIN_LENGTH) -> Dat
     # headlines that only rows without a place have: found by the headline, the least such row
     loose = raw.where(_unplaced()).withColumn("headline", clean_text("headline"))
     loose = loose.join(winners.where(_unplaced()).select("headline"), "headline").where(ok)
-    loose = loose.groupBy("headline").agg(F.min(F.struct(*[F.col(c) for c in rest])).alias("_r")).select(
-        *[F.col(f"_r.{c}").alias(c) for c in rest], "headline")
+    nth = F.row_number().over(Window.partitionBy("headline").orderBy(*rest))       # cut to one a task before the exchange
+    loose = loose.withColumn("_n", nth).where("_n = 1").drop("_n")
     kept = kept.select(*rest, "headline").unionByName(loose.select(*rest, "headline"))
     return kept.withColumn("article", clean_text("article"))
 
