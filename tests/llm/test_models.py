@@ -107,3 +107,65 @@ def test_toxicity_of_a_few_labelled_documents(spark):
         model = toxicity.train(docs, labels)
         rows = toxicity.score(docs, model).collect()
         assert len(model.keys) == 0 and len(rows) == 12 and all(0 < r.score < 1 for r in rows)
+
+
+def _nce_loss(flat, w, ctx, noise, drawn, p):
+    """The loss of one batch, written out term by term in double precision."""
+    where, emb, out, bias, out_in, bias_in = lm._split(flat)
+    starts = lm._groups(len(p))
+    size = np.diff(starts, append=len(p))
+    group_of = np.repeat(np.arange(len(starts)), size)
+    group_p = np.add.reduceat(p, starts)
+    log_sigmoid = lambda x: -np.log1p(np.exp(-x))
+    total = 0.0
+    for b in range(len(w)):
+        v = sum(emb[ctx[b, j]] * where[j] for j in range(lm.CONTEXT))
+        g = group_of[w[b]]
+        score = lambda k: v @ out[k] + bias[k] - np.log(lm.NOISE * group_p[k])
+        total -= log_sigmoid(score(g)) + sum(log_sigmoid(-score(k)) for k in noise)
+        if size[g] > 1:
+            inner = lambda k: v @ out_in[k] + bias_in[k] - np.log(lm.NOISE_IN * p[k] / group_p[group_of[k]])
+            total -= log_sigmoid(inner(w[b])) + sum(log_sigmoid(-inner(k)) for k in drawn[b])
+    return total / len(w)
+
+
+def test_nce_gradient_is_the_numeric_one():
+    """One batch with large squares moves each parameter by rate * gradient / root(squares)."""
+    rng = np.random.default_rng(11)
+    n = lm.N_CLASSES + 60
+    p = rng.random(n) + 0.1
+    p /= p.sum()
+    w = rng.integers(0, n, 40).astype(np.int32)
+    ctx = rng.integers(0, n + 1, (40, lm.CONTEXT)).astype(np.int32)
+    start = lm.initial(p) + rng.normal(0, 0.2, lm._total(n)).astype(np.float32)
+    moved, root = start.copy(), 30.0
+    lm.train_pass(moved, np.full_like(start, root ** 2), w, ctx, p, 5)
+    got = (start.astype(float) - moved) * root / lm.RATE
+    # the same draws, in the order that the pass makes them
+    again = np.random.default_rng(5)
+    order = again.permutation(len(w))
+    starts = lm._groups(n)
+    size = np.diff(starts, append=n)
+    group_of = np.repeat(np.arange(len(starts)), size)
+    cumulated = np.cumsum(np.add.reduceat(p, starts))
+    noise = np.searchsorted(cumulated / cumulated[-1], again.random(lm.NOISE), "right")
+    many = np.flatnonzero(size[group_of[w[order]]] > 1)
+    below = np.concatenate([[0], np.cumsum(p)])
+    first = starts[group_of[w[order]][many]]
+    stop = first + size[group_of[w[order]][many]]
+    u = below[first, None] + again.random((len(many), lm.NOISE_IN)) * (below[stop] - below[first])[:, None]
+    drawn = np.zeros((len(w), lm.NOISE_IN), int)
+    drawn[order[many]] = np.clip(np.searchsorted(below, u, "right") - 1, first[:, None], stop[:, None] - 1)
+    loss = lambda flat: _nce_loss(flat, w, ctx, noise, drawn, p)
+    base = start.astype(float)
+    for at in rng.choice(np.flatnonzero(np.abs(got) > 0), 150, replace=False):
+        up, down = base.copy(), base.copy()
+        up[at] += 1e-4
+        down[at] -= 1e-4
+        want = (loss(up) - loss(down)) / 2e-4
+        assert abs(got[at] - want) <= 0.02 * abs(want) + 5e-3, at
+    untouched = rng.choice(np.flatnonzero(got == 0), 20, replace=False)
+    for at in untouched:
+        up = base.copy()
+        up[at] += 1e-3
+        assert abs(loss(up) - loss(base)) < 1e-9

@@ -14,7 +14,8 @@ def _norm(rows, cols):
     return sorted(repr(tuple(round(r[i], 6) if isinstance(r[i], float) else r[i] for i in order)) for r in rows)
 
 
-@pytest.mark.parametrize("name", ["op2_warc", "op6_ngram_jaccard", "op8_sharding", "op9_quality_rules"])
+@pytest.mark.parametrize("name", ["op2_warc", "op6_ngram_jaccard", "op8_sharding", "op9_quality_rules", "op11_source_divergence",
+                                  "op12_license_scan"])
 def test_against_duckdb(spark, name):
     df = E.queries()[name](spark, SF_SMALL)
     con = duckdb.connect()
@@ -27,6 +28,6 @@ def test_against_duckdb(spark, name):
 
 def test_each_operator_is_registered():
     names = E.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(k.startswith(f"op{n}_") for k in names) == 1
     assert "pipeline" in names
