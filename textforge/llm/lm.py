@@ -31,12 +31,12 @@ from __future__ import annotations
 
 import bisect
 import math
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,6 +56,8 @@ SMOOTH = 0.1
 CHUNK_BYTES = 12 << 20
 #: Tokens whose contexts are held at once (whole texts, at least one).
 SLICE_TOKENS = 1 << 18
+#: Entries of the table that a draw of noise starts from.
+GUIDE = 1 << 14
 _U = np.uint64
 _END = np.uint64(0x8000000000000001)
 #: Bytes of scores held at once.
@@ -121,22 +123,23 @@ def chunked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 raw, off = data[a: offsets[hi]], offsets[lo: hi + 1] - a
                 starts, ends = W.word_bounds(raw, off)
                 first = np.searchsorted(starts, off, "left")
-                doc = np.repeat(np.arange(n), np.diff(first))
                 tokens = np.full(len(starts) + n, _END)
                 ending = np.zeros(len(starts) + n, np.uint16)
-                at = np.arange(len(starts)) + doc            # each text's end follows its words
+                at = np.arange(len(starts))
+                at += np.repeat(np.arange(n), np.diff(first))            # each text's end follows its words
                 tokens[at] = W.hash_words(raw, starts, ends)
                 ending[at] = _endings(raw, starts, ends)
+                del at, starts, ends        # the sort below needs as much again
                 vocab, where, seq = np.unique(tokens, return_index=True, return_inverse=True)
                 lengths = np.diff(first) + 1
                 train = np.repeat(~held[lo:hi], lengths)
                 trained = np.bincount(seq[train], minlength=len(vocab))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([chunk], pa.int64()), pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), b.column(0).slice(lo, n)),
-                     *(pa.array([zlib.compress(x.tobytes(), 1)], pa.binary()) for x in (
+                     *(pa.array([_packed(x)], pa.binary()) for x in (
                          held[lo:hi], lengths.astype("<i4"), seq.astype("<i4"))),
                      pa.array([vocab.tobytes()], pa.binary()),
-                     *(pa.array([zlib.compress(x.tobytes(), 1)], pa.binary()) for x in (ending[where].astype("<u2"), trained.astype("<i4")))],
+                     *(pa.array([_packed(x)], pa.binary()) for x in (ending[where].astype("<u2"), trained.astype("<i4")))],
                     names=names)
                 chunk += 1
 
@@ -144,8 +147,12 @@ def chunked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return src.mapInArrow(run, T.StructType(fields + [T.StructField(k, T.BinaryType()) for k in names[2:]]))
 
 
+def _packed(x: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(x.tobytes())
+
+
 def _unpack(raw, kind: str) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(raw), kind)
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), kind)
 
 
 def counted(chunks: DataFrame) -> DataFrame:
@@ -168,7 +175,7 @@ def counted(chunks: DataFrame) -> DataFrame:
         run, "h long, chunk long, i int, ending int, k int")
     of = Window.partitionBy("h")
     return rows.select("chunk", "i", "ending", "h", F.sum("k").over(of).alias("c"),
-                       (F.row_number().over(of.orderBy("chunk")) == 1).alias("lead"))
+                       (F.min("chunk").over(of) == F.col("chunk")).alias("lead"))
 
 
 # --- the model ------------------------------------------------------------------
@@ -197,11 +204,12 @@ def initial(frequencies: np.ndarray) -> np.ndarray:
 def _contexts(classes: np.ndarray, lengths: np.ndarray, n_classes: int) -> np.ndarray:
     """The CONTEXT classes before each token, nearest first; before a text's
     first token stands ``n_classes``."""
-    place = np.arange(len(classes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     out = np.full((len(classes), CONTEXT), n_classes, np.int32)
+    first = np.cumsum(lengths) - lengths
     for j in range(CONTEXT):
-        ok = place > j
-        out[ok, j] = classes[np.flatnonzero(ok) - j - 1]
+        out[j + 1:, j] = classes[: max(0, len(classes) - j - 1)]
+        for k in range(j + 1):          # the first words of a text have no word so far before them
+            out[first[lengths > k] + k, j] = n_classes
     return out
 
 
@@ -233,92 +241,123 @@ def train_pass(flat: np.ndarray, squares: np.ndarray, classes: np.ndarray, conte
     cumulated /= cumulated[-1]
     below = np.concatenate([[0], np.cumsum(noise_p)])
     order = rng.permutation(len(classes))
-    mark, place = np.zeros(len(emb), bool), np.zeros(len(emb), np.int64)
+    # where a search of ``below`` may begin, by leading digits of the number searched
+    guide = np.maximum(np.searchsorted(below, np.arange(GUIDE + 1) / GUIDE * below[-1], "right") - 2, 0)
+    small = np.uint16 if len(emb) < 1 << 16 else np.uint32      # sixteen bits are sorted by radix
     sigmoid = lambda x: 1 / (1 + np.exp(-x))
 
-    def distinct(index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        mark[index] = True
-        rows = np.flatnonzero(mark)
-        mark[rows] = False
-        place[rows] = np.arange(len(rows))
-        return rows, place[index]
-
-    def summed(index: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-        return np.stack([np.bincount(index, values[:, k], n) for k in range(DIM)], 1).astype(np.float32)
-
-    def step(param, square, grad, rows=slice(None)):
-        square[rows] += grad * grad
-        param[rows] -= RATE * grad / (np.sqrt(square[rows]) + 1e-6)
+    def draw(u: np.ndarray) -> np.ndarray:
+        """The class whose part of ``below`` holds each number."""
+        at = guide.take((u * (GUIDE / below[-1])).astype(np.int64))
+        while True:
+            on = below.take(np.minimum(at + 1, len(below) - 1)) <= u
+            on &= at < len(below) - 1
+            if not on.any():
+                return at
+            at += on
+
+    def summed(index: np.ndarray, values: np.ndarray, scalars: np.ndarray | None = None) -> tuple:
+        """Rows that occur in ``index``, the sum of each one's ``values`` and of its
+        ``scalars``: one sort, then sums of neighbours (two single numbers as one complex)."""
+        key = index.astype(small)
+        at = np.argsort(key, kind="stable")
+        key = key[at]
+        head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        total = np.add.reduceat(values.take(at, 0).view(np.complex64), head, axis=0).view(np.float32)
+        return key[head].astype(np.int64), total, None if scalars is None else np.add.reduceat(scalars.take(at), head)
+
+    def step(param, square, grad, rows):
+        s = square.take(rows, 0)
+        s += grad * grad
+        square[rows] = s
+        np.sqrt(s, out=s)
+        s += np.float32(1e-6)
+        grad *= np.float32(-RATE)
+        grad /= s
+        grad += param.take(rows, 0)
+        param[rows] = grad
 
     for s in range(0, len(order), BATCH):
         at = order[s: s + BATCH]
-        w, ctx = classes[at], contexts[at]
-        near = emb[ctx]                                           # batch, position, dim
-        v = (near * where).sum(1)
+        w, ctx = classes[at], contexts.take(at, 0).ravel()
+        near = emb.take(ctx, 0).reshape(len(at), CONTEXT, DIM)    # batch, position, dim
+        v = np.einsum("bjd,jd->bd", near, where)
+        share = np.float32(1 / len(at))
         # the group, against noise that the batch shares
         group = group_of[w]
         noise = np.searchsorted(cumulated, rng.random(NOISE), "right")
-        g_data = (sigmoid((v * out[group]).sum(1) + bias[group] - log_kp[group]) - 1) / len(at)
-        g_noise = sigmoid(v @ out[noise].T + bias[noise] - log_kp[noise]) / len(at)
-        g_v = g_data[:, None] * out[group] + g_noise @ out[noise]
-        o_rows, o_at = distinct(np.concatenate([group, noise]))
-        g_out = summed(o_at[:len(w)], g_data[:, None] * v, len(o_rows))
-        np.add.at(g_out, o_at[len(w):], g_noise.T @ v)
-        g_bias = np.bincount(o_at, np.concatenate([g_data, g_noise.sum(0)]), len(o_rows)).astype(np.float32)
+        out_g, out_n = out.take(group, 0), out.take(noise, 0)
+        g_data = (sigmoid(np.einsum("bd,bd->b", v, out_g) + bias[group] - log_kp[group]) - 1) * share
+        g_noise = sigmoid(v @ out_n.T + (bias[noise] - log_kp[noise])) * share
+        g_v = g_data[:, None] * out_g + g_noise @ out_n
+        o_rows, g_out, g_bias = summed(np.concatenate([group, noise]), np.concatenate([g_data[:, None] * v, g_noise.T @ v]),
+                                       np.concatenate([g_data, g_noise.sum(0)]))
         # the class inside a group of several, against noise from that group
         many = np.flatnonzero(size[group] > 1)
         if len(many):
-            first, stop = starts[group[many]], starts[group[many]] + size[group[many]]
+            of = group[many]
+            first, stop = starts[of], starts[of] + size[of]
             u = below[first, None] + rng.random((len(many), NOISE_IN)) * (below[stop] - below[first])[:, None]
-            drawn = np.clip(np.searchsorted(below, u, "right") - 1, first[:, None], stop[:, None] - 1)
+            drawn = np.clip(draw(u), first[:, None], stop[:, None] - 1)
             which = np.concatenate([w[many, None], drawn], 1)     # the token's class, then noise
-            rows_in = out_in[which]
-            g_in = sigmoid(np.einsum("bkd,bd->bk", rows_in, v[many]) + bias_in[which] - log_kp_in[which])
+            flat_in, v_in = which.ravel(), v.take(many, 0)
+            rows_in = out_in.take(flat_in, 0).reshape(len(many), 1 + NOISE_IN, DIM)
+            g_in = sigmoid(np.einsum("bkd,bd->bk", rows_in, v_in) + bias_in.take(which) - log_kp_in.take(which))
             g_in[:, 0] -= 1
-            g_in /= len(at)
+            g_in *= share
             g_v[many] += np.einsum("bk,bkd->bd", g_in, rows_in)
-            i_rows, i_at = distinct(which.ravel())
-            g_out_in = summed(i_at, (g_in[:, :, None] * v[many, None, :]).reshape(-1, DIM), len(i_rows))
-            g_bias_in = np.bincount(i_at, g_in.ravel(), len(i_rows)).astype(np.float32)
+            i_rows, g_out_in, g_bias_in = summed(flat_in, np.einsum("bk,bd->bkd", g_in, v_in).reshape(-1, DIM), g_in.ravel())
             step(out_in, s_out_in, g_out_in, i_rows)
             step(bias_in, s_bias_in, g_bias_in, i_rows)
-        e_rows, e_at = distinct(ctx)
-        g_emb = sum(summed(e_at[:, j], g_v * where[j], len(e_rows)) for j in range(CONTEXT))
         g_where = np.einsum("bd,bjd->jd", g_v, near)
-        for args in ((out, s_out, g_out, o_rows), (bias, s_bias, g_bias, o_rows), (emb, s_emb, g_emb, e_rows), (where, s_where, g_where)):
-            step(*args)
+        e_rows, g_emb, _ = summed(ctx, np.einsum("bd,jd->bjd", g_v, where).reshape(-1, DIM))
+        step(out, s_out, g_out, o_rows)
+        step(bias, s_bias, g_bias, o_rows)
+        step(emb, s_emb, g_emb, e_rows)
+        step(where, s_where, g_where, np.arange(CONTEXT))
+
+
+#: Scores below this need no shift before their exponential in single precision.
+SAFE = 80.0
 
 
-def _chosen(scores: np.ndarray, column: np.ndarray) -> np.ndarray:
-    """Log softmax of one column per row; ``scores`` is overwritten."""
-    top = scores.max(1)
-    chosen = scores[np.arange(len(column)), column] - top
-    scores -= top[:, None]
+def _chosen(scores: np.ndarray, column: np.ndarray, safe: bool) -> np.ndarray:
+    """Log softmax of one column per row; ``scores`` is overwritten. ``safe``
+    says that no score is beyond SAFE, else each row's largest is taken off first."""
+    if not safe:
+        scores -= scores.max(1)[:, None]
+    chosen = scores.ravel().take(np.arange(len(column)) * scores.shape[1] + column)
     np.exp(scores, out=scores)
-    return chosen - np.log(scores.sum(1))
+    return chosen - np.log(scores @ np.ones(scores.shape[1], np.float32))
 
 
 def log_probabilities(flat: np.ndarray, classes: np.ndarray, contexts: np.ndarray) -> np.ndarray:
     """Natural log of P(class | context), by batched matrix products: the
     group's softmax, times the class's in a group of several."""
     where, emb, out, bias, out_in, bias_in = _split(flat)
+    # the bias is the product with a one behind the context vector
+    outer, inner = (np.concatenate([m, b[:, None]], 1) for m, b in ((out, bias), (out_in, bias_in)))
+    placed = [emb * where[j] for j in range(CONTEXT)]
+    largest = max(np.sqrt((m * m).sum(1).max()) for m in (outer, inner))
     starts = _groups(len(bias_in))
     stops = np.append(starts[1:], len(bias_in))
-    group = np.searchsorted(starts, classes, "right") - 1
+    group_of = np.repeat(np.arange(len(starts), dtype=np.uint16 if len(starts) < 1 << 16 else np.uint32), stops - starts)
+    group = group_of.take(classes)
     result = np.empty(len(classes))
     block = max(1, min(1 << 14, SCORE_BYTES // (4 * len(bias))))
     for s in range(0, len(classes), block):
-        g, w = group[s: s + block], classes[s: s + block]
-        v = sum(emb[contexts[s: s + block, j]] * where[j] for j in range(CONTEXT))
-        p = _chosen(v @ out.T + bias, g).astype(np.float64)
-        order = np.argsort(g, kind="stable")
-        k, first = np.unique(g[order], return_index=True)
-        for k, lo, hi in zip(k, first, np.append(first[1:], len(g))):
-            a, b = starts[k], stops[k]
+        order = np.argsort(group[s: s + block], kind="stable")       # tokens of a group stand together
+        g, w, ctx = (x[s: s + block].take(order, 0) for x in (group, classes, contexts))
+        v = np.ones((len(g), DIM + 1), np.float32)
+        v[:, :DIM] = sum(placed[j].take(ctx[:, j], 0) for j in range(CONTEXT))
+        safe = np.sqrt((v * v).sum(1).max()) * largest < SAFE
+        p = _chosen(v @ outer.T, g, safe).astype(np.float64)
+        head = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+        for lo, hi in zip(head.tolist(), np.append(head[1:], len(g)).tolist()):
+            a, b = starts[g[lo]], stops[g[lo]]
             if b - a > 1:
-                at = order[lo:hi]
-                p[at] += _chosen(v[at] @ out_in[a:b].T + bias_in[a:b], w[at] - a)
-        result[s: s + len(g)] = p
+                p[lo:hi] += _chosen(v[lo:hi] @ inner[a:b].T, w[lo:hi] - a, safe)
+        result[s + order] = p
     return result
 
 
@@ -410,15 +449,15 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                            T.StructField("train_tokens", T.LongType()), T.StructField("base_score", T.DoubleType()),
                            T.StructField("score", T.DoubleType())])
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
         flat, c_r, v_r, n_all, v_all = shared.value
-        row = left.iloc[0]
-        held, lengths, seq = (_unpack(row[k], t) for k, t in (("held_out", "?"), ("lengths", "<i4"), ("seq", "<i4")))
-        bucket = _rare(_unpack(row["ending"], "<u2"), n_rare)
-        at = right["i"].to_numpy()
+        row = {k: left.column(k)[0] for k in left.column_names}      # a chunk is one row
+        held, lengths, seq = (_unpack(row[k].as_py(), t) for k, t in (("held_out", "?"), ("lengths", "<i4"), ("seq", "<i4")))
+        bucket = _rare(_unpack(row["ending"].as_py(), "<u2"), n_rare)
+        at = right.column("i").to_numpy()
         c, cls = np.zeros(len(bucket)), np.zeros(len(bucket), np.int64)
-        c[at] = right["c"].to_numpy()
-        cls[at] = right["cls"].to_numpy()
+        c[at] = right.column("c").to_numpy()
+        cls[at] = right.column("cls").to_numpy()
         cls = np.where(cls < 0, n_frequent + bucket, cls)
         base = np.log10((c + SMOOTH) / (n_all + SMOOTH * (v_all + 1)))
         rare = (cls >= n_frequent) & (cls < n_frequent + n_rare)
@@ -433,15 +472,15 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             found[lo:hi] = np.bincount(doc, c[part] > 0, hi - lo)
             base_of[lo:hi] = np.bincount(doc, base[part], hi - lo)
             score_of[lo:hi] = np.bincount(doc, logp, hi - lo)
-        return pd.DataFrame({
-            id_col: list(row["ids"]), "held_out": held, "n_tokens": lengths.astype(np.int64),
+        return pa.table({
+            id_col: row["ids"].values, "held_out": pa.array(held), "n_tokens": lengths.astype(np.int64),
             "n_known": found.astype(np.int64), "train_tokens": np.full(n, int(n_all)),
             "base_score": base_of, "score": score_of / np.log(10)})
 
     answers = counts.join(F.broadcast(frequent), "h", "left").select(
         "chunk", "i", "c", F.when(F.col("h") == end, n_classes - 1).otherwise(F.coalesce("cls", F.lit(-1))).alias("cls"))
     return chunks.select("chunk", "ids", "held_out", "lengths", "seq", "ending").groupBy("chunk").cogroup(
-        answers.groupBy("chunk")).applyInPandas(run, schema)
+        answers.groupBy("chunk")).applyInArrow(run, schema)
 
 
 @register("op4_lm_scoring")
