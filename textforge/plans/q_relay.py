@@ -66,8 +66,9 @@ def _log(spark, sf):
 def _stream(spark, sf, name: str, **sinks: str) -> None:
     """Relay B11 as it grows: the log arrives in LOG_PARTS steps of event time,
     and one stream (one checkpoint) takes each as a micro-batch."""
-    path, ckpt = _scratch(spark, f"{name}-log"), _scratch(spark, f"{name}-ckpt")
-    log = _log(spark, sf)
+    path, ckpt, whole = (_scratch(spark, f"{name}-{x}") for x in ("log", "ckpt", "whole"))
+    _log(spark, sf).write.parquet(whole)            # positions within users are found once, not once a step
+    log = spark.read.schema(R.LOG_DDL).parquet(whole)
     cuts = log.select(F.percentile_approx("ts", [i / LOG_PARTS for i in range(1, LOG_PARTS)]).alias("c")).first()["c"] or []
     for lo, hi in zip([None, *cuts], [*cuts, None]):
         step = log if lo is None else log.where(F.col("ts") > F.lit(lo))

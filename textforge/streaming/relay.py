@@ -1,10 +1,11 @@
 """The relay protocol (:mod:`textforge.operators.relay`) on a stream.
 
-Lines are parsed natively; one ``applyInPandasWithState`` keyed by request then
-only finds where a request ends and numbers its tokens. The state of an open
-request is a few numbers and the first 100 characters of its text; it is dropped
-when the request ends, also by the event-time timer, so state follows the open
-requests and not the log. A row whose ``seq`` is not beyond the state's, or of a
+Lines are parsed natively; one ``applyInPandasWithState`` over buckets of requests
+(:mod:`textforge.streaming.buckets`) then only finds where requests end and
+numbers their tokens. The state of an open request is a few numbers and the first
+100 characters of its text (tokens, start, last row, its seq, first token, head,
+due time); it is dropped when the request ends, also by the event-time timer, so
+state follows the open requests and not the log. A row whose ``seq`` is not beyond the state's, or of a
 request that no ``status`` row opened, is ignored: redelivered rows and rows
 after the end change nothing.
 
@@ -24,10 +25,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from textforge.operators import latency as LT
 from textforge.operators import relay as R
+from textforge.streaming.buckets import STATE_DDL, bucket, held_requests, hold_requests, take_due
 
 OUTPUT_DDL = ("request_id long, seq long, kind string, idx long, ms double, text string, ttft_ms double, "
               "total_time_ms double, token_count int, tokens_per_sec double, response string, error string")
-STATE_DDL = "n long, start long, last long, last_seq long, first long, head string"
 _COLUMNS = [x.split()[0] for x in OUTPUT_DDL.split(", ")]
 BATCH = "_batch"
 
@@ -50,67 +51,83 @@ def _end_row(rid: int, seq: int, reason: str, detail, end: int, state: tuple) ->
     return [rid, seq, "error", None, _ms(total), said[0], None, None, None, None, None, said[1]]
 
 
-def _frame(tokens: pd.DataFrame | None, end: list | None) -> pd.DataFrame:
-    parts = [] if tokens is None else [tokens.reindex(columns=_COLUMNS)]
-    if end is not None:
-        parts.append(pd.DataFrame([end], columns=_COLUMNS))
-    out = pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=_COLUMNS)
+def _frame(tokens: dict[str, list], ends: list[list]) -> pd.DataFrame:
+    over = dict(zip(_COLUMNS, zip(*ends))) if ends else {}
+    none = [None] * len(tokens["seq"])
+    out = pd.DataFrame({c: [*tokens.get(c, none), *over.get(c, ())] for c in _COLUMNS}, dtype=object)
     kinds = {"idx": "Int64", "token_count": "Int32", "ms": float, "ttft_ms": float, "total_time_ms": float, "tokens_per_sec": float}
     return out.astype({"request_id": "int64", "seq": "int64"} | kinds)
 
 
+def _in_order(rows: pd.DataFrame, held: dict[int, list]) -> pd.DataFrame:
+    """Each request's rows in order, from the one that opens it, without those it already had."""
+    rows = rows.drop_duplicates(["request_id", "seq"]).sort_values(["request_id", "seq"], ignore_index=True)
+    had = rows["request_id"].map({rid: values[3] for rid, values in held.items()}).astype("float64")
+    opened = ((rows["kind"] == "status") | had.notna()).groupby(rows["request_id"]).cummax()
+    return rows[opened.to_numpy(bool) & ~(rows["seq"] <= had).to_numpy(bool)]
+
+
 def _relay(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    rid = int(key[0])
-    if state.hasTimedOut:
-        held = state.get
-        state.remove()
-        yield _frame(None, _end_row(rid, held[3] + 1, "timeout", None, held[2] + R.TIMEOUT_MICROS, held))
-        return
-    rows = pd.concat(list(batches), ignore_index=True).drop_duplicates("seq").sort_values("seq")
-    held = state.get if state.exists else None
-    if held is not None:
-        rows = rows[rows["seq"] > held[3]]
-    elif len(rows):
-        opened = (rows["kind"] == "status").to_numpy()
-        rows = rows[np.maximum.accumulate(opened)]
-    if not len(rows):
-        return
+    held, watermark = held_requests(state), state.getCurrentWatermarkMs()
+    tokens, ends = {c: [] for c in ("request_id", "seq", "kind", "idx", "ms", "text")}, []
+    rows = None if state.hasTimedOut else pd.concat(list(batches), ignore_index=True)
+    if rows is not None:
+        rows = _in_order(rows.astype({"request_id": "int64"}), held)
+    mine = set() if rows is None else set(rows["request_id"].tolist())
+    for rid, had in take_due(held, watermark, mine).items():
+        ends.append(_end_row(rid, had[3] + 1, "timeout", None, had[2] + R.TIMEOUT_MICROS, had[:-1]))
+    if mine:
+        _advance(rows, held, watermark, tokens, ends)
+    hold_requests(state, held)
+    if ends or tokens["seq"]:
+        yield _frame(tokens, ends)
+
+
+def _advance(rows: pd.DataFrame, held: dict[int, list], watermark: int, tokens: dict[str, list], ends: list[list]) -> None:
+    """Take the ordered ``rows`` of some requests: adds to ``tokens`` and ``ends``, and
+    leaves in ``held`` the requests that are still open."""
+    rid, seq, kind = rows["request_id"].to_numpy(np.int64), rows["seq"].to_numpy(np.int64), rows["kind"].to_numpy()
     ts = rows["ts"].to_numpy().astype("datetime64[us]").astype(np.int64)
-    seq, kind = rows["seq"].to_numpy(np.int64), rows["kind"].to_numpy()
-    n, start, last, _, first, head = held if held is not None else (0, int(ts[0]), int(ts[0]), 0, None, "")
-    before = np.concatenate([[last], ts[:-1]])
+    begins = np.flatnonzero(np.concatenate([[True], rid[1:] != rid[:-1]]))
+    of = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(rid))))
+    was = [held.get(r) or [0, t, t, 0, None, "", 0] for r, t in zip(rid[begins].tolist(), ts[begins].tolist())]
+    before = np.concatenate([[0], ts[:-1]])
+    before[begins] = [w[2] for w in was]
     late = ts - before > R.TIMEOUT_MICROS
     refused = (kind == "status") & (rows["status"].fillna(-1).to_numpy() != R.OK_STATUS)
     stops = np.flatnonzero(late | refused | (kind == "failure") | (kind == "close"))
-    stop = int(stops[0]) if len(stops) else len(rows)
-    delta = rows["delta"].iloc[:stop]
-    at = np.flatnonzero(delta.notna().to_numpy())
-    tokens = None
-    if len(at):
-        said = delta.iloc[at]
-        tokens = pd.DataFrame({"request_id": rid, "seq": seq[at], "kind": "token", "idx": n + np.arange(len(at)),
-                               "ms": _ms(ts[at] - start), "text": said.to_numpy()})
-        first = int(ts[at[0]]) if first is None else first
-        n += len(at)
-        for piece in said if len(head) < LT.RESPONSE_CHARS else ():
-            head = (head + piece)[: LT.RESPONSE_CHARS]
-            if len(head) == LT.RESPONSE_CHARS:
-                break
-    if stop < len(rows):
-        now = (n, start, last, 0, first, head)
-        reason = "timeout" if late[stop] else "status" if refused[stop] else str(kind[stop])
-        detail = {"status": rows["status"].iloc[stop], "failure": rows["text"].iloc[stop]}.get(reason)
+    stop = np.full(len(begins), len(rid))
+    np.minimum.at(stop, of[stops], stops)
+    said = rows["delta"].notna().to_numpy() & (np.arange(len(rid)) < stop[of])
+    at = np.flatnonzero(said)
+    n_before, start = np.array([w[0] for w in was]), np.array([w[1] for w in was])
+    nth = np.cumsum(said)
+    nth_begin = nth[begins] - said[begins]
+    texts = rows["delta"].iloc[at].tolist()
+    for name, values in (("request_id", rid[at].tolist()), ("seq", seq[at].tolist()), ("kind", ["token"] * len(at)),
+                         ("idx", (n_before[of[at]] + nth[at] - 1 - nth_begin[of[at]]).tolist()),
+                         ("ms", _ms(ts[at] - start[of[at]]).tolist()), ("text", texts)):
+        tokens[name] += values
+    first, head = [w[4] for w in was], [w[5] for w in was]
+    for g, t, piece in zip(of[at].tolist(), ts[at].tolist(), texts):
+        if first[g] is None:
+            first[g] = t
+        if len(head[g]) < LT.RESPONSE_CHARS:
+            head[g] = (head[g] + piece)[: LT.RESPONSE_CHARS]
+    n = n_before + np.bincount(of[at], minlength=len(begins))
+    status, text, lasts = rows["status"].to_numpy(), rows["text"].to_numpy(), np.append(begins[1:], len(rid)) - 1
+    for g, (r, end) in enumerate(zip(rid[begins].tolist(), stop.tolist())):
+        if end == len(rid):
+            last = int(ts[lasts[g]])
+            due = last // 1000 + R.TIMEOUT_SECONDS * 1000
+            held[r] = [int(n[g]), int(start[g]), last, int(seq[lasts[g]]), first[g], head[g], max(due, watermark + 1)]
+            continue
+        held.pop(r, None)
+        reason = "timeout" if late[end] else "status" if refused[end] else str(kind[end])
+        detail = {"status": status[end], "failure": text[end]}.get(reason)
         detail = int(detail) if reason == "status" and pd.notna(detail) else detail
-        end = int(before[stop]) + R.TIMEOUT_MICROS if reason == "timeout" else int(ts[stop])
-        if state.exists:
-            state.remove()
-        yield _frame(tokens, _end_row(rid, int(seq[stop]), reason, detail, end, now))
-        return
-    state.update((int(n), int(start), int(ts[-1]), int(seq[-1]), first, head))
-    due = int(ts[-1]) // 1000 + R.TIMEOUT_SECONDS * 1000
-    state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-    if tokens is not None:
-        yield _frame(tokens, None)
+        moment = int(before[end]) + R.TIMEOUT_MICROS if reason == "timeout" else int(ts[end])
+        ends.append(_end_row(r, int(seq[end]), reason, detail, moment, (int(n[g]), int(start[g]), 0, 0, first[g], head[g])))
 
 
 def relay(log: DataFrame, delay: str = "0 seconds") -> DataFrame:
@@ -118,7 +135,7 @@ def relay(log: DataFrame, delay: str = "0 seconds") -> DataFrame:
     end per request that carries its measurement. Rows of one request must arrive
     in ``seq`` order, at most ``delay`` behind the latest row of any request."""
     src = R.with_delta(log).select("request_id", "seq", "ts", "kind", "status", "text", "delta")
-    return src.withWatermark("ts", delay).groupBy("request_id").applyInPandasWithState(
+    return src.withColumn("_bucket", bucket()).withWatermark("ts", delay).groupBy("_bucket").applyInPandasWithState(
         _relay, OUTPUT_DDL, STATE_DDL, "append", GroupStateTimeout.EventTimeTimeout)
 
 
