@@ -163,7 +163,9 @@ LOG_PARTS = 4
 def _log_parts(spark, sf, path: str, parts: int = LOG_PARTS):
     """Append B6 to ``path`` in ``parts`` steps of event time; yields after each.
     Every step is written by as many tasks as it has."""
-    b6 = B.stream_lines(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    whole = _scratch(spark, "whole-lines")
+    B.stream_lines(spark, sf).withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(whole)     # once, not once a step
+    b6 = spark.read.schema(SS.LINE_SCHEMA).parquet(whole)
     cuts = b6.select(F.percentile_approx("ts", [i / parts for i in range(1, parts)]).alias("c")).first()["c"]
     for lo, hi in zip([None, *(cuts or [])], [*(cuts or []), None]):
         cond = F.lit(True)

@@ -2,8 +2,8 @@
 
 The stateless parse (T1) and request validation (T7) are the batch
 expressions applied to ``readStream``. Stateful relay (T2, T3, T5) is one
-``applyInPandasWithState`` function keyed by request: state is the count of
-tokens emitted and the start time, so the index continues across
+``applyInPandasWithState`` function over buckets of requests: state is each open
+request's count of tokens emitted and start time, so the index continues across
 micro-batches, the done event closes and drops the state, and an
 event-time timeout ends a request that stalls. Event time must be a
 ``timestamp`` (``withWatermark`` rejects ``timestamp_ntz``), so streams
@@ -23,6 +23,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from textforge.operators import latency as LT
 from textforge.operators import requests as RQ
+from textforge.streaming.buckets import STATE_DDL, bucket, held_requests, hold_requests, take_due
 
 # --- fixed values: relay protocol ---
 TIMEOUT_SECONDS = 60
@@ -37,8 +38,7 @@ EVENT_SCHEMA = T.StructType([
     T.StructField("request_id", T.LongType()), T.StructField("seq", T.LongType()),
     T.StructField("kind", T.StringType()), T.StructField("event", T.StringType())])
 
-RELAY_STATE = T.StructType([T.StructField("n", T.LongType()), T.StructField("start", T.TimestampType()),
-                            T.StructField("last", T.TimestampType())])
+_dumps = json.JSONEncoder(ensure_ascii=False).encode
 
 
 def timeouts_batch(lines: DataFrame, gap_seconds: int = TIMEOUT_SECONDS) -> DataFrame:
@@ -59,45 +59,39 @@ def parse_stream(lines: DataFrame) -> DataFrame:
 
 def _relay(timeout: bool):
     def relay(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rid = int(key[0])
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame({"request_id": [rid], "seq": [None], "kind": ["error"],
-                                "event": [json.dumps({"error": TIMEOUT_MESSAGE}, ensure_ascii=False)]})
-            return
-        pdf = pd.concat(list(batches), ignore_index=True).sort_values("seq")
-        n, start, last = state.get if state.exists else (0, None, None)
-        out = []
-        for row in pdf.itertuples(index=False):
-            if start is None:
-                start = row.ts
-            last = row.ts
-            line = row.line or ""
-            us = (pd.Timestamp(row.ts) - pd.Timestamp(start)) // pd.Timedelta(microseconds=1)
-            elapsed = ((int(us) + 5) // 10) / 100.0
-            if line == LT.DONE_LINE:
-                out.append((rid, row.seq, "done", json.dumps(
-                    {"done": True, "total_tokens": int(n), "total_ms": elapsed}, ensure_ascii=False)))
-                state.remove()
-                n, start = None, None
-                break
-            if not line.startswith(LT.DATA_PREFIX):
-                continue
-            try:
-                chunk = json.loads(line[len(LT.DATA_PREFIX):])
-                delta = chunk["choices"][0]["delta"].get("content", "")
-            except (ValueError, KeyError, IndexError, TypeError, AttributeError):
-                continue
-            if delta:
-                out.append((rid, row.seq, "token", json.dumps(
-                    {"token": delta, "index": int(n), "elapsed_ms": elapsed}, ensure_ascii=False)))
-                n += 1
-        if n is not None:
-            state.update((int(n), start, last))
-            if timeout:
-                wm = state.getCurrentWatermarkMs()
-                due = int(pd.Timestamp(last).timestamp() * 1000) + TIMEOUT_SECONDS * 1000
-                state.setTimeoutTimestamp(max(due, wm + 1))
+        held, out = held_requests(state), []
+        rows: dict[int, list] = {}
+        for pdf in () if state.hasTimedOut else batches:
+            micros = pdf["ts"].to_numpy().astype("datetime64[us]").astype("int64").tolist()
+            for rid, seq, us, line in zip(pdf["request_id"].astype("int64").tolist(), pdf["seq"].tolist(), micros, pdf["line"].tolist()):
+                rows.setdefault(rid, []).append((seq, us, line))
+        watermark = state.getCurrentWatermarkMs() if timeout else 0
+        for rid in take_due(held, watermark, set(rows)) if timeout else ():
+            out.append((rid, None, "error", _dumps({"error": TIMEOUT_MESSAGE})))
+        for rid, mine in rows.items():
+            mine.sort(key=lambda x: x[0])
+            n, start, last, _ = held.pop(rid, None) or (0, mine[0][1], None, None)
+            ended = False
+            for seq, last, line in mine:
+                elapsed = ((last - start + 5) // 10) / 100.0
+                line = line or ""
+                if line == LT.DONE_LINE:
+                    out.append((rid, seq, "done", _dumps({"done": True, "total_tokens": n, "total_ms": elapsed})))
+                    ended = True
+                    break
+                if not line.startswith(LT.DATA_PREFIX):
+                    continue
+                try:
+                    chunk = json.loads(line[len(LT.DATA_PREFIX):])
+                    delta = chunk["choices"][0]["delta"].get("content", "")
+                except (ValueError, KeyError, IndexError, TypeError, AttributeError):
+                    continue
+                if delta:
+                    out.append((rid, seq, "token", _dumps({"token": delta, "index": n, "elapsed_ms": elapsed})))
+                    n += 1
+            if not ended:
+                held[rid] = [n, start, last, max(last // 1000 + TIMEOUT_SECONDS * 1000, watermark + 1)]
+        hold_requests(state, held, timeout)
         yield pd.DataFrame(out, columns=["request_id", "seq", "kind", "event"])
     return relay
 
@@ -109,8 +103,8 @@ def relay_events(lines: DataFrame, watermark: str = "0 seconds", timeout: bool =
     event time. Rows of one request must arrive in ``seq`` order."""
     src = lines.withWatermark("ts", watermark) if timeout else lines
     conf = GroupStateTimeout.EventTimeTimeout if timeout else GroupStateTimeout.NoTimeout
-    return src.groupBy("request_id").applyInPandasWithState(
-        _relay(timeout), EVENT_SCHEMA, RELAY_STATE, "append", conf)
+    return src.withColumn("_bucket", bucket()).groupBy("_bucket").applyInPandasWithState(
+        _relay(timeout), EVENT_SCHEMA, STATE_DDL, "append", conf)
 
 
 def assemble_stream(lines: DataFrame) -> DataFrame:
