@@ -130,13 +130,16 @@ def round_score(col: Column | str, digits: int = 4) -> Column:
     return F.bround(_c(col), digits)
 
 
-def map_batches(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str | T.StructType
-                ) -> DataFrame:
+def map_batches(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str | T.StructType,
+                rows: int = 256) -> DataFrame:
     """A user batch function over every row; Arrow batches, one Python
-    worker per partition, so parallelism is the partition count."""
+    worker per partition, so parallelism is the partition count. ``fn`` is given
+    at most ``rows`` rows at a time, however many an Arrow batch has: what it
+    makes of them (lists of words) may be many times their size."""
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            yield fn(pdf)
+            for at in range(0, max(len(pdf), 1), rows):
+                yield fn(pdf.iloc[at:at + rows].reset_index(drop=True))
     return df.mapInPandas(run, schema)
 
 
