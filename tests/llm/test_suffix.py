@@ -1,7 +1,10 @@
 import collections
 import hashlib
 import random
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.helpers import documents
@@ -69,3 +72,20 @@ def test_loser_tree_merges_with_prefixes():
     out = [(runs[r][i], c) for r, i, c in tree]
     assert [x for x, _ in out] == sorted(x for r in runs for x in r)
     assert all(c == lcp(a, b) for (a, _), (b, c) in zip(out, out[1:]))
+
+
+@pytest.mark.parametrize("texts", [["x" * 50] + ["é" + "abc" * 1000] * 1500, ["abcdefg" * 600_000]], ids=["many", "one long"])
+def test_anchors_take_little_memory(texts):
+    """A task's working arrays follow the piece, not the batch; every window is in one piece."""
+    array = pa.array(texts)
+    suffix.W.powers(1)                                        # made once a worker
+    tracemalloc.start()
+    windows = 0
+    for data, offsets, _, _ in suffix._pieces(array):
+        windows += int(np.maximum(np.diff(offsets) - suffix.LENGTH + 1, 0).sum())
+        _, first, last, _, _ = suffix._anchors(data, offsets)
+        assert (last >= first).all()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64e6
+    assert windows == sum(max(0, len(t.encode()) - suffix.LENGTH + 1) for t in texts)

@@ -54,17 +54,18 @@ FILTER_BITS = 26
 RUN, BLOCK, RANGE = 1 << 16, 2048, 1 << 15
 _SPAN = LENGTH - GRAM           # a window begins at most this far before its anchor
 _KEY = LENGTH + _SPAN           # sort key: the suffix, then the bytes before it, backwards
-_PIECE = 1 << 20
+#: Bytes of text taken at a time: the anchors' working arrays are about a hundred times as large.
+_PIECE = 1 << 18
 _U = np.uint64
 
 
 def _pieces(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(bytes, piece offsets, text index, offset in the text) of texts cut to
-    pieces of about _PIECE bytes that overlap by LENGTH - 1, so that every window
-    is in exactly one piece."""
+    """(bytes, piece offsets, text index, offset in the text): texts together up
+    to _PIECE bytes; a longer one cut to pieces of that size that overlap by
+    LENGTH - 1, so that every window is in exactly one piece."""
     data, offsets = W.buffer_of(texts)
-    for lo, hi in W.slices(offsets):
-        if hi - lo > 1 or offsets[hi] - offsets[lo] <= 4 * _PIECE:
+    for lo, hi in W.slices(offsets, _PIECE):
+        if offsets[hi] - offsets[lo] <= _PIECE:
             a = offsets[lo]
             yield data[a: offsets[hi]], offsets[lo: hi + 1] - a, np.arange(lo, hi), np.zeros(hi - lo, np.int64)
             continue
@@ -201,6 +202,7 @@ def _runs(src: DataFrame, bits: np.ndarray) -> DataFrame:
 
     def emit(run_id: int, keys: list, meta: list) -> Iterator[pa.RecordBatch]:
         k, m = np.concatenate(keys), np.concatenate(meta)
+        keys.clear()                                  # else a run is held three times
         order = np.argsort(k.view(f"S{_KEY}").ravel(), kind="stable")
         k, m = k[order], m[order]
         # entries with equal bytes and equal windows are copies of each other
@@ -231,8 +233,8 @@ def _runs(src: DataFrame, bits: np.ndarray) -> DataFrame:
                 a, first, last, piece, g = _anchors(data, offsets)
                 bit = g.view(np.int64) % size
                 hit = np.flatnonzero((repeated[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1)
-                for s in range(0, len(hit), 1 << 13):
-                    h = hit[s: s + (1 << 13)]
+                for s in range(0, len(hit), 1 << 12):
+                    h = hit[s: s + (1 << 12)]
                     m = np.zeros(len(h), _META)
                     doc = text[piece[h]]
                     m["k1"], m["k2"] = k1[doc], k2[doc]
@@ -404,8 +406,8 @@ def _window_hashes(keys: np.ndarray, before: np.ndarray, entry: np.ndarray, d: n
     hashed on the way, and the first LENGTH - d bytes of the suffix."""
     out = np.empty(len(entry), _U)
     pw, _ = W.powers(LENGTH + 1)
-    for s in range(0, len(entry), 1 << 15):
-        e, x = entry[s: s + (1 << 15)], d[s: s + (1 << 15)]
+    for s in range(0, len(entry), 1 << 13):
+        e, x = entry[s: s + (1 << 13)], d[s: s + (1 << 13)]
         with np.errstate(over="ignore"):
             sums = np.cumsum(W.CODES[keys[e, :LENGTH]] * pw[None, :LENGTH], 1)
             out[s: s + len(e)] = W.mix(W.mix(sums[np.arange(len(e)), LENGTH - 1 - x]) + before[e, x] * _U(3) + x.astype(_U))
@@ -445,9 +447,10 @@ def _ranges(dealt: DataFrame, splitters: list[bytes]) -> DataFrame:
         live = meta["copied"] == 0                    # the others' intervals are out already
         k1, k2, lo, hi = _intervals(meta[live], dup[live])
         yield frame(k1, k2, lo, hi, pd.array([None] * len(k1), "Int64"), np.ones(len(k1), bool))
-        entry, d = np.nonzero(open_)
-        for s in range(0, len(entry), 1 << 17):
-            e, x = entry[s: s + (1 << 17)], d[s: s + (1 << 17)]
+        near = np.flatnonzero(open_.any(1))
+        for s in range(0, len(near), 1 << 10):
+            e, x = np.nonzero(open_[near[s: s + (1 << 10)]])
+            e = near[s: s + (1 << 10)][e]
             h = _window_hashes(keys, before, e, x).view(np.int64)
             settled = dup[e, x]
             keep = np.ones(len(e), bool)              # of a settled class one row is enough
@@ -517,7 +520,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 gone.append(n)
                 spans.append(k)
                 digest.append(hashlib.sha256(rest).hexdigest())
-                kept.append(rest)
+                if keep_text:
+                    kept.append(rest)
             cols = [b.column(0), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()),
                     pa.array(digest, pa.string())]
             yield pa.RecordBatch.from_arrays(cols + ([pa.array(kept, pa.binary())] if keep_text else []),
