@@ -1,9 +1,16 @@
 """Sources and sinks round trip with declared schemas."""
 
+import gzip
+import hashlib
+import os
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import SF_SMALL
 from textforge.operators import latency as LT
+from textforge.sources import digests as D
 from textforge.sources import io as IO
 
 
@@ -44,6 +51,67 @@ def test_manifest(spark):
     assert d.nfiles == 14 and len(d.md5) == 32
 
 
+def _odd_files(folder):
+    rng = random.Random(3)
+    noise = rng.randbytes(300_000)
+    bom = b"\xef\xbb\xbf"
+    for name, raw in {"empty": b"", "line end": b"\n", "two": b"\n\n", "bom": bom, "bom line": bom + b"\n", "bom text": bom + b"a\r\nb",
+                      "bom twice": bom + bom + b"x\n", "noise": noise, "noise 1": noise + b"\n", "noise 2": b"\n" + noise + b"\n\n",
+                      "zeros": b"\0" * 100_000, "lines": b"ab\r\n\n" * 50_000, "cr": b"a\rb\r", "dir/n\u00e9 %20": noise[:70_000],
+                      "p.gz": gzip.compress(noise), "p.gz.txt": gzip.compress(b"abc")}.items():
+        path = os.path.join(folder, name)
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        with open(path, "wb") as f:
+            f.write(raw)
+
+
+@pytest.mark.parametrize("whole", [False, True])
+def test_manifest_in_rounds(spark, tmp_dir, monkeypatch, whole):
+    """Every byte counts, also over many splits and rounds, and without OpenSSL's MD5."""
+    _odd_files(tmp_dir)
+    monkeypatch.setattr(D, "RANGE", 50_000)
+    if whole:
+        monkeypatch.setattr(D, "_library", lambda: None)
+    conf = "spark.sql.files.maxPartitionBytes"
+    spark.conf.set(conf, "20000")
+    try:
+        files, dirs = IO.dataset_manifest(spark, tmp_dir)
+        got = {r.path: (r.size, r.md5) for r in files.collect()}
+        old = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(tmp_dir).select("path", "content").collect()
+    finally:
+        spark.conf.unset(conf)
+    assert got == {r.path: (len(r.content), hashlib.md5(bytes(r.content)).hexdigest()) for r in old} and len(got) == 15   # an empty file has no split, so no row
+    assert sum(r.nfiles for r in dirs.collect()) == 15
+
+
+def test_manifest_reads_a_file_by_many_tasks(spark, tmp_dir):
+    """No plan holds a file's content, and a file is read as splits."""
+    with open(os.path.join(tmp_dir, "f.parquet"), "wb") as f:
+        f.write(random.Random(1).randbytes(400_000))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40000")
+    try:
+        seen = []
+        digests, D.file_digests = D.file_digests, lambda listing, lines: seen.append(lines) or digests(listing, lines)
+        assert IO.dataset_manifest(spark, tmp_dir)[0].count() == 1
+        sizes = [r["n"] for r in seen[0].groupBy("block").agg(F.sum(F.length("line") + 1).alias("n")).collect()]
+    finally:
+        D.file_digests = digests
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(sizes) >= 10 and max(sizes) < 45_000
+
+
+def test_md5_state_is_taken_up_again():
+    lib = D._library()
+    if lib is None:
+        pytest.skip("Python without OpenSSL")
+    raw, state = random.Random(2).randbytes(1000), None
+    for i in range(0, 1000, 37):
+        m = D.Md5(lib, state)
+        m.update(raw[i:i + 37])
+        state = m.state()
+        assert m.hexdigest() == hashlib.md5(raw[:i + 37]).hexdigest()
+
+
 def test_stats_report_file(spark, tmp_dir):
     long = spark.createDataFrame([("sequential", "n_requests", 100.0), ("sequential", "ttft_mean_ms", 104.31),
                                   ("concurrent", "n_requests", 20.0)], "label string, metric string, value double")

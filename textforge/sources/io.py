@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textforge.plans.joins import small_copy
+from textforge.sources import digests as D
 
 CORPUS_SCHEMA = T.StructType([
     T.StructField("split", T.StringType()), T.StructField("pos", T.LongType()),
@@ -162,15 +163,20 @@ def read_metrics(spark: SparkSession, path: str) -> DataFrame:
 def dataset_manifest(spark: SparkSession, path: str, glob: str = "*") -> tuple[DataFrame, DataFrame]:
     """Per file ``path, size, md5`` and per directory ``nfiles, size, md5``.
 
-    ``binaryFile`` loads one file per row (Spark raises on files beyond 2 GiB).
+    A file is read by as many tasks as it has splits, and digested in rounds
+    (``digests``); only packed files are a row each (up to 2 GiB).
     The directory digest is the exclusive or of the halves of its files' digests
     (our own definition): it needs no list of files in one task.
     """
-    listing = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
-               .option("recursiveFileLookup", "true").load(path))
-    files = listing.select(
-        "path", F.col("length").alias("size"),
-        F.md5("content").alias("md5"))
+    options = {"pathGlobFilter": glob, "recursiveFileLookup": "true"}
+    file = F.col("_metadata.file_path")
+    packed = file.rlike(D.PACKED)                    # on metadata: Spark leaves out the other files before it reads any
+    listing = spark.read.format("binaryFile").options(**options).load(path)
+    plain = listing.where(~packed).select("path", F.col("length").alias("size"), file.alias("file"))
+    lines = spark.read.options(**options).option("lineSep", "\n").text(path).where(~packed).select(
+        file.alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("line"))
+    files = plain.join(D.file_digests(plain.select("file", "size"), lines), "file").select("path", "size", "md5").unionByName(
+        listing.where(packed).select("path", F.col("length").alias("size"), F.md5("content").alias("md5")))
     quarter = lambda i: F.conv(F.substring("md5", 1 + 8 * i, 8), 16, 10).cast("long")
     joint = F.concat(*[F.lpad(F.lower(F.hex(F.bit_xor(quarter(i)))), 8, "0") for i in range(4)])
     dirs = files.withColumn("dir", F.regexp_extract("path", "^(.*)/[^/]*$", 1)).groupBy("dir").agg(
